@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grammar, mixing, packing, quality_rules
-from .common import WORD, read_table
+from . import grammar, language, main_text, mixing, neighbours, packing, quality_rules, simhash
+from .common import read_table
+
+
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(read_table(spark, sf_dir, "pages"))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +25,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality_rules.apply_policy(quality_rules.build_ledger(read_table(spark, sf_dir, "documents")))
     base = F.col("failure_bits").bitwiseAND(F.lit(quality_rules.Policy("base", quality_rules.BASE).mask(quality_rules.RULES))) != 0
@@ -32,11 +41,23 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), query=F.col("vec_id") % 50 == 0)
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "documents"), language.held_out())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
+    "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
+    "op9_neighbours": op9_neighbours,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.MIX_SQL}
