@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grammar, language, main_text, mixing, neighbours, packing, quality_rules, simhash
+from . import grammar, language, main_text, mixing, neighbours, packing, personal_data, quality_rules, simhash
 from .common import read_table
 
 
@@ -15,6 +15,17 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.annotate(read_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("__pii_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in personal_data.BASE_KINDS],
+        F.sha2(personal_data.spelled(F.col("__pii_base")), 256).alias("base_sha256"),
+        personal_data.spelled(F.col("__pii_spans")).alias("spans"),
+    )
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = grammar.encode_corpus(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -51,6 +62,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
+    "op2_personal_data": op2_personal_data,
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
     "op6_simhash": op6_simhash,
