@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut_lineage
+from .common import SPACES, WORD, cut_lineage
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -53,18 +53,21 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MO
     return stepped.withColumn("target", F.least(F.col("cap"), F.col("weight") * level)).select("is_null", "src", "source_size", "target")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken; one row per input row."""
-    spark = docs.sparkSession
-    sized = cut_lineage(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"),
-            F.col(source_col).isNull().alias("is_null"),
-            F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("key"),
-        )
-    )
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> dict:
+    """Columns of a row's place in the mix: its source, size and hash-random key."""
+    return {
+        "doc_id": F.col(id_col).cast("long"),
+        "src": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
+        "is_null": F.col(source_col).isNull(),
+        "size": F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long"),
+        "key": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))),
+    }
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], most: int) -> DataFrame:
+    """Every row's size and key with its source's size, target, whole epochs and rest, and ``before``:
+    the size of the rows ahead of it."""
+    sized = cut_lineage(docs.select(*[c.alias(n) for n, c in _sized(docs, id_col, text_col, source_col).items()]))
     # Leading hex digits of the key: enough buckets for small windows whatever the row count.
     rows, digits = sized.count(), 1
     while rows > ROWS_PER_BUCKET * 16**digits / 16 and digits < 8:
@@ -74,29 +77,64 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     group = ["is_null", "src", "bucket"]
     sums = cut_lineage(sized.groupBy(*group).agg(F.sum("size").alias("bucket_size")))
     sources = sums.groupBy("is_null", "src").agg(F.sum("bucket_size").alias("source_size"))
-    budget = targets(sources, weights, most)
+    budget = targets(sources, weights, most).withColumn("budget", F.least(F.round("target").cast("long"), F.col("source_size") * most))
+    budget = budget.withColumn("whole", F.expr("IF(source_size > 0, budget div source_size, 0)")).withColumn("rest", F.expr("IF(source_size > 0, budget % source_size, 0)"))
     earlier = Window.partitionBy("is_null", "src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("before_bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).drop("bucket_size").join(budget, ["is_null", "src"])
 
     inside = Window.partitionBy(*group).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        sized.join(starts, group)
-        .withColumn("before", F.col("before_bucket") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .withColumn("budget", F.least(F.round("target").cast("long"), F.col("source_size") * most))
-    )
-    whole = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
-    rest = F.when(F.col("source_size") > 0, F.col("budget") % F.col("source_size")).otherwise(F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return placed.select(
+    return sized.join(starts, group).withColumn("before", F.col("before_bucket") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken; one row per input row."""
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
+    return _placed(docs, id_col, text_col, source_col, weights, most).select(
         "doc_id",
         F.when(~F.col("is_null"), F.col("src")).alias("source"),
         "size",
         "source_size",
         "target",
-        (whole * F.col("size") + part).cast("long").alias("taken"),
+        (F.col("whole") * F.col("size") + part).cast("long").alias("taken"),
     )
 
 
+def cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """Per source: whole epochs, the place of the first row that the last epoch does not take whole,
+    and the words that it takes there, shared evenly if equal rows stand at that place."""
+    place = F.struct("key", "doc_id", "size")
+    placed = _placed(docs, id_col, text_col, source_col, weights, most)
+    short = F.col("before") + F.col("size") > F.col("rest")
+    per_source = placed.groupBy("is_null", "src").agg(F.first("whole").alias("whole"), F.first("rest").alias("rest"), F.min(F.when(short, place)).alias("edge"))
+    at_edge = placed.groupBy("is_null", "src", place.alias("edge")).agg(F.count("*").alias("rows_there"), F.min("before").alias("before"))
+    part = F.expr("CAST(greatest(0, (rest - before) div rows_there) AS BIGINT)")
+    return per_source.join(at_edge, ["is_null", "src", "edge"], "left").select("is_null", "src", "whole", "edge", F.coalesce(part, F.lit(0)).alias("part"))
+
+
+#: Sources whose cuts are sent to every task; beyond it they are joined by a shuffle.
+MOST_BROADCAST_SOURCES = 100_000
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """The mixed corpus: the input's columns, each row as often as the mix takes it whole, and the
+    first words of the row at the edge of each source's budget."""
+    edges = cut_lineage(cuts(docs, id_col, text_col, source_col, weights, most))
+    small = edges.count() <= MOST_BROADCAST_SOURCES
+    own = _sized(docs, id_col, text_col, source_col)
+    names = {n: f"__mix_{n}" for n in own}
+    rows = docs.select("*", *[c.alias(names[n]) for n, c in own.items()])
+    edges = edges.select(*[F.col(c).alias(f"__cut_{c}") for c in edges.columns])
+    same = (F.col("__mix_src") == F.col("__cut_src")) & (F.col("__mix_is_null") == F.col("__cut_is_null"))
+    joined = rows.join(F.broadcast(edges) if small else edges, same)
+    place = F.struct(F.col("__mix_key").alias("key"), F.col("__mix_doc_id").alias("doc_id"), F.col("__mix_size").alias("size"))
+    words = F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(rf"[{SPACES}]*{WORD}"), F.lit(0))
+    copies = F.array_repeat(F.col(text_col), (F.col("__cut_whole") + F.when(F.col("__cut_edge").isNull() | (place < F.col("__cut_edge")), 1).otherwise(0)).cast("int"))
+    some = F.when(place == F.col("__cut_edge"), F.col("__cut_part")).otherwise(0)
+    texts = F.when(some > 0, F.concat(copies, F.array(F.array_join(F.slice(words, F.lit(1), F.greatest(some, F.lit(1)).cast("int")), "")))).otherwise(copies)
+    taken = joined.withColumn("__mix_text", F.explode(texts))
+    return taken.select(*[F.col("__mix_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+
 #: The same mix as one statement for DuckDB, without buckets.
 MIX_SQL = rf"""
 WITH sized AS (
