@@ -10,13 +10,26 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 
 #: Pieces a worker holds before it starts afresh; this bounds its memory, not the result.
 MOST_PIECES = 800_000
 MOST_HELD_IDS = 16_000_000
+MARKS = frozenset(".,;:!?")
+
+
+def _byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies spell a byte: printable ones as themselves, the others, in order, from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: 256 + n for n, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 _BLANK_OR_LINE = re.compile(r"[^\S \n]|  |\n\n| \n|\n |^[ \n]|[ \n]$|<\|")
 _ANY_SPACE = re.compile(r"[\x1c-\x1f]|<\|")
@@ -29,52 +42,82 @@ def tokenizer_path(name: str) -> str:
 
 
 class _Index(dict):
-    """Piece to number; an unknown piece gets the next number and waits to be encoded."""
+    """Piece to number; an unknown piece gets the next number and waits to be encoded.
+
+    Both kinds of tokenizer cut between letters and a mark that follows them, so a word with one
+    mark at its end is put together from the word and the mark.
+    """
 
     def __init__(self, codec: "PieceCodec", lead: str):
         self.codec, self.lead = codec, lead
 
     def __missing__(self, piece: str) -> int:
-        number = self[piece] = self.codec.add(self.lead + piece)
+        if piece[-1:] in MARKS and piece[:-1].isalpha():
+            number = self.codec.add((self[piece[:-1]], self.codec.first[piece[-1]]))
+        else:
+            number = self.codec.add(self.lead + piece)
+        self[piece] = number
         return number
 
 
 class PieceCodec:
-    """``kind`` is ``"blank"`` for byte-level tokenizers that keep blanks, ``"word"`` for those that drop white space."""
+    """``kind`` is ``"blank"`` for byte-level tokenizers that keep blanks, ``"word"`` for those that lower case and drop white space."""
 
     def __init__(self, path: str, kind: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
         self.first, self.after = _Index(self, ""), _Index(self, " ")
-        self.waiting: list[str] = []
+        self.waiting: list[str | tuple[int, int]] = []
         self.count = 0
         self.ids = np.empty(0, np.uint32)
         self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def add(self, piece: str) -> int:
+    def add(self, piece: str | tuple[int, int]) -> int:
+        """``piece``: a text, or the numbers of two pieces that make it up."""
         self.waiting.append(piece)
         self.count += 1
         return self.count - 1
 
+    def _plain(self, piece: str) -> bool:
+        """Whether the tokenizer's normaliser leaves a run of letters as it is."""
+        return self.kind == "blank" or is_normalized("NFC", piece) and piece == piece.lower()
+
+    def _held(self, number: int) -> list[int]:
+        start = self.starts[number]
+        return self.ids[start : start + self.lengths[number]].tolist()
+
     def _encode_waiting(self) -> None:
         if not self.waiting:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(self.waiting, add_special_tokens=False)]
+        known = len(self.starts)
+        found: list[list[int]] = []
+        for piece in self.waiting:
+            if not isinstance(piece, str):
+                found.append([i for n in piece for i in (found[n - known] if n >= known else self._held(n))])
+            elif piece.removeprefix(" ").isalpha() and (piece.isascii() or self._plain(piece)):
+                # One run of letters is one word of the model, its bytes spelled as the vocabulary has them.
+                found.append([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_LETTERS))])
+            else:
+                found.append(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        new = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
+        new = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
         starts = len(self.ids) + np.cumsum(lengths) - lengths
         self.ids = np.concatenate([self.ids, new])
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
         self.waiting = []
 
-    def _pieces(self, text: str) -> list[int]:
+    def _pieces(self, text: str) -> Iterable[int]:
         if self.kind == "word":
-            return [self.add(text)] if _ANY_SPACE.search(text) else [self.first[p] for p in text.split()]
+            if _ANY_SPACE.search(text):
+                return [self.add(text)]
+            # The tokenizer lower-cases letter by letter; only a final sigma would differ.
+            return map(self.first.__getitem__, (text if "\u03a3" in text else text.lower()).split())
         if not text or _BLANK_OR_LINE.search(text):
             return [self.add(text)]
         numbers: list[int] = []
@@ -83,7 +126,7 @@ class PieceCodec:
                 numbers.append(self.first["\n"])
             head, *tail = line.split(" ")
             numbers.append(self.first[head])
-            numbers += [self.after[p] for p in tail]
+            numbers += map(self.after.__getitem__, tail)
         return numbers
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,10 +140,11 @@ class PieceCodec:
             numbers += self._pieces(text or "")
             ends[n + 1] = len(numbers)
         self._encode_waiting()
-        index = np.array(numbers, np.int64)
+        index = np.fromiter(numbers, np.int32, len(numbers))
         lengths = self.lengths[index]
         total = np.concatenate([[0], np.cumsum(lengths)])
-        places = np.repeat(self.starts[index] - total[:-1], lengths) + np.arange(total[-1])
+        places = np.repeat(self.starts[index] - total[:-1], lengths)
+        places += np.arange(total[-1])
         return self.ids[places], np.diff(total[ends])
 
 
