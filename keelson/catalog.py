@@ -16,3 +16,14 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+
+
+def _register() -> None:
+    """The query modules use ``Query``, so they are read after it is defined."""
+    from .plans import modules
+
+    for module in modules():
+        QUERIES.update(module.QUERIES)
+
+
+_register()
