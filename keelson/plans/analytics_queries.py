@@ -103,7 +103,7 @@ def q_owner_scoped(spark, sf_dir):
 
 
 def q_live_history(spark, sf_dir):
-    return scan_run(spark, sf_dir).where("data_source = 'live_scan' AND status = 'completed'").select("scan_id", "repository_id", "created_on")
+    return scan_run(spark, sf_dir).where("data_source = 'live_scan' AND status = 'completed'").select("scan_id", "repository_id", F.col("created_on").cast("string").alias("created_on"))
 
 
 def q_ecosystem_list(spark, sf_dir):
@@ -245,7 +245,7 @@ WHERE status IN ('queued', 'running') AND created_on >= DATE '{NOW}' - 365 GROUP
         q_history_window,
         with_views("""ranked AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY created_on DESC, scan_id DESC) AS back, count(*) OVER (PARTITION BY repository_id) AS total
   FROM scan_run WHERE status = 'completed' AND data_source = 'live_scan')
-SELECT repository_id, scan_id, row_number() OVER (PARTITION BY repository_id ORDER BY created_on, scan_id) AS position, total FROM ranked WHERE back <= 3""", "scan_run"),
+SELECT repository_id, scan_id, CAST(row_number() OVER (PARTITION BY repository_id ORDER BY created_on, scan_id) AS INT) AS position, total FROM ranked WHERE back <= 3""", "scan_run"),
         "W06 A10 P05",
     ),
     "formula_change_markers": Query(
@@ -265,7 +265,7 @@ SELECT repository_id, string_agg(formula_version, ',' ORDER BY first_at) AS vers
     ),
     "trend_geometry": Query(
         q_trend,
-        with_views(f"""SELECT repository_id, scan_id, row_number() OVER w - 1 AS step, count(*) OVER (PARTITION BY repository_id) - 1 AS last_step,
+        with_views(f"""SELECT repository_id, scan_id, CAST(row_number() OVER w - 1 AS INT) AS step, count(*) OVER (PARTITION BY repository_id) - 1 AS last_step,
        first_value(scan_id) OVER w AS first_value, last_value(scan_id) OVER (PARTITION BY repository_id {_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_value
 FROM scan_run WHERE status = 'completed' WINDOW w AS (PARTITION BY repository_id {_ORDER})""", "scan_run"),
         "W12",
@@ -287,7 +287,7 @@ FROM flagged ORDER BY is_unassessable, manifest_path, package_name, scan_id, par
         q_owner_scoped, with_views("SELECT repository_id, scan_id, status FROM repository JOIN scan_run USING (repository_id) WHERE user_id = 2", "repository", "scan_run"), "P04"
     ),
     "live_history_only": Query(
-        q_live_history, with_views("SELECT scan_id, repository_id, created_on FROM scan_run WHERE data_source = 'live_scan' AND status = 'completed'", "scan_run"), "P05"
+        q_live_history, with_views("SELECT scan_id, repository_id, created_on::VARCHAR AS created_on FROM scan_run WHERE data_source = 'live_scan' AND status = 'completed'", "scan_run"), "P05"
     ),
     "ecosystem_list": Query(
         q_ecosystem_list,
@@ -329,7 +329,7 @@ lines AS (SELECT s.subject_id, f.*, full_name, CASE WHEN is_unassessable THEN 'u
   FROM sibling s JOIN latest USING (repository_id) JOIN flagged f USING (scan_id) SEMI JOIN wanted w ON s.subject_id = w.subject_id AND f.ecosystem = w.ecosystem AND f.package_name = w.package_name),
 placed AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY package_name, full_name, CASE status WHEN 'flagged' THEN 0 WHEN 'unassessable' THEN 1 ELSE 2 END, manifest_path, part_id, line_no) AS position,
   count(*) OVER (PARTITION BY subject_id) AS total FROM lines)
-SELECT subject_id, position, package_name, full_name, status, manifest_path, greatest(total - 40, 0) AS omitted FROM placed WHERE position <= 40""", "repository", "scan_run", "occurrence"),
+SELECT subject_id, CAST(position AS INT) AS position, package_name, full_name, status, manifest_path, greatest(total - 40, 0) AS omitted FROM placed WHERE position <= 40""", "repository", "scan_run", "occurrence"),
         "J09 J10 T08 R15 X09 P11",
     ),
     "siblings_not_scanned": Query(

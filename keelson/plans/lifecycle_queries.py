@@ -71,7 +71,8 @@ def q_duplicates(spark, sf_dir):
 
 
 def q_partial_unique(spark, sf_dir):
-    return quality.duplicate_keys(scan_run(spark, sf_dir), "repository_id", "created_on", where=F.col("status") == "completed")
+    found = quality.duplicate_keys(scan_run(spark, sf_dir), "repository_id", "created_on", where=F.col("status") == "completed")
+    return found.withColumn("created_on", F.col("created_on").cast("string"))
 
 
 def q_orphans(spark, sf_dir):
@@ -244,7 +245,7 @@ UNION ALL SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 'flag_member' F
         "Q01 Q03",
     ),
     "duplicate_keys": Query(q_duplicates, "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1", "Q02"),
-    "partial_unique_keys": Query(q_partial_unique, with_views("SELECT repository_id, created_on, count(*) AS n FROM scan_run WHERE status = 'completed' GROUP BY ALL HAVING count(*) > 1", "scan_run"), "Q02"),
+    "partial_unique_keys": Query(q_partial_unique, with_views("SELECT repository_id, created_on::VARCHAR AS created_on, count(*) AS n FROM scan_run WHERE status = 'completed' GROUP BY ALL HAVING count(*) > 1", "scan_run"), "Q02"),
     "fk_orphans": Query(q_orphans, "SELECT event_id, user_id FROM events ANTI JOIN (SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 3 <> 0) USING (user_id)", "Q04"),
     "advisory_dedupe": Query(q_dedupe, with_views(f"SELECT {KEYS}, count(DISTINCT osv_id) AS n FROM advisory GROUP BY {KEYS}", "advisory"), "Q05"),
     "registration_ladder": Query(
