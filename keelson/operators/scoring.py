@@ -1,9 +1,10 @@
-"""Exact-decimal scoring of dependency occurrences.
+"""Exact scoring of dependency occurrences.
 
-Everything is a projection over decimals: a term is its weight times its normalised signal,
-rescaled over the weights whose signal is present, rounded half up to cents. Absent is not
-zero: an unknown staleness leaves the sum of weights, an unknown severity with advisories
-counts as 5.0 and lowers confidence.
+A term is its weight times its normalised signal, rescaled over the weights whose signal is
+present, rounded half up to cents. Weights, signals and cents are whole numbers, so a term is
+one integer division that long arithmetic does exactly inside generated code; amounts leave
+as decimals. Absent is not zero: an unknown staleness leaves the sum of weights, an unknown
+severity with advisories counts as 5.0 and lowers confidence.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def with_weights(rows: DataFrame, version: Column | str = ACTIVE) -> DataFrame:
     # The weights are one row per version and ecosystem, whatever the data.
     joined = held.join(F.broadcast(table), (F.col("used_version") == F.col("w_version")) & (F.col("ecosystem") == F.col("w_ecosystem")), "left")
     weight = F.when(F.col("w_version").isNull(), F.raise_error(F.concat(F.lit("no weights for ecosystem "), F.coalesce("ecosystem", F.lit("null"))))).otherwise(F.col("w_deprecation"))
-    return joined.withColumn("w_deprecation", weight.cast("decimal(6,4)")).drop("w_version", "w_ecosystem")
+    return joined.withColumn("w_deprecation", weight.cast("long")).drop("w_version", "w_ecosystem")
 
 
 def signals() -> dict[str, tuple[Column, Column]]:
@@ -48,11 +49,14 @@ def reduced_confidence() -> Column:
     return F.col("cvss_tenths").isNull() & (F.coalesce(F.col("vulnerability_count"), F.lit(0)) > 0)
 
 
-def points(weight: Column, total: Column, top: Column, bottom: Column) -> Column:
-    """One division per term keeps the quotient exact enough to round half up."""
-    above = (weight * top.cast("decimal(6,0)") * F.lit(100).cast("decimal(3,0)")).cast("decimal(18,4)")
-    below = (total * bottom.cast("decimal(6,0)")).cast("decimal(14,4)")
-    return F.coalesce(F.round(F.try_divide(above, F.when(below != 0, below)), 2), F.lit(0)).cast("decimal(7,2)")
+def term_cents(weight: Column, total: Column, top: Column, bottom: Column) -> Column:
+    """100 * 100 * weight * top / (total * bottom), half up; 0 where no weight is left."""
+    above, below = weight * top.cast("long") * 10_000, total * bottom.cast("long")
+    return F.when(total > 0, F.call_function("div", 2 * above + below, 2 * below)).otherwise(F.lit(0).cast("long"))
+
+
+def amount(cents: Column, kind: str) -> Column:
+    return (cents.cast("decimal(12,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(kind)
 
 
 def score_occurrences(rows: DataFrame, version: Column | str = ACTIVE) -> DataFrame:
@@ -62,12 +66,25 @@ def score_occurrences(rows: DataFrame, version: Column | str = ACTIVE) -> DataFr
     """
     held = with_weights(rows.where("NOT is_unassessable"), version)
     parts = signals()
-    total = sum((F.when(parts[s][0].isNotNull(), F.col(f"w_{s}")).otherwise(F.lit(0).cast("decimal(6,4)")) for s in SIGNALS), F.lit(0).cast("decimal(6,4)")).cast("decimal(8,4)")
+    total = F.lit(0).cast("long")
+    for s in SIGNALS:
+        total = total + F.when(parts[s][0].isNotNull(), F.col(f"w_{s}")).otherwise(F.lit(0))
     held = held.withColumn("w_total", total)
-    held = held.withColumns({f"points_{s}": F.when(parts[s][0].isNotNull(), points(F.col(f"w_{s}"), F.col("w_total"), *parts[s])) for s in SIGNALS})
-    added = sum((F.coalesce(F.col(f"points_{s}"), F.lit(0).cast("decimal(7,2)")) for s in SIGNALS), F.lit(0).cast("decimal(7,2)"))
-    penalty = F.least(F.greatest(added, F.lit(0)), F.lit(100)).cast("decimal(5,2)")
-    return held.withColumns({"penalty": penalty, "redistributed": F.col("staleness_days").isNull(), "cvss_reduced_confidence": reduced_confidence()}).withColumn("score", (F.lit(100).cast("decimal(5,2)") - F.col("penalty")).cast("decimal(5,2)"))
+    cents = {s: F.when(parts[s][0].isNotNull(), term_cents(F.col(f"w_{s}"), F.col("w_total"), *parts[s])) for s in SIGNALS}
+    held = held.withColumns({f"cents_{s}": c for s, c in cents.items()})
+    added = F.lit(0).cast("long")
+    for s in SIGNALS:
+        added = added + F.coalesce(f"cents_{s}", F.lit(0))
+    held = held.withColumn("penalty_cents", F.least(F.greatest(added, F.lit(0)), F.lit(10_000)))
+    return held.withColumns(
+        {
+            **{f"points_{s}": amount(F.col(f"cents_{s}"), "decimal(7,2)") for s in SIGNALS},
+            "penalty": amount(F.col("penalty_cents"), "decimal(5,2)"),
+            "score": amount(F.lit(10_000) - F.col("penalty_cents"), "decimal(5,2)"),
+            "redistributed": F.col("staleness_days").isNull(),
+            "cvss_reduced_confidence": reduced_confidence(),
+        }
+    )
 
 
 def flag_reasons() -> Column:
@@ -95,7 +112,7 @@ def term_breakdown(scored: DataFrame, *keys: str) -> DataFrame:
                 F.lit(s).alias("signal"),
                 raw[s].cast("int").alias("raw_value"),
                 F.bround((parts[s][0].cast("decimal(10,0)") / parts[s][1].cast("decimal(10,0)")).cast("decimal(20,10)"), 4).cast("decimal(6,4)").alias("normalised"),
-                F.bround((F.col(f"w_{s}") / F.col("w_total")).cast("decimal(20,10)"), 4).cast("decimal(6,4)").alias("weight"),
+                F.bround((F.col(f"w_{s}").cast("decimal(10,0)") / F.col("w_total").cast("decimal(10,0)")).cast("decimal(20,10)"), 4).cast("decimal(6,4)").alias("weight"),
                 F.col(f"points_{s}").alias("points"),
             ),
         )

@@ -18,6 +18,8 @@ FOLDER = Path(__file__).resolve().parent.parent / "weights"
 ACTIVE = "v2"
 SIGNALS = ("deprecation", "severity", "count", "staleness")
 ECOSYSTEMS = ("npm", "pypi")
+#: Weights are whole multiples of it, so that scores are exact in integers.
+UNIT = Decimal("0.0001")
 
 
 class WeightsError(ValueError):
@@ -60,6 +62,8 @@ def check(found: WeightSet, tag: str) -> WeightSet:
             wrong.append(f"{ecosystem} must name exactly the four signals")
         if any(w < 0 for w in row.values()) or found.epss_weight < 0:
             wrong.append(f"{ecosystem} has a negative weight")
+        if any(w % UNIT for w in row.values()):
+            wrong.append(f"{ecosystem} has a weight finer than {UNIT}")
         if abs(sum(row.values()) + found.epss_weight - 1) > Decimal("0.001"):
             wrong.append(f"{ecosystem} must sum to 1")
     if wrong:
@@ -104,13 +108,13 @@ def versions(folder: Path = FOLDER) -> list[str]:
 
 
 def weight_table(spark: SparkSession) -> DataFrame:
-    """One row per version and ecosystem: version, ecosystem, the four weights, caps and flags."""
+    """One row per version and ecosystem: the four weights in units of ``UNIT``, caps and flags."""
     rows = [
-        (s.version, e, *[row[x] for x in SIGNALS], s.count_cap, s.staleness_cap_days, s.stale_flag_days)
+        (s.version, e, *[int(row[x] / UNIT) for x in SIGNALS], s.count_cap, s.staleness_cap_days, s.stale_flag_days)
         for s in map(load, versions())
         for e, row in s.weights.items()
     ]
-    kinds = ", ".join(f"w_{x} decimal(6,4)" for x in SIGNALS)
+    kinds = ", ".join(f"w_{x} long" for x in SIGNALS)
     return spark.createDataFrame(rows, f"version string, ecosystem string, {kinds}, count_cap int, staleness_cap_days int, stale_flag_days int")
 
 
