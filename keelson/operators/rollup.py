@@ -1,7 +1,8 @@
 """Rank-decayed roll-up of penalties per scan, classification, and rescoring under other weights.
 
-Rows are dealt by scan once; the ranking (whose limit runs before and after the exchange) and
-the counts share that exchange. A scan without assessable rows scores 100.
+Both halves shrink their rows before the exchange: the ranking keeps each task's worst rows of a
+scan (its limit runs before and after), the counts are partial aggregates. So a scan of any size
+is no heavy task. A scan without assessable rows scores 100.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scoring import is_flagged, score_occurrences
+from .scoring import is_flagged, score_occurrences, with_weights
 from .weights import ACTIVE, factor_table, load, threshold_table, usable_version, versions
 
 
@@ -31,15 +32,14 @@ def ranked_points(scored: DataFrame, *tie_break: str) -> DataFrame:
 
 def roll_up(scans: DataFrame, occurrences: DataFrame, version: Column | str = ACTIVE) -> DataFrame:
     """Every scan (scan_id, used_version): deduction, score, class and counts, empty scans included."""
-    per_scan = occurrences.repartition("scan_id")
-    scored = score_occurrences(per_scan, version).withColumn("is_flagged", is_flagged())
+    scored = score_occurrences(occurrences, version)
     deductions = ranked_points(scored, "part_id", "supp_id", "line_no").groupBy("scan_id").agg(F.sum("points").cast("decimal(9,2)").alias("deduction"))
-    assessed = scored.groupBy("scan_id").agg(F.count("*").alias("assessed_count"), F.count_if("is_flagged").alias("flagged_count"))
-    unassessed = per_scan.groupBy("scan_id").agg(F.count_if("is_unassessable").alias("unassessable_count"))
+    able = ~F.col("is_unassessable")
+    counted = with_weights(occurrences, version).groupBy("scan_id").agg(F.count_if(able).alias("assessed_count"), F.count_if(able & is_flagged()).alias("flagged_count"), F.count_if(~able).alias("unassessable_count"))
     limits = F.broadcast(threshold_table(scans.sparkSession).withColumnRenamed("version", "used_version"))
     zero = F.lit(0).cast("decimal(9,2)")
     score = F.least(F.greatest(F.lit(100) - F.col("deduction"), F.lit(0)), F.lit(100)).cast("decimal(5,2)")
-    joined = scans.join(deductions, "scan_id", "left").join(assessed, "scan_id", "left").join(unassessed, "scan_id", "left").join(limits, "used_version")
+    joined = scans.join(deductions, "scan_id", "left").join(counted, "scan_id", "left").join(limits, "used_version")
     filled = joined.withColumn("deduction", F.coalesce("deduction", zero)).withColumn("score", score)
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("assessed_count", "flagged_count", "unassessable_count")]
     return filled.select("scan_id", "used_version", "deduction", "score", classify(F.col("score"), F.col("safe_min"), F.col("medium_min")).alias("classification"), *counts)
