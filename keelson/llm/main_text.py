@@ -45,12 +45,14 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 UNSEEN = frozenset("script style noscript template svg math head title iframe object canvas audio video select textarea button datalist".split())
 RAW = frozenset("script style title textarea noscript iframe".split())
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}}
-BAD_TAGS = frozenset("nav aside footer form menu dialog search address".split())
+BAD_TAGS = frozenset("nav aside footer form menu dialog search".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 BAD_WORDS = frozenset(
-    "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disqus feedback footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination paywall popup promo promoted promotion reader-comments related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
+    "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus feedback footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination paywall popup promo promoted promotion reader-comments related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
 )
 GOOD_TAGS = frozenset(("article", "main"))
+#: Names of page furniture that inside an article name its own head.
+HEAD_WORDS = frozenset(("header", "masthead"))
 GOOD_WORDS = frozenset("article articlebody body content entry main post story text".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -100,7 +102,7 @@ def meaning_of(tag: str, attributes: str, inside_article: bool) -> tuple[int, bo
         return (-1, False) if words & {"comment", "comments", "reply", "related", "teaser", "promo", "ad", "sponsored"} else (1, True)
     if tag in ("html", "body"):
         return 0, False
-    if words & BAD_WORDS:
+    if words & (BAD_WORDS - HEAD_WORDS if inside_article else BAD_WORDS):
         return -1, False
     return (1, False) if words & GOOD_WORDS else (0, False)
 

@@ -103,7 +103,7 @@ def test_reliabilities():
 
 HTML = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
 <header><h2>Site</h2></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice"><p>We use cookies, accept.</p></div><!-- x --><div class="ad">Buy now.</div>
-<article><header><h1>Head&amp;line</h1></header><p>First  <b>bold
+<article><header class="entry-header"><h1>Head&amp;line</h1></header><p>First  <b>bold
 text</b> here, caf&eacute;.<p>Second para&#103;raph<br>goes on, truly.</p><ul><li>An item, too.</li></ul><section class="comments"><p>I disagree, strongly.</p></section></article>
 <aside><p>Related words, many of them.</p></aside><form><p>Mail</p><input></form><footer>&copy; x</footer></body></html>"""
 
