@@ -2,7 +2,7 @@
 
 Documents are range-partitioned by id and encoded; every partition writes shards of about
 ``SHARD_TOKENS`` ids. Inside a shard, frequent pairs of neighbouring symbols are replaced by
-nonterminals, round after round, until no pair is frequent; pairs never reach across the end of
+nonterminals, round after round, until no pair is frequent or a round gains little; pairs never reach across the end of
 a document. A shard is one Parquet row of binary columns:
 
 * ``rules``: left and right symbol of each nonterminal, unsigned 32-bit little-endian;
@@ -39,46 +39,73 @@ SHARD_TOKENS = 1 << 20
 #: A pair is worth a rule from this many occurrences in a shard.
 LEAST_PAIRS = 24
 PAIRS_A_ROUND = 1 << 14
+#: A round that shortens the shard by a smaller part of it is the last.
+LEAST_GAIN = 0.01
 TEXTS_AT_ONCE = 256
 
 SHARD = "part long, shard long, start_in_part long, n_tokens long, n_docs long, doc_ids binary, id_nulls binary, doc_tokens binary, cuts binary, rules binary, spans binary, symbols binary"
 
 
-def compress(ids: np.ndarray, last: np.ndarray, first: int = FIRST_NONTERMINAL, least: int = LEAST_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Slots of the table that finds candidate pairs; two pairs in one slot wait for another round.
+SLOT_BITS = 20
+
+
+def frequent_pairs(keys: np.ndarray, slots: np.ndarray, least: int, most: int) -> np.ndarray:
+    """The ``most`` commonest keys that occur ``least`` times or more, commonest first.
+
+    A key cannot occur more often than its slot does, so only keys of full slots are sorted and counted.
+    """
+    full = np.bincount(slots, minlength=1 << SLOT_BITS) >= least
+    ordered = np.sort(keys[full[slots]])
+    if not len(ordered):
+        return ordered
+    edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    counts = np.diff(np.append(edge, len(ordered)))
+    often = np.flatnonzero(counts >= least)
+    often = often[np.argsort(-counts[often], kind="stable")[:most]]
+    return ordered[edge[often]]
+
+
+def compress(ids: np.ndarray, last: np.ndarray, first: int = FIRST_NONTERMINAL, least: int = LEAST_PAIRS, gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, which of them end a document, and the rules (n x 2). ``last`` marks each document's final id."""
     symbols, last, rules = ids.astype(np.uint64), last.copy(), []
     made = 0
+    table = np.zeros(1 << SLOT_BITS, np.int32)
     while len(symbols) > 1:
         keys = symbols[:-1] << np.uint64(32) | symbols[1:]
-        inside = ~last[:-1]
-        ordered = np.sort(keys[inside])
-        if not len(ordered):
-            break
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.append(edge, len(ordered)))
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+        # A pair across the end of a document gets a key that no pair has, each another one.
+        across = np.flatnonzero(last[:-1])
+        keys[across] = np.uint64(1 << 63) + across.astype(np.uint64)
+        slots = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        pairs = frequent_pairs(keys, slots, least, PAIRS_A_ROUND)
+        if not len(pairs):
             break
-        often = often[np.argsort(-counts[often], kind="stable")[:PAIRS_A_ROUND]]
-        pairs = ordered[edge[often]]
-        by_key = np.argsort(pairs)
-        found = np.minimum(np.searchsorted(pairs[by_key], keys), len(pairs) - 1)
-        rank = np.where(inside & (pairs[by_key][found] == keys), by_key[found], len(pairs))
+        # The commonest pair of a slot is written last.
+        own = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        table[own[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
+        guess = table[slots]
+        guess[guess >= len(pairs)] = 0
+        rank = np.where(pairs[guess] == keys, guess, np.int32(len(pairs)))
         # A chosen pair is more frequent than its left neighbour, and no less than its right one.
         chosen = rank < len(pairs)
         chosen[1:] &= rank[1:] < rank[:-1]
         chosen[:-1] &= rank[:-1] <= rank[1:]
         at = np.flatnonzero(chosen)
-        used, number = np.unique(rank[at], return_inverse=True)
+        taken = rank[at]
+        used = np.flatnonzero(np.bincount(taken, minlength=len(pairs)))
+        number = np.zeros(len(pairs), np.int64)
+        number[used] = np.arange(len(used))
         rules.append(np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], 1))
-        symbols[at] = (first + made + number).astype(np.uint64)
+        symbols[at] = (first + made + number[taken]).astype(np.uint64)
         made += len(used)
         last[at] = last[at + 1]
         kept = np.ones(len(symbols), bool)
         kept[at + 1] = False
         symbols, last = symbols[kept], last[kept]
-    table = np.concatenate(rules) if rules else np.empty((0, 2), np.uint64)
-    return symbols.astype(np.uint32), last, table.astype(np.uint32)
+        if len(at) < gain * len(kept):
+            break
+    rows = np.concatenate(rules) if rules else np.empty((0, 2), np.uint64)
+    return symbols.astype(np.uint32), last, rows.astype(np.uint32)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int = FIRST_NONTERMINAL) -> np.ndarray:
@@ -200,7 +227,8 @@ def _read_shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc_ids = np.frombuffer(row["doc_ids"], "<i8")
             nulls = np.frombuffer(row["id_nulls"], bool)
             starts = row["part_start"] + row["start_in_part"] + np.cumsum(counts) - counts
-            ids = [shard.document(n).astype("<u4").tobytes() for n in range(len(counts))]
+            data, ends = expand(shard.symbols, shard.rules).astype("<u4").tobytes(), 4 * np.cumsum(counts)
+            ids = [data[lo:hi] for lo, hi in zip((ends - 4 * counts).tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc_ids, mask=nulls), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"]
             )

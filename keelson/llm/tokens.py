@@ -8,6 +8,7 @@ are encoded whole; both ways give the ids of ``Tokenizer.encode(text)``.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterable, Sequence
@@ -17,7 +18,7 @@ from unicodedata import is_normalized
 import numpy as np
 
 #: Pieces a worker holds before it starts afresh; this bounds its memory, not the result.
-MOST_PIECES = 800_000
+MOST_PIECES = 1_200_000
 MOST_HELD_IDS = 16_000_000
 MARKS = frozenset(".,;:!?")
 
@@ -88,6 +89,12 @@ class PieceCodec:
         """Whether the tokenizer's normaliser leaves a run of letters as it is."""
         return self.kind == "blank" or is_normalized("NFC", piece) and piece == piece.lower()
 
+    def _regular(self, text: str) -> bool:
+        """Whether white space is single blanks and line ends inside the text."""
+        if not text.isascii() or "  " in text or "\n" in text:
+            return not _BLANK_OR_LINE.search(text)
+        return text.isprintable() and text[0] != " " != text[-1] and "<|" not in text
+
     def _held(self, number: int) -> list[int]:
         start = self.starts[number]
         return self.ids[start : start + self.lengths[number]].tolist()
@@ -118,7 +125,7 @@ class PieceCodec:
                 return [self.add(text)]
             # The tokenizer lower-cases letter by letter; only a final sigma would differ.
             return map(self.first.__getitem__, (text if "\u03a3" in text else text.lower()).split())
-        if not text or _BLANK_OR_LINE.search(text):
+        if not text or not self._regular(text):
             return [self.add(text)]
         numbers: list[int] = []
         for n, line in enumerate(text.split("\n")):
@@ -131,6 +138,16 @@ class PieceCodec:
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other (a null is an empty text), and how many each has."""
+        # Many short-lived lists and no cycles: the collector would only walk the held pieces.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if self.count > MOST_PIECES or len(self.ids) > MOST_HELD_IDS:
             self.clear()
         numbers: list[int] = []
