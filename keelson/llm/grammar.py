@@ -2,7 +2,7 @@
 
 Documents are range-partitioned by id and encoded; every partition writes shards of about
 ``SHARD_TOKENS`` ids. Inside a shard, frequent pairs of neighbouring symbols are replaced by
-nonterminals, round after round, until no pair is frequent or a round gains little; pairs never reach across the end of
+nonterminals, round after round, until no pair is frequent; pairs never reach across the end of
 a document. A shard is one Parquet row of binary columns:
 
 * ``rules``: left and right symbol of each nonterminal, unsigned 32-bit little-endian;
@@ -12,7 +12,8 @@ a document. A shard is one Parquet row of binary columns:
 
 With the spans, any token range of a document is found and expanded without the rest of the
 shard (``decode_range``). A round replaces many pairs at once: where chosen pairs overlap, the
-more frequent one wins, and of a run the first. Every occurrence of a pair is counted.
+more frequent one wins, and of a run every second one. A pair's count is that of its occurrences
+that do not overlap, and only pairs that the last round made or left over are counted again.
 
 Defined results: a null or empty text is the end id alone; documents of equal id stay separate
 rows, next to each other in the order of their texts; null ids come first; an empty table writes
@@ -39,8 +40,6 @@ SHARD_TOKENS = 1 << 20
 #: A pair is worth a rule from this many occurrences in a shard.
 LEAST_PAIRS = 24
 PAIRS_A_ROUND = 1 << 14
-#: A round that shortens the shard by a smaller part of it is the last.
-LEAST_GAIN = 0.01
 TEXTS_AT_ONCE = 256
 
 SHARD = "part long, shard long, start_in_part long, n_tokens long, n_docs long, doc_ids binary, id_nulls binary, doc_tokens binary, cuts binary, rules binary, spans binary, symbols binary"
@@ -50,8 +49,8 @@ SHARD = "part long, shard long, start_in_part long, n_tokens long, n_docs long,
 SLOT_BITS = 20
 
 
-def frequent_pairs(keys: np.ndarray, slots: np.ndarray, least: int, most: int) -> np.ndarray:
-    """The ``most`` commonest keys that occur ``least`` times or more, commonest first.
+def frequent_pairs(keys: np.ndarray, slots: np.ndarray, least: int) -> np.ndarray:
+    """The keys that occur ``least`` times or more, commonest first.
 
     A key cannot occur more often than its slot does, so only keys of full slots are sorted and counted.
     """
@@ -62,74 +61,110 @@ def frequent_pairs(keys: np.ndarray, slots: np.ndarray, least: int, most: int) -
     edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     counts = np.diff(np.append(edge, len(ordered)))
     often = np.flatnonzero(counts >= least)
-    often = often[np.argsort(-counts[often], kind="stable")[:most]]
+    often = often[np.argsort(-counts[often], kind="stable")]
     return ordered[edge[often]]
 
 
-def compress(ids: np.ndarray, last: np.ndarray, first: int = FIRST_NONTERMINAL, least: int = LEAST_PAIRS, gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def not_overlapping(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the pairs at ascending positions to replace: the lowest rank first, none beside another one."""
+    taken = np.zeros(len(at), bool)
+    left = np.arange(len(at))
+    while len(left):
+        where, order = at[left], rank[left]
+        beside = where[1:] == where[:-1] + 1
+        best = np.ones(len(left), bool)
+        best[1:] &= ~beside | (order[1:] < order[:-1])
+        best[:-1] &= ~beside | (order[:-1] < order[1:])
+        taken[left[best]] = True
+        gone = best.copy()
+        gone[1:] |= beside & best[:-1]
+        gone[:-1] |= beside & best[1:]
+        left = left[~gone]
+    return taken
+
+
+def compress(ids: np.ndarray, last: np.ndarray, first: int = FIRST_NONTERMINAL, least: int = LEAST_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, which of them end a document, and the rules (n x 2). ``last`` marks each document's final id."""
     symbols, last, rules = ids.astype(np.uint64), last.copy(), []
     made = 0
-    table = np.zeros(1 << SLOT_BITS, np.int32)
-    while len(symbols) > 1:
-        keys = symbols[:-1] << np.uint64(32) | symbols[1:]
-        # A pair across the end of a document gets a key that no pair has, each another one.
-        across = np.flatnonzero(last[:-1])
-        keys[across] = np.uint64(1 << 63) + across.astype(np.uint64)
+    table = np.empty(1 << SLOT_BITS, np.int32)
+    # A pair's count never grows, so a pair that is not frequent is never looked at again.
+    open_ = ~last
+    open_[-1:] = False
+    while True:
+        at = np.flatnonzero(open_)
+        keys = symbols[at] << np.uint64(32) | symbols[at + 1]
+        # Of a run of one symbol, every second pair overlaps the one before.
+        again = np.flatnonzero((at[1:] == at[:-1] + 1) & (keys[1:] == keys[:-1])) + 1
+        odd = np.zeros(len(at), bool)
+        if len(again):
+            starts = np.concatenate([[True], again[1:] != again[:-1] + 1])
+            begin = np.maximum.accumulate(np.where(starts, again, 0))
+            odd[again] = (again - begin) % 2 == 0
         slots = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        pairs = frequent_pairs(keys, slots, least, PAIRS_A_ROUND)
+        pairs = frequent_pairs(keys[~odd], slots[~odd], least)
         if not len(pairs):
             break
         # The commonest pair of a slot is written last.
         own = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        table.fill(-1)
         table[own[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
         guess = table[slots]
-        guess[guess >= len(pairs)] = 0
-        rank = np.where(pairs[guess] == keys, guess, np.int32(len(pairs)))
-        # A chosen pair is more frequent than its left neighbour, and no less than its right one.
-        chosen = rank < len(pairs)
-        chosen[1:] &= rank[1:] < rank[:-1]
-        chosen[:-1] &= rank[:-1] <= rank[1:]
-        at = np.flatnonzero(chosen)
-        taken = rank[at]
-        used = np.flatnonzero(np.bincount(taken, minlength=len(pairs)))
+        open_[at[guess < 0]] = False
+        now = np.flatnonzero((guess >= 0) & (guess < PAIRS_A_ROUND) & (pairs[guess] == keys) & ~odd)
+        at, rank = at[now], guess[now]
+        taken = not_overlapping(at, rank)
+        # Commoner pairs may have left too few of a pair; the commonest one keeps all.
+        counts = np.bincount(rank[taken], minlength=len(pairs))
+        taken &= counts[rank] >= least
+        at, rank = at[taken], rank[taken]
+        used = np.flatnonzero(counts >= least)
         number = np.zeros(len(pairs), np.int64)
         number[used] = np.arange(len(used))
         rules.append(np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], 1))
-        symbols[at] = (first + made + number[taken]).astype(np.uint64)
+        symbols[at] = (first + made + number[rank]).astype(np.uint64)
         made += len(used)
         last[at] = last[at + 1]
         kept = np.ones(len(symbols), bool)
         kept[at + 1] = False
-        symbols, last = symbols[kept], last[kept]
-        if len(at) < gain * len(kept):
-            break
+        open_[at] = True
+        open_[np.maximum(at, 1) - 1] = True
+        symbols, last, open_ = symbols[kept], last[kept], open_[kept]
+        open_ &= ~last
+        open_[-1] = False
     rows = np.concatenate(rules) if rules else np.empty((0, 2), np.uint64)
     return symbols.astype(np.uint32), last, rows.astype(np.uint32)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first: int = FIRST_NONTERMINAL) -> np.ndarray:
+def expand(symbols: np.ndarray, rules: np.ndarray, first: int = FIRST_NONTERMINAL, spans: np.ndarray | None = None) -> np.ndarray:
+    """The ids of the symbols; each nonterminal writes to where the spans before it end."""
+    spans = spans_of(rules, first) if spans is None else spans
+    rules = rules.astype(np.int64)
+    length = lambda s: np.where(s < first, 1, spans[np.maximum(s - first, 0)]) if len(spans) else np.ones(len(s), np.int64)
     symbols = symbols.astype(np.int64)
-    while True:
-        nested = symbols >= first
-        if not nested.any():
-            return symbols.astype(np.uint32)
-        to = np.arange(len(symbols)) + np.cumsum(nested) - nested
-        out = np.empty(len(symbols) + int(nested.sum()), np.int64)
-        rule = symbols[nested] - first
-        out[to] = symbols
-        out[to[nested]], out[to[nested] + 1] = rules[rule, 0], rules[rule, 1]
-        symbols = out
+    lengths = length(symbols)
+    ends = np.cumsum(lengths)
+    at, out = ends - lengths, np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+    while len(symbols):
+        plain = symbols < first
+        out[at[plain]] = symbols[plain]
+        at, rule = at[~plain], symbols[~plain] - first
+        left, right = rules[rule, 0], rules[rule, 1]
+        symbols, at = np.concatenate([left, right]), np.concatenate([at, at + length(left)])
+    return out
 
 
 def spans_of(rules: np.ndarray, first: int = FIRST_NONTERMINAL) -> np.ndarray:
     """Expansion lengths; a rule names earlier rules only, so one pass per nesting level is enough."""
     spans = np.zeros(len(rules), np.int64)
     inner = rules.astype(np.int64) - first
-    while (missing := spans == 0).any():
-        known = np.where(inner < 0, 1, spans[np.maximum(inner, 0)])
-        ready = missing & (known > 0).all(1)
-        spans[ready] = known[ready].sum(1)
+    missing = np.arange(len(rules))
+    while len(missing):
+        some = inner[missing]
+        known = np.where(some < 0, 1, spans[np.maximum(some, 0)])
+        ready = (known > 0).all(1)
+        spans[missing[ready]] = known[ready].sum(1)
+        missing = missing[~ready]
     return spans
 
 
@@ -145,7 +180,7 @@ class Shard:
         self.doc_tokens = np.frombuffer(row["doc_tokens"], "<u4").astype(np.int64)
 
     def document(self, n: int) -> np.ndarray:
-        return expand(self.symbols[self.cuts[n] : self.cuts[n + 1]], self.rules, self.first)
+        return expand(self.symbols[self.cuts[n] : self.cuts[n + 1]], self.rules, self.first, self.spans)
 
     def decode_range(self, n: int, start: int, length: int) -> np.ndarray:
         """Ids [start, start + length) of the n-th document, expanding only the symbols that hold them."""
@@ -155,7 +190,7 @@ class Shard:
         ends = np.cumsum(lengths)
         lo, hi = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + length, "left") + 1
         skipped = ends[lo] - lengths[lo] if lo < len(ends) else 0
-        return expand(symbols[lo:hi], self.rules, self.first)[start - skipped : start - skipped + length]
+        return expand(symbols[lo:hi], self.rules, self.first, self.spans)[start - skipped : start - skipped + length]
 
 
 def _shard_row(part: int, shard: int, start: int, doc_ids: list, counts: list[int], ids: np.ndarray) -> dict:
@@ -227,7 +262,7 @@ def _read_shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc_ids = np.frombuffer(row["doc_ids"], "<i8")
             nulls = np.frombuffer(row["id_nulls"], bool)
             starts = row["part_start"] + row["start_in_part"] + np.cumsum(counts) - counts
-            data, ends = expand(shard.symbols, shard.rules).astype("<u4").tobytes(), 4 * np.cumsum(counts)
+            data, ends = expand(shard.symbols, shard.rules, spans=shard.spans).astype("<u4").tobytes(), 4 * np.cumsum(counts)
             ids = [data[lo:hi] for lo, hi in zip((ends - 4 * counts).tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc_ids, mask=nulls), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"]
