@@ -37,8 +37,8 @@ from .tokens import codec, tokenizer_path
 END_ID = 0
 FIRST_NONTERMINAL = 1 << 17
 SHARD_TOKENS = 1 << 20
-#: A pair is worth a rule from this many occurrences in a shard.
-LEAST_PAIRS = 24
+#: A pair gets a rule from this many occurrences in a shard.
+LEAST_PAIRS = 2
 PAIRS_A_ROUND = 1 << 14
 TEXTS_AT_ONCE = 256
 

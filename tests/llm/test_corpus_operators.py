@@ -70,6 +70,19 @@ def test_grammar_goes_on_until_no_pair_is_frequent():
     assert len(rules) <= 12 and (grammar.expand(symbols, rules) == 7).all()
 
 
+def test_grammar_replaces_a_pair_that_occurs_twice():
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        ids = rng.integers(1, [3, 50, 50000][seed % 3], 6000).astype(np.uint32)
+        ids[3000:3400] = ids[1000:1400]
+        last = np.zeros(len(ids), bool)
+        last[999::1000] = True
+        symbols, ends, rules = grammar.compress(ids, last)
+        assert (grammar.expand(symbols, rules) == ids).all() and ends.sum() == last.sum()
+        assert not frequent_left(symbols, ends, 2)
+    assert len(symbols) <= 6000 - 2 * 399
+
+
 def test_random_access():
     counts = [5, 900, 1, 300]
     ids = np.tile(np.arange(11, dtype=np.uint32), 200)[: sum(counts)]
