@@ -2,7 +2,8 @@
 
 A table turns a vector by three rounds of random signs and a fast Hadamard transform, and
 its bucket is the nearest signed axis. A query probes the ``probes`` nearest signed axes of
-every table; what lies in the probed buckets is ranked by the exact cosine.
+every table; what lies in the probed buckets is ranked by the exact cosine. A query that finds
+too few there is run again with every signed axis of one table, which reaches each entry once.
 
 Equal vectors are one entry with its smallest ids, as only these can be among the nearest.
 The index entries of a bucket are dealt over blocks of bounded size and so are the queries
@@ -114,6 +115,33 @@ def _rank_block(keep: int):
     return rank
 
 
+def _best_lists(index: DataFrame, probing: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """qkey, near: the k + 1 best rows, in order, among those that share a bucket with the query."""
+    blocks = lambda df, name: df.groupBy("table", "bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    # At most tables x 2 x width rows, whatever the data.
+    layout = F.broadcast(blocks(index, "n_index").join(blocks(probing, "n_query"), ["table", "bucket"]))
+    own = lambda n: F.pmod(F.xxhash64("vkey"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = ["table", "bucket", "index_block", "query_block"]
+    left = index.join(layout, ["table", "bucket"]).withColumn("index_block", own("n_index")).withColumn("query_block", every("n_query"))
+    right = probing.join(layout, ["table", "bucket"]).withColumn("query_block", own("n_query")).withColumn("index_block", every("n_index"))
+    ranked = (
+        left.select(*place, "first_id", "ids", "vector")
+        .groupBy(*place)
+        .cogroup(right.select(*place, "vkey", "vector").groupBy(*place))
+        .applyInPandas(_rank_block(k + 1), "qkey string, first_id long, score double, ids array<long>")
+    )
+    found = ranked.groupBy("qkey", "first_id").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
+    best = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
+    return (
+        found.withColumn("vec_id", F.explode("ids"))
+        .withColumn("n", F.row_number().over(best))
+        .where(F.col("n") <= k + 1)
+        .groupBy("qkey")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))
+    )
+
+
 def nearest(
     rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query: Column | None = None, k: int = 5, dimension: int | None = None, probes: int = PROBES, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -140,29 +168,15 @@ def nearest(
         return spread.withColumn("bucket", F.explode("found")).drop("found")
 
     index, probing = cut_lineage(bucketed(entries, 1)), cut_lineage(bucketed(asked, probes))
-    blocks = lambda df, name: df.groupBy("table", "bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
-    # At most tables x 2 x width rows, whatever the data.
-    layout = F.broadcast(blocks(index, "n_index").join(blocks(probing, "n_query"), ["table", "bucket"]))
-    own = lambda n: F.pmod(F.xxhash64("vkey"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    place = ["table", "bucket", "index_block", "query_block"]
-    left = index.join(layout, ["table", "bucket"]).withColumn("index_block", own("n_index")).withColumn("query_block", every("n_query"))
-    right = probing.join(layout, ["table", "bucket"]).withColumn("query_block", own("n_query")).withColumn("index_block", every("n_index"))
-    ranked = (
-        left.select(*place, "first_id", "ids", "vector")
-        .groupBy(*place)
-        .cogroup(right.select(*place, "vkey", "vector").groupBy(*place))
-        .applyInPandas(_rank_block(k + 1), "qkey string, first_id long, score double, ids array<long>")
-    )
-    found = ranked.groupBy("qkey", "first_id").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-    best = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
-    lists = (
-        found.withColumn("vec_id", F.explode("ids"))
-        .withColumn("n", F.row_number().over(best))
-        .where(F.col("n") <= k + 1)
-        .groupBy("qkey")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))
-    )
+    lists = cut_lineage(_best_lists(index, probing, k, block_rows))
+    # A list holds the query's own row too; where there are fewer rows, it holds them all.
+    enough = min(k + 1, keyed.limit(k + 1).count())
+    full = lists.where(F.size("near") >= enough)
+    short = cut_lineage(asked.join(full, asked["vkey"] == full["qkey"], "left_anti"))
+    if not short.isEmpty():
+        axes = 2 << max(1, (dimension - 1).bit_length())
+        everywhere = short.select("vkey", "vector", F.lit(0).alias("table"), F.explode(F.sequence(F.lit(0), F.lit(axes - 1))).alias("bucket"))
+        lists = full.unionByName(_best_lists(index.where("table = 0"), everywhere, k, block_rows))
     members = keyed.where("asked").select(F.col("vec_id").alias("query_id"), F.col("vkey").alias("qkey"))
     answers = members.join(lists, "qkey").withColumn("near", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
     return answers.select("query_id", F.posexplode("near").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

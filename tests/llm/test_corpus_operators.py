@@ -299,6 +299,25 @@ def test_neighbours(spark):
     assert neighbours.nearest(frame.where("vec_id < 3"), query=F.col("vec_id") == 0).count() == 2
 
 
+@pytest.mark.parametrize("count", [4, 8, 203])
+def test_every_query_gets_k_neighbours(spark, count):
+    rng = np.random.default_rng(count)
+    vectors = rng.normal(size=(count, 64))
+    if count > 10:
+        # A few queries beside one tight cluster.
+        vectors[3:] = vectors[3] + rng.normal(size=(count - 3, 64)) * 0.01
+    frame = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(frame, query=F.col("vec_id") < 8).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    assert sorted(got) == list(range(min(count, 8)))
+    assert all([r for r, _ in sorted(found)] == list(range(1, min(5, count - 1) + 1)) for found in got.values())
+    if count <= 5:
+        for q, found in got.items():
+            order = [int(n) for n in np.lexsort((np.arange(count), -neighbours.cosines(vectors[q], vectors))) if n != q]
+            assert [v for _, v in sorted(found)] == order
+
+
 def test_pipeline(spark):
     word = lambda: "".join(RNG.choice("abcdefghij") for _ in range(6))
     good = [" ".join(word() for _ in range(RNG.randint(60, 200))) for _ in range(40)]
