@@ -13,7 +13,7 @@ import os
 import re
 from collections.abc import Iterable, Sequence
 from itertools import chain
-from unicodedata import is_normalized
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 
@@ -123,8 +123,11 @@ class PieceCodec:
         if self.kind == "word":
             if _ANY_SPACE.search(text):
                 return [self.add(text)]
-            # The tokenizer lower-cases letter by letter; only a final sigma would differ.
-            return map(self.first.__getitem__, (text if "\u03a3" in text else text.lower()).split())
+            if text.isascii():
+                return map(self.first.__getitem__, text.lower().split())
+            # The tokenizer composes, then lower-cases letter by letter: a capital sigma must not look at its neighbours.
+            lower = normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+            return map(self.first.__getitem__, lower.split()) if is_normalized("NFC", lower) else [self.add(text)]
         if not text or not self._regular(text):
             return [self.add(text)]
         numbers: list[int] = []
