@@ -23,16 +23,30 @@ MOST_HELD_IDS = 16_000_000
 MARKS = frozenset(".,;:!?")
 
 
-def _byte_letters() -> dict[int, int]:
+def _byte_letters() -> np.ndarray:
     """How byte-level vocabularies spell a byte: printable ones as themselves, the others, in order, from 256 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    hidden = (b for b in range(256) if b not in shown)
-    return {b: 256 + n for n, b in enumerate(hidden)}
+    letters = np.arange(256, dtype="<u2")
+    hidden = [b for b in range(256) if b not in shown]
+    letters[hidden] = 256 + np.arange(len(hidden))
+    return letters
 
 
 BYTE_LETTERS = _byte_letters()
+LINE_END = chr(BYTE_LETTERS[10])
 
-_BLANK_OR_LINE = re.compile(r"[^\S \n]|  |\n\n| \n|\n |^[ \n]|[ \n]$|<\|")
+
+def spelled(pieces: Sequence[str]) -> list[str]:
+    """The pieces, none of which holds a line end, as byte-level vocabularies spell them."""
+    if not pieces:
+        return []
+    joined = np.frombuffer("\n".join(pieces).encode(), np.uint8)
+    return BYTE_LETTERS[joined].tobytes().decode("utf-16-le").split(LINE_END)
+
+
+#: White space other than blanks and line ends (a fixed value of Unicode).
+_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_UNEVEN = ("  ", "\n\n", " \n", "\n ", "<|")
 _ANY_SPACE = re.compile(r"[\x1c-\x1f]|<\|")
 
 
@@ -53,10 +67,13 @@ class _Index(dict):
         self.codec, self.lead = codec, lead
 
     def __missing__(self, piece: str) -> int:
-        if piece[-1:] in MARKS and piece[:-1].isalpha():
-            number = self.codec.add((self[piece[:-1]], self.codec.first[piece[-1]]))
+        codec = self.codec
+        if piece.isalpha() and (piece.isascii() or codec.plain(piece)):
+            number = codec.add(codec.runs, self.lead + piece)
+        elif piece[-1:] in MARKS and piece[:-1].isalpha():
+            number = codec.add(codec.marked, (self[piece[:-1]], codec.first[piece[-1]]))
         else:
-            number = self.codec.add(self.lead + piece)
+            number = codec.add(codec.others, self.lead + piece)
         self[piece] = number
         return number
 
@@ -74,62 +91,66 @@ class PieceCodec:
 
     def clear(self) -> None:
         self.first, self.after = _Index(self, ""), _Index(self, " ")
-        self.waiting: list[str | tuple[int, int]] = []
+        # What waits to be encoded, with its number: runs of letters, words with a mark (as the numbers of both), and all else.
+        self.runs, self.marked, self.others = [], [], []
         self.count = 0
         self.ids = np.empty(0, np.uint32)
         self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def add(self, piece: str | tuple[int, int]) -> int:
-        """``piece``: a text, or the numbers of two pieces that make it up."""
-        self.waiting.append(piece)
-        self.count += 1
-        return self.count - 1
+    def add(self, waiting: list, piece: str | tuple[int, int]) -> int:
+        number = self.count
+        waiting.append((number, piece))
+        self.count = number + 1
+        return number
 
-    def _plain(self, piece: str) -> bool:
+    def plain(self, piece: str) -> bool:
         """Whether the tokenizer's normaliser leaves a run of letters as it is."""
         return self.kind == "blank" or is_normalized("NFC", piece) and piece == piece.lower()
 
     def _regular(self, text: str) -> bool:
         """Whether white space is single blanks and line ends inside the text."""
-        if not text.isascii() or "  " in text or "\n" in text:
-            return not _BLANK_OR_LINE.search(text)
-        return text.isprintable() and text[0] != " " != text[-1] and "<|" not in text
-
-    def _held(self, number: int) -> list[int]:
-        start = self.starts[number]
-        return self.ids[start : start + self.lengths[number]].tolist()
+        return text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in _UNEVEN) and not _OTHER_SPACE.search(text)
 
     def _encode_waiting(self) -> None:
-        if not self.waiting:
+        if self.count == len(self.starts):
             return
-        known = len(self.starts)
-        found: list[list[int]] = []
-        for piece in self.waiting:
-            if not isinstance(piece, str):
-                found.append([i for n in piece for i in (found[n - known] if n >= known else self._held(n))])
-            elif piece.removeprefix(" ").isalpha() and (piece.isascii() or self._plain(piece)):
-                # One run of letters is one word of the model, its bytes spelled as the vocabulary has them.
-                found.append([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_LETTERS))])
-            else:
-                found.append(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        grown = self.count - len(self.starts)
+        self.starts, self.lengths = np.concatenate([self.starts, np.zeros(grown, np.int64)]), np.concatenate([self.lengths, np.zeros(grown, np.int64)])
+        # A run of letters is one word of the model, its bytes spelled as the vocabulary has them.
+        tokenize, encode = self.model.tokenize, self.tokenizer.encode
+        found = [[t.id for t in tokenize(word)] for word in spelled([p for _, p in self.runs])]
+        found += [encode(p, add_special_tokens=False).ids for _, p in self.others]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         new = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
-        starts = len(self.ids) + np.cumsum(lengths) - lengths
-        self.ids = np.concatenate([self.ids, new])
-        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-        self.waiting = []
+        self._hold([n for n, _ in self.runs] + [n for n, _ in self.others], lengths, new)
+        parts = np.array([p for _, p in self.marked], np.int64).reshape(-1, 2)
+        self._hold([n for n, _ in self.marked], self.lengths[parts].sum(1), self._gather(parts.reshape(-1)))
+        self.runs, self.marked, self.others = [], [], []
+
+    def _hold(self, numbers: list[int], lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.starts[numbers] = len(self.ids) + np.cumsum(lengths) - lengths
+        self.lengths[numbers] = lengths
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of the pieces, one after the other."""
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        places = np.repeat(self.starts[numbers] - ends + lengths, lengths)
+        places += np.arange(len(places))
+        return self.ids[places]
 
     def _pieces(self, text: str) -> Iterable[int]:
         if self.kind == "word":
             if _ANY_SPACE.search(text):
-                return [self.add(text)]
+                return [self.add(self.others, text)]
             if text.isascii():
                 return map(self.first.__getitem__, text.lower().split())
             # The tokenizer composes, then lower-cases letter by letter: a capital sigma must not look at its neighbours.
             lower = normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
-            return map(self.first.__getitem__, lower.split()) if is_normalized("NFC", lower) else [self.add(text)]
+            return map(self.first.__getitem__, lower.split()) if is_normalized("NFC", lower) else [self.add(self.others, text)]
         if not text or not self._regular(text):
-            return [self.add(text)]
+            return [self.add(self.others, text)]
         numbers: list[int] = []
         for n, line in enumerate(text.split("\n")):
             if n:
@@ -161,11 +182,8 @@ class PieceCodec:
             ends[n + 1] = len(numbers)
         self._encode_waiting()
         index = np.fromiter(numbers, np.int32, len(numbers))
-        lengths = self.lengths[index]
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        places = np.repeat(self.starts[index] - total[:-1], lengths)
-        places += np.arange(total[-1])
-        return self.ids[places], np.diff(total[ends])
+        total = np.concatenate([[0], np.cumsum(self.lengths[index])])
+        return self._gather(index), np.diff(total[ends])
 
 
 _codecs: dict[tuple[str, str], PieceCodec] = {}
