@@ -45,17 +45,13 @@ TEXTS_AT_ONCE = 256
 SHARD = "part long, shard long, start_in_part long, n_tokens long, n_docs long, doc_ids binary, id_nulls binary, doc_tokens binary, cuts binary, rules binary, spans binary, symbols binary"
 
 
-#: Slots of the table that finds candidate pairs; two pairs in one slot wait for another round.
+#: Most bits of the table that finds candidate pairs; two pairs in one slot wait for another round.
 SLOT_BITS = 20
 
 
-def frequent_pairs(keys: np.ndarray, slots: np.ndarray, least: int) -> np.ndarray:
-    """The keys that occur ``least`` times or more, commonest first.
-
-    A key cannot occur more often than its slot does, so only keys of full slots are sorted and counted.
-    """
-    full = np.bincount(slots, minlength=1 << SLOT_BITS) >= least
-    ordered = np.sort(keys[full[slots]])
+def frequent_pairs(keys: np.ndarray, least: int) -> np.ndarray:
+    """The keys that occur ``least`` times or more, commonest first."""
+    ordered = np.sort(keys)
     if not len(ordered):
         return ordered
     edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -65,6 +61,21 @@ def frequent_pairs(keys: np.ndarray, slots: np.ndarray, least: int) -> np.ndarra
     return ordered[edge[often]]
 
 
+def slot_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def overlapping(at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places in ``at`` of the pairs that overlap one before them: in a run of one symbol, every second pair."""
+    again = np.flatnonzero(keys[1:] == keys[:-1]) + 1
+    again = again[at[again] == at[again - 1] + 1]
+    if not len(again):
+        return again
+    starts = np.concatenate([[True], again[1:] != again[:-1] + 1])
+    begin = np.maximum.accumulate(np.where(starts, again, 0))
+    return again[(again - begin) % 2 == 0]
+
+
 def not_overlapping(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Which of the pairs at ascending positions to replace: the lowest rank first, none beside another one."""
     taken = np.zeros(len(at), bool)
@@ -85,33 +96,29 @@ def not_overlapping(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 def compress(ids: np.ndarray, last: np.ndarray, first: int = FIRST_NONTERMINAL, least: int = LEAST_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, which of them end a document, and the rules (n x 2). ``last`` marks each document's final id."""
-    symbols, last, rules = ids.astype(np.uint64), last.copy(), []
+    symbols, last, rules = ids.astype(np.uint32), last.copy(), []
     made = 0
-    table = np.empty(1 << SLOT_BITS, np.int32)
     # A pair's count never grows, so a pair that is not frequent is never looked at again.
     open_ = ~last
     open_[-1:] = False
     while True:
         at = np.flatnonzero(open_)
-        keys = symbols[at] << np.uint64(32) | symbols[at + 1]
-        # Of a run of one symbol, every second pair overlaps the one before.
-        again = np.flatnonzero((at[1:] == at[:-1] + 1) & (keys[1:] == keys[:-1])) + 1
-        odd = np.zeros(len(at), bool)
-        if len(again):
-            starts = np.concatenate([[True], again[1:] != again[:-1] + 1])
-            begin = np.maximum.accumulate(np.where(starts, again, 0))
-            odd[again] = (again - begin) % 2 == 0
-        slots = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        pairs = frequent_pairs(keys[~odd], slots[~odd], least)
+        keys = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
+        second = overlapping(at, keys)
+        pairs = frequent_pairs(np.delete(keys, second) if len(second) else keys, least)
         if not len(pairs):
             break
+        bits = max(8, min(SLOT_BITS, 2 + len(at).bit_length()))
         # The commonest pair of a slot is written last.
-        own = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        table.fill(-1)
-        table[own[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
-        guess = table[slots]
-        open_[at[guess < 0]] = False
-        now = np.flatnonzero((guess >= 0) & (guess < PAIRS_A_ROUND) & (pairs[guess] == keys) & ~odd)
+        table = np.full(1 << bits, -1, np.int32)
+        table[slot_of(pairs, bits)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
+        guess = table[slot_of(keys, bits)]
+        known = guess >= 0
+        open_[at[~known]] = False
+        known &= guess < PAIRS_A_ROUND
+        known[second] = False
+        now = np.flatnonzero(known)
+        now = now[pairs[guess[now]] == keys[now]]
         at, rank = at[now], guess[now]
         taken = not_overlapping(at, rank)
         # Commoner pairs may have left too few of a pair; the commonest one keeps all.
@@ -119,10 +126,10 @@ def compress(ids: np.ndarray, last: np.ndarray, first: int = FIRST_NONTERMINAL,
         taken &= counts[rank] >= least
         at, rank = at[taken], rank[taken]
         used = np.flatnonzero(counts >= least)
-        number = np.zeros(len(pairs), np.int64)
-        number[used] = np.arange(len(used))
+        number = np.zeros(len(pairs), np.uint32)
+        number[used] = first + made + np.arange(len(used))
         rules.append(np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], 1))
-        symbols[at] = (first + made + number[rank]).astype(np.uint64)
+        symbols[at] = number[rank]
         made += len(used)
         last[at] = last[at + 1]
         kept = np.ones(len(symbols), bool)
@@ -133,7 +140,7 @@ def compress(ids: np.ndarray, last: np.ndarray, first: int = FIRST_NONTERMINAL,
         open_ &= ~last
         open_[-1] = False
     rows = np.concatenate(rules) if rules else np.empty((0, 2), np.uint64)
-    return symbols.astype(np.uint32), last, rows.astype(np.uint32)
+    return symbols, last, rows.astype(np.uint32)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int = FIRST_NONTERMINAL, spans: np.ndarray | None = None) -> np.ndarray:

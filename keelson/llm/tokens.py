@@ -69,7 +69,9 @@ class _Index(dict):
     def __missing__(self, piece: str) -> int:
         codec = self.codec
         if piece.isalpha() and (piece.isascii() or codec.plain(piece)):
-            number = codec.add(codec.runs, self.lead + piece)
+            number = codec.count
+            codec.count = number + 1
+            codec.runs.append((number, self.lead + piece))
         elif piece[-1:] in MARKS and piece[:-1].isalpha():
             number = codec.add(codec.marked, (self[piece[:-1]], codec.first[piece[-1]]))
         else:
@@ -87,6 +89,8 @@ class PieceCodec:
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.model = self.tokenizer.model
+        # Each piece is encoded once, so the model's own cache of words would only cost time.
+        self.model._resize_cache(0)
         self.clear()
 
     def clear(self) -> None:
