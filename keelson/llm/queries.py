@@ -16,7 +16,7 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = personal_data.annotate(read_table(spark, sf_dir, "documents"))
+    found = personal_data.annotate(read_table(spark, sf_dir, "documents"), columns=["doc_id"])
     count = lambda kind: F.size(F.filter("__pii_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id",
