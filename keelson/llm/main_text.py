@@ -1,10 +1,12 @@
 """Main text of web pages by minimum-cut labelling of blocks.
 
-A page becomes a row of text blocks. A naive Bayes classifier, trained on the table's own pages,
-and the meaning of the enclosing elements give each block a cost for either label; these are the
-capacities to the two terminals. Neighbouring blocks, and blocks that follow each other in one
-parent element, are tied by smoothness edges. The minimum cut is the cheapest labelling; blocks
-on the content side, in page order, are the main text.
+A page becomes a row of text blocks. A naive Bayes classifier over the look of a block (length,
+links, marks, words, tag), trained on the table's own pages, gives log-odds; what the nearest
+telling element says is one more bounded log-odds. Their sum is each block's capacity to one of
+the two terminals. Neighbours, and a block and the one before it in the same element (or its
+parent or grandparent), are tied by smoothness edges, which can turn a block of weak evidence.
+The minimum cut is the cheapest labelling; blocks on the content side, in page order, are the
+main text.
 
 Blocks whose own cost outweighs all their edges keep their label in every minimum cut, so they
 are settled first and their edges become capacities of their neighbours; maximum flow then runs
@@ -31,10 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_PAGES = 2_000
-NEXT_WEIGHT = 0.5
-SIBLING_WEIGHT = 1.0
-MEANING = 6.0
-MOST_ODDS = 4.0
+#: What a neighbour weighs, and a block before it in the same element, in its parent's, in its grandparent's.
+NEXT_WEIGHT = 0.75
+NEAR_WEIGHTS = (1.5, 1.125, 0.75)
+#: Log-odds of content by what the nearest telling element says. Names of furniture are quite sure; wrappers of content hold much else.
+SAYS = {-1: -4.0, 0: 0.0, 1: 2.0}
+MOST_ODDS = 3.0
+LEAST_ROOM = 1e-12
 PAGES_AT_ONCE = 200
 
 # Fixed values of the HTML standard and of common page furniture.
@@ -65,17 +70,19 @@ _SPACE = re.compile(r"\s+")
 class Element:
     tag: str
     number: int
-    meaning: int = 0  # of this element: -1 furniture, 1 content, 0 none
-    verdict: int = 0  # of all elements down to this one
+    verdict: int = 0  # of all elements down to this one: -1 furniture, 1 content, 0 none
     by_tag: bool = False
     link: bool = False
     unseen: bool = False
+    inside: bool = False  # an article
+    holder: tuple[str, int] = ("", 0)  # tag and number of the nearest block element
+    path: tuple[int, int, int] = (0, 0, 0)  # numbers of the three nearest block elements, this one first
 
 
 @dataclass
 class Block:
     tag: str
-    parent: int
+    path: tuple[int, int, int]
     verdict: int
     parts: list = field(default_factory=list)
     linked: int = 0
@@ -110,6 +117,7 @@ def meaning_of(tag: str, attributes: str, inside_article: bool) -> tuple[int, bo
 def blocks_of(html: str | None) -> list[Block]:
     """The page's text blocks in order, with decoded and collapsed text."""
     html, stack, blocks = html or "", [Element("", 0)], []
+    open_: Counter = Counter()
     current: Block | None = None
     made, at = 0, 0
 
@@ -129,14 +137,15 @@ def blocks_of(html: str | None) -> list[Block]:
         if current is None:
             if raw.isspace():
                 return
-            holder = next((e for e in reversed(stack) if e.tag in BLOCKS), stack[0])
-            current = Block(holder.tag, holder.number, top.verdict)
+            current = Block(top.holder[0], top.path, top.verdict)
         current.parts.append(raw)
         if top.link:
             current.linked += len(raw)
 
     def pop() -> None:
-        if stack.pop().tag in BLOCKS:
+        tag = stack.pop().tag
+        open_[tag] -= 1
+        if tag in BLOCKS:
             close()
 
     while at < len(html):
@@ -149,7 +158,7 @@ def blocks_of(html: str | None) -> list[Block]:
         if not tag:
             continue
         if m[1]:
-            if any(e.tag == tag for e in stack[1:]):
+            if open_[tag]:
                 while stack[-1].tag != tag:
                     pop()
                 pop()
@@ -164,7 +173,7 @@ def blocks_of(html: str | None) -> list[Block]:
                 close()
             continue
         while len(stack) > 1:
-            opened = next((e.tag for e in reversed(stack) if e.tag in BLOCKS), "")
+            opened = stack[-1].holder[0]
             if opened not in CLOSED_BY or tag not in CLOSED_BY[opened]:
                 break
             while stack[-1].tag != opened:
@@ -174,9 +183,10 @@ def blocks_of(html: str | None) -> list[Block]:
             close()
         made += 1
         up = stack[-1]
-        inside = any(e.tag in GOOD_TAGS for e in stack)
-        said, by_tag = meaning_of(tag, m[3], inside)
-        element = Element(tag, made, said, up.verdict, up.by_tag, up.link or tag == "a", up.unseen or tag in UNSEEN)
+        said, by_tag = meaning_of(tag, m[3], up.inside)
+        element = Element(tag, made, up.verdict, up.by_tag, up.link or tag == "a", up.unseen or tag in UNSEEN, up.inside or tag in GOOD_TAGS, up.holder, up.path)
+        if tag in BLOCKS:
+            element.holder, element.path = (tag, made), (made, *up.path[:2])
         if said < 0:
             element.verdict, element.by_tag = -1, by_tag or (up.verdict < 0 and up.by_tag)
         elif said > 0 and (up.verdict >= 0 or by_tag and not up.by_tag):
@@ -185,6 +195,7 @@ def blocks_of(html: str | None) -> list[Block]:
         if m[3].endswith("/") and tag in ("svg", "math"):
             continue
         stack.append(element)
+        open_[tag] += 1
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
             at = end.start() if end else len(html)
@@ -256,7 +267,7 @@ def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list
 
 
 def _max_flow(free: list[int], costs: list[float], around: list[dict[int, float]]) -> list[bool]:
-    """Shortest augmenting paths from content (source) to furniture (sink); the source side is content."""
+    """Flow from content (source) to furniture (sink) in phases of blocking flows; what the source still reaches is content."""
     source, sink = -1, -2
     room: dict[int, dict[int, float]] = {n: dict(around[n]) for n in free}
     room[source], room[sink] = {}, {}
@@ -264,33 +275,56 @@ def _max_flow(free: list[int], costs: list[float], around: list[dict[int, float]
         room[source][n], room[n][source] = max(0.0, costs[n]), 0.0
         room[n][sink], room[sink][n] = max(0.0, -costs[n]), 0.0
     while True:
-        came, queue = {source: source}, deque([source])
-        while queue and sink not in came:
+        depth, queue = {source: 0}, deque([source])
+        while queue:
             n = queue.popleft()
             for other, w in room[n].items():
-                if w > 1e-12 and other not in came:
-                    came[other] = n
+                if w > LEAST_ROOM and other not in depth:
+                    depth[other] = depth[n] + 1
                     queue.append(other)
-        if sink not in came:
-            return [n in came for n in free]
-        path, n = [], sink
-        while n != source:
-            path.append((came[n], n))
-            n = came[n]
-        flow = min(room[a][b] for a, b in path)
-        for a, b in path:
-            room[a][b] -= flow
-            room[b][a] += flow
+        if sink not in depth:
+            return [n in depth for n in free]
+        # Along a path, each node tries the ways on that it has not found closed in this phase.
+        ways = {n: iter(room[n]) for n in depth}
+        path = [source]
+        while path:
+            n = path[-1]
+            if n == sink:
+                steps = list(zip(path, path[1:]))
+                flow = min(room[a][b] for a, b in steps)
+                for a, b in steps:
+                    room[a][b] -= flow
+                    room[b][a] += flow
+                full = next(k for k, (a, b) in enumerate(steps) if room[a][b] <= LEAST_ROOM)
+                del path[full + 1 :]
+                ways[path[-1]] = iter(room[path[-1]])
+                continue
+            on = next((m for m in ways[n] if room[n][m] > LEAST_ROOM and depth.get(m) == depth[n] + 1), None)
+            if on is None:
+                path.pop()
+                depth[n] = -1
+            else:
+                path.append(on)
+
+
+def terminals(blocks: list[Block], judge: Classifier) -> list[float]:
+    """Each block's own cost: the classifier's log-odds and what its elements say, both bounded."""
+    return [judge(b) + SAYS[b.verdict] for b in blocks]
+
+
+def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges between neighbours and to the block before in the same element, its parent or its grandparent, the nearest of these alone."""
+    edges, last = [(n, n + 1, NEXT_WEIGHT) for n in range(len(blocks) - 1)], {}
+    for n, b in enumerate(blocks):
+        tied = next(((last[e], w) for e, w in zip(b.path, NEAR_WEIGHTS) if e in last), None)
+        if tied:
+            edges.append((tied[0], n, tied[1]))
+        last.update((e, n) for e in b.path if e)
+    return edges
 
 
 def label_blocks(blocks: list[Block], judge: Classifier) -> list[bool]:
-    costs = [judge(b) + MEANING * b.verdict for b in blocks]
-    edges, last = [(n, n + 1, NEXT_WEIGHT) for n in range(len(blocks) - 1)], {}
-    for n, b in enumerate(blocks):
-        if b.parent in last:
-            edges.append((last[b.parent], n, SIBLING_WEIGHT))
-        last[b.parent] = n
-    return minimum_cut(costs, edges)
+    return minimum_cut(terminals(blocks, judge), smoothness(blocks))
 
 
 def main_text(html: str | None, judge: Classifier) -> str:
