@@ -15,7 +15,6 @@ be learned, every row is. Neither the id, the source nor the label enters a pred
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,12 +30,11 @@ SLOT_BITS = (8, 12, 13)
 WIDTH = sum(1 << b for b in SLOT_BITS)
 SAMPLE_PER_LANGUAGE = 300
 LANDMARKS_PER_LANGUAGE = 48
-MOST_LANGUAGES = 200
 RIDGE = 0.1
 TEXTS_AT_ONCE = 128
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"
 _MIX = np.uint32(0x9E3779B1)
 
 
@@ -118,10 +116,10 @@ def fit(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str =
     """The model learned from rows where ``learns`` holds and the label is not null.
 
     Rows are chosen by thresholds on a hash, one per label, so nothing is shuffled; twice the
-    expected number is the bound. Of more than ``MOST_LANGUAGES`` labels, the commonest count.
+    expected number a label is the bound; every label takes part.
     """
-    able = docs.where(learns & F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counted = docs.where(learns & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(MOST_LANGUAGES).collect()
+    able = docs.where(learns & F.col(label_col).isNotNull() & F.col(text_col).rlike(LETTER))
+    counted = docs.where(learns & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(label_col).count().collect()
     if not counted:
         return None
     slots = 1 << 30
@@ -141,7 +139,7 @@ def _predict(model: Model):
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
                 texts = part.column(2).to_pylist()
-                able = [n for n, t in enumerate(texts) if t and _LETTER.search(t)]
+                able = [n for n, letters in enumerate(part.column(3).to_pylist()) if letters]
                 names, sure = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 if able:
                     scores = model.scores([texts[n] for n in able])
@@ -159,7 +157,7 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     """doc_id, held_out, lang_pred, score; one row per input row. Rows held out are never learned from."""
     held = F.coalesce(held_out, F.lit(False))
     model = fit(docs, ~held, id_col, text_col, label_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"), F.col(text_col).cast("string").rlike(LETTER).alias("letters"))
     if model is None:
         return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
