@@ -11,8 +11,7 @@ reach the ledger, so their names cannot clash.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,11 +27,11 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 @dataclass(frozen=True)
 class Rule:
-    """``fails`` is a predicate over the measurements; ``bit`` never changes once published."""
+    """``fails`` is a predicate over the measurements, given by name; ``bit`` never changes once published."""
 
     name: str
     bit: int
-    fails: str
+    fails: Callable[[Callable[[str], Column]], Column]
 
     @property
     def mask(self) -> int:
@@ -50,13 +49,13 @@ class Policy:
 
 
 RULES = (
-    Rule("few_words", 0, "n_words < 50"),
-    Rule("repeated_trigrams", 1, "100 * n_repeat_words > 50 * n_words"),
-    Rule("symbol_heavy", 2, "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", 3, "n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines"),
-    Rule("short_words", 4, "word_chars < 2 * n_words"),
-    Rule("mark_heavy", 5, "2 * n_marks > word_chars"),
-    Rule("one_long_word", 6, "longest_word > 1000 AND 2 * longest_word > word_chars"),
+    Rule("few_words", 0, lambda m: m("n_words") < 50),
+    Rule("repeated_trigrams", 1, lambda m: 100 * m("n_repeat_words") > 50 * m("n_words")),
+    Rule("symbol_heavy", 2, lambda m: 10 * m("n_symbols") > m("n_words")),
+    Rule("duplicate_lines", 3, lambda m: (m("n_dup_lines") >= 3) & (100 * m("n_dup_lines") > 30 * m("n_lines"))),
+    Rule("short_words", 4, lambda m: m("word_chars") < 2 * m("n_words")),
+    Rule("mark_heavy", 5, lambda m: 2 * m("n_marks") > m("word_chars")),
+    Rule("one_long_word", 6, lambda m: (m("longest_word") > 1000) & (2 * m("longest_word") > m("word_chars"))),
 )
 BASE = ("few_words", "repeated_trigrams")
 POLICIES = (
@@ -109,10 +108,11 @@ def _measure_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
 
 
-def failure_bits(rules: Sequence[Rule] = RULES) -> Column:
+def failure_bits(rules: Sequence[Rule] = RULES, prefix: str = "") -> Column:
+    """The bits of the rules that fail, from measurements in columns of their name after ``prefix``."""
     bits = F.lit(0).cast("long")
     for rule in rules:
-        bits = bits + F.when(F.expr(rule.fails), F.lit(rule.mask)).otherwise(0)
+        bits = bits.bitwiseOR(F.when(rule.fails(lambda name: F.col(prefix + name)), F.lit(rule.mask).cast("long")).otherwise(F.lit(0).cast("long")))
     return bits
 
 
@@ -128,6 +128,17 @@ def apply_policy(ledger: DataFrame, policy: Policy = PRODUCTION, rules: Sequence
     return ledger.withColumn("kept", F.col("failure_bits").bitwiseAND(F.lit(policy.mask(rules))) == 0)
 
 
+def with_ablation(ledger: DataFrame, policy: Policy = PRODUCTION, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Adds ``kept``, ``only_rule`` (the rule that alone rejects the row, if one does) and ``n_only`` (rows that it alone rejects).
+
+    The totals are one row a rule, so they are broadcast.
+    """
+    held = F.col("failure_bits").bitwiseAND(F.lit(policy.mask(rules)))
+    alone = F.coalesce(*[F.when(held == r.mask, F.lit(r.name)) for r in rules if r.name in policy.rules])
+    totals = ablation(ledger, [policy], rules).select(F.col("rule").alias("only_rule"), "n_only")
+    return apply_policy(ledger, policy, rules).withColumn("only_rule", alone).join(F.broadcast(totals), "only_rule", "left")
+
+
 def ablation(ledger: DataFrame, policies: Sequence[Policy] = POLICIES, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Per policy and rule: documents that fail it, and documents that only it rejects.
 
@@ -161,10 +172,8 @@ def ablation(ledger: DataFrame, policies: Sequence[Policy] = POLICIES, rules: Se
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: Policy = PRODUCTION, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The input rows, every column, that the policy keeps; texts pass through unchanged."""
-    mask = policy.mask(rules)
     schema = docs.schema
     at = schema.fieldNames().index(text_col)
-    checks = [r for r in rules if r.mask & mask]
     names = [field.split()[0] for field in MEASURES.split(", ")]
     flags = [f"__m_{name}" for name in names]
 
@@ -176,8 +185,5 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
     wide = T.StructType([*schema.fields, *[T.StructField(flag, T.LongType()) for flag in flags]])
     measured = docs.mapInArrow(with_measures, wide)
-    fails = F.lit(False)
-    for rule in checks:
-        predicate = re.sub(r"[a-z_]+", lambda m: f"__m_{m[0]}" if m[0] in names else m[0], rule.fails)
-        fails = fails | F.expr(predicate)
-    return measured.where(~fails).select(*[F.col(f"`{c}`") for c in schema.fieldNames()])
+    kept = failure_bits(rules, "__m_").bitwiseAND(F.lit(policy.mask(rules))) == 0
+    return measured.where(kept).select(*[F.col(f"`{c}`") for c in schema.fieldNames()])

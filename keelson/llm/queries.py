@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import grammar, katz, language, main_text, mixing, neighbours, packing, personal_data, quality_rules, simhash
-from .common import read_table
+from .common import read_table, written
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +46,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = quality_rules.apply_policy(quality_rules.build_ledger(read_table(spark, sf_dir, "documents")))
+    ledger = quality_rules.with_ablation(written(quality_rules.build_ledger(read_table(spark, sf_dir, "documents")), "ledger"))
     base = F.col("failure_bits").bitwiseAND(F.lit(quality_rules.Policy("base", quality_rules.BASE).mask(quality_rules.RULES))) != 0
-    return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failure_bits")
+    return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failure_bits", "only_rule", "n_only")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
