@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage
+from .common import cut_lineage, written
 
 RADIUS = 2
 SHINGLE = 3
@@ -156,18 +156,21 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The input rows, every column, less all but one row of each group of near-duplicates.
 
     The row of the group's smallest id stays (null ids last); of several rows with that id, the
-    one with the smallest fingerprint, and one of those that agree in both.
+    one with the smallest fingerprint, and of those that agree in both, the smallest in its text
+    and then in its other columns. Texts and fingerprints are written once and read by both steps.
     """
-    rows = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
+    held = written(with_fingerprint(docs, text_col, shingle), "fingerprints")
+    rows = held.select(F.col(id_col).cast("long").alias("doc_id"), F.col(FP).alias("fp"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
     chosen = rows.join(classes(rows).select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("x"))
     kept = chosen.select(F.col("x.doc_id").alias("__id"), F.col("x.fp").alias("__fp"))
     often = rows.groupBy("doc_id", "fp").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.lit(True).alias("__often"))
     kept = cut_lineage(kept.join(often, kept["__id"].eqNullSafe(often["__id"]) & (kept["__fp"] == often["__fp"]), "left").select(kept["__id"], kept["__fp"], F.coalesce("__often", F.lit(False)).alias("__often")))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col(FP) == F.col("__fp"))
-    found = with_fingerprint(docs, text_col, shingle).join(kept, same)
-    once = found.where("NOT __often").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = held.join(kept, same)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = found.where("NOT __often").select(*columns)
     if not kept.where("__often").take(1):
         return once
-    again = found.where("__often").dropDuplicates([id_col, FP]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return once.unionByName(again)
+    again = found.where("__often").groupBy(id_col, FP).agg(F.min(F.struct(F.col(text_col).alias("__text"), F.struct(*columns).alias("__row"))).alias("x"))
+    return once.unionByName(again.select("x.__row.*"))
