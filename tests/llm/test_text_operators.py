@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +92,31 @@ def test_personal_data(spark):
     assert personal_data.annotate(frame.where("false")).count() == 0
 
 
+def test_many_matches_take_no_quadratic_time(spark):
+    texts = ["12 x " * 200_000, "a@b.cc 10.0.0.1 (030) 555-1234 " * 20_000]
+    begin = time.time()
+    base = [r.n for r in personal_data.annotate(docs(spark, texts)).orderBy("doc_id").select(F.size("__pii_base").alias("n")).collect()]
+    assert base == [0, 40_000] and time.time() - begin < 120
+
+
+def test_added_spans_lie_outside_base_spans_and_are_cut_out_whole(spark):
+    text = "mail me@x.org or joe [at] mail [dot] org, Mr Paul Weber, ssn 123-45-6780, tel (030) 555-1234; " * 300 + "token = " + "a1" * 300 + " end"
+    loose = re.compile("|".join(f"(?:{p})" for p in personal_data.LOOSE.values()).replace(r"\p{Lu}", "[A-Z]").replace(r"\p{Ll}", "[a-z]"))
+    base = [(int(s), int(e)) for _, s, e in (x.split(":") for x in plain_base(text))]
+    want = [m.span() for m in loose.finditer(text) if not any(s < m.end() and m.start() < e for s, e in base)]
+    frame = docs(spark, [text])
+    found = personal_data.matched(frame).first()
+    assert [(x.start, x.end) for x in found["__pii_candidates"]] == want and len(want) == 1201
+    spans = sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in personal_data.annotate(frame).select(personal_data.spelled(F.col("__pii_spans")).alias("s")).first().s.split(",")))
+    out, at = [], 0
+    for s, e, k in spans:
+        if s >= at:
+            out += [text[at:s], f"<{k.upper()}>"]
+        at = max(at, e)
+    clean = personal_data.redact(frame).first().text
+    assert clean == "".join(out) + text[at:] and "a1a1" not in clean
+
+
 def test_personal_data_is_native(spark):
     plan = personal_data.redact(docs(spark, PRIVATE))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -129,6 +156,34 @@ def test_minimum_cut_is_minimal():
         assert price(main_text.minimum_cut(costs, edges)) == pytest.approx(best)
 
 
+def energy(costs, edges, labels):
+    return sum(abs(c) for c, x in zip(costs, labels) if (c > 0) != x and c) + sum(w for a, b, w in edges if labels[a] != labels[b])
+
+
+def test_a_page_gets_its_cheapest_labelling_and_the_cut_turns_blocks():
+    judge = main_text.classifier({})
+    prose = "<p>A sentence of some length, with marks in it; and then one more of them, to be sure of it.</p>"
+    page = "<body><div><a href=x>Menu of links</a></div><div><p>Short</p>" + prose + "<p>Plain words</p>" + prose + "<ul><li>One item</li><li>Other item</li></ul></div><div><a>Next</a></div></body>"
+    turned = 0
+    for html in (page, HTML, page.replace("<div>", "<div class=ad>", 1), "<div><p>x</p></div>" * 5 + prose):
+        blocks = main_text.blocks_of(html)
+        costs, edges = main_text.terminals(blocks, judge), main_text.smoothness(blocks)
+        labels = main_text.label_blocks(blocks, judge)
+        least = min(energy(costs, edges, [bool(n >> i & 1) for i in range(len(blocks))]) for n in range(1 << len(blocks)))
+        assert energy(costs, edges, labels) == pytest.approx(least)
+        turned += sum((c > 0) != x for c, x in zip(costs, labels))
+    assert turned
+
+
+def test_deep_and_long_pages_are_quick():
+    begin = time.process_time()
+    assert main_text.blocks_of("<span>" * 20_000 + "x")[0].text == "x"
+    assert len(main_text.blocks_of("<div><b>a</i>" * 10_000)) == 10_000
+    long = [0.1 * (n % 7 - 3) for n in range(5_000)]
+    main_text.minimum_cut(long, [(n, n + 1, 1.0) for n in range(len(long) - 1)])
+    assert time.process_time() - begin < 10
+
+
 def test_main_text_table(spark):
     frame = spark.createDataFrame([(1, "u", HTML, "x"), (1, "u", HTML, "x"), (2, None, None, "x"), (3, "v", "", "x")], "page_id long, url string, html string, text string")
     rows = main_text.extract_main_text(frame).orderBy("page_id").collect()
@@ -136,6 +191,46 @@ def test_main_text_table(spark):
     assert main_text.extract_main_text(frame.where("false")).count() == 0
 
 
+def plain_kernel(a, b):
+    def grams(text, order, bits):
+        raw = f" {text.lower()} ".encode()
+        codes = {int.from_bytes(raw[i : i + order], "big") for i in range(len(raw) - order + 1)}
+        return codes if order == 1 else {(c * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - bits for c in codes}
+
+    total = 0.0
+    for order, bits in enumerate(language.SLOT_BITS, 1):
+        x, y = grams(a, order, bits), grams(b, order, bits)
+        total += len(x & y) / (len(x) * len(y)) ** 0.5 / len(language.SLOT_BITS)
+    return total
+
+
+def test_language_kernel_and_ridge_against_plain_versions():
+    texts = ["der hund und die katze", "das haus ist alt", "the dog and the cat", "a house of old", "le chien et le chat", "une maison ancienne", "Ünd é", "xx"]
+    labels = ["de", "de", "en", "en", "fr", "fr", "de", "en"]
+    bits = language.presence(texts)
+    rows = language.normalised(bits.copy())
+    kernel = np.array([[plain_kernel(a, b) for b in texts] for a in texts])
+    assert np.allclose(rows @ rows.T, kernel, atol=1e-5)
+    # With every text a landmark, Nystroem is exact: the same as ridge regression in the kernel's own space.
+    model = language.train(np.packbits(bits.astype(bool), axis=1), labels, per_language=len(texts), ridge=0.1)
+    values, vectors = np.linalg.eigh(kernel)
+    features = vectors * np.sqrt(np.maximum(values, 0))
+    weight = np.array([1 / labels.count(x) for x in labels])
+    weight *= len(labels) / weight.sum()
+    for n, name in enumerate(model.languages):
+        target = np.where(np.array(labels) == name, 1.0, -1.0)
+        design = np.vstack([np.sqrt(weight)[:, None] * np.column_stack([features, np.ones(len(labels))]), np.sqrt(0.1) * np.eye(len(labels), len(labels) + 1)])
+        solved = np.linalg.lstsq(design, np.concatenate([np.sqrt(weight) * target, np.zeros(len(labels))]), rcond=None)[0]
+        assert np.allclose(features @ solved[:-1] + solved[-1], model.scores(texts)[:, n], atol=1e-3)
+
+
+def test_texts_without_a_letter_are_undetermined(spark):
+    rows = [(n, t, "en" if n % 2 else "fr") for n, t in enumerate(["the dog and cat", "le chien et chat"] * 8)] + [(90, "\u00b2\u00bd\u2460 12\u2167", None), (91, None, "en"), (92, "", "en"), (93, "\u00aa", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(frame, language.held_out()).collect()}
+    assert [found[n] for n in (90, 91, 92)] == [("und", 0.0)] * 3 and found[93][0] in ("en", "fr")
+
+
 def test_language(spark):
     words = {"aa": "the and with that shing tion ", "bb": "der und nicht schen keit ung ", "cc": "les des que ment aux eau "}
     rows = [(n, (words[w] * (1 + n % 5))[: 40 + n], w, None) for n in range(240) for w in [list(words)[n % 3]]]
