@@ -21,7 +21,7 @@ def classify(score: Column, safe_min: Column, medium_min: Column) -> Column:
 
 def ranked_points(scored: DataFrame, *tie_break: str) -> DataFrame:
     """The penalties that count, worst first, each with rank and decayed points."""
-    worst = Window.partitionBy("scan_id").orderBy(F.desc("penalty"), *tie_break)
+    worst = Window.partitionBy("scan_id", "used_version").orderBy(F.desc("penalty"), *tie_break)
     most = max(load(v).max_terms for v in versions())
     ranked = scored.withColumn("rank", F.row_number().over(worst) - 1).where(F.col("rank") < most)
     factors = factor_table(scored.sparkSession).withColumnRenamed("version", "f_version").withColumnRenamed("rank", "f_rank")
@@ -31,15 +31,16 @@ def ranked_points(scored: DataFrame, *tie_break: str) -> DataFrame:
 
 
 def roll_up(scans: DataFrame, occurrences: DataFrame, version: Column | str = ACTIVE) -> DataFrame:
-    """Every scan (scan_id, used_version): deduction, score, class and counts, empty scans included."""
+    """Every scan and version (scan_id, used_version): deduction, score, class and counts, empty scans included."""
+    each = ["scan_id", "used_version"]
     scored = score_occurrences(occurrences, version)
-    deductions = ranked_points(scored, "part_id", "supp_id", "line_no").groupBy("scan_id").agg(F.sum("points").cast("decimal(9,2)").alias("deduction"))
+    deductions = ranked_points(scored, "part_id", "supp_id", "line_no").groupBy(*each).agg(F.sum("points").cast("decimal(9,2)").alias("deduction"))
     able = ~F.col("is_unassessable")
-    counted = with_weights(occurrences, version).groupBy("scan_id").agg(F.count_if(able).alias("assessed_count"), F.count_if(able & is_flagged()).alias("flagged_count"), F.count_if(~able).alias("unassessable_count"))
+    counted = with_weights(occurrences, version).groupBy(*each).agg(F.count_if(able).alias("assessed_count"), F.count_if(able & is_flagged()).alias("flagged_count"), F.count_if(~able).alias("unassessable_count"))
     limits = F.broadcast(threshold_table(scans.sparkSession).withColumnRenamed("version", "used_version"))
     zero = F.lit(0).cast("decimal(9,2)")
     score = F.least(F.greatest(F.lit(100) - F.col("deduction"), F.lit(0)), F.lit(100)).cast("decimal(5,2)")
-    joined = scans.join(deductions, "scan_id", "left").join(counted, "scan_id", "left").join(limits, "used_version")
+    joined = scans.join(deductions, each, "left").join(counted, each, "left").join(limits, "used_version")
     filled = joined.withColumn("deduction", F.coalesce("deduction", zero)).withColumn("score", score)
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("assessed_count", "flagged_count", "unassessable_count")]
     return filled.select("scan_id", "used_version", "deduction", "score", classify(F.col("score"), F.col("safe_min"), F.col("medium_min")).alias("classification"), *counts)
@@ -62,9 +63,13 @@ def rescore(scans: DataFrame, occurrences: DataFrame, version: str, source: str
 
 def rescore_panel(scans: DataFrame, occurrences: DataFrame, before: str, after: str) -> DataFrame:
     """Scans whose score changes between two versions."""
-    left = rescore(scans, occurrences, before).select("scan_id", F.col("score").alias("score_before"), F.col("classification").alias("class_before"))
-    right = rescore(scans, occurrences, after).select("scan_id", F.col("score").alias("score_after"), F.col("classification").alias("class_after"))
-    return left.join(right, "scan_id").where("score_before <> score_after")
+    both = F.explode(F.array(F.lit(before), F.lit(after)))
+    cards = roll_up(scans.select("scan_id", both.alias("used_version")), occurrences.withColumn("own_version", both), F.col("own_version"))
+    of = lambda version, column: F.max(F.when(F.col("used_version") == version, F.col(column)))
+    panel = cards.groupBy("scan_id").agg(
+        of(before, "score").alias("score_before"), of(before, "classification").alias("class_before"), of(after, "score").alias("score_after"), of(after, "classification").alias("class_after")
+    )
+    return panel.where("score_before <> score_after")
 
 
 def top_contributors(occurrences: DataFrame, version: Column | str = ACTIVE, limit: int = 3) -> DataFrame:

@@ -18,7 +18,7 @@ NOW = "1998-12-01"
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences with their flag; an unassessable one is never flagged."""
-    rows = occurrence(spark, sf_dir).withColumn("stale_flag_days", F.lit(730))
+    rows = occurrence(spark, sf_dir, named=False).withColumn("stale_flag_days", F.lit(730))
     return rows.withColumn("is_flagged", ~F.col("is_unassessable") & scoring.is_flagged())
 
 
@@ -36,7 +36,7 @@ def q_count_totals(spark, sf_dir):
 
 
 def q_manifest_counts(spark, sf_dir):
-    rows = occurrence(spark, sf_dir)
+    rows = occurrence(spark, sf_dir, named=False)
     manifests = rows.select("scan_id", "manifest_path").distinct()
     return a.manifest_counts(manifests, rows.where("line_no <= 3"))
 
@@ -107,19 +107,19 @@ def q_live_history(spark, sf_dir):
 
 
 def q_ecosystem_list(spark, sf_dir):
-    rows = occurrence(spark, sf_dir)
+    rows = occurrence(spark, sf_dir, named=False)
     manifests = rows.select("scan_id", F.col("ecosystem"))
     return a.ecosystem_list(scan_run(spark, sf_dir), rows.where("line_no = 1"), manifests)
 
 
 def q_ecosystem_summary(spark, sf_dir):
-    return a.ecosystem_summary(occurrence(spark, sf_dir))
+    return a.ecosystem_summary(occurrence(spark, sf_dir, named=False))
 
 
 def _latest_cards(spark, sf_dir):
     scans, rows = scan_run(spark, sf_dir), flagged(spark, sf_dir)
     newest = a.latest_state(scans).where("latest_status = 'completed'").select("repository_id", F.col("latest_scan_id").alias("scan_id"))
-    cards = rollup.rescore(scans, occurrence(spark, sf_dir), "v2").select("scan_id", "score")
+    cards = rollup.rescore(scans, occurrence(spark, sf_dir, named=False), "v2").select("scan_id", "score")
     return newest.join(cards, "scan_id").join(a.scan_counts(rows), "scan_id", "left")
 
 

@@ -45,29 +45,33 @@ def scan_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+def occurrence(spark: SparkSession, sf_dir: str, named: bool = True) -> DataFrame:
+    """One row per line item. Without ``named`` there are no names and reasons, and parts are not joined: each line has one."""
     npm = F.col("l_suppkey") % 2 == 0
     vulnerable = F.col("l_quantity") <= 14
     deprecated = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_linenumber") <= 3)
     groups = F.array(*[F.lit(g) for g in ("runtime", "development", "optional", "peer", "build")])
+    lines, names = table(spark, sf_dir, "lineitem"), []
+    if named:
+        lines = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        names = [
+            F.concat(F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-")), F.lit("."), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("package_name"),
+            F.when(deprecated, F.when(F.col("l_linenumber") == 1, "").otherwise(F.concat(F.lit("use "), "p_name", F.lit(" instead")))).alias("deprecation_reason"),
+        ]
     return (
-        table(spark, sf_dir, "lineitem")
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .select(
+        lines.select(
+            *names,
             F.col("l_orderkey").alias("scan_id"),
             F.col("l_partkey").alias("part_id"),
             F.col("l_suppkey").alias("supp_id"),
             F.col("l_linenumber").alias("line_no"),
             F.when(npm, "npm").otherwise("pypi").alias("ecosystem"),
             F.concat(F.lit("s"), F.col("l_suppkey"), F.when(npm, "/package.json").otherwise("/requirements.txt")).alias("manifest_path"),
-            F.concat(F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-")), F.lit("."), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("package_name"),
             F.when(F.col("l_linenumber").between(1, 5), F.get(groups, F.col("l_linenumber") - 1)).otherwise("runtime").alias("dependency_group"),
             F.concat_ws(".", (F.col("l_partkey") % 5).cast("string"), (F.col("l_quantity").cast("int") % 10).cast("string"), F.col("l_linenumber").cast("string")).alias("resolved_version"),
             F.get(F.array(F.lit("lockfile"), F.lit("pinned"), F.lit("range_latest_approx")), F.col("l_linenumber") % 3).alias("resolution"),
             ((F.col("l_linenumber") == 5) & (F.col("l_quantity") > 25)).alias("is_unassessable"),
             deprecated.alias("is_deprecated"),
-            F.when(deprecated, F.when(F.col("l_linenumber") == 1, "").otherwise(F.concat(F.lit("use "), "p_name", F.lit(" instead")))).alias("deprecation_reason"),
             F.when(vulnerable, F.col("l_quantity").cast("int")).otherwise(0).alias("vulnerability_count"),
             F.when(vulnerable & (F.col("l_linenumber") != 7), F.least(F.lit(100), (F.round(F.col("l_discount") * 100) * 10 + F.round(F.col("l_tax") * 100)).cast("int"))).alias("cvss_tenths"),
             F.when(F.col("l_linenumber") != 6, F.datediff(F.lit(TODAY).cast("date"), F.to_date("l_shipdate"))).alias("staleness_days"),

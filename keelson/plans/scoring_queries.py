@@ -67,12 +67,12 @@ def _card(df: DataFrame) -> DataFrame:
 
 
 def repo_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _card(rollup.scorecard(scan_run(spark, sf_dir), occurrence(spark, sf_dir)))
+    return _card(rollup.scorecard(scan_run(spark, sf_dir), occurrence(spark, sf_dir, named=False)))
 
 
 def _rescored(version: str, source: str | None = None, limit: int | None = None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _card(rollup.rescore(scan_run(spark, sf_dir), occurrence(spark, sf_dir), version, source, limit))
+        return _card(rollup.rescore(scan_run(spark, sf_dir), occurrence(spark, sf_dir, named=False), version, source, limit))
 
     return run
 
@@ -82,34 +82,34 @@ def _rescored_sql(version: str, where: str = "") -> str:
 
 
 def rescore_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = rollup.rescore_panel(scan_run(spark, sf_dir), occurrence(spark, sf_dir), "v1", "v2")
+    panel = rollup.rescore_panel(scan_run(spark, sf_dir), occurrence(spark, sf_dir, named=False), "v1", "v2")
     return panel.select("scan_id", cents("score_before"), "class_before", cents("score_after"), "class_after")
 
 
 def occurrence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = scoring.score_occurrences(occurrence(spark, sf_dir))
+    scored = scoring.score_occurrences(occurrence(spark, sf_dir, named=False))
     return scored.select(*KEY, *[cents(f"points_{s}") for s in SIGNALS], cents("penalty"), cents("score"), "redistributed", "cvss_reduced_confidence")
 
 
 def flag_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = scoring.with_weights(occurrence(spark, sf_dir).where("NOT is_unassessable"))
+    held = scoring.with_weights(occurrence(spark, sf_dir, named=False).where("NOT is_unassessable"))
     return held.select(*KEY, F.array_join(scoring.flag_reasons(), ",").alias("reasons"), scoring.is_flagged().alias("is_flagged"))
 
 
 def term_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = scoring.term_breakdown(scoring.score_occurrences(occurrence(spark, sf_dir)), *KEY)
+    terms = scoring.term_breakdown(scoring.score_occurrences(occurrence(spark, sf_dir, named=False)), *KEY)
     return terms.select(*KEY, "term_order", "signal", "raw_value", cents("points"))
 
 
 def omitted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.omitted_terms(scoring.score_occurrences(occurrence(spark, sf_dir)), *KEY)
+    return scoring.omitted_terms(scoring.score_occurrences(occurrence(spark, sf_dir, named=False)), *KEY)
 
 
 def stored_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose score under each scan's own version equals the one stored, here that of the active version."""
     own = scan_run(spark, sf_dir).select("scan_id", "formula_version")
-    again = scoring.score_occurrences(occurrence(spark, sf_dir).join(own, "scan_id"), F.col("formula_version")).select(*KEY, F.col("score").alias("again"))
-    stored = scoring.score_occurrences(occurrence(spark, sf_dir)).select(*KEY, F.col("score").alias("stored"))
+    again = scoring.score_occurrences(occurrence(spark, sf_dir, named=False).join(own, "scan_id"), F.col("formula_version")).select(*KEY, F.col("score").alias("again"))
+    stored = scoring.score_occurrences(occurrence(spark, sf_dir, named=False)).select(*KEY, F.col("score").alias("stored"))
     return again.join(stored, list(KEY), "left").select(*KEY, scoring.matches_stored(F.col("again"), F.col("stored")).alias("matches_stored"))
 
 
