@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Token shapes that must not be shown.
-SECRETS = (r"gh[pousr]_[A-Za-z0-9]{16,}", r"github_pat_[A-Za-z0-9_]{20,}", r"\bgho_[A-Za-z0-9]{16,}\b", r"gAAAAA[A-Za-z0-9_\-=]{20,}")
+SECRETS = (r"gh[pousr]_[A-Za-z0-9]{16,}", r"github_pat_[A-Za-z0-9_]{20,}", r"gAAAAA[A-Za-z0-9_\-=]{20,}")
 REDACTED = "[REDACTED]"
 OWNER = r"[A-Za-z0-9](?:[A-Za-z0-9]|-(?=[A-Za-z0-9])){0,38}"
 NAME = r"[A-Za-z0-9._-]{1,100}"

@@ -93,15 +93,15 @@ def latest(releases: DataFrame, ecosystem: str, *keys: str, version: str = "vers
     return ranked.groupBy(*keys).agg(F.max_by(raw, F.struct("__stable", "__key")).alias("latest_version"))
 
 
-def behind(releases: DataFrame, *keys: str, version: str = "version", resolved: str = "resolved") -> DataFrame:
+def behind(own: DataFrame, releases: DataFrame, on: str, *keys: str, version: str = "version", resolved: str = "resolved") -> DataFrame:
     """Distinct published majors above the resolved version, minors above it within its major, and
-    patches above it within its minor; stable releases only. ``releases`` has a row per release."""
-    own, other = semver(F.col(resolved)), semver(F.col(version))
-    held = releases.withColumns({"__o": own, "__v": other}).where("__o IS NOT NULL AND __v.release = 1")
-    same_major = F.col("__v.major") == F.col("__o.major")
-    same_minor = same_major & (F.col("__v.minor") == F.col("__o.minor"))
-    return held.groupBy(*keys).agg(
-        F.count_distinct(F.when(F.col("__v.major") > F.col("__o.major"), F.col("__v.major"))).alias("behind_major"),
-        F.count_distinct(F.when(same_major & (F.col("__v.minor") > F.col("__o.minor")), F.col("__v.minor"))).alias("behind_minor"),
-        F.count_distinct(F.when(same_minor & (F.col("__v.patch") > F.col("__o.patch")), F.col("__v.patch"))).alias("behind_patch"),
-    )
+    patches above it within its minor; stable releases only. ``releases`` has a row per release and
+    meets ``own`` on one column. Versions are parsed before the join; a key's sets are no larger
+    than the versions its package has published."""
+    ours = own.withColumn("__o", semver(F.col(resolved))).where("__o IS NOT NULL")
+    theirs = releases.select(on, semver(F.col(version)).alias("__v")).where("__v.release = 1").select(on, "__v.major", "__v.minor", "__v.patch").distinct()
+    held = ours.join(theirs, on)
+    same_major = F.col("major") == F.col("__o.major")
+    same_minor = same_major & (F.col("minor") == F.col("__o.minor"))
+    above = lambda name, within: F.size(F.collect_set(F.when(within & (F.col(name) > F.col(f"__o.{name}")), F.col(name)))).cast("long").alias(f"behind_{name}")
+    return held.groupBy(*keys).agg(above("major", F.lit(True)), above("minor", same_major), above("patch", same_minor))

@@ -137,17 +137,17 @@ def ecosystem_summary(occurrences: DataFrame) -> DataFrame:
     return per.select("scan_id", F.when(F.col("n") > 1, "Mixed").otherwise(F.col("one")).alias("summary"))
 
 
-def shared_lines(members: DataFrame, latest: DataFrame, occurrences: DataFrame, subject: Column) -> DataFrame:
-    """Occurrences in the latest completed scans of a subject's siblings that use one of its packages.
+def shared_lines(members: DataFrame, latest: DataFrame, occurrences: DataFrame, subject: Column | None = None) -> DataFrame:
+    """Occurrences in the latest completed scans of a subject's siblings that use one of its packages; every member is a subject unless told otherwise.
 
-    Siblings share project and owner with the subject. Packages and scans narrow by semi-joins.
+    Siblings share project and owner with the subject. Lines and packages meet by project, owner and
+    package, so that no pair of siblings without a shared package is ever formed.
     """
-    chosen = members.where(subject).select(F.col("repository_id").alias("subject_id"), "project_id", "user_id")
-    siblings = members.join(chosen, ["project_id", "user_id"]).where("repository_id <> subject_id").select("subject_id", "repository_id", "full_name")
-    own = chosen.select(F.col("subject_id").alias("repository_id")).join(latest, "repository_id").select(F.col("repository_id").alias("subject_id"), "scan_id")
-    packages = occurrences.join(own, "scan_id").where("is_flagged AND NOT is_unassessable").select("subject_id", "ecosystem", "package_name").distinct()
-    theirs = occurrences.join(siblings.join(latest, "repository_id"), "scan_id")
-    return theirs.join(packages, ["subject_id", "ecosystem", "package_name"], "left_semi")
+    group = ["project_id", "user_id", "ecosystem", "package_name"]
+    lines = occurrences.join(members.join(latest.select("repository_id", "scan_id"), "repository_id"), "scan_id")
+    chosen = lines if subject is None else lines.where(subject)
+    packages = chosen.where("is_flagged AND NOT is_unassessable").select(F.col("repository_id").alias("subject_id"), *group).distinct()
+    return lines.join(packages, group).where("repository_id <> subject_id")
 
 
 STATUS_RANK = {"flagged": 0, "unassessable": 1, "clean": 2}
@@ -156,7 +156,7 @@ STATUS_RANK = {"flagged": 0, "unassessable": 1, "clean": 2}
 def capped_lines(lines: DataFrame, most: int = 40) -> DataFrame:
     """The first lines of each subject by package, sibling, status and path, and how many more there are."""
     rank = F.create_map(*[x for pair in STATUS_RANK.items() for x in map(F.lit, pair)])
-    order = Window.partitionBy("subject_id").orderBy("package_name", "full_name", F.element_at(rank, "status"), "manifest_path", "part_id", "line_no")
+    order = Window.partitionBy("subject_id").orderBy("package_name", "full_name", F.element_at(rank, F.col("status")), "manifest_path", "part_id", "line_no")
     total = lines.groupBy("subject_id").agg(F.count("*").alias("total"))
     kept = lines.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
     return kept.join(total, "subject_id").withColumn("omitted", F.greatest(F.col("total") - most, F.lit(0))).drop("total")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,56 +25,50 @@ LEAST_TEXT = 400
 NEAREST = 5
 QUERY_LENGTH = 600
 
-_HEADING = re.compile(r"#{1,6}\s+\S")
+# What a heading and a code fence look like.
+_HEADING = re.compile(r"(#{1,6})\s+(.*\S)\s*$")
 _FENCE = re.compile(r"\s*(```|~~~)")
 
 
 def sections(text: str) -> Iterator[tuple[str, str]]:
-    """(heading, body): headings inside code fences are text; what precedes the first has no heading."""
-    heading, lines, fenced = "", [], False
-    for line in text.split("\n"):
-        if _FENCE.match(line):
-            fenced = not fenced
-        if not fenced and _HEADING.match(line):
-            if lines:
-                yield heading, "\n".join(lines)
-            heading, lines = line.lstrip("#").strip(), []
-        else:
-            lines.append(line)
-    yield heading, "\n".join(lines)
-
-
-def windows(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> Iterator[str]:
-    """Pieces of at most ``size``, cut at the last blank line, else line end, of the back half; each repeats
-    the last ``overlap`` characters of the one before."""
-    start = 0
-    while start < len(text):
-        end = min(len(text), start + size)
-        if end < len(text):
-            for mark in ("\n\n", "\n"):
-                cut = text.rfind(mark, start + size // 2, end)
-                if cut > 0:
-                    end = cut
-                    break
-        yield text[start:end]
-        if end >= len(text):
-            return
+    """(heading, body): marks and title of each heading and what follows it; headings inside code fences are text, and what precedes the first has none."""
+    lines = text.splitlines()
+    fences = accumulate(1 if _FENCE.match(line) else 0 for line in lines)
+    titles = [None if n % 2 or _FENCE.match(line) else _HEADING.match(line) for line, n in zip(lines, fences)]
+    starts = [n for n, title in enumerate(titles) if title]
+    for begin, end in pairwise([-1, *starts, len(lines)]):
+        heading = " ".join(titles[begin].groups()) if begin >= 0 else ""
+        body = "\n".join(lines[begin + 1 : end]).strip()
+        if heading or body:
+            yield heading, body
+
+
+def windows(body: str, size: int = CHUNK, overlap: int = OVERLAP) -> Iterator[str]:
+    """Pieces of at most ``size``, cut after the last blank line, else line end, of the back half; each begins
+    in the last ``overlap`` characters of the one before. White space around a piece goes, and pieces of nothing else."""
+    body = body.strip()
+    start, end = 0, 0
+    while end < len(body):
+        end = min(len(body), start + size)
+        if end < len(body):
+            cuts = (body.rfind(mark, start + size // 2, end) + len(mark) for mark in ("\n\n", "\n") if mark in body[start + size // 2 : end])
+            end = next(cuts, end)
+        if piece := body[start:end].strip():
+            yield piece
         start = max(start + 1, end - overlap)
 
 
 def chunks_of(text: str, sha: str, path: str) -> list[tuple[str, str, str]]:
     """(chunk id, heading, text) of a document: short ones dropped, repeats dropped, so many at most."""
-    seen: dict[str, tuple[str, str, str]] = {}
-    for heading, body in sections(text):
-        for piece in windows(body):
-            whole = f"{heading}\n{piece}".strip()
-            if len(whole) < LEAST_CHUNK:
-                continue
+    wholes = (((f"{heading}\n{piece}" if heading else piece).strip(), heading) for heading, body in sections(text) for piece in windows(body))
+    found: dict[str, tuple[str, str, str]] = {}
+    for whole, heading in wholes:
+        if len(whole) >= LEAST_CHUNK:
             key = hashlib.sha256("\0".join((sha, path, whole)).encode()).hexdigest()[:12]
-            seen.setdefault(key, (key, heading, whole))
-            if len(seen) == MOST_CHUNKS:
-                return list(seen.values())
-    return list(seen.values())
+            found.setdefault(key, (key, heading, whole))
+        if len(found) == MOST_CHUNKS:
+            break
+    return list(found.values())
 
 
 def chunk_documents(documents: DataFrame, key: str, text: str = "text", sha: Column | None = None, path: Column | None = None) -> DataFrame:

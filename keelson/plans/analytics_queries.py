@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..catalog import Query
 from ..operators import analytics as a
@@ -16,9 +17,9 @@ FLAG_SQL = "(is_deprecated OR vulnerability_count > 0 OR coalesce(staleness_days
 NOW = "1998-12-01"
 
 
-def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flagged(spark: SparkSession, sf_dir: str, named: bool = True) -> DataFrame:
     """Occurrences with their flag; an unassessable one is never flagged."""
-    rows = occurrence(spark, sf_dir, named=False).withColumn("stale_flag_days", F.lit(730))
+    rows = occurrence(spark, sf_dir, named).withColumn("stale_flag_days", F.lit(730))
     return rows.withColumn("is_flagged", ~F.col("is_unassessable") & scoring.is_flagged())
 
 
@@ -26,11 +27,11 @@ FLAGGED = f"flagged AS (SELECT *, NOT is_unassessable AND {FLAG_SQL} AS is_flagg
 
 
 def q_scan_counts(spark, sf_dir):
-    return a.scan_counts(flagged(spark, sf_dir))
+    return a.scan_counts(flagged(spark, sf_dir, named=False))
 
 
 def q_count_totals(spark, sf_dir):
-    return flagged(spark, sf_dir).agg(
+    return flagged(spark, sf_dir, named=False).agg(
         F.count("*").alias("total"), F.count_if("is_unassessable").alias("unassessable"), F.count_if("is_flagged").alias("flagged"), (F.count("*") - F.count_if("is_unassessable") - F.count_if("is_flagged")).alias("clean")
     )
 
@@ -117,7 +118,7 @@ def q_ecosystem_summary(spark, sf_dir):
 
 
 def _latest_cards(spark, sf_dir):
-    scans, rows = scan_run(spark, sf_dir), flagged(spark, sf_dir)
+    scans, rows = scan_run(spark, sf_dir), flagged(spark, sf_dir, named=False)
     newest = a.latest_state(scans).where("latest_status = 'completed'").select("repository_id", F.col("latest_scan_id").alias("scan_id"))
     cards = rollup.rescore(scans, occurrence(spark, sf_dir, named=False), "v2").select("scan_id", "score")
     return newest.join(cards, "scan_id").join(a.scan_counts(rows), "scan_id", "left")
@@ -136,13 +137,13 @@ def q_dashboard_totals(spark, sf_dir):
 
 def q_projects_grouping(spark, sf_dir):
     repos = repository(spark, sf_dir)
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("name", "repository_id"))), lambda x: x["repository_id"].cast("string"))
-    return repos.where("repository_id < 600").groupBy("user_id", "project_id").agg(F.count("*").alias("members"), F.array_join(listed, ",").alias("member_ids"))
+    place = F.row_number().over(Window.partitionBy("user_id", "project_id").orderBy("name", "repository_id"))
+    return repos.select("user_id", "project_id", "repository_id", place.alias("position"))
 
 
 def _siblings(spark, sf_dir):
     scans = scan_run(spark, sf_dir)
-    lines = a.shared_lines(repository(spark, sf_dir).where("project_id IS NOT NULL"), a.latest_completed(scans), flagged(spark, sf_dir), F.col("repository_id") % 50 == 1)
+    lines = a.shared_lines(repository(spark, sf_dir).where("project_id IS NOT NULL"), a.latest_completed(scans), flagged(spark, sf_dir))
     return a.capped_lines(lines.withColumn("status", a.status_label()), 40)
 
 
@@ -159,8 +160,6 @@ def q_siblings_not_scanned(spark, sf_dir):
 
 def q_worst_first(spark, sf_dir):
     """Per scan the 30 worst flagged occurrences for a prompt, and how many are left out."""
-    from pyspark.sql.window import Window
-
     scored = scoring.score_occurrences(occurrence(spark, sf_dir)).where(scoring.is_flagged())
     order = Window.partitionBy("scan_id").orderBy("score", "manifest_path", "package_name", "part_id", "line_no")
     total = scored.groupBy("scan_id").agg(F.count("*").alias("total"))
@@ -169,7 +168,7 @@ def q_worst_first(spark, sf_dir):
 
 
 def _ordered_advisories(spark, sf_dir, null_as_zero: bool, most: int):
-    rows = advisory(spark, sf_dir).where("i <= 12")
+    rows = advisory(spark, sf_dir)
     rank = F.coalesce("cvss_tenths", F.lit(0 if null_as_zero else -1))
     listed = F.sort_array(F.collect_list(F.struct((-rank).alias("r"), "osv_id", "cve_id")))
     grouped = rows.groupBy(*KEY).agg(listed.alias("all"))
@@ -315,14 +314,14 @@ SELECT user_id, count(*) AS repositories, count(DISTINCT owner) AS owners, coale
     ),
     "projects_grouping": Query(
         q_projects_grouping,
-        with_views("SELECT user_id, project_id, count(*) AS members, string_agg(repository_id::VARCHAR, ',' ORDER BY name, repository_id) AS member_ids FROM repository WHERE repository_id < 600 GROUP BY ALL", "repository"),
+        with_views("SELECT user_id, project_id, repository_id, row_number() OVER (PARTITION BY user_id, project_id ORDER BY name, repository_id)::INT AS position FROM repository", "repository"),
         "A12 X11 J02",
     ),
     "sibling_context": Query(
         q_sibling_context,
         with_views(FLAGGED + """,
 latest AS (SELECT repository_id, arg_max(scan_id, (created_on, scan_id)) AS scan_id FROM scan_run WHERE status = 'completed' GROUP BY repository_id),
-subject AS (SELECT repository_id AS subject_id, project_id, user_id FROM repository WHERE project_id IS NOT NULL AND repository_id % 50 = 1),
+subject AS (SELECT repository_id AS subject_id, project_id, user_id FROM repository WHERE project_id IS NOT NULL),
 sibling AS (SELECT subject_id, r.repository_id, full_name FROM repository r JOIN subject USING (project_id, user_id) WHERE r.repository_id <> subject_id),
 wanted AS (SELECT DISTINCT subject_id, ecosystem, package_name FROM subject JOIN latest ON subject_id = latest.repository_id JOIN flagged USING (scan_id) WHERE is_flagged),
 lines AS (SELECT s.subject_id, f.*, full_name, CASE WHEN is_unassessable THEN 'unassessable' WHEN is_flagged THEN 'flagged' ELSE 'clean' END AS status
@@ -353,7 +352,7 @@ SELECT scan_id, position::INT AS position, package_name, CAST(10000 - penalty AS
     ),
     "advisory_order_a": Query(
         q_advisory_order_a,
-        with_views(f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY coalesce(cvss_tenths, -1) DESC, osv_id) AS n, coalesce(cve_id, osv_id) AS shown FROM advisory WHERE i <= 12),
+        with_views(f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY coalesce(cvss_tenths, -1) DESC, osv_id) AS n, coalesce(cve_id, osv_id) AS shown FROM advisory),
 firsts AS (SELECT {KEYS}, shown, min(n) AS n FROM ordered GROUP BY ALL),
 named AS (SELECT {KEYS}, string_agg(shown, ',' ORDER BY n) AS cves FROM firsts GROUP BY {KEYS}),
 listed AS (SELECT {KEYS}, string_agg(osv_id, ',' ORDER BY n) AS osv_ids FROM ordered GROUP BY {KEYS})
@@ -362,7 +361,7 @@ SELECT * FROM listed JOIN named USING ({KEYS})""", "advisory"),
     ),
     "advisory_order_b": Query(
         q_advisory_order_b,
-        with_views(f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY coalesce(cvss_tenths, 0) DESC, osv_id) AS n, coalesce(cve_id, osv_id) AS shown FROM advisory WHERE i <= 12),
+        with_views(f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY coalesce(cvss_tenths, 0) DESC, osv_id) AS n, coalesce(cve_id, osv_id) AS shown FROM advisory),
 firsts AS (SELECT {KEYS}, shown, min(n) AS n FROM ordered WHERE n <= 5 GROUP BY ALL),
 named AS (SELECT {KEYS}, string_agg(shown, ',' ORDER BY n) AS cves FROM firsts GROUP BY {KEYS}),
 listed AS (SELECT {KEYS}, string_agg(osv_id, ',' ORDER BY n) AS osv_ids FROM ordered WHERE n <= 5 GROUP BY {KEYS})

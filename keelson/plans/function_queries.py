@@ -40,12 +40,12 @@ def q_semver_latest(spark, sf_dir):
 
 
 def q_behind(spark, sf_dir):
-    rows = occurrence(spark, sf_dir)
-    releases = rows.where("part_id < 300").select("part_id", F.col("resolved_version").alias("version")).distinct()
-    own = rows.where("part_id < 300 AND scan_id % 20 = 0").select("scan_id", "part_id", "line_no", F.col("resolved_version").alias("resolved")).distinct()
+    rows = occurrence(spark, sf_dir, named=False)
+    releases = rows.select("part_id", F.col("resolved_version").alias("version")).distinct()
+    own = rows.select("scan_id", "part_id", "line_no", F.col("resolved_version").alias("resolved")).distinct()
     # Versions of the neighbouring parts of a package are its published releases here.
-    near = own.withColumn("other", F.explode(F.sequence(F.col("part_id") - 2, F.col("part_id") + 2)))
-    return ver.behind(near.join(releases.withColumnRenamed("part_id", "other"), "other"), "scan_id", "part_id", "line_no", "resolved")
+    near = releases.select(F.explode(F.sequence(F.col("part_id") - 2, F.col("part_id") + 2)).alias("part_id"), "version").distinct()
+    return ver.behind(own, near, "part_id", "scan_id", "part_id", "line_no", "resolved")
 
 
 def q_pep440_order(spark, sf_dir):
@@ -88,7 +88,7 @@ def q_deprecation(spark, sf_dir):
 
 def q_redact(spark, sf_dir):
     token = F.concat(F.lit("ghp_"), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 20))
-    text = F.concat_ws(" ", F.substring("text", 1, 200), F.when(F.col("doc_id") % 3 == 0, token), F.lit("end"))
+    text = F.concat_ws(" ", F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, token), F.lit("end"))
     return table(spark, sf_dir, "documents").select("doc_id", tx.redact(text).alias("text"))
 
 
@@ -148,17 +148,17 @@ def _tree(spark, sf_dir):
     p = F.col("page_id")
     folder = F.concat(F.lit("d"), (p % 7).cast("string"), F.when(p % 3 == 0, F.concat(F.lit("/e"), (p % 2).cast("string"))).otherwise(""))
     name = F.element_at(F.array(*map(F.lit, ("package.json", "package-lock.json", "npm-shrinkwrap.json", "pyproject.toml", "poetry.lock", "README.md"))), (F.floor(p / 7) % 6 + 1).cast("int"))
-    rows = table(spark, sf_dir, "pages").where("page_id < 2000").select((p % 5).alias("scan_id"), F.concat_ws("/", folder, name).alias("path")).distinct()
+    rows = table(spark, sf_dir, "pages").select((p % 5).alias("scan_id"), F.concat_ws("/", folder, name).alias("path")).distinct()
     return rows.select("scan_id", "path", F.lit("blob").alias("type"), F.lit("s").alias("sha"), F.lit(1).cast("long").alias("size"))
 
 
 def q_plan(spark, sf_dir):
-    return paths.plan(_tree(spark, sf_dir), most=12).select("scan_id", "position", "ecosystem", "path", "lockfile_path", "kind")
+    return paths.plan(_tree(spark, sf_dir)).select("scan_id", "position", "ecosystem", "path", "lockfile_path", "kind")
 
 
 PLAN_SQL = """
 WITH tree AS (SELECT DISTINCT page_id % 5 AS scan_id, 'd' || (page_id % 7) || CASE WHEN page_id % 3 = 0 THEN '/e' || (page_id % 2) ELSE '' END AS folder,
-    ['package.json', 'package-lock.json', 'npm-shrinkwrap.json', 'pyproject.toml', 'poetry.lock', 'README.md'][1 + page_id // 7 % 6] AS name FROM pages WHERE page_id < 2000),
+    ['package.json', 'package-lock.json', 'npm-shrinkwrap.json', 'pyproject.toml', 'poetry.lock', 'README.md'][1 + page_id // 7 % 6] AS name FROM pages),
 owned AS (SELECT *, CASE name WHEN 'package.json' THEN 'npm' ELSE 'pypi' END AS ecosystem,
     row_number() OVER (PARTITION BY scan_id ORDER BY len(string_split(folder, '/')), folder || '/' || name)::INT AS position FROM tree WHERE name IN ('package.json', 'pyproject.toml')),
 locks AS (SELECT scan_id, folder, CASE name WHEN 'poetry.lock' THEN 'pypi' ELSE 'npm' END AS ecosystem, max(CASE name WHEN 'npm-shrinkwrap.json' THEN 0 ELSE 1 END) AS best FROM tree
@@ -166,7 +166,7 @@ locks AS (SELECT scan_id, folder, CASE name WHEN 'poetry.lock' THEN 'pypi' ELSE
 SELECT o.scan_id, position, o.ecosystem, o.folder || '/' || name AS path,
        CASE WHEN best IS NULL THEN NULL WHEN o.ecosystem = 'pypi' THEN o.folder || '/poetry.lock' WHEN best = 1 THEN o.folder || '/package-lock.json' ELSE o.folder || '/npm-shrinkwrap.json' END AS lockfile_path,
        CASE name WHEN 'package.json' THEN 'package_json' ELSE 'pyproject' END AS kind
-FROM owned o LEFT JOIN locks USING (scan_id, folder, ecosystem) WHERE position <= 12"""
+FROM owned o LEFT JOIN locks USING (scan_id, folder, ecosystem) WHERE position <= 50"""
 
 
 def q_workspace_globs(spark, sf_dir):
@@ -228,9 +228,9 @@ SELECT ecosystem, package_name, arg_max(resolved_version, (a, b, c)) AS latest_v
     ),
     "versions_behind": Query(
         q_behind,
-        with_views(f"""releases AS (SELECT DISTINCT part_id AS other, {_TRIPLE.format(v='resolved_version')} FROM occurrence WHERE part_id < 300),
+        with_views(f"""releases AS (SELECT DISTINCT part_id AS other, {_TRIPLE.format(v='resolved_version')}  FROM occurrence),
 own AS (SELECT DISTINCT scan_id, part_id, line_no, resolved_version AS resolved, string_split(resolved_version, '.')[1]::INT AS x, string_split(resolved_version, '.')[2]::INT AS y, string_split(resolved_version, '.')[3]::INT AS z
-  FROM occurrence WHERE part_id < 300 AND scan_id % 20 = 0)
+  FROM occurrence)
 SELECT scan_id, part_id, line_no, resolved, count(DISTINCT a) FILTER (WHERE a > x) AS behind_major, count(DISTINCT b) FILTER (WHERE a = x AND b > y) AS behind_minor,
        count(DISTINCT c) FILTER (WHERE a = x AND b = y AND c > z) AS behind_patch FROM own JOIN releases ON other BETWEEN part_id - 2 AND part_id + 2 GROUP BY ALL""", "occurrence"),
         "FN09",
@@ -259,7 +259,7 @@ dense_rank() OVER (PARTITION BY event_type ORDER BY event_id % 7, CASE WHEN even
     ),
     "redact_documents": Query(
         q_redact,
-        """SELECT doc_id, regexp_replace(text[:200] || ' ' || CASE WHEN doc_id % 3 = 0 THEN 'ghp_' || sha256(doc_id::VARCHAR)[:20] || ' ' ELSE '' END || 'end', 'gh[pousr]_[A-Za-z0-9]{16,}', '[REDACTED]', 'g') AS text FROM documents""",
+        """SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, '') || ' ' || CASE WHEN doc_id % 3 = 0 THEN 'ghp_' || sha256(doc_id::VARCHAR)[:20] || ' ' ELSE '' END || 'end', 'gh[pousr]_[A-Za-z0-9]{16,}', '[REDACTED]', 'g'), 'github_pat_[A-Za-z0-9_]{20,}', '[REDACTED]', 'g'), 'gAAAAA[A-Za-z0-9_=-]{20,}', '[REDACTED]', 'g') AS text FROM documents""",
         "FN30",
     ),
     "chunk_ids": Query(q_chunk_ids, "SELECT doc_id, sha256(coalesce(lang, '') || chr(0) || coalesce(source, '') || chr(0) || coalesce(text, ''))[:12] AS chunk_id FROM documents", "FN38"),

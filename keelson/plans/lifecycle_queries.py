@@ -41,7 +41,7 @@ def q_start_outcome(spark, sf_dir):
 
 
 def q_sweep(spark, sf_dir):
-    collections = table(spark, sf_dir, "events").select((F.col("event_id") * 7).alias("scan_id")).where("scan_id < 40000")
+    collections = table(spark, sf_dir, "events").select((F.col("event_id") * 7).alias("scan_id"))
     active = report(spark, sf_dir).where("status = 'running'")
     return lifecycle.sweep(collections, scan_run(spark, sf_dir), active)
 
@@ -115,7 +115,7 @@ def q_all_unavailable(spark, sf_dir):
 
 def q_facts_join(spark, sf_dir):
     """Null-safe version: occurrences whose version is unknown meet the facts kept without one."""
-    rows = occurrence(spark, sf_dir).where("part_id < 200").select(*KEY, "ecosystem", F.col("package_name").alias("name"), F.when(F.col("line_no") != 2, F.col("resolved_version")).alias("resolved_version"))
+    rows = occurrence(spark, sf_dir).select(*KEY, "ecosystem", F.col("package_name").alias("name"), F.when(F.col("line_no") != 2, F.col("resolved_version")).alias("resolved_version"))
     facts = rows.where("line_no <= 3").select("ecosystem", "name", "resolved_version").distinct().withColumn("seen", F.lit(True))
     return enrich.with_facts(rows, facts).select(*KEY, F.coalesce("f_seen", F.lit(False)).alias("has_facts"))
 
@@ -140,12 +140,12 @@ def _queries(spark, sf_dir):
 
 def q_cosine(spark, sf_dir):
     found = retrieval.nearest_chunks(_queries(spark, sf_dir), chunk(spark, sf_dir), "package_key")
-    return found.select("query_id", "position", "chunk_id", F.round("similarity", 3).alias("similarity"))
+    return found.select("query_id", "position", "chunk_id", "similarity")
 
 
 def q_grounding(spark, sf_dir):
     asked = _queries(spark, sf_dir)
-    found = retrieval.nearest_chunks(asked, chunk(spark, sf_dir).where("chunk_id % 100 <> 0"), "package_key")
+    found = retrieval.nearest_chunks(asked, chunk(spark, sf_dir), "package_key")
     return retrieval.grounding(asked, found).select("query_id", F.col("n_chars").cast("long").alias("n_chars"), "grounding")
 
 
@@ -204,8 +204,40 @@ _RISK = "risk AS (SELECT repository_id, count(report_id) FILTER (WHERE r.status
 _COSINE = """chunks AS (SELECT * FROM chunk),
 asked AS (SELECT vec_id AS query_id, label AS package_key, embedding AS query_vector FROM embeddings WHERE vec_id % 100 = 0),
 pairs AS (SELECT query_id, chunk_id, text, round(least(greatest(list_dot_product(query_vector::DOUBLE[], vector::DOUBLE[]) / (sqrt(list_dot_product(query_vector::DOUBLE[], query_vector::DOUBLE[])) * sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[]))), 0), 1), 4) AS similarity
-  FROM asked JOIN chunks USING (package_key) WHERE {where}),
+  FROM asked JOIN chunks USING (package_key)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS position FROM pairs)"""
+_ENDS = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+_SPACES = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_stripped = lambda x: f"regexp_replace({x}, '^{_SPACES}+|{_SPACES}+$', '', 'g')"
+#: Expression ``kept``: the chunks of every document, by recursion over each section's windows.
+CHUNKS_SQL = f"""
+WITH RECURSIVE lines AS (
+  SELECT doc_id, sha1(coalesce(text, '')) AS sha, unnest(string_split(regexp_replace(coalesce(text, ''), '{_ENDS}', chr(10), 'g'), chr(10))) AS line,
+         generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '{_ENDS}', chr(10), 'g'), chr(10)), 1) AS n FROM documents),
+fenced AS (SELECT *, regexp_matches(line, '^{_SPACES}*(```|~~~)') AS fence, count(*) FILTER (WHERE regexp_matches(line, '^{_SPACES}*(```|~~~)')) OVER (PARTITION BY doc_id ORDER BY n) AS fences FROM lines),
+titled AS (SELECT *, NOT fence AND fences % 2 = 0 AND regexp_matches(line, '^#{{1,6}}{_SPACES}+[^\n]*[^\\s]') AS title FROM fenced),
+numbered AS (SELECT *, count(*) FILTER (WHERE title) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM titled),
+bodies AS (
+  SELECT doc_id, sha, section, coalesce(max(regexp_extract(line, '^#+') || ' ' || {_stripped("regexp_replace(line, '^#+', '')")}) FILTER (WHERE title), '') AS heading,
+         {_stripped("coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT title), '')")} AS body FROM numbered GROUP BY doc_id, sha, section),
+cut AS (
+  SELECT doc_id, sha, section, heading, body, 0 AS first, 0 AS last, 0 AS n FROM bodies WHERE body <> ''
+  UNION ALL
+  SELECT doc_id, sha, section, heading, body, start,
+         CASE WHEN start + 1200 >= length(body) THEN length(body)
+              WHEN strpos(back, chr(10) || chr(10)) > 0 THEN start + 1200 - strpos(back, chr(10) || chr(10)) + 1
+              WHEN strpos(back, chr(10)) > 0 THEN start + 1200 - strpos(back, chr(10)) + 1 ELSE start + 1200 END, n + 1
+  FROM (SELECT *, reverse(substr(body, start + 601, 600)) AS back FROM (SELECT *, CASE WHEN n = 0 THEN 0 ELSE greatest(first + 1, last - 200) END AS start FROM cut WHERE last < length(body)))),
+pieces AS (
+  SELECT doc_id, sha, section, n, heading, {_stripped("substr(body, first + 1, last - first)")} AS piece FROM cut WHERE n > 0),
+wholes AS (
+  SELECT doc_id, section, n, heading, CASE WHEN heading = '' THEN piece ELSE heading || chr(10) || piece END AS text, sha FROM pieces WHERE piece <> ''),
+firsts AS (
+  SELECT *, sha256(sha || chr(0) || 'README.md' || chr(0) || text)[:12] AS chunk_id FROM wholes WHERE length(text) >= 40
+  QUALIFY row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY section, n) = 1),
+kept AS (
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY section, n) - 1)::INT AS chunk_index, chunk_id, heading, text FROM firsts QUALIFY chunk_index < 120)
+"""
 QUERIES = {
     "expire_stale": Query(
         q_expire, with_views(f"SELECT scan_id, CASE WHEN status IN ('queued', 'running') AND created_on < DATE '{NOW}' - 365 THEN 'failed' ELSE status END AS status FROM scan_run", "scan_run"), "P08"
@@ -226,7 +258,7 @@ FROM risk r LEFT JOIN active a USING (repository_id)""", "scan_run", "report"),
     ),
     "orphan_sweep": Query(
         q_sweep,
-        with_views("""c AS (SELECT event_id * 7 AS scan_id FROM events WHERE event_id * 7 < 40000)
+        with_views("""c AS (SELECT event_id * 7 AS scan_id FROM events)
 SELECT c.scan_id, CASE WHEN s.scan_id IS NULL THEN 'drop_orphan' WHEN r.scan_id IS NULL THEN 'drop_idle' ELSE 'keep' END AS action
 FROM c LEFT JOIN scan_run s USING (scan_id) LEFT JOIN (SELECT scan_id FROM report WHERE status = 'running') r USING (scan_id)""", "scan_run", "report"),
         "J11 X02",
@@ -269,7 +301,7 @@ AND (a.repository_id % 499 = b.repository_id % 499 OR a.owner = b.owner AND a.re
     "all_unavailable": Query(q_all_unavailable, "SELECT 'pypi' AS ecosystem", "A09"),
     "facts_join": Query(
         q_facts_join,
-        with_views(f"""rows AS (SELECT {KEYS}, ecosystem, package_name AS name, CASE WHEN line_no <> 2 THEN resolved_version END AS v FROM occurrence WHERE part_id < 200),
+        with_views(f"""rows AS (SELECT {KEYS}, ecosystem, package_name AS name, CASE WHEN line_no <> 2 THEN resolved_version END AS v FROM occurrence),
 facts AS (SELECT DISTINCT ecosystem, name, v FROM rows WHERE line_no <= 3)
 SELECT {KEYS}, f.ecosystem IS NOT NULL AS has_facts FROM rows r LEFT JOIN facts f ON r.ecosystem = f.ecosystem AND r.name = f.name AND r.v IS NOT DISTINCT FROM f.v""", "occurrence"),
         "J05",
@@ -284,15 +316,15 @@ SELECT {KEYS}, f.ecosystem IS NOT NULL AS has_facts FROM rows r LEFT JOIN facts
         with_views(f"SELECT {KEYS}, i, cve_id, p_partkey % 100 AS epss FROM advisory LEFT JOIN part ON cve_id = 'CVE-2024-' || (p_partkey + 900)", "advisory"),
         "J06 J07 SRC05 SRC06 SRC07",
     ),
-    "cosine_topk": Query(q_cosine, with_views(_COSINE.format(where="true") + "\nSELECT query_id, position::INT AS position, chunk_id, round(similarity, 3) AS similarity FROM placed WHERE position <= 5", "chunk"), "R05 R06 T09"),
+    "cosine_topk": Query(q_cosine, with_views(_COSINE + "\nSELECT query_id, position::INT AS position, chunk_id, similarity FROM placed WHERE position <= 5", "chunk"), "R05 R06 T09"),
     "grounding_gate": Query(
         q_grounding,
-        with_views(_COSINE.format(where="chunk_id % 100 <> 0") + """,
+        with_views(_COSINE + """,
 best AS (SELECT query_id, max(similarity) AS best, sum(length(text)) AS n FROM placed WHERE position <= 5 GROUP BY query_id)
 SELECT query_id, coalesce(n, 0)::BIGINT AS n_chars, CASE WHEN best >= 0.30 AND n >= 400 THEN 'sufficient' ELSE 'low' END AS grounding FROM asked LEFT JOIN best USING (query_id)""", "chunk"),
         "A15 R08",
     ),
-    "chunk_windows": Query(q_chunk_windows, None, "R01 R02 R03 W11"),
+    "chunk_windows": Query(q_chunk_windows, CHUNKS_SQL + "SELECT doc_id, chunk_index, chunk_id, heading, text FROM kept", "R01 R02 R03 W11"),
     "retrieval_query_framing": Query(
         q_framing,
         with_views(f"""SELECT {KEYS}, CASE WHEN trim(coalesce(deprecation_reason, '')) <> '' THEN 'reason_available' ELSE 'no_reason' END AS branch,

@@ -10,6 +10,7 @@ from ..functions import advisories as adv
 from ..operators import enrich, lifecycle, reports, retrieval, rollup
 from ..sources import sinks
 from .fixtures import KEY, occurrence, report, repository, scan_run, table, with_views
+from .lifecycle_queries import CHUNKS_SQL
 from .scoring_queries import KEYS, cents, rolled_sql
 
 
@@ -31,7 +32,7 @@ def q_fixes_table(spark, sf_dir):
 
 def q_report_markdown(spark, sf_dir):
     note = reports.confidence_note(F.lit("combined"), F.lit("low"), F.lit(0), F.lit(0))
-    rows = reports.fixes_table(_fixes(spark, sf_dir)).where("report_id % 4 = 2")
+    rows = reports.fixes_table(_fixes(spark, sf_dir))
     return sinks.report_markdown(rows.select("report_id", F.concat(F.lit("Report "), F.col("report_id").cast("string")).alias("title"), F.lit("Summary.").alias("summary_md"), "markdown", note.alias("note")))
 
 
@@ -42,7 +43,7 @@ def q_confidence(spark, sf_dir):
 
 
 def q_prompt(spark, sf_dir):
-    rows = occurrence(spark, sf_dir).where("scan_id % 100 = 0 AND NOT is_unassessable")
+    rows = occurrence(spark, sf_dir).where("NOT is_unassessable")
     item = rows.select("scan_id", "package_name", F.col("staleness_days").alias("days_since_release"), "part_id", "supp_id", "line_no")
     return reports.prompt_json(item, "scan_id")
 
@@ -63,7 +64,7 @@ def q_history_rows(spark, sf_dir):
 
 
 def q_panel(spark, sf_dir):
-    rows = occurrence(spark, sf_dir).where("part_id < 100").select(*KEY, "is_deprecated", "deprecation_reason", "staleness_days")
+    rows = occurrence(spark, sf_dir).select(*KEY, "is_deprecated", "deprecation_reason", "staleness_days")
     return rows.select(*KEY, *[sinks.csv_text(c, kind) for c, kind in rows.dtypes if c not in KEY])
 
 
@@ -95,7 +96,7 @@ def q_advisory_fields(spark, sf_dir):
         F.when(k == 1, '{"last_affected": "4"}').otherwise('{"fixed": "2"}, {"fixed": "3"}'), F.lit(']}]}], "references": [{"type": "FIX", "url": "u"}'), F.when(k == 2, ', {"type": "WEB", "url": "w"}').otherwise(""), F.lit('], "word": "Moderate"}'),
     )
     shape = "struct<id: string, aliases: array<string>, severity: array<struct<score: string>>, affected: array<struct<package: struct<name: string>, severity: array<struct<score: string>>, ranges: array<struct<events: array<struct<introduced: string, fixed: string, last_affected: string>>>>>>, references: array<struct<type: string, url: string>>, word: string>"
-    d = table(spark, sf_dir, "events").where("event_id < 2000").select("event_id", F.from_json(body, shape).alias("d"))
+    d = table(spark, sf_dir, "events").select("event_id", F.from_json(body, shape).alias("d"))
     scores = lambda a: F.transform(F.coalesce(a, F.expr("CAST(array() AS array<struct<score: string>>)")), lambda s: s["score"])
     entry = adv.affected_entry(F.col("d.affected"), F.lit("pkg"))
     events = F.flatten(F.transform(entry["ranges"], lambda r: r["events"]))
@@ -149,7 +150,7 @@ QUERIES = {
     "report_markdown": Query(
         q_report_markdown,
         f"""WITH {_FIXES} SELECT report_id, '# Report ' || report_id || chr(10) || chr(10) || 'Summary.' || chr(10) || chr(10) || markdown || chr(10) || chr(10)
-|| '> Written from scan results alone; no documents were consulted.' AS document FROM tables WHERE report_id % 4 = 2""",
+|| '> Written from scan results alone; no documents were consulted.' AS document FROM tables""",
         "SNK07",
     ),
     "confidence_notes": Query(
@@ -162,7 +163,7 @@ ELSE 'Based on ' || event_id % 2 || ' cited of ' || event_id % 4 || ' retrieved
     "prompt_documents": Query(
         q_prompt,
         with_views("""SELECT scan_id, '{"dependencies":[' || string_agg('{' || coalesce('"days_since_release":' || staleness_days || ',', '') || '"line_no":' || line_no || ',"package_name":"' || package_name || '","part_id":' || part_id || ',"supp_id":' || supp_id || '}', ','
-  ORDER BY staleness_days NULLS FIRST, line_no, package_name, part_id, supp_id) || ']}' AS prompt FROM occurrence WHERE scan_id % 100 = 0 AND NOT is_unassessable GROUP BY scan_id""", "occurrence"),
+  ORDER BY staleness_days NULLS FIRST, line_no, package_name, part_id, supp_id) || ']}' AS prompt FROM occurrence WHERE NOT is_unassessable GROUP BY scan_id""", "occurrence"),
         "R09 X03 X20",
     ),
     "trace_rows": Query(
@@ -182,7 +183,7 @@ FROM supplier, (VALUES (0), (1), (2)) AS v(n) GROUP BY s_suppkey""",
     ),
     "csv_panel": Query(
         q_panel,
-        with_views(f"SELECT {KEYS}, CASE WHEN is_deprecated THEN 'True' ELSE 'False' END AS is_deprecated, coalesce(deprecation_reason, '') AS deprecation_reason, coalesce(staleness_days::VARCHAR, '') AS staleness_days FROM occurrence WHERE part_id < 100", "occurrence"),
+        with_views(f"SELECT {KEYS}, CASE WHEN is_deprecated THEN 'True' ELSE 'False' END AS is_deprecated, coalesce(deprecation_reason, '') AS deprecation_reason, coalesce(staleness_days::VARCHAR, '') AS staleness_days FROM occurrence", "occurrence"),
         "SNK05",
     ),
     "run_manifest": Query(
@@ -208,7 +209,7 @@ SELECT repository_id, 'f' || min(rank) FILTER (WHERE usable) AS path, CASE WHEN
     "advisory_fields": Query(
         q_advisory_fields,
         f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'cve-1' WHEN 3 THEN 'CVE-2000-' || event_id END AS cve_id, 10.0::DOUBLE AS cvss, {_AFTER} AS affected_range, CASE WHEN event_id % 4 <> 1 THEN '3' END AS fixed_version,
-CASE WHEN event_id % 4 = 2 THEN 'w' ELSE 'https://osv.dev/vulnerability/' || CASE WHEN event_id % 4 = 3 THEN 'CVE-2000-' ELSE 'GHSA-' END || event_id END AS source_url, 'medium' AS severity FROM events WHERE event_id < 2000""",
+CASE WHEN event_id % 4 = 2 THEN 'w' ELSE 'https://osv.dev/vulnerability/' || CASE WHEN event_id % 4 = 3 THEN 'CVE-2000-' ELSE 'GHSA-' END || event_id END AS source_url, 'medium' AS severity FROM events""",
         "FN12 FN13 FN14 FN15 FN16",
     ),
     "pypi_documents": Query(
@@ -224,5 +225,5 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN m % 1000 > 500
 l_returnflag || ' and x y' AS first_text, 'list' AS second_kind, '> ' || l_returnflag || chr(10) || '> b' AS quoted, CASE WHEN l_linenumber > 3 THEN '1.2' ELSE '' END AS tag FROM d""",
         "FN22 FN33 FN37 FN39",
     ),
-    "stored_chunks": Query(q_stored_chunks, None, "SNK09 R03"),
+    "stored_chunks": Query(q_stored_chunks, CHUNKS_SQL + "SELECT doc_id AS scan_id, count(*) AS n_chunks FROM kept GROUP BY doc_id", "SNK09 R03"),
 }

@@ -54,7 +54,7 @@ def test_pep440(spark):
 def test_behind(spark):
     released = ["1.0.0", "2.1.0", "2.1.3", "2.4.0", "2.4.1", "3.0.0", "5.0.0", "6.0.0-rc.1"]
     frame = spark.createDataFrame([(1, "2.1.0", v) for v in released], "k int, resolved string, version string")
-    row = ver.behind(frame, "k").first()
+    row = ver.behind(frame.select("k", "resolved").distinct(), frame.select("k", "version"), "k", "k").first()
     assert (row.behind_major, row.behind_minor, row.behind_patch) == (2, 1, 1)
     assert ver.latest(frame, "npm", "k").first().latest_version == "5.0.0"
 
