@@ -19,9 +19,11 @@ def targets(occurrences: DataFrame) -> DataFrame:
 
 
 def batches(found: DataFrame, *keys: str, size: int = BATCH) -> DataFrame:
-    """Numbers targets within batches: hashed into buckets of about ``size``, so no global order is needed."""
-    count = F.greatest(F.lit(1), F.ceil(F.lit(found.count()) / size)).cast("int")
-    return found.withColumn("batch", F.pmod(F.xxhash64(*keys), count))
+    """Puts targets into batches of ``size`` at most: hashed into buckets of about that many, and what a bucket has beyond it goes on in further batches."""
+    count = F.greatest(F.lit(1), F.ceil(F.lit(found.count()) / size)).cast("long")
+    bucket = F.pmod(F.xxhash64(*keys), count)
+    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*keys)) - 1
+    return found.withColumn("__bucket", bucket).withColumn("batch", F.col("__bucket") + count * F.floor(place / size)).drop("__bucket")
 
 
 def with_facts(occurrences: DataFrame, facts: DataFrame) -> DataFrame:

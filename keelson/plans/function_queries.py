@@ -149,7 +149,9 @@ def _tree(spark, sf_dir):
     folder = F.concat(F.lit("d"), (p % 7).cast("string"), F.when(p % 3 == 0, F.concat(F.lit("/e"), (p % 2).cast("string"))).otherwise(""))
     name = F.element_at(F.array(*map(F.lit, ("package.json", "package-lock.json", "npm-shrinkwrap.json", "pyproject.toml", "poetry.lock", "README.md"))), (F.floor(p / 7) % 6 + 1).cast("int"))
     rows = table(spark, sf_dir, "pages").select((p % 5).alias("scan_id"), F.concat_ws("/", folder, name).alias("path")).distinct()
-    return rows.select("scan_id", "path", F.lit("blob").alias("type"), F.lit("s").alias("sha"), F.lit(1).cast("long").alias("size"))
+    entry = F.struct("path", F.lit("blob").alias("type"), F.lit("s").alias("sha"), F.lit(1).alias("size"))
+    bodies = rows.select("scan_id", F.to_json(F.struct(F.lit(False).alias("truncated"), F.array(entry).alias("tree"))).alias("body"))
+    return paths.tree_entries(bodies, "body", "scan_id")
 
 
 def q_plan(spark, sf_dir):
@@ -169,6 +171,32 @@ SELECT o.scan_id, position, o.ecosystem, o.folder || '/' || name AS path,
 FROM owned o LEFT JOIN locks USING (scan_id, folder, ecosystem) WHERE position <= 50"""
 
 
+def q_skipped(spark, sf_dir):
+    """Every third planned manifest counts as malformed."""
+    tree = _tree(spark, sf_dir)
+    planned = paths.plan(tree)
+    return paths.skipped(tree, planned, planned.where("position % 3 = 0")).select("scan_id", F.col("skipped_manifest_count").cast("long").alias("skipped"))
+
+
+def q_workspace_lists(spark, sf_dir):
+    p = F.col("page_id")
+    body = F.element_at(F.array(*map(F.lit, ('{"workspaces": ["a/*", 1, "b"]}', '{"workspaces": {"packages": ["c"]}}', '{"workspaces": "x"}', "{}", "[]"))), (p % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.coalesce(paths.workspace_globs(F.try_parse_json(body)), F.array().cast("array<string>")), "|").alias("globs"))
+
+
+def q_packuments(spark, sf_dir):
+    p = F.col("p_partkey")
+    url = F.concat(F.lit("https://host/r"), p.cast("string"))
+    repository = F.when(p % 3 == 0, F.concat(F.lit('"'), url, F.lit('"'))).when(p % 3 == 1, F.concat(F.lit('{"url": "'), url, F.lit('"}'))).otherwise("7")
+    body = F.concat(F.lit('{"dist-tags": {"latest": "1.'), (p % 9).cast("string"), F.lit('.0"}, "versions": {"1.0.0": {}, "2.0.0": {"deprecated": "x"}}, "time": {"1.0.0": "2020-01-02"}, "repository": '), repository, F.lit("}"))
+    found = npm.packument(F.try_parse_json(body))
+    return table(spark, sf_dir, "part").select("p_partkey", found.alias("d")).select("p_partkey", "d.latest", F.size("d.versions").alias("n_versions"), F.element_at("d.times", F.lit("1.0.0")).alias("first_time"), F.when(p % 3 != 2, F.col("d.repository")).alias("repository"))
+
+
+def q_osv_ecosystems(spark, sf_dir):
+    return occurrence(spark, sf_dir, named=False).select("ecosystem", adv.osv_ecosystem(F.col("ecosystem")).alias("osv_name")).distinct()
+
+
 def q_workspace_globs(spark, sf_dir):
     p = F.col("page_id")
     folder = F.element_at(F.array(*map(F.lit, ("packages/a", "packages/a/b", "packages/x", "", "apps/web"))), (p % 5 + 1).cast("int"))
@@ -298,6 +326,16 @@ SELECT event_id, CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN NULL WHEN
         f"SELECT page_id, {_list(_PATHS)}[1 + page_id % 12] AS path, {_cases('page_id % 12', _OWNERS)} AS adapter, {_list(_GROUPS)}[1 + page_id % 12] AS dependency_group FROM pages",
         "TVF01 TVF02 X13",
     ),
+    "skipped_manifests": Query(
+        q_skipped, f"SELECT scan_id, count(*) FILTER (WHERE position % 3 = 0)::BIGINT AS skipped FROM ({PLAN_SQL}) GROUP BY scan_id", "TVF04"
+    ),
+    "workspace_lists": Query(q_workspace_lists, "SELECT page_id, ['a/*|b', 'c', '', '', ''][1 + page_id % 5] AS globs FROM pages", "TVF07"),
+    "packuments": Query(
+        q_packuments,
+        """SELECT p_partkey, '1.' || (p_partkey % 9) || '.0' AS latest, 2 AS n_versions, '2020-01-02' AS first_time, CASE WHEN p_partkey % 3 <> 2 THEN 'https://host/r' || p_partkey END AS repository FROM part""",
+        "SRC03",
+    ),
+    "osv_ecosystems": Query(q_osv_ecosystems, with_views("SELECT DISTINCT ecosystem, CASE ecosystem WHEN 'npm' THEN 'npm' WHEN 'pypi' THEN 'PyPI' END AS osv_name FROM occurrence", "occurrence"), "X16"),
     "manifest_plan": Query(q_plan, PLAN_SQL, "TVF03 T07 J15 SRC01"),
     "workspace_globs": Query(
         q_workspace_globs,
