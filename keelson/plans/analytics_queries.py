@@ -375,6 +375,6 @@ FROM occurrence JOIN (SELECT scan_id, repository_id, status FROM scan_run) USING
         "J01 J02 SRC11",
     ),
     "props_json_extract": Query(
-        q_props, "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS INT)) AS BIGINT) AS total, max(CAST(json_extract(props, '$.k') AS INT)) AS top FROM events GROUP BY event_type", "SRC03 X15"
+        q_props, "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS INT)) AS BIGINT) AS total, max(CAST(json_extract(props, '$.k') AS INT)) AS top FROM events GROUP BY event_type", "X15"
     ),
 }

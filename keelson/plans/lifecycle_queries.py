@@ -133,6 +133,30 @@ def q_advisory_lookup(spark, sf_dir):
     return rows.join(probabilities, "cve_id", "left").select(*KEY, "i", "cve_id", "epss")
 
 
+def _declared(spark, sf_dir):
+    version = F.when(F.col("line_no") != 2, F.col("resolved_version"))
+    reason = F.when(F.col("is_unassessable"), "git_specifier")
+    return occurrence(spark, sf_dir).select(*KEY, "ecosystem", F.col("package_name").alias("name"), version.alias("resolved_version"), "is_unassessable", reason.alias("unassessable_reason"))
+
+
+def q_advisory_batches(spark, sf_dir):
+    """How many targets are asked for, and whether a batch has more than it may."""
+    found = enrich.batches(enrich.targets(_declared(spark, sf_dir)), "ecosystem", "name", "resolved_version")
+    return found.groupBy("batch").agg(F.count("*").alias("n")).agg(F.sum("n").alias("targets"), F.coalesce(F.max("n") > enrich.BATCH, F.lit(False)).alias("too_large"))
+
+
+def q_advisory_path(spark, sf_dir):
+    """Ids by name and version (none to two of each), documents by id (some are missing), probabilities by CVE."""
+    rows = _declared(spark, sf_dir)
+    many = F.length("name") % 3
+    asked = enrich.targets(rows).where("resolved_version IS NOT NULL").withColumn("i", F.explode(F.when(many > 0, F.sequence(F.lit(1), many)))).withColumn("osv_id", F.concat_ws("-", F.lit("OSV"), "name", "resolved_version", "i"))
+    hits = asked.select("ecosystem", "name", F.col("resolved_version").alias("version"), "osv_id")
+    document = F.when((F.col("i") == 1) | (F.length("name") % 2 == 1), "{}")
+    documents = asked.select("osv_id", document.alias("document"), F.when(F.col("i") == 1, F.concat(F.lit(" cve-2024-"), 1000 + F.length("name"))).alias("cve_id"))
+    chance = table(spark, sf_dir, "part").select(F.concat(F.lit("CVE-2024-"), F.col("p_partkey") + 900).alias("cve"), (F.col("p_partkey") % 100).alias("epss"))
+    return enrich.advisories(rows, hits, documents, chance).select(*KEY, "osv_id", F.trim("cve_id").alias("cve_id"), "epss")
+
+
 def _queries(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
     return vectors.select(F.col("vec_id").alias("query_id"), F.col("label").alias("package_key"), F.col("embedding").alias("query_vector"))
@@ -311,10 +335,24 @@ SELECT {KEYS}, f.ecosystem IS NOT NULL AS has_facts FROM rows r LEFT JOIN facts
         with_views(f"SELECT {KEYS}, CASE WHEN line_no = 4 THEN 'git_specifier' WHEN part_id % 10 = 0 THEN 'registry_unavailable' WHEN part_id % 15 = 0 THEN 'not_in_registry' END AS reason FROM occurrence", "occurrence"),
         "P06 P09",
     ),
+    "advisory_batches": Query(
+        q_advisory_batches,
+        with_views("""SELECT count(*)::BIGINT AS targets, false AS too_large
+FROM (SELECT DISTINCT ecosystem, package_name, CASE WHEN line_no <> 2 THEN resolved_version END AS v FROM occurrence WHERE NOT is_unassessable)""", "occurrence"),
+        "SRC05 S04",
+    ),
+    "advisory_path": Query(
+        q_advisory_path,
+        with_views(f"""rows AS (SELECT {KEYS}, package_name AS name, resolved_version AS v FROM occurrence WHERE NOT is_unassessable AND line_no <> 2),
+ids AS (SELECT *, unnest(range(1, length(name) % 3 + 1)) AS i FROM rows)
+SELECT {KEYS}, 'OSV-' || name || '-' || v || '-' || i AS osv_id, CASE WHEN i = 1 THEN 'cve-2024-' || (1000 + length(name)) END AS cve_id, CASE WHEN i = 1 THEN p_partkey % 100 END AS epss
+FROM ids LEFT JOIN part ON p_partkey = 100 + length(name) WHERE i = 1 OR length(name) % 2 = 1""", "occurrence"),
+        "J06 SRC06",
+    ),
     "advisory_probabilities": Query(
         q_advisory_lookup,
         with_views(f"SELECT {KEYS}, i, cve_id, p_partkey % 100 AS epss FROM advisory LEFT JOIN part ON cve_id = 'CVE-2024-' || (p_partkey + 900)", "advisory"),
-        "J06 J07 SRC05 SRC06 SRC07",
+        "J07 SRC07",
     ),
     "cosine_topk": Query(q_cosine, with_views(_COSINE + "\nSELECT query_id, position::INT AS position, chunk_id, similarity FROM placed WHERE position <= 5", "chunk"), "R05 R06 T09"),
     "grounding_gate": Query(
