@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .advisories import instant
+
 # The published grammars.
 SEMVER = r"^v?(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(?:-((?:0|[1-9]\d*|\d*[A-Za-z-][0-9A-Za-z-]*)(?:\.(?:0|[1-9]\d*|\d*[A-Za-z-][0-9A-Za-z-]*))*))?(?:\+([0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*))?$"
 PEP440 = r"(?i)^v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?([0-9]+)?)?(?:-([0-9]+)|[-_.]?(post|rev|r)[-_.]?([0-9]+)?)?([-_.]?dev([0-9]+)?)?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?$"
@@ -93,6 +95,13 @@ def latest(releases: DataFrame, ecosystem: str, *keys: str, version: str = "vers
     return ranked.groupBy(*keys).agg(F.max_by(raw, F.struct("__stable", "__key")).alias("latest_version"))
 
 
+def latest_release_time(times: Column, latest_version: Column, published: Column) -> Column:
+    """The time of the latest version, else the newest time of a published one; entries that are no version never count."""
+    named = instant(F.try_element_at(times, latest_version))
+    others = F.transform(F.filter(F.map_entries(times), lambda e: F.array_contains(published, e["key"])), lambda e: instant(e["value"]))
+    return F.coalesce(named, F.array_max(others))
+
+
 def behind(own: DataFrame, releases: DataFrame, on: str, *keys: str, version: str = "version", resolved: str = "resolved") -> DataFrame:
     """Distinct published majors above the resolved version, minors above it within its major, and
     patches above it within its minor; stable releases only. ``releases`` has a row per release and

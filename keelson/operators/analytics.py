@@ -160,3 +160,36 @@ def capped_lines(lines: DataFrame, most: int = 40) -> DataFrame:
     total = lines.groupBy("subject_id").agg(F.count("*").alias("total"))
     kept = lines.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
     return kept.join(total, "subject_id").withColumn("omitted", F.greatest(F.col("total") - most, F.lit(0))).drop("total")
+
+
+def with_report(occurrences: DataFrame, reports: DataFrame, *keys: str) -> DataFrame:
+    """Each occurrence with the state of its newest report on it alone, null where it has none.
+
+    Reports are cut to that kind and to three fields before the join, so no document is moved. Of reports
+    of one time the larger id counts.
+    """
+    own = reports.where("report_type = 'per_dependency'")
+    newest = own.groupBy(*keys).agg(F.max(F.struct("created_on", "report_id", "status", "generated_on")).alias("r"))
+    state = newest.select(*keys, F.struct("r.report_id", "r.status", "r.generated_on").alias("report"))
+    return occurrences.join(state, list(keys), "left")
+
+
+#: How each kind of row is listed where nothing else is asked for; the last column breaks ties.
+DEFAULT_ORDER = {
+    "scan": ("-created_on", "-scan_id"),
+    "manifest": ("manifest_path",),
+    "package": ("ecosystem", "package_name"),
+    "occurrence": ("manifest_path", "package_name", "part_id", "supp_id", "line_no"),
+    "advisory": ("osv_id", "i"),
+    "repository": ("-registered_on", "-repository_id"),
+    "project": ("name", "created_on", "project_id"),
+}
+
+
+def default_order(kind: str) -> list[Column]:
+    return [F.col(c[1:]).desc_nulls_last() if c.startswith("-") else F.col(c).asc_nulls_first() for c in DEFAULT_ORDER[kind]]
+
+
+def listed(rows: DataFrame, kind: str, parent: str) -> DataFrame:
+    """Position from 1 of each row in the list of its parent. Parents bound the lists; there is no order over a whole table."""
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(parent).orderBy(*default_order(kind))))

@@ -90,3 +90,10 @@ def preferred_document(documents: DataFrame, key: str, most_bytes: int = 500_000
 
 def numbered(rows: DataFrame, *keys: str, order: str) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+
+
+def answered(questions: Column, answers: Column) -> Column:
+    """Questions with the answers at their places, as structs; a batch whose lengths differ fails the job."""
+    told = F.concat(F.lit("questions and answers differ in number: "), F.size(questions).cast("string"), F.lit(", "), F.size(answers).cast("string"))
+    pairs = F.zip_with(questions, answers, lambda q, a: F.struct(q.alias("question"), a.alias("answer")))
+    return F.when(F.size(questions) == F.size(answers), pairs).otherwise(F.raise_error(told))

@@ -64,6 +64,17 @@ def upsert(known: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
     return known.unionByName(fresh)
 
 
+def updated(rows: DataFrame, fresh: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with the columns of ``fresh`` in place of their own where ``fresh`` has the key; a null there counts too.
+
+    ``fresh`` has one row a key. Doing it again changes nothing; null keys meet nothing.
+    """
+    columns = [c for c in fresh.columns if c not in keys]
+    joined = rows.join(fresh.select(*keys, F.struct(*columns).alias("__new")), list(keys), "left")
+    new = lambda c: F.when(F.col("__new").isNotNull(), F.col("__new")[c]).otherwise(F.col(c)).alias(c)
+    return joined.select(*[new(c) if c in columns else F.col(c) for c in rows.columns])
+
+
 FAILURES = {"rate_limited": "The service is busy; try again later.", "unauthorized": "Sign in again.", "timeout": "It took too long.", "invalid_payload": "The answer could not be read."}
 OTHER_FAILURE = "Something went wrong."
 

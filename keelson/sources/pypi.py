@@ -7,6 +7,7 @@ only a parser reads, so those manifests go through a table function per file, Ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,11 +20,14 @@ from .paths import requirements_group
 # Option spellings of requirement files.
 OPTIONS = r"(?i)^(?:-r|--requirement|-c|--constraint|-i|--index-url|--extra-index-url|--no-index|-f|--find-links|--no-binary|--only-binary|--prefer-binary|--require-hashes|--pre|--trusted-host|--use-feature|--no-deps)"
 EDITABLE = r"(?i)^(?:-e|--editable)\s*=?\s*"
-REQUIREMENT = r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[([^\]]*)\])?\s*(.*)$"
-EGG = r"[#&]egg=([A-Za-z0-9][A-Za-z0-9._-]*)"
-GROUPS = {"install_requires": "runtime", "tests_require": "development", "setup_requires": "build", "extras_require": "optional"}
+GROUPS = {"install_requires": "runtime", "setup_requires": "build", "tests_require": "development", "extras_require": "optional"}
 EXCERPT = 120
 
+# A name as PEP 508 has it, then extras in brackets, then what remains; a fragment names its project by egg=.
+NAME = r"([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)"
+REQUIREMENT = rf"(?s)^{NAME}\s*(?:\[([^\]]*)\])?\s*(.*)$"
+EGG = rf"[#&]egg={NAME}"
+
 
 def logical_lines(text: Column) -> Column:
     """Lines with continuations joined, comments and hash options dropped, and blanks left out."""
@@ -50,7 +54,7 @@ def requirement(line: Column) -> Column:
     option = ~editable & text.startswith("-")
     reason, egg = reference_class(body), F.regexp_extract(body, EGG, 1)
     rest = F.trim(F.regexp_extract(body, REQUIREMENT, 3))
-    target = F.trim(F.substring(rest, 2, 100_000))
+    target = F.trim(F.regexp_replace(rest, "^@", ""))
     one = lambda name, spec, pin, why: F.struct(normalised_name(name).alias("name"), spec.alias("declared_specifier"), pin.alias("resolved_version"), why.alias("reason"))
     none = F.lit(None).cast("string")
     return (
@@ -74,138 +78,168 @@ def requirements(files: DataFrame, *keys: str, path: str = "path", text: str = "
 # --------------------------------------------------------------- parsed files
 
 
-def _constraint(value) -> str:
-    if isinstance(value, str):
-        return value
-    if isinstance(value, dict):
-        for key in ("git", "url", "path"):
-            if key in value:
-                return {"git": "git+", "url": "", "path": "file:"}[key] + str(value[key])
-        return str(value.get("version", ""))
-    return str(value[0].get("version", "")) if isinstance(value, list) and value and isinstance(value[0], dict) else ""
+class Entry(NamedTuple):
+    """A requirement line (``specifier`` null), or a name with what is declared for it."""
+
+    entry: str
+    specifier: str | None
+    grp: str = ""
+    reason: str | None = None
+    pins: bool = True  # whether an exact specifier resolves the version
+
+
+# Keys of a dependency table that refer to something outside the registry.
+POETRY_REFERENCES = {"git": "vcs_specifier", "url": "url_specifier", "path": "local_path_specifier"}
+PIPFILE_REFERENCES = {"git": "vcs_specifier", "file": "url_specifier", "path": "local_path_specifier"}
+
+
+def _table(value) -> dict:
+    return value if isinstance(value, dict) else {}
+
 
+def _strings(value) -> list[str]:
+    return [x for x in value if isinstance(x, str)] if isinstance(value, list) else []
 
-def pyproject_entries(text: str) -> Iterator[tuple[str, str, str]]:
-    """(line or name, specifier or '', group) in order of precedence; a line has its specifier inside."""
+
+def _block(block, group: str, references: dict[str, str], lists: bool) -> Iterator[Entry]:
+    """A table of names; values of no known shape declare nothing."""
+    for name, value in _table(block).items():
+        if isinstance(value, str):
+            yield Entry(name, value, group)
+        elif isinstance(value, dict):
+            used = next((key for key in references if value.get(key)), None)
+            if used:
+                yield Entry(name, f"{used} = {value[used]}", group, references[used])
+            else:
+                yield Entry(name, "".join(_strings([value.get("version")])), group)
+        elif lists and isinstance(value, list):
+            yield Entry(name, " || ".join(_strings([_table(x).get("version") for x in value])), group, None, False)
+
+
+def pyproject_entries(text: str) -> Iterator[Entry]:
+    """Both the standard table and Poetry's, in order of precedence."""
     import tomllib
 
     document = tomllib.loads(text)
-    project = document.get("project") or {}
-    for line in project.get("dependencies") or []:
-        yield line, "", "runtime"
-    for lines in (project.get("optional-dependencies") or {}).values():
-        for line in lines:
-            yield line, "", "optional"
-    poetry = (document.get("tool") or {}).get("poetry") or {}
+    project = _table(document.get("project"))
+    yield from (Entry(line, None, "runtime") for line in _strings(project.get("dependencies")))
+    for lines in _table(project.get("optional-dependencies")).values():
+        yield from (Entry(line, None, "optional") for line in _strings(lines))
+    poetry = _table(_table(document.get("tool")).get("poetry"))
     blocks = [(poetry.get("dependencies"), "runtime"), (poetry.get("dev-dependencies"), "development")]
-    blocks += [((g or {}).get("dependencies"), "development") for g in (poetry.get("group") or {}).values()]
+    blocks += [(_table(g).get("dependencies"), "development") for g in _table(poetry.get("group")).values()]
     for block, group in blocks:
-        for name, value in (block or {}).items():
-            if name.lower() != "python":
-                yield name, _constraint(value) or "*", group
+        yield from (e for e in _block(block, group, POETRY_REFERENCES, True) if e.entry.lower() != "python")
 
 
-def pipfile_entries(text: str) -> Iterator[tuple[str, str, str]]:
+def pipfile_entries(text: str) -> Iterator[Entry]:
     import tomllib
 
     document = tomllib.loads(text)
-    for block, group in (("packages", "runtime"), ("dev-packages", "development")):
-        for name, value in (document.get(block) or {}).items():
-            yield name, _constraint(value) or "*", group
+    yield from _block(document.get("packages"), "runtime", PIPFILE_REFERENCES, False)
+    yield from _block(document.get("dev-packages"), "development", PIPFILE_REFERENCES, False)
+
 
+def setup_entries(text: str) -> Iterator[Entry]:
+    """Keywords of the setup call, read without running anything: literals, names bound to literals, sums of lists.
 
-def setup_entries(text: str) -> Iterator[tuple[str, str, str]]:
-    """Keywords of the setup call, read without running anything: literals, module-level names, joined lists."""
+    A keyword of which something cannot be read gives one more row, with an excerpt of its source.
+    """
     import ast
 
-    tree = ast.parse(text)
-    names = {t.id: node.value for node in tree.body if isinstance(node, ast.Assign) for t in node.targets if isinstance(t, ast.Name)}
-
-    def value(node, seen=()):
-        if isinstance(node, ast.Name) and node.id in names and node.id not in seen:
-            return value(names[node.id], (*seen, node.id))
-        if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
-            return value(node.left, seen) + value(node.right, seen)
-        return ast.literal_eval(node)
-
-    for call in (n for n in ast.walk(tree) if isinstance(n, ast.Call)):
-        if getattr(call.func, "id", getattr(call.func, "attr", "")) != "setup":
-            continue
-        for keyword in call.keywords:
-            if keyword.arg not in GROUPS:
-                continue
+    tree, known = ast.parse(text), {}
+    for node in tree.body:
+        if isinstance(node, ast.Assign):
             try:
-                found = value(keyword.value)
-                lines = [x for extra in found.values() for x in extra] if isinstance(found, dict) else [found] if isinstance(found, str) else list(found)
-                for line in lines:
-                    yield str(line), "", GROUPS[keyword.arg]
+                known |= dict.fromkeys((t.id for t in node.targets if isinstance(t, ast.Name)), ast.literal_eval(node.value))
             except (ValueError, TypeError, SyntaxError):
-                yield f"setup.py:{keyword.arg}", "\0" + ast.unparse(keyword.value)[:EXCERPT], GROUPS[keyword.arg]
-
-
-def poetry_lock(text: str) -> Iterator[tuple[str, str, str]]:
+                pass  # not a literal: the name stays unknown
+
+    def static(node):
+        match node:
+            case ast.Name(id=name) if name in known:
+                return known[name]
+            case ast.BinOp(left=left, op=ast.Add(), right=right):
+                both = static(left), static(right)
+                return both[0] + both[1] if all(isinstance(x, list) for x in both) else None
+        try:
+            return ast.literal_eval(node)
+        except (ValueError, TypeError, SyntaxError):
+            return None
+
+    call = next((n for n in ast.walk(tree) if isinstance(n, ast.Call) and getattr(n.func, "id", getattr(n.func, "attr", "")) == "setup"), None)
+    given = {k.arg: k.value for k in call.keywords} if call else {}
+    for keyword in (k for k in GROUPS if k in given):
+        found = static(given[keyword])
+        lists = list(found.values()) if keyword == "extras_require" and isinstance(found, dict) else [found if keyword != "extras_require" else None]
+        readable = all(isinstance(x, (list, tuple)) for x in lists)
+        lines = [line for x in lists for line in x] if readable else []
+        yield from (Entry(line, None, GROUPS[keyword]) for line in lines if isinstance(line, str))
+        if not readable or not all(isinstance(line, str) for line in lines):
+            excerpt = " ".join((ast.get_source_segment(text, given[keyword]) or "").split())
+            yield Entry(f"setup.py:{keyword}", excerpt if len(excerpt) <= EXCERPT else excerpt[: EXCERPT - 3] + "...", GROUPS[keyword], "dynamic_setup_py")
+
+
+def poetry_lock(text: str) -> Iterator[Entry]:
     import tomllib
 
-    for package in tomllib.loads(text).get("package") or []:
-        yield package["name"], str(package.get("version", "")), ""
+    packages = tomllib.loads(text).get("package")
+    for package in map(_table, packages if isinstance(packages, list) else []):
+        if _strings([package.get("name"), package.get("version")])[1:]:
+            yield Entry(package["name"], package["version"], pins=False)
 
 
-def pipfile_lock(text: str) -> Iterator[tuple[str, str, str]]:
+def pipfile_lock(text: str) -> Iterator[Entry]:
+    """The earliest entry of a name counts, so it comes last."""
     import json
 
-    document, seen = json.loads(text), set()
-    for block in ("default", "develop"):
-        for name, entry in (document.get(block) or {}).items():
-            version = str((entry or {}).get("version", ""))
-            if name not in seen and version.startswith("=="):
-                seen.add(name)
-                yield name, version[2:], ""
+    document = _table(json.loads(text))
+    for block in ("develop", "default"):
+        for name, entry in reversed(_table(document.get(block)).items()):
+            yield Entry(name, str(_table(entry).get("version") or ""))
 
 
 READERS = {"pyproject": pyproject_entries, "pipfile": pipfile_entries, "setup_py": setup_entries, "poetry.lock": poetry_lock, "Pipfile.lock": pipfile_lock}
 
 
 def entries(files: DataFrame, key: str, kind: str = "kind", body: str = "text") -> DataFrame:
-    """key, at, entry, specifier, grp, error: what each file declares, in order. A bad file gives one row with its error."""
+    """What each file declares, in order (``at``): the fields of ``Entry``. A bad or missing file gives one row with its error."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for name, what, text in zip(frame["k"], frame["kind"], frame["body"]):
                 try:
-                    out += [(name, n, e, s, g, None) for n, (e, s, g) in enumerate(READERS[what](text))]
+                    out += [(name, n, *entry, None) for n, entry in enumerate(READERS[what](text))]
                 except Exception as error:  # whatever is wrong with a file loses that file alone
-                    out.append((name, -1, None, None, None, type(error).__name__))
-            yield pd.DataFrame(out, columns=["k", "at", "entry", "specifier", "grp", "error"])
+                    out.append((name, -1, None, None, None, None, None, type(error).__name__))
+            yield pd.DataFrame(out, columns=["k", "at", *Entry._fields, "error"])
 
     rows = files.select(F.col(key).cast("string").alias("k"), F.col(kind).alias("kind"), F.col(body).cast("string").alias("body"))
-    return rows.mapInPandas(read, "k string, at int, entry string, specifier string, grp string, error string").withColumnRenamed("k", key)
+    return rows.mapInPandas(read, "k string, at int, entry string, specifier string, grp string, reason string, pins boolean, error string").withColumnRenamed("k", key)
 
 
 def declared(files: DataFrame, key: str, kind: str = "kind", body: str = "text") -> DataFrame:
     """Dependencies of pyproject, Pipfile and setup.py files; the first mention of a name wins in a file."""
     found = entries(files, key, kind, body).where("error IS NULL")
-    dynamic = F.col("specifier").startswith("\0")
-    line = F.when(F.col("specifier") == "", F.col("entry")).otherwise(F.concat("entry", F.lit(" "), "specifier"))
-    parsed = F.when(
-        dynamic, F.struct(F.col("entry").alias("name"), F.substring("specifier", 2, EXCERPT).alias("declared_specifier"), F.lit(None).cast("string").alias("resolved_version"), F.lit("dynamic_setup_py").alias("reason"))
-    ).when(
-        (F.col("specifier") != "") & reference_class(F.col("specifier")).isNotNull(),
-        F.struct(normalised_name(F.col("entry")).alias("name"), F.col("specifier").alias("declared_specifier"), F.lit(None).cast("string").alias("resolved_version"), reference_class(F.col("specifier")).alias("reason")),
-    ).when(
-        F.col("specifier") != "",
-        F.struct(normalised_name(F.col("entry")).alias("name"), F.col("specifier").alias("declared_specifier"), pep440_pin(F.col("specifier")).alias("resolved_version"), F.lit(None).cast("string").alias("reason")),
-    ).otherwise(requirement(line))
-    rows = found.withColumn("r", parsed).where("r IS NOT NULL")
+    spec, dynamic = F.col("specifier"), F.col("reason") == "dynamic_setup_py"
+    stated = F.struct(
+        F.when(dynamic, F.col("entry")).otherwise(normalised_name(F.col("entry"))).alias("name"),
+        spec.alias("declared_specifier"),
+        F.when(F.col("reason").isNull() & F.col("pins"), pep440_pin(spec)).alias("resolved_version"),
+        F.col("reason"),
+    )
+    rows = found.withColumn("r", F.when(spec.isNull(), requirement(F.col("entry"))).otherwise(stated)).where("r IS NOT NULL AND r.name <> ''")
     first = Window.partitionBy(key, "r.name").orderBy("at")
     kept = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1")
     return kept.select(key, "r.name", "r.declared_specifier", "r.resolved_version", F.col("r.reason").alias("unassessable_reason"), F.col("grp").alias("dependency_group"))
 
 
 def locked(files: DataFrame, key: str, kind: str = "kind", body: str = "text") -> DataFrame:
-    """name, version of lockfiles; of a name that poetry.lock repeats, the last counts."""
-    rows = entries(files, key, kind, body).where("error IS NULL AND specifier <> ''")
-    return rows.groupBy(key, normalised_name(F.col("entry")).alias("name")).agg(F.max_by("specifier", "at").alias("version"))
+    """name, version of lockfiles: of a name that poetry.lock repeats the last counts, of Pipfile.lock the first exact pin."""
+    version = F.when(F.col("pins"), pep440_pin(F.col("specifier"))).otherwise(F.col("specifier"))
+    rows = entries(files, key, kind, body).where("error IS NULL").withColumn("version", version).where("version <> ''")
+    return rows.groupBy(key, normalised_name(F.col("entry")).alias("name")).agg(F.max_by("version", "at").alias("version"))
 
 
 def apply_lock(rows: DataFrame, locks: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,8 +13,19 @@ def csv_text(column: str, kind: str) -> Column:
     return F.coalesce(text, F.lit("")).alias(column)
 
 
+#: A quote inside a cell is doubled, and a cell may hold line ends.
+CSV = {"header": "true", "escape": '"', "emptyValue": ""}
+
+
 def write_panel(rows: DataFrame, path: str) -> None:
-    rows.select(*[csv_text(c, kind) for c, kind in rows.dtypes]).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    """CSV files with a header in a folder, a file a task."""
+    rows.select(*[csv_text(c, kind) for c, kind in rows.dtypes]).write.mode("overwrite").options(**CSV).csv(path)
+
+
+def read_panel(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """The cells of a panel as text."""
+    shape = ", ".join(f"`{c}` string" for c in columns)
+    return spark.read.schema(shape).options(**CSV, multiLine="true", enforceSchema="false").csv(path).na.fill("")
 
 
 def manifest(panel: DataFrame, version: str, source: str | None) -> DataFrame:

@@ -1,12 +1,13 @@
 import itertools
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from keelson.functions import advisories as adv
 from keelson.functions import text as tx
 from keelson.functions import versions as ver
-from keelson.operators import reports, retrieval
+from keelson.operators import enrich, lifecycle, reports, retrieval
 from keelson.sources import npm, paths, pypi
 
 
@@ -84,7 +85,7 @@ def test_parsed_manifests(spark):
     assert got == {
         ("p", "a-b"): (">=1", None, None, "runtime"),
         ("p", "c"): ("==2.0", "2.0", None, "runtime"),
-        ("p", "d"): ("git+https://h/d.git", None, "vcs_specifier", "runtime"),
+        ("p", "d"): ("git = https://h/d.git", None, "vcs_specifier", "runtime"),
         ("f", "q"): ("==1.5", "1.5", None, "runtime"),
         ("f", "r"): ("*", None, None, "development"),
         ("s", "a"): ("==1", "1", None, "runtime"),
@@ -134,3 +135,44 @@ def test_grounding(spark):
 
 def test_payload_is_an_object(spark):
     assert values(spark, reports.parsed(F.col("x")).isNull(), ["[1]", "oops", "3", '{"fixes": []}', None]) == [True, True, True, False, True]
+
+
+def test_parsed_manifests_of_odd_shapes(spark):
+    files = [
+        ("strings", "pyproject", '[project]\ndependencies = "a"\n[tool.poetry]\ndependencies = ["b"]\n'),
+        ("mixed", "pyproject", '[project]\ndependencies = ["a", 1, "", "-r x"]\n'),
+        ("empty", "pipfile", ""),
+        ("no call", "setup_py", "x = 1"),
+        ("sum", "setup_py", 'R = ["a"]\nS = R + ["z"]\nif 1:\n    setup(install_requires=R + ["b", 3], tests_require=S, extras_require={"t": "c"})\n'),
+        ("long", "setup_py", f"setup(install_requires={'f' * 200}())"),
+        (None, "pyproject", None),
+    ]
+    frame = spark.createDataFrame(files, "path string, kind string, text string")
+    got = sorted((r.path, r.name, r.declared_specifier, r.unassessable_reason) for r in pypi.declared(frame, "path").collect())
+    assert got == [
+        ("long", "setup.py:install_requires", "f" * 117 + "...", "dynamic_setup_py"),
+        ("mixed", "a", "", None),
+        ("sum", "a", "", None),
+        ("sum", "b", "", None),
+        ("sum", "setup.py:extras_require", '{"t": "c"}', "dynamic_setup_py"),
+        ("sum", "setup.py:install_requires", 'R + ["b", 3]', "dynamic_setup_py"),
+        ("sum", "setup.py:tests_require", "S", "dynamic_setup_py"),
+    ]
+    locks = [("l", "poetry.lock", '[[package]]\nname = "a"\nversion = 1\n'), ("m", "Pipfile.lock", '{"default": {"a": "x", "b": {"version": "==2"}}, "develop": []}'), ("n", "Pipfile.lock", "[]")]
+    found = pypi.locked(spark.createDataFrame(locks, "path string, kind string, text string"), "path").collect()
+    assert [tuple(r) for r in found] == [("m", "b", "2")]
+
+
+def test_answers_of_another_number_fail(spark):
+    frame = spark.createDataFrame([(["a", "b"], ["x"])], "q array<string>, a array<string>")
+    with pytest.raises(Exception, match="differ in number"):
+        frame.select(enrich.answered(F.col("q"), F.col("a"))).collect()
+    assert frame.select(enrich.answered(F.array(), F.array()).alias("x")).first().x == []
+
+
+def test_update_keeps_what_is_not_named(spark):
+    rows = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (None, "c", 7)], "k int, v string, w int")
+    fresh = spark.createDataFrame([(1, None), (3, "z"), (None, "n")], "k int, v string")
+    got = sorted(lifecycle.updated(rows, fresh, "k").collect(), key=lambda r: r.w)
+    assert [tuple(r) for r in got] == [(1, None, 5), (2, "b", 6), (None, "c", 7)]
+    assert lifecycle.updated(rows, fresh.limit(0), "k").count() == 3
