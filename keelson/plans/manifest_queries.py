@@ -140,15 +140,15 @@ def q_updated(spark, sf_dir):
 
 
 def q_history_appended(spark, sf_dir):
-    """The permanent history as read back after two appends: a row a scan, and the rows of its occurrences."""
-    scans, rows = q_history_rows(spark, sf_dir), occurrence(spark, sf_dir, named=False).select(*KEY)
-    path = shared_path(spark, "history")
+    """The permanent history as read back after its appends: a row a scan, and the rows of its occurrences."""
+    path, rows = shared_path(spark, "history"), occurrence(spark, sf_dir, named=False).select(*KEY)
+    lifecycle.append_history(q_history_rows(spark, sf_dir), f"{path}/scans")
+    scans = spark.read.parquet(f"{path}/scans")
     for source in ("live_scan", "corpus_scan"):
-        part = scans.where(F.col("data_source") == source)
-        lifecycle.append_history(part, f"{path}/scans")
-        lifecycle.append_history(rows.join(part.select("scan_id", "data_source"), "scan_id"), f"{path}/occurrences")
+        part = scans.where(F.col("data_source") == source).select("scan_id", "data_source")
+        lifecycle.append_history(rows.join(part, "scan_id"), f"{path}/occurrences")
     counts = spark.read.parquet(f"{path}/occurrences").groupBy("scan_id").agg(F.count("*").alias("dependency_count"))
-    return spark.read.parquet(f"{path}/scans").join(counts, "scan_id", "left").select("scan_id", "full_name", "data_source", "score_cents", F.coalesce("dependency_count", F.lit(0)).alias("dependency_count"))
+    return scans.join(counts, "scan_id", "left").select("scan_id", "full_name", "data_source", "score_cents", F.coalesce("dependency_count", F.lit(0)).alias("dependency_count"))
 
 
 def q_panel_files(spark, sf_dir):
