@@ -46,32 +46,35 @@ def reference_class(value: Column) -> Column:
     )
 
 
-def requirement(line: Column) -> Column:
-    """struct<name, declared_specifier, resolved_version, reason> of a line; null if it declares nothing."""
-    text = F.trim(line)
-    editable = text.rlike(EDITABLE)
-    body = F.trim(F.regexp_replace(F.when(editable, F.regexp_replace(text, EDITABLE, "")).otherwise(text), r";.*$", ""))
-    option = ~editable & text.startswith("-")
-    reason, egg = reference_class(body), F.regexp_extract(body, EGG, 1)
-    rest = F.trim(F.regexp_extract(body, REQUIREMENT, 3))
-    target = F.trim(F.regexp_replace(rest, "^@", ""))
-    one = lambda name, spec, pin, why: F.struct(normalised_name(name).alias("name"), spec.alias("declared_specifier"), pin.alias("resolved_version"), why.alias("reason"))
-    none = F.lit(None).cast("string")
-    return (
-        F.when(option | (body == ""), F.lit(None))
-        .when(reason.isNotNull() & (egg != ""), one(egg, body, none, reason))
-        .when(reason.isNotNull() | ~body.rlike(REQUIREMENT), F.lit(None))
-        .when(rest.startswith("@"), one(F.regexp_extract(body, REQUIREMENT, 1), target, none, F.coalesce(reference_class(target), F.lit("url_specifier"))))
-        .otherwise(one(F.regexp_extract(body, REQUIREMENT, 1), rest, pep440_pin(rest), none))
+def with_requirement(rows: DataFrame, line: Column, to: str = "r") -> DataFrame:
+    """Adds struct<name, declared_specifier, resolved_version, reason> of a line; null if it declares nothing.
+
+    Each step is a column of its own, so that its pattern is matched once and the generated code stays small.
+    """
+    body = F.col("__body")
+    steps = rows.withColumn("__text", F.trim(line)).withColumn("__editable", F.col("__text").rlike(EDITABLE))
+    bare = F.when(F.col("__editable"), F.regexp_replace("__text", EDITABLE, "")).otherwise(F.col("__text"))
+    steps = steps.withColumn("__body", F.trim(F.regexp_replace(bare, r";.*$", "")))
+    steps = steps.withColumns({"__why": reference_class(body), "__egg": F.regexp_extract(body, EGG, 1), "__name": F.regexp_extract(body, REQUIREMENT, 1), "__rest": F.trim(F.regexp_extract(body, REQUIREMENT, 3))})
+    steps = steps.withColumn("__target", F.when(F.col("__rest").startswith("@"), F.trim(F.regexp_replace("__rest", "^@", ""))))
+    steps = steps.withColumns({"__reached": reference_class(F.col("__target")), "__pin": pep440_pin(F.col("__rest"))})
+    refers, aims = F.col("__why").isNotNull(), F.col("__target").isNotNull()
+    nothing = (~F.col("__editable") & F.col("__text").startswith("-")) | (body == "") | F.when(refers, F.col("__egg") == "").otherwise(F.col("__name") == "")
+    made = F.struct(
+        normalised_name(F.when(refers, F.col("__egg")).otherwise(F.col("__name"))).alias("name"),
+        F.when(refers, body).when(aims, F.col("__target")).otherwise(F.col("__rest")).alias("declared_specifier"),
+        F.when(~refers & ~aims, F.col("__pin")).alias("resolved_version"),
+        F.when(refers, F.col("__why")).when(aims, F.coalesce("__reached", F.lit("url_specifier"))).alias("reason"),
     )
+    return steps.withColumn(to, F.when(~nothing, made)).select(*rows.columns, to)
 
 
 def requirements(files: DataFrame, *keys: str, path: str = "path", text: str = "text") -> DataFrame:
     """Rows of requirements files: first line of a name wins inside a file, the file's name gives the group."""
     lines = files.select(*keys, path, F.posexplode(logical_lines(F.col(text))).alias("__at", "__line"))
-    rows = lines.withColumn("r", requirement(F.col("__line"))).where("r IS NOT NULL")
+    rows = with_requirement(lines, F.col("__line"))
     first = Window.partitionBy(*keys, path, "r.name").orderBy("__at")
-    kept = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    kept = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1 AND r IS NOT NULL")
     return kept.select(*keys, path, "r.name", "r.declared_specifier", "r.resolved_version", F.col("r.reason").alias("unassessable_reason"), requirements_group(F.col(path)).alias("dependency_group"))
 
 
@@ -221,7 +224,7 @@ def entries(files: DataFrame, key: str, kind: str = "kind", body: str = "text")
 
 def declared(files: DataFrame, key: str, kind: str = "kind", body: str = "text") -> DataFrame:
     """Dependencies of pyproject, Pipfile and setup.py files; the first mention of a name wins in a file."""
-    found = entries(files, key, kind, body).where("error IS NULL")
+    found = with_requirement(entries(files, key, kind, body).where("error IS NULL"), F.when(F.col("specifier").isNull(), F.col("entry")), "line")
     spec, dynamic = F.col("specifier"), F.col("reason") == "dynamic_setup_py"
     stated = F.struct(
         F.when(dynamic, F.col("entry")).otherwise(normalised_name(F.col("entry"))).alias("name"),
@@ -229,9 +232,9 @@ def declared(files: DataFrame, key: str, kind: str = "kind", body: str = "text")
         F.when(F.col("reason").isNull() & F.col("pins"), pep440_pin(spec)).alias("resolved_version"),
         F.col("reason"),
     )
-    rows = found.withColumn("r", F.when(spec.isNull(), requirement(F.col("entry"))).otherwise(stated)).where("r IS NOT NULL AND r.name <> ''")
+    rows = found.withColumn("r", F.when(spec.isNull(), F.col("line")).otherwise(stated))
     first = Window.partitionBy(key, "r.name").orderBy("at")
-    kept = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    kept = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1 AND r.name <> ''")
     return kept.select(key, "r.name", "r.declared_specifier", "r.resolved_version", F.col("r.reason").alias("unassessable_reason"), F.col("grp").alias("dependency_group"))
 
 
