@@ -83,10 +83,10 @@ def masks(docs: DataFrame, labels: DataFrame, filters: Sequence[Filter] = FILTER
 
     said = lambda test: F.coalesce(F.max(F.coalesce(test, F.lit(False))), F.lit(False))
     good, toxic = F.col("quality") == 1 if good is None else good, F.col("toxic") == 1 if toxic is None else toxic
-    judged = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(said(good).alias("good"), said(toxic).alias("toxic"))
-    numbered = once.where("doc_id IS NOT NULL").join(judged, "doc_id", "left")
-    nameless = once.where("doc_id IS NULL").withColumns({"good": F.lit(False), "toxic": F.lit(False)})
-    flagged = numbered.unionByName(nameless).withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
+    judged = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").cast("string").alias("__key")).agg(said(good).alias("good"), said(toxic).alias("toxic"))
+    # Rows without an id meet no label, and go by their text so that they do not meet each other either.
+    keyed = once.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.hex("digest"))))
+    flagged = keyed.join(judged, "__key", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
 
     # Of each text: rows by part and labels, the smallest id and how many rows have it; then the text's smallest.
     kinds = flagged.groupBy("digest", "own", "part", "good", "toxic").agg(
