@@ -64,8 +64,8 @@ def best_cvss(document_vectors: Column, affected_vectors: Column) -> Column:
 
 
 def affected_entry(affected: Column, package: Column) -> Column:
-    """The first entry for the package; one without a package object is for every package."""
-    fits = lambda x: x["package"].isNull() | (F.lower(x["package"]["name"]) == F.lower(package))
+    """The first entry for the package, spelled as it is; one without a package object is for every package."""
+    fits = lambda x: x["package"].isNull() | F.coalesce(x["package"]["name"] == package, F.lit(False))
     return F.get(F.filter(affected, fits), F.lit(0))
 
 

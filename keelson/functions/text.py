@@ -45,9 +45,25 @@ def listed(words: Column) -> Column:
     )
 
 
-def relative_time(seconds: Column) -> Column:
-    unit = lambda size, label: F.concat(F.floor(seconds / size + 0.5).cast("string"), F.lit(label))
-    return F.when(seconds < 60, unit(1, "s ago")).when(seconds < 3600, unit(60, "m ago")).when(seconds < 86400, unit(3600, "h ago")).otherwise(unit(86400, "d ago"))
+def relative_time(moment: Column, now: Column) -> Column:
+    """just now, so many minutes, hours or days, and from a week on the date; each step rounds the one before.
+
+    A moment to come is now, and an unknown one is a dash.
+    """
+    rounded = lambda x: F.floor(x + 0.5).cast("long")
+    seconds = F.greatest(F.lit(0), rounded((F.unix_micros(now) - F.unix_micros(moment)) / 1e6))
+    minutes = rounded(seconds / 60)
+    hours = rounded(minutes / 60)
+    days = rounded(hours / 24)
+    said = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit} ago"))
+    return (
+        F.when(moment.isNull(), "\u2014")
+        .when(seconds < 60, "just now")
+        .when(minutes < 60, said(minutes, "min"))
+        .when(hours < 24, said(hours, "h"))
+        .when(days < 7, said(days, "d"))
+        .otherwise(F.date_format(moment, "d MMM yyyy"))
+    )
 
 
 def strip_emphasis(text: Column) -> Column:
@@ -114,6 +130,7 @@ def npm_deprecation(value: Column) -> Column:
     return F.struct((~none).alias("is_deprecated"), reason.alias("reason"))
 
 
+# Fixed value: the published classifier.
 INACTIVE = "Development Status :: 7 - Inactive"
 
 
@@ -130,10 +147,15 @@ def release_time(files: Column) -> Column:
     return F.array_max(F.transform(files, lambda f: F.coalesce(f["upload_time_iso_8601"], f["upload_time"]).try_cast("timestamp")))
 
 
-SOURCE_KEYS = ("source", "source code", "repository", "code", "github", "homepage")
+# Keys of links to the source, the most telling first.
+SOURCE_KEYS = ("source", "source code", "repository", "code", "github", "homepage", "home")
 
 
 def source_link(urls: Column, home_page: Column) -> Column:
-    """The preferred entry of a free-form map of links, whatever its case, else the home page."""
-    keyed = F.map_from_entries(F.array_distinct(F.transform(F.map_entries(urls), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")))))
-    return F.coalesce(*[F.element_at(keyed, k) for k in SOURCE_KEYS], home_page)
+    """The preferred entry of a free-form map of links, whatever the case of its key, else the home page.
+
+    Blank links do not count; of several spellings of one key the last counts.
+    """
+    filled = F.filter(F.map_entries(urls), lambda e: F.trim(F.coalesce(e["value"], F.lit(""))) != "")
+    named = lambda k: F.try_element_at(F.filter(filled, lambda e: F.lower(F.trim(e["key"])) == k), F.lit(-1))["value"]
+    return F.coalesce(*[F.trim(named(k)) for k in SOURCE_KEYS], F.nullif(F.trim(home_page), F.lit("")))

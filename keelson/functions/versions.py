@@ -102,15 +102,37 @@ def latest_release_time(times: Column, latest_version: Column, published: Column
     return F.coalesce(named, F.array_max(others))
 
 
-def behind(own: DataFrame, releases: DataFrame, on: str, *keys: str, version: str = "version", resolved: str = "resolved") -> DataFrame:
-    """Distinct published majors above the resolved version, minors above it within its major, and
-    patches above it within its minor; stable releases only. ``releases`` has a row per release and
-    meets ``own`` on one column. Versions are parsed before the join; a key's sets are no larger
-    than the versions its package has published."""
-    ours = own.withColumn("__o", semver(F.col(resolved))).where("__o IS NOT NULL")
-    theirs = releases.select(on, semver(F.col(version)).alias("__v")).where("__v.release = 1").select(on, "__v.major", "__v.minor", "__v.patch").distinct()
-    held = ours.join(theirs, on)
-    same_major = F.col("major") == F.col("__o.major")
-    same_minor = same_major & (F.col("minor") == F.col("__o.minor"))
-    above = lambda name, within: F.size(F.collect_set(F.when(within & (F.col(name) > F.col(f"__o.{name}")), F.col(name)))).cast("long").alias(f"behind_{name}")
-    return held.groupBy(*keys).agg(above("major", F.lit(True)), above("minor", same_major), above("patch", same_minor))
+def with_release(rows: DataFrame, raw: str, ecosystem: str) -> DataFrame:
+    """Adds ``release`` (struct<major, minor, patch>; null if it is no version of its ecosystem) and ``stable``.
+
+    Parts that a PyPI release lacks are zero. Each version is parsed once, in a column of its own.
+    """
+    npm, pypi = F.col(ecosystem) == "npm", F.col(ecosystem) == "pypi"
+    parsed = rows.withColumns({"__npm": F.when(npm, semver(F.col(raw))), "__pypi": F.when(pypi, pep440(F.col(raw)))})
+    nothing = F.lit(0).cast("decimal(38,0)")
+    part = lambda n, name: F.when(npm, F.col(f"__npm.{name}")).otherwise(F.coalesce(F.get("__pypi.release", F.lit(n)), nothing)).alias(name)
+    triple = F.when(F.col("__npm").isNotNull() | F.col("__pypi").isNotNull(), F.struct(part(0, "major"), part(1, "minor"), part(2, "patch")))
+    stable = F.when(npm, F.col("__npm.release") == 1).otherwise((F.col("__pypi.pre.order") == 1) & (F.col("__pypi.dev.order") == 1))
+    return parsed.select(*rows.columns, triple.alias("release"), F.coalesce(stable, F.lit(False)).alias("stable"))
+
+
+def behind(own: DataFrame, releases: DataFrame, *package: str, version: str = "version", resolved: str = "resolved", ecosystem: str = "ecosystem") -> DataFrame:
+    """The rows of ``own`` with behind_major, behind_minor and behind_patch: distinct published majors above
+    the resolved version, minors above it within its major, patches above it within its minor; stable
+    releases only, each ecosystem by its own grammar. Where nothing is known or parsed they are 0.
+
+    ``package`` names the columns, the ecosystem among them or not, that ``own`` and ``releases`` (a row
+    per release) share. Only distinct pairs of package and resolved version meet the releases, parsed
+    before; the counts go back to the rows.
+    """
+    on = list(dict.fromkeys((*package, ecosystem)))
+    asked = with_release(own.select(*on, resolved).distinct(), resolved, ecosystem).withColumnRenamed("release", "__o").drop("stable")
+    stable = with_release(releases.select(*on, version).distinct(), version, ecosystem).where("stable").select(*on, F.col("release").alias("__v")).distinct()
+    major, minor, patch = (F.col(f"__v.{x}") for x in ("major", "minor", "patch"))
+    same_major = major == F.col("__o.major")
+    same_minor = same_major & (minor == F.col("__o.minor"))
+    above = lambda name, part, within: F.count_distinct(F.when(within & (part > F.col(f"__o.{name}")), part)).alias(f"behind_{name}")
+    met = asked.where("__o IS NOT NULL").join(stable, on)
+    found = met.groupBy(*on, resolved).agg(above("major", major, F.lit(True)), above("minor", minor, same_major), above("patch", patch, same_minor))
+    joined = own.join(found, [*on, resolved], "left")
+    return joined.select(*own.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("behind_major", "behind_minor", "behind_patch")])

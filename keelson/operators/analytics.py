@@ -58,10 +58,10 @@ def latest_completed(scans: DataFrame) -> DataFrame:
 ACTIVE_STATUS = ("queued", "running")
 
 
-def active_scans(scans: DataFrame, now: Column, window_days: int) -> DataFrame:
-    """The newest active scan of each repository that is not older than the window."""
-    live = scans.where(F.col("status").isin(*ACTIVE_STATUS) & (F.col("created_on") >= F.date_sub(now, window_days)))
-    return live.groupBy("repository_id").agg(F.max_by("scan_id", F.struct("created_on", "scan_id")).alias("scan_id"))
+def active_scans(scans: DataFrame, now: Column, minutes: int) -> DataFrame:
+    """The newest active scan of each repository, by ``created_at``, that is not older than so many minutes."""
+    live = scans.where(F.col("status").isin(*ACTIVE_STATUS) & (F.col("created_at") >= now - F.make_interval(mins=F.lit(minutes))))
+    return live.groupBy("repository_id").agg(F.max_by("scan_id", F.struct("created_at", "scan_id")).alias("scan_id"))
 
 
 def history_window(history: DataFrame, newest: int = 200) -> DataFrame:
@@ -162,6 +162,17 @@ def capped_lines(lines: DataFrame, most: int = 40) -> DataFrame:
     return kept.join(total, "subject_id").withColumn("omitted", F.greatest(F.col("total") - most, F.lit(0))).drop("total")
 
 
+MOST_PROMPT_ROWS = 30
+
+
+def worst_first(scored: DataFrame, *order: str, most: int = MOST_PROMPT_ROWS) -> DataFrame:
+    """Per scan the ``most`` worst rows for a prompt with their position, and how many are left out. ``scored``: flagged rows."""
+    ranked = F.row_number().over(Window.partitionBy("scan_id").orderBy("score", *order))
+    total = scored.groupBy("scan_id").agg(F.count("*").alias("total"))
+    kept = scored.withColumn("position", ranked).where(F.col("position") <= most)
+    return kept.join(total, "scan_id").withColumn("omitted", F.greatest(F.col("total") - most, F.lit(0))).drop("total")
+
+
 def with_report(occurrences: DataFrame, reports: DataFrame, *keys: str) -> DataFrame:
     """Each occurrence with the state of its newest report on it alone, null where it has none.
 

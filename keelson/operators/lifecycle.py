@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from .analytics import ACTIVE_STATUS
 
 
-def expired(status: Column, since: Column, now: Column, days: int) -> Column:
-    """The status, or failed where an active row has outlived its time."""
-    return F.when(status.isin(*ACTIVE_STATUS) & (since < F.date_sub(now, days)), "failed").otherwise(status)
+# Minutes after which a scan (since it was created) or a report (since its last change) counts as dead.
+SCAN_MINUTES = 15
+REPORT_MINUTES = 5
+
+
+def expired(status: Column, since: Column, now: Column, minutes: int) -> Column:
+    """The status, or failed where an active row has not been heard of for longer than ``minutes``."""
+    return F.when(status.isin(*ACTIVE_STATUS) & (since < now - F.make_interval(mins=F.lit(minutes))), "failed").otherwise(status)
 
 
 def prune(scans: DataFrame, keep: DataFrame, key: str = "repository_id") -> DataFrame:

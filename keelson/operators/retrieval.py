@@ -109,14 +109,14 @@ def grounding(queries: DataFrame, retrieved: DataFrame) -> DataFrame:
     return queries.select("query_id").join(held, "query_id", "left").select("query_id", "best", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.when(enough, "sufficient").otherwise("low").alias("grounding"))
 
 
-def framed_query(package: Column, version: Column, reason: Column, fixed: Column) -> tuple[Column, Column]:
-    """Branch and text of the retrieval query: the reason given, else the fixed version, else upgrading."""
+def framed_query(package: Column, version: Column, reason: Column, fixed: Column, latest: Column) -> tuple[Column, Column]:
+    """Branch and text of the retrieval query: the reason given, else the fixed version, else upgrading to the latest."""
     has = F.trim(F.coalesce(reason, F.lit(""))) != ""
     named = F.concat(package, F.lit(" "), F.coalesce(version, F.lit("")))
     text = (
         F.when(has, F.concat(named, F.lit(" deprecated: "), reason))
         .when(fixed.isNotNull(), F.concat(named, F.lit(" changes fixed in "), fixed))
-        .otherwise(F.concat(named, F.lit(" upgrade and migration notes")))
+        .otherwise(F.concat(named, F.lit(" upgrade to "), F.coalesce(F.nullif(latest, F.lit("")), F.lit("the latest release")), F.lit(" breaking changes and migration notes")))
     )
     return F.when(has, "reason_available").otherwise("no_reason"), F.substring(F.trim(text), 1, QUERY_LENGTH)
 

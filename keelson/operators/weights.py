@@ -9,11 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from decimal import Decimal
 from functools import cache
+from logging import getLogger
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LOG = getLogger(__name__)
 FOLDER = Path(__file__).resolve().parent.parent / "weights"
 ACTIVE = "v2"
 SIGNALS = ("deprecation", "severity", "count", "staleness")
@@ -100,11 +102,23 @@ def load(version: str, folder: Path = FOLDER) -> WeightSet:
     path = folder / f"{version}.yaml"
     if not path.is_file():
         raise WeightsError(f"no weight file for {version!r}")
-    return parse(yaml.safe_load(path.read_text()), version)
+    try:
+        document = yaml.safe_load(path.read_text())
+    except (OSError, UnicodeDecodeError, yaml.YAMLError) as error:
+        raise WeightsError(f"{version}: {error}") from error
+    return parse(document, version)
 
 
-def versions(folder: Path = FOLDER) -> list[str]:
-    return sorted(p.stem for p in folder.glob("*.yaml"))
+@cache
+def versions(folder: Path = FOLDER) -> tuple[str, ...]:
+    """The versions whose files can be loaded; a broken file is named in the log and counts as absent."""
+    found = []
+    for path in sorted(folder.glob("*.yaml")):
+        try:
+            found.append(load(path.stem, folder).version)
+        except WeightsError as error:
+            LOG.warning("weight file left out: %s", error)
+    return tuple(found)
 
 
 def weight_table(spark: SparkSession) -> DataFrame:
@@ -130,5 +144,5 @@ def factor_table(spark: SparkSession) -> DataFrame:
 
 
 def usable_version(version):
-    """A scan's own version where a file for it exists, else the active one."""
+    """A scan's own version where a file for it can be loaded, else the active one."""
     return F.when(version.isin(*versions()), version).otherwise(F.lit(ACTIVE))

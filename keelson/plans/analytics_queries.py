@@ -17,6 +17,14 @@ FLAG_SQL = "(is_deprecated OR vulnerability_count > 0 OR coalesce(staleness_days
 NOW = "1998-12-01"
 
 
+def clocked(scans: DataFrame) -> DataFrame:
+    """Scans with the minute at which they were created: in the half hour before ``NOW``."""
+    return scans.withColumn("created_at", F.lit(NOW).cast("timestamp") - F.make_interval(mins=(F.col("scan_id") * 7 % 30).cast("int")))
+
+
+CLOCKED = f"clocked AS (SELECT *, TIMESTAMP '{NOW}' - to_minutes((scan_id * 7 % 30)::INT) AS created_at FROM scan_run)"
+
+
 def flagged(spark: SparkSession, sf_dir: str, named: bool = True) -> DataFrame:
     """Occurrences with their flag; an unassessable one is never flagged."""
     rows = occurrence(spark, sf_dir, named).withColumn("stale_flag_days", F.lit(730))
@@ -51,12 +59,12 @@ def q_latest_state(spark, sf_dir):
 
 
 def q_active_scans(spark, sf_dir):
-    return a.active_scans(scan_run(spark, sf_dir), F.lit(NOW).cast("date"), 365)
+    return a.active_scans(clocked(scan_run(spark, sf_dir)), F.lit(NOW).cast("timestamp"), 15)
 
 
 def q_history_window(spark, sf_dir):
     done = scan_run(spark, sf_dir).where("status = 'completed' AND data_source = 'live_scan'").withColumnRenamed("created_on", "day").withColumn("created_on", F.col("day"))
-    return a.history_window(done.drop("day"), 3).select("repository_id", "scan_id", "position", "total")
+    return a.history_window(done.drop("day")).select("repository_id", "scan_id", "position", "total")
 
 
 def q_formula_changes(spark, sf_dir):
@@ -161,27 +169,25 @@ def q_siblings_not_scanned(spark, sf_dir):
 def q_worst_first(spark, sf_dir):
     """Per scan the 30 worst flagged occurrences for a prompt, and how many are left out."""
     scored = scoring.score_occurrences(occurrence(spark, sf_dir)).where(scoring.is_flagged())
-    order = Window.partitionBy("scan_id").orderBy("score", "manifest_path", "package_name", "part_id", "line_no")
-    total = scored.groupBy("scan_id").agg(F.count("*").alias("total"))
-    kept = scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= 3)
-    return kept.join(total, "scan_id").select("scan_id", "position", "package_name", cents("score"), F.greatest(F.col("total") - 3, F.lit(0)).alias("omitted"))
+    return a.worst_first(scored, "manifest_path", "package_name", "part_id", "line_no").select("scan_id", "position", "package_name", cents("score"), "omitted")
 
 
-def _ordered_advisories(spark, sf_dir, null_as_zero: bool, most: int):
+def _ordered_advisories(spark, sf_dir, null_as_zero: bool, most: int | None = None):
     rows = advisory(spark, sf_dir)
     rank = F.coalesce("cvss_tenths", F.lit(0 if null_as_zero else -1))
     listed = F.sort_array(F.collect_list(F.struct((-rank).alias("r"), "osv_id", "cve_id")))
     grouped = rows.groupBy(*KEY).agg(listed.alias("all"))
+    shown = F.col("all") if most is None else F.slice("all", 1, most)
     ids = lambda x: F.coalesce(x["cve_id"], x["osv_id"])
     return grouped.select(
         *KEY,
-        F.array_join(F.transform(F.slice("all", 1, most), lambda x: x["osv_id"]), ",").alias("osv_ids"),
-        F.array_join(F.array_distinct(F.transform(F.slice("all", 1, most) if null_as_zero else F.col("all"), ids)), ",").alias("cves"),
+        F.array_join(F.transform(shown, lambda x: x["osv_id"]), ",").alias("osv_ids"),
+        F.array_join(F.array_distinct(F.transform(shown, ids)), ",").alias("cves"),
     )
 
 
 def q_advisory_order_a(spark, sf_dir):
-    return _ordered_advisories(spark, sf_dir, False, 1000)
+    return _ordered_advisories(spark, sf_dir, False)
 
 
 def q_advisory_order_b(spark, sf_dir):
@@ -236,15 +242,16 @@ SELECT count(*) AS total, count(*) FILTER (WHERE is_unassessable) AS unassessabl
     ),
     "active_scans": Query(
         q_active_scans,
-        with_views(f"""SELECT repository_id, arg_max(scan_id, (created_on, scan_id)) AS scan_id FROM scan_run
-WHERE status IN ('queued', 'running') AND created_on >= DATE '{NOW}' - 365 GROUP BY repository_id""", "scan_run"),
+        with_views(f"""{CLOCKED}
+SELECT repository_id, arg_max(scan_id, (created_at, scan_id)) AS scan_id FROM clocked
+WHERE status IN ('queued', 'running') AND created_at >= TIMESTAMP '{NOW}' - INTERVAL 15 MINUTE GROUP BY repository_id""", "scan_run"),
         "W05",
     ),
     "score_history_window": Query(
         q_history_window,
         with_views("""ranked AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY created_on DESC, scan_id DESC) AS back, count(*) OVER (PARTITION BY repository_id) AS total
   FROM scan_run WHERE status = 'completed' AND data_source = 'live_scan')
-SELECT repository_id, scan_id, CAST(row_number() OVER (PARTITION BY repository_id ORDER BY created_on, scan_id) AS INT) AS position, total FROM ranked WHERE back <= 3""", "scan_run"),
+SELECT repository_id, scan_id, CAST(row_number() OVER (PARTITION BY repository_id ORDER BY created_on, scan_id) AS INT) AS position, total FROM ranked WHERE back <= 200""", "scan_run"),
         "W06 A10 P05",
     ),
     "formula_change_markers": Query(
@@ -345,7 +352,7 @@ FROM repository LEFT JOIN latest USING (repository_id) WHERE project_id IS NOT N
             + """,
 placed AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY penalty DESC, manifest_path, package_name, part_id, line_no) AS position, count(*) OVER (PARTITION BY scan_id) AS total
   FROM scored WHERE is_flagged)
-SELECT scan_id, position::INT AS position, package_name, CAST(10000 - penalty AS BIGINT) AS score_cents, greatest(total - 3, 0) AS omitted FROM placed WHERE position <= 3""",
+SELECT scan_id, position::INT AS position, package_name, CAST(10000 - penalty AS BIGINT) AS score_cents, greatest(total - 30, 0) AS omitted FROM placed WHERE position <= 30""",
             "occurrence",
         ),
         "T02 R09",

@@ -40,12 +40,16 @@ def q_semver_latest(spark, sf_dir):
 
 
 def q_behind(spark, sf_dir):
-    rows = occurrence(spark, sf_dir, named=False)
-    releases = rows.select("part_id", F.col("resolved_version").alias("version")).distinct()
-    own = rows.select("scan_id", "part_id", "line_no", F.col("resolved_version").alias("resolved")).distinct()
+    """npm triples, and PyPI versions of two parts, after a release, before one, or of three; the seventh line's is unknown."""
+    v, kind = F.col("resolved_version"), F.col("line_no") % 4
+    spelled = F.when(kind == 0, F.substring_index(v, ".", 2)).when(kind == 1, F.concat(v, F.lit(".post1"))).when(kind == 2, F.concat(v, F.lit("rc1"))).otherwise(v)
+    version = F.when(F.col("line_no") == 7, "unknown").when(F.col("ecosystem") == "npm", v).otherwise(spelled)
+    rows = occurrence(spark, sf_dir, named=False).withColumn("version", version)
+    releases = rows.select("ecosystem", "part_id", "version").distinct()
+    own = rows.select("scan_id", "ecosystem", "part_id", "line_no", F.col("version").alias("resolved")).distinct()
     # Versions of the neighbouring parts of a package are its published releases here.
-    near = releases.select(F.explode(F.sequence(F.col("part_id") - 2, F.col("part_id") + 2)).alias("part_id"), "version").distinct()
-    return ver.behind(own, near, "part_id", "scan_id", "part_id", "line_no", "resolved")
+    near = releases.select("ecosystem", F.explode(F.sequence(F.col("part_id") - 2, F.col("part_id") + 2)).alias("part_id"), "version").distinct()
+    return ver.behind(own, near, "ecosystem", "part_id")
 
 
 def q_pep440_order(spark, sf_dir):
@@ -106,8 +110,10 @@ def q_listed(spark, sf_dir):
 
 
 def q_relative(spark, sf_dir):
-    seconds = F.unix_timestamp(F.lit("2024-02-01 00:00:00").cast("timestamp")) - F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp")))
-    return table(spark, sf_dir, "events").select("event_id", tx.relative_time(seconds).alias("label"), tx.utc_stamp(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("stamp"))
+    """Labels as seen at a moment that is from zero to ten days after each event."""
+    ts = F.col("ts").cast("timestamp")
+    later = ts + F.make_dt_interval(secs=(F.pow(F.col("event_id") % 930, F.lit(2)) + F.lit(0.25)).cast("decimal(18,6)"))
+    return table(spark, sf_dir, "events").select("event_id", tx.relative_time(ts, later).alias("label"), tx.utc_stamp(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("stamp"))
 
 
 def q_repo_links(spark, sf_dir):
@@ -134,9 +140,9 @@ def q_epss(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", (adv.probability(text) * 100000).cast("long").alias("epss_e5"))
 
 
-_PATHS = ("package.json", "web/package.json", "requirements-dev.txt", "requirements-devops.txt", "dev-requirements.txt", "requirements/prod.txt", "node_modules/a/package.json", "docs/notes.txt", "requirements.in", "yarn.lock", "a/b/setup.py", "vendor/x/pyproject.toml")
-_OWNERS = ("npm", "npm", "pypi", "pypi", "pypi", "pypi", None, None, None, None, "pypi", None)
-_GROUPS = ("runtime", "runtime", "development", "runtime", "development", "runtime", "runtime", "runtime", "runtime", "runtime", "runtime", "runtime")
+_PATHS = ("package.json", "web/package.json", "requirements-dev.txt", "requirements-devops.txt", "dev-requirements.txt", "requirements/prod.txt", "node_modules/a/package.json", "docs/notes.txt", "requirements.in", "yarn.lock", "a/b/setup.py", "vendor/x/pyproject.toml", "third_party/x/package.json", "bower_components/x/package.json", "Requirements/prod.TXT")
+_OWNERS = ("npm", "npm", "pypi", "pypi", "pypi", "pypi", None, None, None, None, "pypi", None, "npm", None, "pypi")
+_GROUPS = ("runtime", "runtime", "development", "runtime", "development", *["runtime"] * 10)
 
 
 def q_vendor_paths(spark, sf_dir):
@@ -144,11 +150,14 @@ def q_vendor_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", path.alias("path")).select("page_id", "path", paths.adapter(F.col("path")).alias("adapter"), paths.requirements_group(F.col("path")).alias("dependency_group"))
 
 
+_NAMES = ("package.json", "package-lock.json", "npm-shrinkwrap.json", "pyproject.toml", "poetry.lock", "Pipfile", "Pipfile.lock", "requirements.txt", "README.md")
+
+
 def _tree(spark, sf_dir):
     p = F.col("page_id")
-    folder = F.concat(F.lit("d"), (p % 7).cast("string"), F.when(p % 3 == 0, F.concat(F.lit("/e"), (p % 2).cast("string"))).otherwise(""))
-    name = F.element_at(F.array(*map(F.lit, ("package.json", "package-lock.json", "npm-shrinkwrap.json", "pyproject.toml", "poetry.lock", "README.md"))), (F.floor(p / 7) % 6 + 1).cast("int"))
-    rows = table(spark, sf_dir, "pages").select((p % 5).alias("scan_id"), F.concat_ws("/", folder, name).alias("path")).distinct()
+    folder = F.concat(F.lit("d"), (p % 7).cast("string"), F.when(p % 3 == 0, F.concat(F.lit("/e"), (p % 4).cast("string"))).otherwise(""))
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.floor(p / 7) % len(_NAMES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select(F.explode(F.array(p % 5, p % 2)).alias("scan_id"), F.concat_ws("/", folder, name).alias("path")).distinct()
     entry = F.struct("path", F.lit("blob").alias("type"), F.lit("s").alias("sha"), F.lit(1).alias("size"))
     bodies = rows.select("scan_id", F.to_json(F.struct(F.lit(False).alias("truncated"), F.array(entry).alias("tree"))).alias("body"))
     return paths.tree_entries(bodies, "body", "scan_id")
@@ -158,17 +167,17 @@ def q_plan(spark, sf_dir):
     return paths.plan(_tree(spark, sf_dir)).select("scan_id", "position", "ecosystem", "path", "lockfile_path", "kind")
 
 
-PLAN_SQL = """
-WITH tree AS (SELECT DISTINCT page_id % 5 AS scan_id, 'd' || (page_id % 7) || CASE WHEN page_id % 3 = 0 THEN '/e' || (page_id % 2) ELSE '' END AS folder,
-    ['package.json', 'package-lock.json', 'npm-shrinkwrap.json', 'pyproject.toml', 'poetry.lock', 'README.md'][1 + page_id // 7 % 6] AS name FROM pages),
+PLAN_SQL = f"""
+WITH tree AS (SELECT DISTINCT unnest([page_id % 5, page_id % 2]) AS scan_id, 'd' || (page_id % 7) || CASE WHEN page_id % 3 = 0 THEN '/e' || (page_id % 4) ELSE '' END AS folder,
+    [{', '.join(f"'{n}'" for n in _NAMES)}][1 + page_id // 7 % {len(_NAMES)}] AS name FROM pages),
 owned AS (SELECT *, CASE name WHEN 'package.json' THEN 'npm' ELSE 'pypi' END AS ecosystem,
-    row_number() OVER (PARTITION BY scan_id ORDER BY len(string_split(folder, '/')), folder || '/' || name)::INT AS position FROM tree WHERE name IN ('package.json', 'pyproject.toml')),
-locks AS (SELECT scan_id, folder, CASE name WHEN 'poetry.lock' THEN 'pypi' ELSE 'npm' END AS ecosystem, max(CASE name WHEN 'npm-shrinkwrap.json' THEN 0 ELSE 1 END) AS best FROM tree
-    WHERE name IN ('package-lock.json', 'npm-shrinkwrap.json', 'poetry.lock') GROUP BY ALL)
+    row_number() OVER (PARTITION BY scan_id ORDER BY len(string_split(folder, '/')), folder || '/' || name)::INT AS position FROM tree WHERE name IN ('package.json', 'pyproject.toml', 'Pipfile', 'requirements.txt')),
+here AS (SELECT scan_id, folder, list(name) AS names FROM tree GROUP BY ALL)
 SELECT o.scan_id, position, o.ecosystem, o.folder || '/' || name AS path,
-       CASE WHEN best IS NULL THEN NULL WHEN o.ecosystem = 'pypi' THEN o.folder || '/poetry.lock' WHEN best = 1 THEN o.folder || '/package-lock.json' ELSE o.folder || '/npm-shrinkwrap.json' END AS lockfile_path,
-       CASE name WHEN 'package.json' THEN 'package_json' ELSE 'pyproject' END AS kind
-FROM owned o LEFT JOIN locks USING (scan_id, folder, ecosystem) WHERE position <= 50"""
+       CASE WHEN name = 'package.json' AND list_contains(names, 'npm-shrinkwrap.json') THEN o.folder || '/npm-shrinkwrap.json' WHEN name = 'package.json' AND list_contains(names, 'package-lock.json') THEN o.folder || '/package-lock.json'
+            WHEN name = 'pyproject.toml' AND list_contains(names, 'poetry.lock') THEN o.folder || '/poetry.lock' WHEN name = 'Pipfile' AND list_contains(names, 'Pipfile.lock') THEN o.folder || '/Pipfile.lock' END AS lockfile_path,
+       CASE name WHEN 'package.json' THEN 'package_json' WHEN 'Pipfile' THEN 'pipfile' WHEN 'requirements.txt' THEN 'requirements' ELSE 'pyproject' END AS kind
+FROM owned o JOIN here USING (scan_id, folder) WHERE position <= 50"""
 
 
 def q_skipped(spark, sf_dir):
@@ -200,7 +209,7 @@ def q_osv_ecosystems(spark, sf_dir):
 def q_workspace_globs(spark, sf_dir):
     p = F.col("page_id")
     folder = F.element_at(F.array(*map(F.lit, ("packages/a", "packages/a/b", "packages/x", "", "apps/web"))), (p % 5 + 1).cast("int"))
-    globs = F.element_at(F.array(*[F.array(*map(F.lit, g)) for g in (["packages/*"], ["packages/**"], ["packages/*", "!packages/x"], ["apps/*", "packages/a"])]), (F.floor(p / 5) % 4 + 1).cast("int"))
+    globs = F.element_at(F.array(*[F.array(*map(F.lit, g)) for g in (["packages/*"], ["packages/**"], ["packages/*", "!packages/x"], ["apps/*", "packages/a"], ["packages/?"], ["./packages/*"])]), (F.floor(p / 5) % 6 + 1).cast("int"))
     return table(spark, sf_dir, "pages").select("page_id", F.coalesce(paths.workspace_match(folder, globs), F.lit(False)).alias("member"))
 
 
@@ -256,11 +265,14 @@ SELECT ecosystem, package_name, arg_max(resolved_version, (a, b, c)) AS latest_v
     ),
     "versions_behind": Query(
         q_behind,
-        with_views(f"""releases AS (SELECT DISTINCT part_id AS other, {_TRIPLE.format(v='resolved_version')}  FROM occurrence),
-own AS (SELECT DISTINCT scan_id, part_id, line_no, resolved_version AS resolved, string_split(resolved_version, '.')[1]::INT AS x, string_split(resolved_version, '.')[2]::INT AS y, string_split(resolved_version, '.')[3]::INT AS z
-  FROM occurrence)
-SELECT scan_id, part_id, line_no, resolved, count(DISTINCT a) FILTER (WHERE a > x) AS behind_major, count(DISTINCT b) FILTER (WHERE a = x AND b > y) AS behind_minor,
-       count(DISTINCT c) FILTER (WHERE a = x AND b = y AND c > z) AS behind_patch FROM own JOIN releases ON other BETWEEN part_id - 2 AND part_id + 2 GROUP BY ALL""", "occurrence"),
+        with_views(f"""rows AS (SELECT *, CASE WHEN line_no = 7 THEN 'unknown' WHEN ecosystem = 'npm' OR line_no % 4 = 3 THEN resolved_version WHEN line_no % 4 = 0 THEN regexp_replace(resolved_version, '[.][0-9]+$', '')
+    WHEN line_no % 4 = 1 THEN resolved_version || '.post1' ELSE resolved_version || 'rc1' END AS resolved,
+    CASE WHEN line_no <> 7 THEN string_split(resolved_version, '.')[1]::INT END AS x, string_split(resolved_version, '.')[2]::INT AS y,
+    CASE WHEN ecosystem = 'pypi' AND line_no % 4 = 0 THEN 0 ELSE string_split(resolved_version, '.')[3]::INT END AS z FROM occurrence),
+releases AS (SELECT DISTINCT ecosystem AS e, part_id AS other, x AS a, y AS b, z AS c FROM rows WHERE line_no <> 7 AND NOT (ecosystem = 'pypi' AND line_no % 4 = 2)),
+own AS (SELECT DISTINCT scan_id, ecosystem, part_id, line_no, resolved, x, y, z FROM rows)
+SELECT scan_id, ecosystem, part_id, line_no, resolved, count(DISTINCT a) FILTER (WHERE a > x) AS behind_major, count(DISTINCT b) FILTER (WHERE a = x AND b > y) AS behind_minor,
+       count(DISTINCT c) FILTER (WHERE a = x AND b = y AND c > z) AS behind_patch FROM own LEFT JOIN releases ON e = ecosystem AND other BETWEEN part_id - 2 AND part_id + 2 GROUP BY ALL""", "occurrence"),
         "FN09",
     ),
     "pep440_order": Query(
@@ -304,9 +316,10 @@ SELECT p_brand, CASE len(l) WHEN 1 THEN l[1] ELSE array_to_string(l[:-2], ', ')
     ),
     "relative_times": Query(
         q_relative,
-        """WITH s AS (SELECT event_id, date_trunc('second', ts) AS t, epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(date_trunc('second', ts)) AS n FROM events)
-SELECT event_id, CASE WHEN n < 60 THEN floor(n + 0.5)::BIGINT || 's ago' WHEN n < 3600 THEN floor(n / 60 + 0.5)::BIGINT || 'm ago' WHEN n < 86400 THEN floor(n / 3600 + 0.5)::BIGINT || 'h ago' ELSE floor(n / 86400 + 0.5)::BIGINT || 'd ago' END AS label,
-       strftime(t, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM s""",
+        """WITH s AS (SELECT event_id, ts, (event_id % 930) * (event_id % 930) AS n FROM events),
+m AS (SELECT *, (n + 30) // 60 AS minutes FROM s), h AS (SELECT *, (minutes + 30) // 60 AS hours FROM m), d AS (SELECT *, (hours + 12) // 24 AS days FROM h)
+SELECT event_id, CASE WHEN n < 60 THEN 'just now' WHEN minutes < 60 THEN minutes || ' min ago' WHEN hours < 24 THEN hours || ' h ago' WHEN days < 7 THEN days || ' d ago' ELSE strftime(ts, '%-d %b %Y') END AS label,
+       strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM d""",
         "FN32 FN36",
     ),
     "repository_links": Query(
@@ -323,11 +336,11 @@ SELECT event_id, CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN NULL WHEN
     ),
     "vendor_path_filter": Query(
         q_vendor_paths,
-        f"SELECT page_id, {_list(_PATHS)}[1 + page_id % 12] AS path, {_cases('page_id % 12', _OWNERS)} AS adapter, {_list(_GROUPS)}[1 + page_id % 12] AS dependency_group FROM pages",
+        f"SELECT page_id, {_list(_PATHS)}[1 + page_id % 15] AS path, {_cases('page_id % 15', _OWNERS)} AS adapter, {_list(_GROUPS)}[1 + page_id % 15] AS dependency_group FROM pages",
         "TVF01 TVF02 X13",
     ),
     "skipped_manifests": Query(
-        q_skipped, f"SELECT scan_id, count(*) FILTER (WHERE position % 3 = 0)::BIGINT AS skipped FROM ({PLAN_SQL}) GROUP BY scan_id", "TVF04"
+        q_skipped, f"SELECT scan_id, count(*) FILTER (WHERE position % 3 = 0 OR position > 50)::BIGINT AS skipped FROM ({PLAN_SQL.replace('WHERE position <= 50', '')}) GROUP BY scan_id", "TVF04"
     ),
     "workspace_lists": Query(q_workspace_lists, "SELECT page_id, ['a/*|b', 'c', '', '', ''][1 + page_id % 5] AS globs FROM pages", "TVF07"),
     "packuments": Query(
@@ -339,7 +352,7 @@ SELECT event_id, CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN NULL WHEN
     "manifest_plan": Query(q_plan, PLAN_SQL, "TVF03 T07 J15 SRC01"),
     "workspace_globs": Query(
         q_workspace_globs,
-        """SELECT page_id, CASE page_id // 5 % 4 WHEN 0 THEN page_id % 5 IN (0, 2) WHEN 1 THEN page_id % 5 IN (0, 1, 2) WHEN 2 THEN page_id % 5 = 0 ELSE page_id % 5 IN (0, 4) END AS member FROM pages""",
+        """SELECT page_id, CASE page_id // 5 % 6 WHEN 0 THEN page_id % 5 IN (0, 2) WHEN 1 THEN page_id % 5 IN (0, 1, 2) WHEN 2 THEN page_id % 5 = 0 WHEN 3 THEN page_id % 5 IN (0, 4) ELSE false END AS member FROM pages""",
         "TVF06",
     ),
     "requirement_lines": Query(q_requirements, REQUIREMENTS_SQL, "TVF12 TVF13 FN06 X14 W08"),

@@ -8,14 +8,17 @@ from ..catalog import Query
 from ..operators import analytics as a
 from ..operators import enrich, lifecycle, quality, reports, retrieval
 from ..operators.weights import usable_version
+from .analytics_queries import CLOCKED, NOW, clocked
 from .fixtures import KEY, advisory, chunk, occurrence, report, repository, scan_run, table, with_views
 from .scoring_queries import KEYS
 
-NOW = "1998-12-01"
-
-
 def q_expire(spark, sf_dir):
-    return scan_run(spark, sf_dir).select("scan_id", lifecycle.expired(F.col("status"), F.col("created_on"), F.lit(NOW).cast("date"), 365).alias("status"))
+    """Scans by the time they were created, and their reports by the time of their last change."""
+    now = F.lit(NOW).cast("timestamp")
+    scans = clocked(scan_run(spark, sf_dir)).select("scan_id", lifecycle.expired(F.col("status"), F.col("created_at"), now, lifecycle.SCAN_MINUTES).alias("status"))
+    changed = now - F.make_interval(mins=(F.col("report_id") % 11).cast("int"))
+    reports = report(spark, sf_dir).select("scan_id", lifecycle.expired(F.col("status"), changed, now, lifecycle.REPORT_MINUTES).alias("report_status"))
+    return scans.join(reports, "scan_id", "left")
 
 
 def q_prune(spark, sf_dir):
@@ -35,7 +38,7 @@ def q_at_risk(spark, sf_dir):
 
 def q_start_outcome(spark, sf_dir):
     scans = scan_run(spark, sf_dir)
-    active = a.active_scans(scans, F.lit(NOW).cast("date"), 365).withColumnRenamed("scan_id", "active_id")
+    active = a.active_scans(clocked(scans), F.lit(NOW).cast("timestamp"), lifecycle.SCAN_MINUTES).withColumnRenamed("scan_id", "active_id")
     joined = lifecycle.reports_at_risk(scans, report(spark, sf_dir)).join(active, "repository_id", "left")
     return joined.select("repository_id", lifecycle.start_outcome(F.col("reports_at_risk"), F.col("active_id"), F.col("repository_id") % 2 == 0).alias("outcome"))
 
@@ -179,7 +182,8 @@ def q_chunk_windows(spark, sf_dir):
 
 def q_framing(spark, sf_dir):
     fixed = F.when(F.col("line_no") == 7, "9.9.9")
-    branch, text = retrieval.framed_query(F.col("package_name"), F.col("resolved_version"), F.col("deprecation_reason"), fixed)
+    latest = F.when(F.col("part_id") % 3 != 0, F.concat((F.col("part_id") % 5 + 1).cast("string"), F.lit(".0.0")))
+    branch, text = retrieval.framed_query(F.col("package_name"), F.col("resolved_version"), F.col("deprecation_reason"), fixed, latest)
     return occurrence(spark, sf_dir).select(*KEY, branch.alias("branch"), text.alias("query"))
 
 
@@ -223,7 +227,7 @@ def q_failure_message(spark, sf_dir):
 
 
 _LATEST = "latest AS (SELECT repository_id, arg_max(scan_id, (created_on, scan_id)) AS keep_id FROM scan_run WHERE status = 'completed' GROUP BY repository_id)"
-_ACTIVE = f"active AS (SELECT DISTINCT repository_id FROM scan_run WHERE status IN ('queued', 'running') AND created_on >= DATE '{NOW}' - 365)"
+_ACTIVE = f"{CLOCKED},\nactive AS (SELECT DISTINCT repository_id FROM clocked WHERE status IN ('queued', 'running') AND created_at >= TIMESTAMP '{NOW}' - INTERVAL 15 MINUTE)"
 _RISK = "risk AS (SELECT repository_id, count(report_id) FILTER (WHERE r.status = 'completed') AS n FROM scan_run s LEFT JOIN report r USING (repository_id, scan_id) GROUP BY repository_id)"
 _COSINE = """chunks AS (SELECT * FROM chunk),
 asked AS (SELECT vec_id AS query_id, label AS package_key, embedding AS query_vector FROM embeddings WHERE vec_id % 100 = 0),
@@ -264,7 +268,9 @@ kept AS (
 """
 QUERIES = {
     "expire_stale": Query(
-        q_expire, with_views(f"SELECT scan_id, CASE WHEN status IN ('queued', 'running') AND created_on < DATE '{NOW}' - 365 THEN 'failed' ELSE status END AS status FROM scan_run", "scan_run"), "P08"
+        q_expire, with_views(f"""{CLOCKED}
+SELECT scan_id, CASE WHEN c.status IN ('queued', 'running') AND created_at < TIMESTAMP '{NOW}' - INTERVAL 15 MINUTE THEN 'failed' ELSE c.status END AS status,
+       CASE WHEN r.status = 'running' AND scan_id % 11 > 5 THEN 'failed' ELSE r.status END AS report_status FROM clocked c LEFT JOIN report r USING (scan_id)""", "scan_run", "report"), "P08"
     ),
     "prune_prior_scans": Query(q_prune, with_views(_LATEST + "\nSELECT scan_id, repository_id FROM scan_run JOIN latest USING (repository_id) WHERE scan_id <> keep_id", "scan_run"), "SNK04"),
     "cascade_delete": Query(
@@ -367,7 +373,7 @@ SELECT query_id, coalesce(n, 0)::BIGINT AS n_chars, CASE WHEN best >= 0.30 AND n
         q_framing,
         with_views(f"""SELECT {KEYS}, CASE WHEN trim(coalesce(deprecation_reason, '')) <> '' THEN 'reason_available' ELSE 'no_reason' END AS branch,
 CASE WHEN trim(coalesce(deprecation_reason, '')) <> '' THEN package_name || ' ' || resolved_version || ' deprecated: ' || deprecation_reason
-     WHEN line_no = 7 THEN package_name || ' ' || resolved_version || ' changes fixed in 9.9.9' ELSE package_name || ' ' || resolved_version || ' upgrade and migration notes' END AS query FROM occurrence""", "occurrence"),
+     WHEN line_no = 7 THEN package_name || ' ' || resolved_version || ' changes fixed in 9.9.9' ELSE package_name || ' ' || resolved_version || ' upgrade to ' || CASE WHEN part_id % 3 <> 0 THEN (part_id % 5 + 1) || '.0.0' ELSE 'the latest release' END || ' breaking changes and migration notes' END AS query FROM occurrence""", "occurrence"),
         "R07",
     ),
     "payload_validation": Query(

@@ -92,7 +92,7 @@ def q_advisory_fields(spark, sf_dir):
     k = F.col("event_id") % 4
     body = F.concat(
         F.lit('{"id": "'), F.when(k == 3, "CVE-2000-").otherwise("GHSA-"), e, F.lit('", "aliases": ["X", "'), F.when(k == 0, "cve-1").otherwise("Y"), F.lit('"], "severity": [{"score": "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"}], "affected": ['),
-        F.lit('{"package": {"name": "other"}, "ranges": []}, {"package": {"name": "Pkg"}, "severity": [{"score": "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H"}], "ranges": [{"events": [{"introduced": "1"}, '),
+        F.lit('{"package": {"name": "other"}, "ranges": []}, {"package": {"name": "'), F.when(F.col("event_id") % 5 == 0, "Pkg").otherwise("pkg"), F.lit('"}, "severity": [{"score": "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H"}], "ranges": [{"events": [{"introduced": "1"}, '),
         F.when(k == 1, '{"last_affected": "4"}').otherwise('{"fixed": "2"}, {"fixed": "3"}'), F.lit(']}]}], "references": [{"type": "FIX", "url": "u"}'), F.when(k == 2, ', {"type": "WEB", "url": "w"}').otherwise(""), F.lit('], "word": "Moderate"}'),
     )
     shape = "struct<id: string, aliases: array<string>, severity: array<struct<score: string>>, affected: array<struct<package: struct<name: string>, severity: array<struct<score: string>>, ranges: array<struct<events: array<struct<introduced: string, fixed: string, last_affected: string>>>>>>, references: array<struct<type: string, url: string>>, word: string>"
@@ -117,7 +117,9 @@ def q_pypi_documents(spark, sf_dir):
     files = F.array(F.struct((p % 3 != 0).alias("yanked"), F.when(p % 2 == 0, "broken").alias("yanked_reason"), F.lit("2020-01-02T00:00:00Z").alias("upload_time_iso_8601"), F.lit(None).cast("string").alias("upload_time")), F.struct(F.lit(True).alias("yanked"), F.lit("").alias("yanked_reason"), F.lit(None).cast("string").alias("upload_time_iso_8601"), F.lit("2021-05-06T00:00:00").alias("upload_time")))
     classifiers = F.when(p % 5 == 0, F.array(F.lit(tx.INACTIVE))).otherwise(F.array(F.lit("x")))
     found = tx.pypi_deprecation(files, classifiers)
-    urls = F.create_map(F.lit("Docs"), F.lit("d"), F.when(p % 4 == 0, " Source ").otherwise("Misc"), F.lit("s"))
+    link = F.concat(F.lit("s"), p.cast("string"))
+    second = F.when(p % 4 == 0, " Source ").when(p % 4 == 1, "Home").otherwise("Misc")
+    urls = F.create_map(F.lit("Docs"), F.lit("d"), F.lit("source"), F.when(p % 12 == 0, "old").otherwise(" "), second, link)
     return table(spark, sf_dir, "part").select("p_partkey", found["is_deprecated"].alias("is_deprecated"), found["reason"].alias("reason"), F.date_format(tx.release_time(files), "yyyy-MM-dd").alias("uploaded"), tx.source_link(urls, F.lit("home")).alias("source"))
 
 
@@ -208,14 +210,14 @@ SELECT repository_id, 'f' || min(rank) FILTER (WHERE usable) AS path, CASE WHEN
     ),
     "advisory_fields": Query(
         q_advisory_fields,
-        f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'cve-1' WHEN 3 THEN 'CVE-2000-' || event_id END AS cve_id, 10.0::DOUBLE AS cvss, {_AFTER} AS affected_range, CASE WHEN event_id % 4 <> 1 THEN '3' END AS fixed_version,
+        f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'cve-1' WHEN 3 THEN 'CVE-2000-' || event_id END AS cve_id, 10.0::DOUBLE AS cvss, CASE WHEN event_id % 5 > 0 THEN {_AFTER} END AS affected_range, CASE WHEN event_id % 4 <> 1 AND event_id % 5 > 0 THEN '3' END AS fixed_version,
 CASE WHEN event_id % 4 = 2 THEN 'w' ELSE 'https://osv.dev/vulnerability/' || CASE WHEN event_id % 4 = 3 THEN 'CVE-2000-' ELSE 'GHSA-' END || event_id END AS source_url, 'medium' AS severity FROM events""",
         "FN12 FN13 FN14 FN15 FN16",
     ),
     "pypi_documents": Query(
         q_pypi_documents,
         """SELECT p_partkey, p_partkey % 3 <> 0 OR p_partkey % 5 = 0 AS is_deprecated, CASE WHEN p_partkey % 3 <> 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'broken' WHEN p_partkey % 5 = 0 THEN 'Development Status :: 7 - Inactive' ELSE '' END
-WHEN p_partkey % 5 = 0 THEN 'Development Status :: 7 - Inactive' END AS reason, '2021-05-06' AS uploaded, CASE WHEN p_partkey % 4 = 0 THEN 's' ELSE 'home' END AS source FROM part""",
+WHEN p_partkey % 5 = 0 THEN 'Development Status :: 7 - Inactive' END AS reason, '2021-05-06' AS uploaded, CASE WHEN p_partkey % 4 < 2 THEN 's' || p_partkey ELSE 'home' END AS source FROM part""",
         "FN24 FN25 FN27 SRC04 X17",
     ),
     "display_values": Query(

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Folders of vendored code, manifest names and lockfiles in order of preference.
-VENDORED = ("node_modules", "vendor", "third_party", ".venv", "venv", "site-packages")
+# Folders of vendored code, manifest names, and the lockfiles of each kind of manifest in order of preference.
+VENDORED = ("node_modules", "bower_components", "vendor", "site-packages", ".venv", "venv")
 REQUIREMENTS = r"(?i)^(?:requirements[-_.][\w.-]*|[\w.-]*[-_.]requirements|requirements)\.txt$"
 PYPI_FIXED = ("requirements.txt", "pyproject.toml", "Pipfile", "setup.py")
 DEV_TOKENS = ("dev", "development", "test", "tests", "testing")
-LOCKFILES = {"npm": ("package-lock.json", "npm-shrinkwrap.json"), "pypi": ("poetry.lock", "Pipfile.lock")}
+LOCKFILES = {"package_json": ("npm-shrinkwrap.json", "package-lock.json"), "pyproject": ("poetry.lock",), "pipfile": ("Pipfile.lock",)}
 MOST_MANIFESTS = 50
 
 
@@ -39,7 +39,7 @@ def is_vendored(path: Column) -> Column:
 def adapter(path: Column) -> Column:
     """npm, pypi, or null for a path that no adapter owns."""
     name = base_name(path)
-    in_requirements = F.coalesce(F.element_at(F.concat(F.array(F.lit("")), parts(directory(path))), -1) == "requirements", F.lit(False)) & name.rlike(r"(?i)\.txt$")
+    in_requirements = F.coalesce(F.lower(F.element_at(F.concat(F.array(F.lit("")), parts(directory(path))), -1)) == "requirements", F.lit(False)) & name.rlike(r"(?i)\.txt$")
     return F.when(is_vendored(path), F.lit(None).cast("string")).when(name == "package.json", "npm").when(name.isin(*PYPI_FIXED) | name.rlike(REQUIREMENTS) | in_requirements, "pypi")
 
 
@@ -66,17 +66,19 @@ def blob_bytes(encoding: Column, content: Column, most: int) -> Column:
 
 
 def plan(entries: DataFrame, key: str = "scan_id", most: int = MOST_MANIFESTS) -> DataFrame:
-    """The ``most`` shallowest manifests of each tree with the preferred lockfile beside them."""
+    """The ``most`` shallowest manifests of each tree with the lockfile beside them that their kind prefers."""
     blobs = entries.where("type = 'blob'").withColumn("ecosystem", adapter(F.col("path")))
     rank = F.create_map(*[x for names in LOCKFILES.values() for n, name in enumerate(names) for x in (F.lit(name), F.lit(n))])
-    owner = F.create_map(*[x for eco, names in LOCKFILES.items() for name in names for x in (F.lit(name), F.lit(eco))])
+    kind = F.create_map(*[x for kind, names in LOCKFILES.items() for name in names for x in (F.lit(name), F.lit(kind))])
     name = base_name(F.col("path"))
-    locks = blobs.select(key, directory(F.col("path")).alias("folder"), F.element_at(owner, name).alias("ecosystem"), F.element_at(rank, name).alias("rank"), F.struct("path", "sha", "size").alias("lock")).where("rank IS NOT NULL")
-    best = locks.groupBy(key, "folder", "ecosystem").agg(F.min_by("lock", "rank").alias("lock"))
-    owned = blobs.where("ecosystem IS NOT NULL").withColumn("folder", directory(F.col("path")))
+    locks = blobs.select(key, directory(F.col("path")).alias("folder"), F.element_at(kind, name).alias("kind"), F.element_at(rank, name).alias("rank"), F.struct("path", "sha", "size").alias("lock")).where("rank IS NOT NULL")
+    best = locks.groupBy(key, "folder", "kind").agg(F.min_by("lock", "rank").alias("lock"))
+    owned = blobs.where("ecosystem IS NOT NULL").withColumns({"folder": directory(F.col("path")), "kind": manifest_kind(F.col("path"))})
     order = Window.partitionBy(key).orderBy(depth(F.col("path")), "path")
     kept = owned.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
-    return kept.join(best, [key, "folder", "ecosystem"], "left").select(key, "position", "ecosystem", "path", "folder", "sha", "size", F.col("lock.path").alias("lockfile_path"), manifest_kind(F.col("path")).alias("kind"))
+    return kept.join(best, [key, "folder", "kind"], "left").select(
+        key, "position", "ecosystem", "path", "folder", "sha", "size", F.col("lock.path").alias("lockfile_path"), F.col("lock.sha").alias("lock_sha"), F.col("lock.size").alias("lock_size"), "kind"
+    )
 
 
 def skipped(entries: DataFrame, planned: DataFrame, failed: DataFrame, key: str = "scan_id") -> DataFrame:
@@ -88,18 +90,18 @@ def skipped(entries: DataFrame, planned: DataFrame, failed: DataFrame, key: str
 
 
 def glob_pattern(glob: Column) -> Column:
-    """A path glob as a pattern: * stays inside a folder, ** crosses folders."""
-    cleaned = F.regexp_replace(F.regexp_replace(glob, r"^\./", ""), r"/+$", "")
-    escaped = F.regexp_replace(cleaned, r"([.+^$(){}|\[\]\\])", r"\\$1")
+    """A path glob as a pattern: * stays inside a folder, ** crosses folders, all else is literal."""
+    cleaned = F.regexp_replace(glob, r"/+$", "")
+    escaped = F.regexp_replace(cleaned, r"([.+?^$(){}|\[\]\\])", r"\\$1")
     crossing = F.replace(escaped, F.lit("**"), F.lit("\x01"))
-    inside = F.replace(F.replace(crossing, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]"))
+    inside = F.replace(crossing, F.lit("*"), F.lit("[^/]*"))
     return F.concat(F.lit("^"), F.replace(inside, F.lit("\x01"), F.lit(".*")), F.lit("$"))
 
 
 def workspace_match(folder: Column, globs: Column) -> Column:
     """Included by some glob and excluded by none (those with !); the root itself is no member."""
     wanted = F.exists(globs, lambda g: ~g.startswith("!") & F.rlike(folder, glob_pattern(g)))
-    barred = F.exists(globs, lambda g: g.startswith("!") & F.rlike(folder, glob_pattern(F.substring(g, 2, 10_000))))
+    barred = F.exists(globs, lambda g: g.startswith("!") & F.rlike(folder, glob_pattern(F.regexp_replace(g, "^!", ""))))
     return (folder != "") & wanted & ~barred
 
 

@@ -1,4 +1,5 @@
 import itertools
+import json
 import math
 
 import pytest
@@ -55,7 +56,7 @@ def test_pep440(spark):
 def test_behind(spark):
     released = ["1.0.0", "2.1.0", "2.1.3", "2.4.0", "2.4.1", "3.0.0", "5.0.0", "6.0.0-rc.1"]
     frame = spark.createDataFrame([(1, "2.1.0", v) for v in released], "k int, resolved string, version string")
-    row = ver.behind(frame.select("k", "resolved").distinct(), frame.select("k", "version"), "k", "k").first()
+    row = ver.behind(frame.select("k", "resolved", F.lit("npm").alias("ecosystem")).distinct(), frame.select("k", "version", F.lit("npm").alias("ecosystem")), "k").first()
     assert (row.behind_major, row.behind_minor, row.behind_patch) == (2, 1, 1)
     assert ver.latest(frame, "npm", "k").first().latest_version == "5.0.0"
 
@@ -176,3 +177,92 @@ def test_update_keeps_what_is_not_named(spark):
     got = sorted(lifecycle.updated(rows, fresh, "k").collect(), key=lambda r: r.w)
     assert [tuple(r) for r in got] == [(1, None, 5), (2, "b", 6), (None, "c", 7)]
     assert lifecycle.updated(rows, fresh.limit(0), "k").count() == 3
+
+
+def test_behind_by_ecosystem(spark):
+    """A PyPI release has as many parts as it likes; missing ones are zero, a post-release counts as its release."""
+    own = spark.createDataFrame([("pypi", "4.2"), ("npm", "1.2.3"), ("pypi", "2.0.post1"), ("pypi", "no version"), ("npm", "4.2"), ("pypi", None)], "ecosystem string, resolved string")
+    out = [("pypi", v) for v in ("4.2.1", "4.2.1.post1", "4.3", "4.3.0", "5", "6.0rc1", "6.0.dev1", "bad", "2.0", "4.2.1.7")] + [("npm", v) for v in ("1.2.4", "1.2.10", "1.3.0-rc.1", "2.0", "2.0.0")]
+    releases = spark.createDataFrame([(1, *r) for r in out], "k int, ecosystem string, version string")
+    got = {(r.ecosystem, r.resolved): (r.behind_major, r.behind_minor, r.behind_patch) for r in ver.behind(own.withColumn("k", F.lit(1)), releases, "k").collect()}
+    assert got == {("pypi", "4.2"): (1, 1, 1), ("npm", "1.2.3"): (1, 0, 2), ("pypi", "2.0.post1"): (2, 0, 0), ("pypi", "no version"): (0, 0, 0), ("npm", "4.2"): (0, 0, 0), ("pypi", None): (0, 0, 0)}
+    alone = ver.behind(own.withColumn("k", F.lit(2)), releases, "k")
+    assert alone.count() == 6 and alone.agg(F.sum("behind_major")).first()[0] == 0
+
+
+def test_lockfile_of_each_kind(spark):
+    names = ["py/requirements.txt", "py/Pipfile", "py/pyproject.toml", "py/poetry.lock", "js/package.json", "js/package-lock.json", "js/npm-shrinkwrap.json", "third_party/package.json", "bower_components/a/package.json"]
+    tree = spark.createDataFrame([(1, p, "blob", "s", 1) for p in names], "scan_id int, path string, type string, sha string, size long")
+    got = {r.path: r.lockfile_path for r in paths.plan(tree).collect()}
+    assert got == {"py/requirements.txt": None, "py/Pipfile": None, "py/pyproject.toml": "py/poetry.lock", "js/package.json": "js/npm-shrinkwrap.json", "third_party/package.json": None}
+
+
+def test_plan_is_cut(spark):
+    tree = spark.createDataFrame([(1, f"{'d/' * (n % 3)}p{n:02}/package.json", "blob", "s", 1) for n in range(60)], "scan_id int, path string, type string, sha string, size long")
+    planned = paths.plan(tree)
+    assert planned.count() == 50 and planned.where("path LIKE 'd/d/%'").count() == 10
+    assert paths.skipped(tree, planned, planned.where("false")).first().skipped_manifest_count == 10
+
+
+def test_globs(spark):
+    cases = [
+        ("packages/ab", ["packages/a?"], False), ("packages/a?", ["packages/a?"], True), ("packages/a", ["./packages/*"], False), ("packages/a/b", ["packages/*"], False), ("packages/a/b", ["packages/**"], True),
+        ("packages/a", ["packages/*/"], True), ("a.b", ["a.b"], True), ("axb", ["a.b"], False), ("", ["**"], False), ("packages/x", ["packages/*", "!packages/x/"], False), ("p/" + "y" * 11_000, ["p/*", "!p/" + "y" * 11_000], False),
+    ]
+    got = values(spark, paths.workspace_match(F.col("x"), F.col("g")), [(a, b) for a, b, _ in cases], "x string, g array<string>")
+    assert got == [want for _, _, want in cases]
+
+
+def test_relative_time(spark):
+    seconds = [-5, 0, 59, 60, 89, 90, 3569, 3570, 5369, 5370, 84_569, 84_570, 561_600, 604_800, 5_000_000]
+    frame = [(s,) for s in seconds]
+    now = F.lit("2026-08-20 12:00:00").cast("timestamp")
+    got = values(spark, tx.relative_time(now - F.make_interval(secs=F.col("x")), now), frame, "x int")
+    assert got[:2] == ["just now"] * 2 and got[2:12] == ["just now", "1 min ago", "1 min ago", "2 min ago", "59 min ago", "1 h ago", "1 h ago", "2 h ago", "23 h ago", "1 d ago"]
+    assert got[12:] == ["14 Aug 2026", "13 Aug 2026", "23 Jun 2026"]
+    assert values(spark, tx.relative_time(F.col("x"), now), [None], "x timestamp") == ["—"]
+
+
+def test_source_links(spark):
+    cases = [
+        ({"Docs": "d", "Home": "h"}, "p", "h"), ({"source": " ", "Homepage": " x "}, "p", "x"), ({"Source": "a", "source ": "b"}, None, "b"), ({"GitHub": "g", "Repository": "r"}, None, "r"), ({}, "  ", None), (None, "p", "p"), ({"Source": None}, "p", "p"),
+    ]
+    urls = F.from_json("u", "map<string, string>")
+    got = values(spark, tx.source_link(urls, F.col("h")), [(json.dumps(u), h) for u, h, _ in cases], "u string, h string")
+    assert got == [want for *_, want in cases]
+
+
+def test_package_names_are_exact(spark):
+    shape = "a array<struct<package: struct<name: string>, n: int>>, p string"
+    got = values(spark, adv.affected_entry(F.col("a"), F.col("p"))["n"], [([(("Pkg",), 1), (("pkg",), 2)], "pkg"), ([(("Pkg",), 1)], "pkg"), ([(None, 3)], "pkg"), ([((None,), 4)], "pkg")], shape)
+    assert got == [2, None, 3, None]
+
+
+def test_unusable_weight_files(tmp_path):
+    from keelson.operators import weights
+
+    for path in weights.FOLDER.glob("*.yaml"):
+        (tmp_path / path.name).write_text(path.read_text())
+    (tmp_path / "v7.yaml").write_text("weights: [")
+    (tmp_path / "v8.yaml").write_text("a: 1")
+    (tmp_path / "v9.yaml").write_bytes(b"\xff\xfe\xff")
+    assert weights.versions(tmp_path) == weights.versions()
+    with pytest.raises(weights.WeightsError):
+        weights.load("v7", tmp_path)
+
+
+def test_bounds_bite(spark):
+    from keelson.operators import analytics
+
+    rows = spark.createDataFrame([(1, n, f"m{n}") for n in range(35)], "scan_id int, score int, manifest_path string")
+    kept = analytics.worst_first(rows, "manifest_path").collect()
+    assert len(kept) == 30 and {r.omitted for r in kept} == {5} and max(r.score for r in kept) == 29
+    history = spark.createDataFrame([(1, n, n) for n in range(230)], "repository_id int, scan_id int, created_on int")
+    window = analytics.history_window(history).collect()
+    assert len(window) == 200 and min(r.scan_id for r in window) == 30 and {r.total for r in window} == {230}
+
+
+def test_minutes(spark):
+    now = F.lit("2026-01-01 00:15:00").cast("timestamp")
+    got = values(spark, lifecycle.expired(F.col("s"), F.col("t").cast("timestamp"), now, lifecycle.SCAN_MINUTES), [("running", "2026-01-01 00:00:00"), ("queued", "2025-12-31 23:59:59"), ("completed", "2020-01-01 00:00:00")], "s string, t string")
+    assert got == ["running", "failed", "completed"]
