@@ -105,15 +105,16 @@ def latest_release_time(times: Column, latest_version: Column, published: Column
 def with_release(rows: DataFrame, raw: str, ecosystem: str) -> DataFrame:
     """Adds ``release`` (struct<major, minor, patch>; null if it is no version of its ecosystem) and ``stable``.
 
-    Parts that a PyPI release lacks are zero. Each version is parsed once, in a column of its own.
+    Parts that a PyPI release lacks are zero. Each distinct spelling is parsed once: packages share most of theirs.
     """
     npm, pypi = F.col(ecosystem) == "npm", F.col(ecosystem) == "pypi"
-    parsed = rows.withColumns({"__npm": F.when(npm, semver(F.col(raw))), "__pypi": F.when(pypi, pep440(F.col(raw)))})
+    parsed = rows.select(ecosystem, raw).where(F.col(raw).isNotNull()).distinct().withColumns({"__npm": F.when(npm, semver(F.col(raw))), "__pypi": F.when(pypi, pep440(F.col(raw)))})
     nothing = F.lit(0).cast("decimal(38,0)")
     part = lambda n, name: F.when(npm, F.col(f"__npm.{name}")).otherwise(F.coalesce(F.get("__pypi.release", F.lit(n)), nothing)).alias(name)
     triple = F.when(F.col("__npm").isNotNull() | F.col("__pypi").isNotNull(), F.struct(part(0, "major"), part(1, "minor"), part(2, "patch")))
     stable = F.when(npm, F.col("__npm.release") == 1).otherwise((F.col("__pypi.pre.order") == 1) & (F.col("__pypi.dev.order") == 1))
-    return parsed.select(*rows.columns, triple.alias("release"), F.coalesce(stable, F.lit(False)).alias("stable"))
+    spelled = parsed.select(ecosystem, raw, triple.alias("release"), F.coalesce(stable, F.lit(False)).alias("stable"))
+    return rows.join(spelled, [ecosystem, raw], "left").select(*rows.columns, "release", F.coalesce("stable", F.lit(False)).alias("stable"))
 
 
 def behind(own: DataFrame, releases: DataFrame, *package: str, version: str = "version", resolved: str = "resolved", ecosystem: str = "ecosystem") -> DataFrame:

@@ -9,22 +9,26 @@ severity with advisories counts as 5.0 and lowers confidence.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .weights import ACTIVE, SIGNALS, usable_version, weight_table
+from .weights import ACTIVE, EPSS, FOLDER, SIGNALS, usable_version, weight_table
 
 PLACEHOLDER_TENTHS = 50
+#: Exploit probabilities have five places.
+EPSS_UNITS = 100_000
 
 
 def clamp(x: Column, low, high) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-def with_weights(rows: DataFrame, version: Column | str = ACTIVE) -> DataFrame:
+def with_weights(rows: DataFrame, version: Column | str = ACTIVE, folder: Path = FOLDER, active: str = ACTIVE) -> DataFrame:
     """Joins each row's weight vector. A row whose ecosystem has none fails the job, as it must not score."""
-    table = weight_table(rows.sparkSession).withColumnRenamed("ecosystem", "w_ecosystem").withColumnRenamed("version", "w_version")
-    wanted = usable_version(F.lit(version) if isinstance(version, str) else version)
+    table = weight_table(rows.sparkSession, folder).withColumnRenamed("ecosystem", "w_ecosystem").withColumnRenamed("version", "w_version")
+    wanted = usable_version(F.lit(version) if isinstance(version, str) else version, folder, active)
     held = rows.withColumn("used_version", wanted)
     # The weights are one row per version and ecosystem, whatever the data.
     joined = held.join(F.broadcast(table), (F.col("used_version") == F.col("w_version")) & (F.col("ecosystem") == F.col("w_ecosystem")), "left")
@@ -32,8 +36,13 @@ def with_weights(rows: DataFrame, version: Column | str = ACTIVE) -> DataFrame:
     return joined.withColumn("w_deprecation", weight.cast("long")).drop("w_version", "w_ecosystem")
 
 
-def signals() -> dict[str, tuple[Column, Column]]:
-    """Numerator and denominator of each normalised signal; a null numerator is an absent term."""
+def signals(epss: bool = False) -> dict[str, tuple[Column, Column]]:
+    """Numerator and denominator of each normalised signal; a null numerator is an absent term.
+
+    With ``epss``, for rows that have a column of that name, the exploit probability is one where the weights enable it.
+    """
+    chance = F.when(F.col("epss_enabled"), F.round(clamp(F.col("epss").cast("decimal(12,5)"), 0, 1) * EPSS_UNITS).cast("long")) if epss else None
+    fifth = {EPSS: (F.when(F.col("epss").isNotNull(), chance), F.lit(EPSS_UNITS))} if epss else {}
     count = F.coalesce(F.col("vulnerability_count"), F.lit(0))
     severity = F.when(F.col("cvss_tenths").isNotNull(), clamp(F.col("cvss_tenths"), 0, 100)).when(count > 0, F.lit(PLACEHOLDER_TENTHS)).otherwise(F.lit(0))
     return {
@@ -42,6 +51,7 @@ def signals() -> dict[str, tuple[Column, Column]]:
         "count": (F.least(F.greatest(count, F.lit(0)), F.col("count_cap")), F.col("count_cap")),
         # least() and greatest() pass over nulls, so absence is kept apart.
         "staleness": (F.when(F.col("staleness_days").isNotNull(), F.least(F.greatest(F.col("staleness_days"), F.lit(0)), F.col("staleness_cap_days"))), F.col("staleness_cap_days")),
+        **fifth,
     }
 
 
@@ -59,29 +69,31 @@ def amount(cents: Column, kind: str) -> Column:
     return (cents.cast("decimal(12,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(kind)
 
 
-def score_occurrences(rows: DataFrame, version: Column | str = ACTIVE) -> DataFrame:
+def score_occurrences(rows: DataFrame, version: Column | str = ACTIVE, folder: Path = FOLDER, active: str = ACTIVE) -> DataFrame:
     """Adds points per term, penalty, score, redistributed and cvss_reduced_confidence to assessable rows.
 
-    Unassessable rows are left out; join them back where they must appear.
+    Unassessable rows are left out; join them back where they must appear. Rows with a column ``epss`` get
+    the term of the exploit probability under weights that enable it; where it is unknown, its weight goes to the rest.
     """
-    held = with_weights(rows.where("NOT is_unassessable"), version)
-    parts = signals()
+    held = with_weights(rows.where("NOT is_unassessable"), version, folder, active)
+    has_epss = "epss" in rows.columns
+    parts = signals(has_epss)
     total = F.lit(0).cast("long")
-    for s in SIGNALS:
+    for s in parts:
         total = total + F.when(parts[s][0].isNotNull(), F.col(f"w_{s}")).otherwise(F.lit(0))
     held = held.withColumn("w_total", total)
-    cents = {s: F.when(parts[s][0].isNotNull(), term_cents(F.col(f"w_{s}"), F.col("w_total"), *parts[s])) for s in SIGNALS}
+    cents = {s: F.when(parts[s][0].isNotNull(), term_cents(F.col(f"w_{s}"), F.col("w_total"), *parts[s])) for s in parts}
     held = held.withColumns({f"cents_{s}": c for s, c in cents.items()})
     added = F.lit(0).cast("long")
-    for s in SIGNALS:
+    for s in parts:
         added = added + F.coalesce(f"cents_{s}", F.lit(0))
     held = held.withColumn("penalty_cents", F.least(F.greatest(added, F.lit(0)), F.lit(10_000)))
     return held.withColumns(
         {
-            **{f"points_{s}": amount(F.col(f"cents_{s}"), "decimal(7,2)") for s in SIGNALS},
+            **{f"points_{s}": amount(F.col(f"cents_{s}"), "decimal(7,2)") for s in parts},
             "penalty": amount(F.col("penalty_cents"), "decimal(5,2)"),
             "score": amount(F.lit(10_000) - F.col("penalty_cents"), "decimal(5,2)"),
-            "redistributed": F.col("staleness_days").isNull(),
+            "redistributed": F.col("staleness_days").isNull() | (F.col("epss_enabled") & (F.col("epss").isNull() if has_epss else F.lit(True))),
             "cvss_reduced_confidence": reduced_confidence(),
         }
     )

@@ -19,6 +19,8 @@ LOG = getLogger(__name__)
 FOLDER = Path(__file__).resolve().parent.parent / "weights"
 ACTIVE = "v2"
 SIGNALS = ("deprecation", "severity", "count", "staleness")
+#: A fifth signal that a weight file may enable, the same weight for each ecosystem.
+EPSS = "epss"
 ECOSYSTEMS = ("npm", "pypi")
 #: Weights are whole multiples of it, so that scores are exact in integers.
 UNIT = Decimal("0.0001")
@@ -64,7 +66,7 @@ def check(found: WeightSet, tag: str) -> WeightSet:
             wrong.append(f"{ecosystem} must name exactly the four signals")
         if any(w < 0 for w in row.values()) or found.epss_weight < 0:
             wrong.append(f"{ecosystem} has a negative weight")
-        if any(w % UNIT for w in row.values()):
+        if any(w % UNIT for w in (*row.values(), found.epss_weight)):
             wrong.append(f"{ecosystem} has a weight finer than {UNIT}")
         if abs(sum(row.values()) + found.epss_weight - 1) > Decimal("0.001"):
             wrong.append(f"{ecosystem} must sum to 1")
@@ -121,15 +123,16 @@ def versions(folder: Path = FOLDER) -> tuple[str, ...]:
     return tuple(found)
 
 
-def weight_table(spark: SparkSession) -> DataFrame:
-    """One row per version and ecosystem: the four weights in units of ``UNIT``, caps and flags."""
+def weight_table(spark: SparkSession, folder: Path = FOLDER) -> DataFrame:
+    """One row per version and ecosystem: the weights in units of ``UNIT`` (that of the exploit probability is 0
+    where it is not enabled), caps and flags."""
     rows = [
-        (s.version, e, *[int(row[x] / UNIT) for x in SIGNALS], s.count_cap, s.staleness_cap_days, s.stale_flag_days)
-        for s in map(load, versions())
+        (s.version, e, *[int(row[x] / UNIT) for x in SIGNALS], int(s.epss_weight / UNIT), s.epss_enabled, s.count_cap, s.staleness_cap_days, s.stale_flag_days)
+        for s in (load(v, folder) for v in versions(folder))
         for e, row in s.weights.items()
     ]
-    kinds = ", ".join(f"w_{x} long" for x in SIGNALS)
-    return spark.createDataFrame(rows, f"version string, ecosystem string, {kinds}, count_cap int, staleness_cap_days int, stale_flag_days int")
+    kinds = ", ".join(f"w_{x} long" for x in (*SIGNALS, EPSS))
+    return spark.createDataFrame(rows, f"version string, ecosystem string, {kinds}, epss_enabled boolean, count_cap int, staleness_cap_days int, stale_flag_days int")
 
 
 def threshold_table(spark: SparkSession) -> DataFrame:
@@ -143,6 +146,10 @@ def factor_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "version string, rank int, factor decimal(20,19)")
 
 
-def usable_version(version):
+def usable_version(version, folder: Path = FOLDER, active: str = ACTIVE):
     """A scan's own version where a file for it can be loaded, else the active one."""
-    return F.when(version.isin(*versions()), version).otherwise(F.lit(ACTIVE))
+    return F.when(version.isin(*versions(folder)), version).otherwise(F.lit(active))
+
+
+#: Weight sets that are compared with the shipped ones and never used for a stored score.
+TRIAL = FOLDER / "trial"

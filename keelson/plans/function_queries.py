@@ -60,7 +60,10 @@ def q_pep440_order(spark, sf_dir):
     suffix = F.element_at(F.array(*[F.lit(s) for s in (".dev1", "a1", "b2", "rc1", "", ".post1")]), (e % 6 + 1).cast("int"))
     version = F.concat((e % 7).cast("string"), F.lit("."), (F.floor(e / 7) % 5).cast("string"), F.when(e % 2 == 0, ".0").otherwise(""), suffix)
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", version.alias("version"))
-    return rows.withColumn("rank", F.dense_rank().over(Window.partitionBy("event_type").orderBy(ver.pep440(F.col("version")))))
+    # Only distinct versions are parsed and ranked; a window over all events would be as many tasks as types.
+    keyed = rows.select("event_type", "version").distinct().withColumn("key", ver.pep440(F.col("version")))
+    ranked = keyed.withColumn("rank", F.dense_rank().over(Window.partitionBy("event_type").orderBy("key"))).drop("key")
+    return rows.join(ranked, ["event_type", "version"])
 
 
 def q_pep503(spark, sf_dir):
