@@ -60,8 +60,9 @@ GOOD_TAGS = frozenset(("article", "main"))
 HEAD_WORDS = frozenset(("header", "masthead"))
 GOOD_WORDS = frozenset("article articlebody body content entry main post story text".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+# A quote opens a value only where one begins, after an equals sign; elsewhere it is a character like any other.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|[^\s>\"'][^\s>]*)?)*)(?:>|$)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]*)))?""")
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -94,17 +95,14 @@ def meaning_of(tag: str, attributes: str, inside_article: bool) -> tuple[int, bo
     if tag in BAD_TAGS or tag == "header" and not inside_article:
         return -1, True
     words: set[str] = set()
-    if "=" in attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key in ("class", "id", "itemprop"):
-                words.update(_WORDS.findall(value))
-            elif key == "role" and value in BAD_ROLES:
-                return -1, True
-            elif key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                return -1, True
-    if attributes and re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes):
-        return -1, True
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key in ("class", "id", "itemprop"):
+            words.update(_WORDS.findall(value))
+        elif key == "role" and value in BAD_ROLES:
+            return -1, True
+        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+            return -1, True
     if tag in GOOD_TAGS:
         return (-1, False) if words & {"comment", "comments", "reply", "related", "teaser", "promo", "ad", "sponsored"} else (1, True)
     if tag in ("html", "body"):
