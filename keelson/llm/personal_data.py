@@ -50,7 +50,7 @@ LOOSE = {
 }
 CANDIDATE = "|".join(f"(?:{p})" for p in LOOSE.values())
 #: A text without any of these holds no candidate; most texts stop here.
-HINT = r"[0-9@]|[Pp]ass|[Pp]wd|[Ss]ecret|[Tt]oken|[Kk]ey|\((?:at|AT)\)|\[(?:at|AT)\]|Mr|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr"
+HINT = r"[0-9@]|AKIA|[Pp]ass|[Pp]wd|[Ss]ecret|[Tt]oken|[Kk]ey|[(\[](?:at|AT)[)\]]|Mr|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr"
 
 # Gazetteers and cue words.
 NAMES = "Alice Anna Antonio Carlos Carmen Charles Claire David Elena Emma George Hans Henri Ines Jack James Jean Johann John Jorge Jose Juan Julia Jürgen Karl Klaus Laura Louis Lucas Luis Luisa Maria Marie Mark Martin Mary Michael Michel Miguel Nina Paul Pedro Peter Petra Pierre Rafael Robert Sara Sofia Sophie Thomas Ursula William Wolfgang Bauer Becker Bernard Brown Davis Dubois Durand Fernandez Fischer Garcia Gonzalez Hernandez Hoffmann Johnson Jones Klein Koch Lambert Laurent Lefebvre Lopez Martinez Meyer Miller Moreau Moreno Müller Perez Richter Rodriguez Roux Sanchez Schmidt Schneider Schulz Simon Smith Taylor Torres Wagner Weber Williams Wilson".split()
