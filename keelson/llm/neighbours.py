@@ -11,8 +11,9 @@ that probe it, so a full bucket is many tasks; each task multiplies one block of
 one block of queries and keeps the best per query. No candidate is dropped.
 
 Vectors that are null, empty, zero, or hold a null or non-finite component, or whose length
-differs from ``dimension``, take no part. An id that occurs twice is two rows; ties go to the
-smaller id. An empty table gives no rows.
+differs from ``dimension``, take no part, and neither do rows without an id. An id that occurs twice
+is two rows: a query leaves out one row of its own id and its own vector, and finds the others. Ties
+go to the smaller id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def _rank_block(keep: int):
         out = []
         if len(index) and len(queries):
             index = index.sort_values("first_id", kind="stable")
-            ids, vectors = index["first_id"].to_numpy(), np.stack(index["vector"].to_numpy()).astype(np.float64)
+            ids, keys, vectors = index["first_id"].to_numpy(), index["ikey"].to_numpy(), np.stack(index["vector"].to_numpy()).astype(np.float64)
             unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
             asked = np.stack(queries["vector"].to_numpy()).astype(np.float64)
             turned = asked / np.linalg.norm(asked, axis=1, keepdims=True)
@@ -109,8 +110,9 @@ def _rank_block(keep: int):
                     near = np.flatnonzero(row >= last[n])
                     exact = cosines(asked[at + n], vectors[near])
                     best = np.lexsort((ids[near], -exact))[:keep]
-                    out += [(queries["vkey"].iloc[at + n], int(ids[near[b]]), float(exact[b]), index["ids"].iloc[near[b]]) for b in best]
-        return pd.DataFrame(out, columns=["qkey", "first_id", "score", "ids"])
+                    key = queries["vkey"].iloc[at + n]
+                    out += [(key, keys[near[b]], float(exact[b]), index["ids"].iloc[near[b]]) for b in best]
+        return pd.DataFrame(out, columns=["qkey", "ikey", "score", "ids"])
 
     return rank
 
@@ -126,19 +128,19 @@ def _best_lists(index: DataFrame, probing: DataFrame, k: int, block_rows: int) -
     left = index.join(layout, ["table", "bucket"]).withColumn("index_block", own("n_index")).withColumn("query_block", every("n_query"))
     right = probing.join(layout, ["table", "bucket"]).withColumn("query_block", own("n_query")).withColumn("index_block", every("n_index"))
     ranked = (
-        left.select(*place, "first_id", "ids", "vector")
+        left.select(*place, F.col("vkey").alias("ikey"), "first_id", "ids", "vector")
         .groupBy(*place)
         .cogroup(right.select(*place, "vkey", "vector").groupBy(*place))
-        .applyInPandas(_rank_block(k + 1), "qkey string, first_id long, score double, ids array<long>")
+        .applyInPandas(_rank_block(k + 1), "qkey string, ikey string, score double, ids array<long>")
     )
-    found = ranked.groupBy("qkey", "first_id").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
+    found = ranked.groupBy("qkey", "ikey").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
     best = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("vec_id", F.explode("ids"))
         .withColumn("n", F.row_number().over(best))
         .where(F.col("n") <= k + 1)
         .groupBy("qkey")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))
+        .agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score", (F.col("ikey") == F.col("qkey")).alias("same")))).alias("near"))
     )
 
 
@@ -178,5 +180,8 @@ def nearest(
         everywhere = short.select("vkey", "vector", F.lit(0).alias("table"), F.explode(F.sequence(F.lit(0), F.lit(axes - 1))).alias("bucket"))
         lists = full.unionByName(_best_lists(index.where("table = 0"), everywhere, k, block_rows))
     members = keyed.where("asked").select(F.col("vec_id").alias("query_id"), F.col("vkey").alias("qkey"))
-    answers = members.join(lists, "qkey").withColumn("near", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
+    # One row of the query's own id and vector is the query itself.
+    own = F.array_position(F.transform("near", lambda x: x["same"] & (x["vec_id"] == F.col("query_id"))), F.lit(True))
+    others = F.filter("near", lambda x, i: i + 1 != F.col("own"))
+    answers = members.join(lists, "qkey").withColumn("own", own).withColumn("near", F.slice(others, 1, k))
     return answers.select("query_id", F.posexplode("near").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -318,6 +318,26 @@ def test_every_query_gets_k_neighbours(spark, count):
             assert [v for _, v in sorted(found)] == order
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(41, 32))
+    rows = [(n, [float(x) for x in v]) for n, v in enumerate(vectors[:40])]
+    rows += [(0, rows[0][1]), (1, [float(x) for x in vectors[40]]), (None, rows[2][1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(frame, query=F.col("vec_id") < 3).collect():
+        got[r.query_id].append((r.rank, r.vec_id, round(r.score, 9)))
+    # Two rows of id 0 have one vector, so each finds the other; two of id 1 have two; a row without an id is none.
+    assert [r for r, *_ in sorted(got[0])] == sorted([*range(1, 6), *range(1, 6)]) and [v for r, v, s in got[0] if s == 1] == [0, 0]
+    assert len(got[1]) == 10 and not any(s == 1 for *_, s in got[1])
+    assert len(got[2]) == 5 and not any(v in (2, None) for _, v, _ in got[2])
+    wide = np.array([r[1] for r in rows[:-1]])
+    for q, at in ((0, 0), (2, 2)):
+        score = neighbours.cosines(wide[at], wide)
+        order = [rows[n][0] for n in np.lexsort((np.arange(len(wide)), -score)) if n != at][:5]
+        assert [v for _, v, _ in sorted(set(got[q]))] == order
+
+
 def test_pipeline(spark):
     word = lambda: "".join(RNG.choice("abcdefghij") for _ in range(6))
     good = [" ".join(word() for _ in range(RNG.randint(60, 200))) for _ in range(40)]
