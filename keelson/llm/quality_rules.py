@@ -171,11 +171,14 @@ def ablation(ledger: DataFrame, policies: Sequence[Policy] = POLICIES, rules: Se
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: Policy = PRODUCTION, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The input rows, every column, that the policy keeps; texts pass through unchanged."""
+    """The input rows, every column, that the policy keeps; texts pass through unchanged, and columns may have any name."""
     schema = docs.schema
     at = schema.fieldNames().index(text_col)
     names = [field.split()[0] for field in MEASURES.split(", ")]
-    flags = [f"__m_{name}" for name in names]
+    prefix = "__m_"
+    while any(c.lower().startswith(prefix) for c in schema.fieldNames()):
+        prefix += "_"
+    flags = [prefix + name for name in names]
 
     def with_measures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,5 +188,5 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
     wide = T.StructType([*schema.fields, *[T.StructField(flag, T.LongType()) for flag in flags]])
     measured = docs.mapInArrow(with_measures, wide)
-    kept = failure_bits(rules, "__m_").bitwiseAND(F.lit(policy.mask(rules))) == 0
+    kept = failure_bits(rules, prefix).bitwiseAND(F.lit(policy.mask(rules))) == 0
     return measured.where(kept).select(*[F.col(f"`{c}`") for c in schema.fieldNames()])
