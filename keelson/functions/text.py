@@ -27,6 +27,19 @@ def utc_stamp(moment: Column) -> Column:
     return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def percent_encoded(text: Column) -> Column:
+    """A text as one segment of an address: all but letters, digits and -._~ as bytes of UTF-8 in hex."""
+    return F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def tree_address(owner: Column, name: Column, branch: Column, api: str = "https://api.github.com") -> Column:
+    return F.concat(F.lit(f"{api}/repos/"), percent_encoded(owner), F.lit("/"), percent_encoded(name), F.lit("/git/trees/"), percent_encoded(branch))
+
+
+def blob_address(owner: Column, name: Column, sha: Column, api: str = "https://api.github.com") -> Column:
+    return F.concat(F.lit(f"{api}/repos/"), percent_encoded(owner), F.lit("/"), percent_encoded(name), F.lit("/git/blobs/"), percent_encoded(sha))
+
+
 def table_cell(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit("|"), F.lit("\\|")), r"\r?\n", " ")
 

@@ -137,29 +137,39 @@ def ecosystem_summary(occurrences: DataFrame) -> DataFrame:
     return per.select("scan_id", F.when(F.col("n") > 1, "Mixed").otherwise(F.col("one")).alias("summary"))
 
 
-def shared_lines(members: DataFrame, latest: DataFrame, occurrences: DataFrame, subject: Column | None = None) -> DataFrame:
-    """Occurrences in the latest completed scans of a subject's siblings that use one of its packages; every member is a subject unless told otherwise.
+STATUS_RANK = {"flagged": 0, "unassessable": 1, "clean": 2}
+MOST_LINES = 40
+
 
-    Siblings share project and owner with the subject. Lines and packages meet by project, owner and
-    package, so that no pair of siblings without a shared package is ever formed.
+def sibling_lines(members: DataFrame, latest: DataFrame, occurrences: DataFrame, subject: Column | None = None, most: int = MOST_LINES) -> DataFrame:
+    """Occurrences in the latest completed scans of a subject's siblings that use one of its flagged packages: the first
+    ``most`` of each subject by package, sibling, status and path, and how many more there are. Every member is a subject unless told otherwise.
+
+    Siblings share project and owner with the subject. Of each package only the lines that can be among
+    the first of some subject go on to meet the subjects: ``most`` lines of each of the first ``most`` + 1
+    repositories, as a subject passes over its own. How many there are in all is counted before: the
+    package's lines less the subject's own.
     """
     group = ["project_id", "user_id", "ecosystem", "package_name"]
     lines = occurrences.join(members.join(latest.select("repository_id", "scan_id"), "repository_id"), "scan_id")
     chosen = lines if subject is None else lines.where(subject)
-    packages = chosen.where("is_flagged AND NOT is_unassessable").select(F.col("repository_id").alias("subject_id"), *group).distinct()
-    return lines.join(packages, group).where("repository_id <> subject_id")
-
-
-STATUS_RANK = {"flagged": 0, "unassessable": 1, "clean": 2}
-
+    wanted = chosen.where("is_flagged AND NOT is_unassessable").select(F.col("repository_id").alias("subject_id"), *group).distinct()
 
-def capped_lines(lines: DataFrame, most: int = 40) -> DataFrame:
-    """The first lines of each subject by package, sibling, status and path, and how many more there are."""
+    own = lines.groupBy(*group, "repository_id", "full_name").agg(F.count("*").alias("n_own"))
+    by_package = Window.partitionBy(*group)
+    first = own.withColumn("__r", F.row_number().over(by_package.orderBy("full_name", "repository_id"))).where(F.col("__r") <= most + 1).select(*group, "repository_id")
     rank = F.create_map(*[x for pair in STATUS_RANK.items() for x in map(F.lit, pair)])
-    order = Window.partitionBy("subject_id").orderBy("package_name", "full_name", F.element_at(rank, F.col("status")), "manifest_path", "part_id", "line_no")
-    total = lines.groupBy("subject_id").agg(F.count("*").alias("total"))
-    kept = lines.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
-    return kept.join(total, "subject_id").withColumn("omitted", F.greatest(F.col("total") - most, F.lit(0))).drop("total")
+    place = [F.element_at(rank, F.col("status")), "manifest_path", "part_id", "line_no"]
+    inside = Window.partitionBy(*group, "repository_id").orderBy(*place)
+    heads = lines.withColumn("__n", F.row_number().over(inside)).where(F.col("__n") <= most).drop("__n").join(first, [*group, "repository_id"], "left_semi")
+
+    total = own.groupBy(*group).agg(F.sum("n_own").alias("n_all"))
+    mine = own.select(*group, F.col("repository_id").alias("subject_id"), "n_own")
+    counted = wanted.join(total, group).join(mine, [*group, "subject_id"], "left").groupBy("subject_id").agg(F.sum(F.col("n_all") - F.coalesce("n_own", F.lit(0))).alias("total"))
+    met = heads.join(wanted, group).where("repository_id <> subject_id")
+    order = Window.partitionBy("subject_id").orderBy("package_name", "full_name", *place)
+    kept = met.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
+    return kept.join(counted, "subject_id").withColumn("omitted", F.greatest(F.col("total") - most, F.lit(0))).drop("total")
 
 
 MOST_PROMPT_ROWS = 30

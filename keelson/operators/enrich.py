@@ -44,6 +44,16 @@ def exits(reason: Column, unavailable: Column, not_found: Column) -> Column:
     return F.when(reason.isNotNull(), reason).when(F.coalesce(unavailable, F.lit(False)), "registry_unavailable").when(F.coalesce(not_found, F.lit(False)), "not_in_registry")
 
 
+def asked_for_advisories(joined: DataFrame) -> DataFrame:
+    """Occurrences that may be asked about: assessable, with facts of a package that was found and available, and with a version.
+
+    The version is the resolved one, else the latest. ``joined``: as ``with_facts`` gives it.
+    """
+    version = F.coalesce(F.nullif("resolved_version", F.lit("")), F.nullif("f_latest_version", F.lit("")))
+    known = F.col("f_unavailable").isNotNull() & ~F.coalesce("f_unavailable", F.lit(False)) & ~F.coalesce("f_not_found", F.lit(False))
+    return joined.where(F.col("unassessable_reason").isNull() & known).withColumn("assessed_version", version).where("assessed_version IS NOT NULL")
+
+
 def derived(joined: DataFrame) -> DataFrame:
     """Signals of each occurrence. Only a package that is not found keeps its version and resolution."""
     reason = exits(F.col("unassessable_reason"), F.col("f_unavailable"), F.col("f_not_found"))

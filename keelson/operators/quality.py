@@ -21,6 +21,21 @@ def orphans(children: DataFrame, parents: DataFrame, key: str, parent_key: str |
     return children.where(F.col(key).isNotNull()).join(parents.select(F.col(parent_key or key).alias(key)), key, "left_anti")
 
 
+def earliest_matches(rows: DataFrame, ident: str, *keys: tuple[str, ...]) -> DataFrame:
+    """The rows that agree with an earlier one (a smaller ``ident``) in all columns of one of the ``keys``, and the earliest such.
+
+    A minimum for each key, joined back: no pairs are formed, so a class of any size costs one row a member.
+    Null agrees with nothing.
+    """
+    found = rows
+    for n, key in enumerate(keys):
+        first = rows.groupBy(*key).agg(F.min(ident).alias(f"__first_{n}"))
+        found = found.join(first, list(key), "left")
+    firsts = [F.col(f"__first_{n}") for n in range(len(keys))]
+    earliest = F.least(*firsts) if len(firsts) > 1 else firsts[0]
+    return found.withColumn("earliest", earliest).where(F.col("earliest") < F.col(ident)).select(*rows.columns, "earliest")
+
+
 def first_failure(ladder: list[tuple[str, Column]], otherwise: str) -> Column:
     """The first rule of a ladder that holds decides."""
     chain = None

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import fix_sentence, table_cell
+from ..functions.text import fix_sentence, listed, table_cell
 
 FIX_TYPES = ("upgrade", "replace", "remove", "investigate")
 MOST_FIXES = 30
@@ -22,6 +22,40 @@ def parsed(payload: Column) -> Column:
     return F.when(is_object, F.from_json(payload, PAYLOAD))
 
 
+# The most characters of a fix's fields.
+MOST_LETTERS = {"package": 214, "manifest_path": 500, "target_version": 100, "replacement_package": 214}
+ECOSYSTEMS = ("npm", "pypi")
+
+
+def checked(reports: DataFrame, key: str = "report_id", payload: str = "payload") -> DataFrame:
+    """Per payload: whether its shape holds, what is wrong with it (a hint for a second answer), and its summary.
+
+    Any wrong field makes the whole payload wrong. A summary is never wrong for its length; it is cut.
+    Texts are trimmed before they are measured.
+    """
+    p = parsed(F.col(payload))
+    trimmed = lambda x, c: F.trim(x[c])
+    over = lambda x, c: F.coalesce(F.length(trimmed(x, c)) > MOST_LETTERS[c], F.lit(False))
+    blank = lambda x, c: F.coalesce(F.length(trimmed(x, c)) < 1, F.lit(True))
+
+    def of_fix(x: Column, n: Column) -> Column:
+        tests = {
+            "package": blank(x, "package") | over(x, "package"),
+            "manifest_path": blank(x, "manifest_path") | over(x, "manifest_path"),
+            "ecosystem": ~F.coalesce(x["ecosystem"].isin(*ECOSYSTEMS), F.lit(False)),
+            "fix_type": ~F.coalesce(x["fix_type"].isin(*FIX_TYPES), F.lit(False)),
+            "target_version": over(x, "target_version"),
+            "replacement_package": over(x, "replacement_package"),
+            "priority": ~F.coalesce(x["priority"].between(1, 999), F.lit(False)),
+        }
+        return F.array(*[F.when(test, F.concat(F.lit("fixes."), n.cast("string"), F.lit(f".{name}"))) for name, test in tests.items()])
+
+    lists = F.transform(F.coalesce(p["fixes"], F.array().cast("array<struct<package: string, manifest_path: string, ecosystem: string, fix_type: string, target_version: string, replacement_package: string, priority: int>>")), of_fix)
+    summary = F.coalesce(F.length(p["summary_md"]), F.lit(0)) < 1
+    wrong = F.when(p.isNull(), F.array(F.lit("not an object"))).otherwise(F.filter(F.concat(F.array(F.when(summary, "summary_md")), F.flatten(lists)), lambda x: x.isNotNull()))
+    return reports.select(key, wrong.alias("wrong"), F.substring(p["summary_md"], 1, MOST_SUMMARY).alias("summary_md")).select(key, (F.size("wrong") == 0).alias("is_valid"), "wrong", "summary_md")
+
+
 def identity(ecosystem: Column, package: Column, path: Column) -> Column:
     return F.concat_ws("\x1f", ecosystem, F.lower(F.trim(package)), F.trim(path))
 
@@ -73,6 +107,17 @@ def citations(reports: DataFrame, chunks: DataFrame, key: str = "report_id", pay
     return first.withColumn("position", F.row_number().over(order)).where(F.col("position") <= MOST_CITATIONS).select(key, "position", "chunk_id")
 
 
+def cited_passages(stored: DataFrame, key: str = "report_id") -> DataFrame:
+    """key, cited_at and the passage of each citation, in their order, from what the report itself stored.
+
+    ``stored``: key, citations (ids), retrieved (an array of structs with chunk_id). An id that was not
+    retrieved is dropped, and places stay those of the citations.
+    """
+    cited = stored.select(key, "retrieved", F.posexplode("citations").alias("at", "id"))
+    found = cited.withColumn("p", F.get(F.filter("retrieved", lambda x: x["chunk_id"] == F.col("id")), F.lit(0)))
+    return found.where("p IS NOT NULL").select(key, (F.col("at") + 1).alias("cited_at"), "p.*")
+
+
 def confidence_note(kind: Column, grounding: Column, chunks: Column, cited: Column) -> Column:
     return (
         F.when(kind == "combined", "Written from scan results alone; no documents were consulted.")
@@ -83,6 +128,21 @@ def confidence_note(kind: Column, grounding: Column, chunks: Column, cited: Colu
     )
 
 
+def scope_sentence(project: Column, compared: Column, missing: Column, has_lines: Column) -> Column:
+    """What a report was compared with: named siblings with a completed scan, and those without one.
+
+    It is there for every member of a project, so that no line is told apart from no comparison.
+    ``compared`` and ``missing`` are arrays of full names in order; an independent repository has none (null).
+    """
+    opening = F.concat(F.lit("Part of the project "), project, F.lit("."))
+    none, unseen = F.size(compared) == 0, F.size(missing) == 0
+    scans = F.concat(F.when(F.size(compared) == 1, "the latest scan of ").otherwise("the latest scans of "), listed(compared), F.lit(" as of this report"))
+    said = F.when(has_lines, F.concat(F.lit(" Compared with "), scans, F.lit("."))).otherwise(F.concat(F.lit(" Nothing in this report occurs in "), scans, F.lit(".")))
+    rest = F.when(unseen, "").otherwise(F.concat(F.lit(" "), listed(missing), F.when(F.size(missing) == 1, " has").otherwise(" have"), F.lit(" no completed scan and took no part.")))
+    text = F.when(none & unseen, opening).when(none, F.concat(opening, F.lit(" No other repository of it has a completed scan, so nothing was compared."))).otherwise(F.concat(opening, said, rest))
+    return F.when(project.isNotNull(), text)
+
+
 def fixes_table(rows: DataFrame, key: str = "report_id", omitted: Column | None = None) -> DataFrame:
     """A Markdown table of each report's fixes in order of priority, with a line for what is left out."""
     cells = F.transform(

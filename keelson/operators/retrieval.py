@@ -96,10 +96,16 @@ def similarity(left: Column, right: Column) -> Column:
 
 
 def nearest_chunks(queries: DataFrame, chunks: DataFrame, *keys: str, k: int = NEAREST) -> DataFrame:
-    """The k most similar chunks of each query among those with equal keys; none is no error, only no rows."""
-    scored = queries.join(chunks, [*keys]).withColumn("similarity", similarity(F.col("query_vector"), F.col("vector")))
+    """The k most similar chunks of each query among those with equal keys; none is no error, only no rows.
+
+    Only ids and similarities are ranked; texts join the few that are kept. A chunk id occurs once for equal keys.
+    """
+    held = chunks.select(*keys, "chunk_id", "vector")
+    scored = queries.select(*keys, "query_id", "query_vector").join(held, [*keys]).select(*keys, "query_id", "chunk_id", similarity(F.col("query_vector"), F.col("vector")).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).drop("query_vector", "vector")
+    best = scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    rest = queries.drop("query_vector")
+    return best.join(rest, [*keys, "query_id"]).join(chunks.drop("vector"), [*keys, "chunk_id"])
 
 
 def grounding(queries: DataFrame, retrieved: DataFrame) -> DataFrame:

@@ -36,6 +36,11 @@ def with_weights(rows: DataFrame, version: Column | str = ACTIVE, folder: Path =
     return joined.withColumn("w_deprecation", weight.cast("long")).drop("w_version", "w_ecosystem")
 
 
+def signal_columns(rows: DataFrame, *keys: str) -> DataFrame:
+    """The measurements that a score needs, from rows of any table that has them; an unknown number of advisories is none."""
+    return rows.select(*keys, "is_deprecated", "cvss_tenths", F.coalesce("vulnerability_count", F.lit(0)).alias("vulnerability_count"), "staleness_days")
+
+
 def signals(epss: bool = False) -> dict[str, tuple[Column, Column]]:
     """Numerator and denominator of each normalised signal; a null numerator is an absent term.
 

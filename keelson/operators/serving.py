@@ -107,3 +107,37 @@ def deletion(repositories: DataFrame, asked: DataFrame) -> DataFrame:
         F.when(outcome == "confirm_project", F.col("names")).alias("names"),
     )
 
+
+MOST_NAME = 80
+
+
+def project_creation(asked: DataFrame, repositories: DataFrame) -> DataFrame:
+    """What each request for a new project does; the first refusal counts.
+
+    ``asked``: request_id, user_id, name, ids (texts). In order: the name, white space collapsed, is there and
+    not too long; two ids at least are given; each is a number; two of them differ; all are repositories of
+    the user; none is in a project. Gives request_id, outcome, name, and the full names of members that are in one.
+    """
+    name = F.trim(F.regexp_replace(F.coalesce("name", F.lit("")), r"\s+", " "))
+    given = asked.select("request_id", "user_id", name.alias("name"), "ids", F.array_distinct(F.transform("ids", lambda x: F.trim(x).try_cast("long"))).alias("__ids"))
+    wanted = given.select("request_id", "user_id", F.explode("__ids").alias("repository_id"))
+    met = wanted.join(repositories.select("repository_id", "user_id", "project_id", "full_name"), ["user_id", "repository_id"])
+    held = met.groupBy("request_id").agg(F.count_distinct("repository_id").alias("n"), F.array_compact(F.sort_array(F.collect_list(F.when(F.col("project_id").isNotNull(), F.col("full_name"))))).alias("grouped"))
+    joined = given.join(held, "request_id", "left")
+    count, distinct = F.greatest(F.coalesce(F.size("ids"), F.lit(0)), F.lit(0)), F.size("__ids")
+    outcome = (
+        F.when(F.col("name") == "", "name_required")
+        .when(F.char_length("name") > MOST_NAME, "name_too_long")
+        .when(count < LEAST_MEMBERS, "too_small")
+        .when(F.exists("__ids", lambda x: x.isNull()), "unknown_repository")
+        .when(distinct < LEAST_MEMBERS, "too_small")
+        .when(F.coalesce("n", F.lit(0)) != distinct, "unknown_repository")
+        .when(F.size("grouped") > 0, "already_grouped")
+        .otherwise("created")
+    )
+    return joined.select("request_id", outcome.alias("outcome"), "name", F.when(outcome == "already_grouped", F.col("grouped")).alias("grouped"))
+
+
+def registration(ladder: Column, scan_failure: Column) -> Column:
+    """struct<outcome, scan>: a registration's outcome, and what became of the first scan of a created one; its failure is no failure of the registration."""
+    return F.struct(ladder.alias("outcome"), F.when(ladder == "created", F.when(scan_failure.isNull(), "queued").otherwise("not_started")).alias("scan"))

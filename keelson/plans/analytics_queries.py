@@ -128,8 +128,10 @@ def q_ecosystem_summary(spark, sf_dir):
 def _latest_cards(spark, sf_dir):
     scans, rows = scan_run(spark, sf_dir), flagged(spark, sf_dir, named=False)
     newest = a.latest_state(scans).where("latest_status = 'completed'").select("repository_id", F.col("latest_scan_id").alias("scan_id"))
-    cards = rollup.rescore(scans, occurrence(spark, sf_dir, named=False), "v2").select("scan_id", "score")
-    return newest.join(cards, "scan_id").join(a.scan_counts(rows), "scan_id", "left")
+    # Only the newest scans are scored and counted.
+    shown = newest.select("scan_id")
+    cards = rollup.rescore(shown, occurrence(spark, sf_dir, named=False).join(shown, "scan_id", "left_semi"), "v2").select("scan_id", "score")
+    return newest.join(cards, "scan_id").join(a.scan_counts(rows.join(shown, "scan_id", "left_semi")), "scan_id", "left")
 
 
 def q_dashboard_totals(spark, sf_dir):
@@ -144,15 +146,17 @@ def q_dashboard_totals(spark, sf_dir):
 
 
 def q_projects_grouping(spark, sf_dir):
-    repos = repository(spark, sf_dir)
+    """Members of projects with their place; independent repositories are in no group and have none."""
+    repos = repository(spark, sf_dir).select("user_id", "project_id", "repository_id", "name")
     place = F.row_number().over(Window.partitionBy("user_id", "project_id").orderBy("name", "repository_id"))
-    return repos.select("user_id", "project_id", "repository_id", place.alias("position"))
+    grouped = repos.where("project_id IS NOT NULL").withColumn("position", place)
+    alone = repos.where("project_id IS NULL").withColumn("position", F.lit(None).cast("int"))
+    return grouped.unionByName(alone).drop("name")
 
 
 def _siblings(spark, sf_dir):
     scans = scan_run(spark, sf_dir)
-    lines = a.shared_lines(repository(spark, sf_dir).where("project_id IS NOT NULL"), a.latest_completed(scans), flagged(spark, sf_dir))
-    return a.capped_lines(lines.withColumn("status", a.status_label()), 40)
+    return a.sibling_lines(repository(spark, sf_dir).where("project_id IS NOT NULL"), a.latest_completed(scans), flagged(spark, sf_dir).withColumn("status", a.status_label()))
 
 
 def q_sibling_context(spark, sf_dir):
@@ -282,7 +286,7 @@ FROM scan_run WHERE status = 'completed' WINDOW w AS (PARTITION BY repository_id
 SELECT {KEYS}, ecosystem, manifest_path, package_name, resolved_version, resolution,
        CASE WHEN is_unassessable THEN 'unassessable' WHEN is_flagged THEN 'flagged' ELSE 'clean' END AS status
 FROM flagged ORDER BY is_unassessable, manifest_path, package_name, scan_id, part_id, line_no LIMIT 50 OFFSET 100""", "occurrence"),
-        "T05 T06 P10 P11",
+        "T05 P11",
     ),
     "flagged_tab": Query(q_flagged_tab, with_views(FLAGGED + f"\nSELECT {KEYS}, package_name FROM flagged WHERE is_flagged", "occurrence"), "P01 P03"),
     "unassessable_tab": Query(q_unassessable_tab, with_views(FLAGGED + f"\nSELECT {KEYS}, package_name FROM flagged WHERE is_unassessable", "occurrence"), "P02 P03"),
@@ -321,8 +325,8 @@ SELECT user_id, count(*) AS repositories, count(DISTINCT owner) AS owners, coale
     ),
     "projects_grouping": Query(
         q_projects_grouping,
-        with_views("SELECT user_id, project_id, repository_id, row_number() OVER (PARTITION BY user_id, project_id ORDER BY name, repository_id)::INT AS position FROM repository", "repository"),
-        "A12 X11 J02",
+        with_views("SELECT user_id, project_id, repository_id, CASE WHEN project_id IS NOT NULL THEN row_number() OVER (PARTITION BY user_id, project_id ORDER BY name, repository_id)::INT END AS position FROM repository", "repository"),
+        "A12 J02",
     ),
     "sibling_context": Query(
         q_sibling_context,
@@ -336,7 +340,7 @@ lines AS (SELECT s.subject_id, f.*, full_name, CASE WHEN is_unassessable THEN 'u
 placed AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY package_name, full_name, CASE status WHEN 'flagged' THEN 0 WHEN 'unassessable' THEN 1 ELSE 2 END, manifest_path, part_id, line_no) AS position,
   count(*) OVER (PARTITION BY subject_id) AS total FROM lines)
 SELECT subject_id, CAST(position AS INT) AS position, package_name, full_name, status, manifest_path, greatest(total - 40, 0) AS omitted FROM placed WHERE position <= 40""", "repository", "scan_run", "occurrence"),
-        "J09 J10 T08 R15 X09 P11",
+        "J09 J10 T08 R15 P11",
     ),
     "siblings_not_scanned": Query(
         q_siblings_not_scanned,

@@ -80,10 +80,10 @@ def occurrence(spark: SparkSession, sf_dir: str, named: bool = True) -> DataFram
 
 
 def advisory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = occurrence(spark, sf_dir).where("vulnerability_count > 0").select(*KEY, "package_name", "cvss_tenths", F.explode(F.sequence(F.lit(1), "vulnerability_count")).alias("i"))
+    """One row per advisory of a line; names are not needed, so parts are not joined."""
+    rows = occurrence(spark, sf_dir, named=False).where("vulnerability_count > 0").select(*KEY, "cvss_tenths", F.explode(F.sequence(F.lit(1), "vulnerability_count")).alias("i"))
     return rows.select(
         *KEY,
-        "package_name",
         "i",
         F.concat_ws("-", F.lit("OSV"), F.col("part_id").cast("string"), F.col("i").cast("string")).alias("osv_id"),
         F.when(F.col("i") % 3 != 0, F.concat(F.lit("CVE-2024-"), (1000 + F.col("part_id") % 500 + F.col("i") % 2).cast("string"))).alias("cve_id"),

@@ -29,7 +29,7 @@ def q_prune(spark, sf_dir):
 def q_cascade(spark, sf_dir):
     scans = scan_run(spark, sf_dir)
     deleted = lifecycle.prune(scans, a.latest_completed(scans))
-    return lifecycle.cascade(occurrence(spark, sf_dir), deleted).groupBy("scan_id").agg(F.count("*").alias("n_deleted"))
+    return lifecycle.cascade(occurrence(spark, sf_dir, named=False), deleted).groupBy("scan_id").agg(F.count("*").alias("n_deleted"))
 
 
 def q_at_risk(spark, sf_dir):
@@ -101,13 +101,9 @@ def q_project_rules(spark, sf_dir):
 
 
 def q_duplicate_registration(spark, sf_dir):
-    """Pairs of registrations that agree in id class or in owner and name class: a union of two equi-joins."""
+    """Registrations that repeat an earlier one, by remote id or by owner and name, each with the earliest."""
     rows = repository(spark, sf_dir).select("repository_id", "owner", (F.col("repository_id") % 499).alias("remote_id"), (F.col("repository_id") % 211).alias("name_class"))
-    other = rows.select(*[F.col(c).alias(f"o_{c}") for c in rows.columns])
-    ordered = F.col("repository_id") < F.col("o_repository_id")
-    same_id = rows.join(other, (F.col("remote_id") == F.col("o_remote_id")) & ordered)
-    same_name = rows.join(other, (F.col("owner") == F.col("o_owner")) & (F.col("name_class") == F.col("o_name_class")) & ordered)
-    return same_id.select("repository_id", "o_repository_id").union(same_name.select("repository_id", "o_repository_id")).distinct()
+    return quality.earliest_matches(rows, "repository_id", ("remote_id",), ("owner", "name_class")).select("repository_id", F.col("earliest").alias("o_repository_id"))
 
 
 def q_all_unavailable(spark, sf_dir):
@@ -126,7 +122,7 @@ def q_facts_join(spark, sf_dir):
 def q_exits(spark, sf_dir):
     reason = F.when(F.col("line_no") == 4, "git_specifier")
     found = enrich.exits(reason, F.col("part_id") % 10 == 0, F.col("part_id") % 15 == 0)
-    return occurrence(spark, sf_dir).select(*KEY, found.alias("reason"))
+    return occurrence(spark, sf_dir, named=False).select(*KEY, found.alias("reason"))
 
 
 def q_advisory_lookup(spark, sf_dir):
@@ -291,12 +287,12 @@ FROM risk r LEFT JOIN active a USING (repository_id)""", "scan_run", "report"),
         with_views("""c AS (SELECT event_id * 7 AS scan_id FROM events)
 SELECT c.scan_id, CASE WHEN s.scan_id IS NULL THEN 'drop_orphan' WHEN r.scan_id IS NULL THEN 'drop_idle' ELSE 'keep' END AS action
 FROM c LEFT JOIN scan_run s USING (scan_id) LEFT JOIN (SELECT scan_id FROM report WHERE status = 'running') r USING (scan_id)""", "scan_run", "report"),
-        "J11 X02",
+        "J11",
     ),
     "report_decision": Query(
         q_report_decision,
         with_views("SELECT scan_id, CASE r.status WHEN 'completed' THEN 'cached' WHEN 'running' THEN 'conflict' WHEN 'failed' THEN 'requeue' ELSE 'create' END AS decision FROM scan_run LEFT JOIN report r USING (scan_id)", "scan_run", "report"),
-        "R14 X08 P07",
+        "R14",
     ),
     "package_upsert": Query(q_upsert, with_views("SELECT DISTINCT ecosystem, package_name FROM occurrence", "occurrence"), "SNK01 S02 S04"),
     "constraint_violations": Query(
@@ -304,7 +300,7 @@ FROM c LEFT JOIN scan_run s USING (scan_id) LEFT JOIN (SELECT scan_id FROM repor
         """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 'quantity_range' AS rule FROM lineitem WHERE NOT l_quantity BETWEEN 1 AND 45
 UNION ALL SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 'discount_range' FROM lineitem WHERE NOT l_discount BETWEEN 0 AND 0.08::DOUBLE
 UNION ALL SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 'flag_member' FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')""",
-        "Q01 Q03",
+        "Q01",
     ),
     "duplicate_keys": Query(q_duplicates, "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1", "Q02"),
     "partial_unique_keys": Query(q_partial_unique, with_views("SELECT repository_id, created_on::VARCHAR AS created_on, count(*) AS n FROM scan_run WHERE status = 'completed' GROUP BY ALL HAVING count(*) > 1", "scan_run"), "Q02"),
@@ -320,12 +316,12 @@ WHEN repository_id % 13 = 0 THEN 'no_manifest' WHEN repository_id % 17 = 0 THEN
         q_project_rules,
         with_views("""g AS (SELECT user_id, project_id, count(DISTINCT repository_id) AS members FROM repository GROUP BY ALL)
 SELECT user_id, project_id, CASE WHEN project_id % 9 = 0 THEN 'name_invalid' WHEN members < 2 THEN 'too_few' WHEN project_id % 2 = 0 THEN 'already_grouped' ELSE 'ok' END AS outcome FROM g""", "repository"),
-        "Q06 Q08 X12",
+        "Q06",
     ),
     "duplicate_registrations": Query(
         q_duplicate_registration,
-        with_views("""SELECT a.repository_id, b.repository_id AS o_repository_id FROM repository a JOIN repository b ON a.repository_id < b.repository_id
-AND (a.repository_id % 499 = b.repository_id % 499 OR a.owner = b.owner AND a.repository_id % 211 = b.repository_id % 211)""", "repository"),
+        with_views("""SELECT b.repository_id, min(a.repository_id) AS o_repository_id FROM repository a JOIN repository b ON a.repository_id < b.repository_id
+AND (a.repository_id % 499 = b.repository_id % 499 OR a.owner = b.owner AND a.repository_id % 211 = b.repository_id % 211) GROUP BY b.repository_id""", "repository"),
         "J19",
     ),
     "all_unavailable": Query(q_all_unavailable, "SELECT 'pypi' AS ecosystem", "A09"),

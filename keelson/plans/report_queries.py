@@ -57,9 +57,10 @@ def q_trace(spark, sf_dir):
 
 def q_history_rows(spark, sf_dir):
     """What is appended to the permanent history for completed scans."""
-    scans = scan_run(spark, sf_dir)
-    cards = rollup.rescore(scans, occurrence(spark, sf_dir), "v2").select("scan_id", "score", "classification", "flagged_count")
-    done = scans.where("status = 'completed'").join(repository(spark, sf_dir).select("repository_id", "full_name"), "repository_id")
+    scans = scan_run(spark, sf_dir).where("status = 'completed'")
+    rows = occurrence(spark, sf_dir, named=False).join(scans.select("scan_id"), "scan_id", "left_semi")
+    cards = rollup.rescore(scans, rows, "v2").select("scan_id", "score", "classification", "flagged_count")
+    done = scans.join(repository(spark, sf_dir).select("repository_id", "full_name"), "repository_id")
     return lifecycle.history_rows(done, cards).select("scan_id", "full_name", "data_source", cents("score"), "flagged_count")
 
 
@@ -69,9 +70,11 @@ def q_panel(spark, sf_dir):
 
 
 def q_manifest(spark, sf_dir):
-    scans, rows = scan_run(spark, sf_dir), occurrence(spark, sf_dir)
-    one, two = (rollup.rescore(scans, rows, v).select("scan_id", F.col("score").alias(v)) for v in ("v1", "v2"))
-    return sinks.manifest(one.join(two, "scan_id").withColumn("changed", F.col("v1") != F.col("v2")), "v1", None)
+    """Both versions in one roll-up."""
+    both = F.explode(F.array(F.lit("v1"), F.lit("v2")))
+    cards = rollup.roll_up(scan_run(spark, sf_dir).select("scan_id", both.alias("used_version")), occurrence(spark, sf_dir, named=False).withColumn("own_version", both), F.col("own_version"))
+    panel = cards.groupBy("scan_id").agg((F.min("score") != F.max("score")).alias("changed"))
+    return sinks.manifest(panel, "v1", None)
 
 
 def q_report_json(spark, sf_dir):

@@ -190,7 +190,7 @@ UNION ALL SELECT {KEYS}, 2, 'count', vulnerability_count, CAST(p_cnt AS BIGINT)
 UNION ALL SELECT {KEYS}, 3, 'staleness', staleness_days, CAST(p_stale AS BIGINT) FROM scored WHERE staleness_days IS NOT NULL""",
             "occurrence",
         ),
-        "SC08 SC19 SC05",
+        "SC08 SC19",
     ),
     "omitted_terms": Query(
         omitted_terms, with_views(f"SELECT {KEYS}, 'staleness' AS signal, 'no_release_date' AS reason FROM occurrence WHERE NOT is_unassessable AND staleness_days IS NULL", "occurrence"), "SC09"

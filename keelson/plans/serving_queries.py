@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import Query
-from ..operators import analytics, constraints, paging, panel, rollup, scoring, serving
+from ..functions import text as tx
+from ..operators import analytics, constraints, enrich, paging, panel, reports, rollup, scoring, serving
 from ..operators.weights import TRIAL, load
 from ..session import shared_path
 from ..sources import sinks
@@ -134,15 +135,15 @@ def q_constraints(spark, sf_dir):
         k.alias("scan_id"), F.when(k % 40 == 0, "cron").when(k % 3 == 0, "initial").otherwise("manual").alias("trigger_type"), F.when(F.col("o_orderstatus") == "P", "paused").otherwise("completed").alias("status"),
         F.when(k % 5 > 0, price % 104 - 2).alias("risk_score"), (price % 7 - 1).alias("skipped_manifest_count"), F.when(k % 6 > 0, F.when(price % 9 == 0, "unsafe").otherwise("safe")).alias("classification"),
     )
-    reports = orders.select(
+    told = orders.select(
         k.alias("scan_id"), F.when(k % 50 == 0, "weekly").when(k % 2 == 0, "combined").otherwise("per_dependency").alias("report_type"), F.when(price % 3 > 0, price).alias("dependency_id"), F.lit("queued").alias("status"),
         F.when(k % 4 == 0, "low").when(k % 31 == 0, "none").alias("grounding_confidence"),
     )
     out = []
-    for name, rows in (("scan", scans), ("report", reports)):
+    for name, rows in (("scan", scans), ("report", told)):
         found, totals = constraints.audit(rows, constraints.RULES[name], "scan_id")
-        told = spark.createDataFrame([(rule, n) for rule, n in totals.items() if rule != "rows"], "rule string, total long")
-        out.append(found.join(F.broadcast(told), "rule").select(F.lit(name).alias("table"), "rule", "scan_id", "total", F.lit(totals["rows"]).cast("long").alias("rows")))
+        counts = spark.createDataFrame([(rule, n) for rule, n in totals.items() if rule != "rows"], "rule string, total long")
+        out.append(found.join(F.broadcast(counts), "rule").select(F.lit(name).alias("table"), "rule", "scan_id", "total", F.lit(totals["rows"]).cast("long").alias("rows")))
     return out[0].unionByName(out[1])
 
 
@@ -214,7 +215,103 @@ SELECT {KEYS}, a.p_epss AS points_epss_cents, 10000 - a.penalty AS score_cents,
     )
 
 
+def q_project_creation(spark, sf_dir):
+    """Requests of every user for a project of each run of three of their repositories, with what can be wrong in turn."""
+    repos = repository(spark, sf_dir)
+    r = F.col("repository_id")
+    text = lambda c: c.cast("string")
+    name = F.when(r % 19 == 0, " \t ").when(r % 17 == 0, F.repeat(F.lit("n"), 81)).otherwise(F.concat(F.lit("  My   "), text(r), F.lit("\n")))
+    ids = F.when(r % 13 == 0, F.array(text(r))).when(r % 11 == 0, F.array(text(r), F.lit("x1"))).when(r % 7 == 0, F.array(text(r), F.concat(F.lit(" "), text(r)))).when(r % 5 == 0, F.array(text(r), text(r + 1))).otherwise(F.array(text(r), text(-r - 1), text(r)))
+    loose = F.when(r % 2 == 1, F.col("project_id"))
+    # Every repository owns a twin with a negative number, so that a pair of one's own exists.
+    owned = repos.select("repository_id", "user_id", loose.alias("project_id"), "full_name").union(repos.select(-r - 1, "user_id", F.lit(None).cast("long"), F.concat("full_name", F.lit("-twin"))))
+    asked = repos.select(r.alias("request_id"), "user_id", name.alias("name"), ids.alias("ids"))
+    found = serving.project_creation(asked, owned)
+    return found.select("request_id", "outcome", "name", F.array_join("grouped", ",").alias("grouped"))
+
+
+def q_registrations(spark, sf_dir):
+    """Registrations with their first scan, which some could not start."""
+    c = F.col("repository_id")
+    ladder = F.when(c % 11 == 0, "repo_inaccessible").when(c % 17 == 0, "duplicate").otherwise("created")
+    failure = F.when(c % 3 == 0, F.concat(F.lit("no thread for "), "full_name"))
+    return repository(spark, sf_dir).select("repository_id", serving.registration(ladder, failure).alias("x")).select("repository_id", "x.outcome", "x.scan")
+
+
+def q_addresses(spark, sf_dir):
+    branch = F.concat(F.lit("feature/é ~*+"), F.col("repository_id").cast("string"))
+    return repository(spark, sf_dir).select("repository_id", tx.tree_address(F.col("owner"), F.col("name"), branch).alias("tree"), tx.blob_address(F.col("owner"), F.col("full_name"), F.sha1("name")).alias("blob"))
+
+
+def q_signal_read(spark, sf_dir):
+    """Scores from live rows and from the snapshot of the same rows, read by the same columns."""
+    live = occurrence(spark, sf_dir, named=False)
+    count = F.when(F.col("vulnerability_count") > 0, F.col("vulnerability_count"))
+    kept = live.withColumn("vulnerability_count", count).drop("part_id")
+    keys = ("scan_id", "supp_id", "line_no", "ecosystem", "is_unassessable")
+    both = scoring.signal_columns(live, *keys).withColumn("side", F.lit("live")).unionByName(scoring.signal_columns(kept, *keys).withColumn("side", F.lit("history")))
+    return scoring.score_occurrences(both).groupBy("side", "scan_id").agg(F.count("*").alias("n"), F.sum((F.col("score") * 100).cast("long")).alias("score_cents"))
+
+
+def q_advisory_targets(spark, sf_dir):
+    """Occurrences that are asked about: those whose package was found and available, with a version of their own or the latest."""
+    rows = occurrence(spark, sf_dir).select(*KEY, "ecosystem", F.col("package_name").alias("name"), F.when(F.col("line_no") != 2, F.col("resolved_version")).alias("resolved_version"), F.when(F.col("is_unassessable"), "git_specifier").alias("unassessable_reason"), F.length("package_name").alias("size"))
+    facts = rows.where("size % 7 > 0").select("ecosystem", "name", "resolved_version", (F.col("size") % 5 == 0).alias("unavailable"), (F.col("size") % 6 == 0).alias("not_found"), F.when(F.col("size") % 4 > 0, F.concat(F.lit("9."), "size")).alias("latest_version")).distinct()
+    return enrich.asked_for_advisories(enrich.with_facts(rows, facts)).select(*KEY, "assessed_version")
+
+
+def q_cited_passages(spark, sf_dir):
+    """Citations of every report, some of what was never retrieved, in the order in which they are cited."""
+    s = F.col("scan_id")
+    passage = lambda n: F.struct(F.concat(F.lit(f"c{n}-"), s.cast("string")).alias("chunk_id"), (F.lit(n) / F.lit(4.0)).alias("similarity"))
+    cites = F.transform(F.sequence(F.lit(0), (s % 4).cast("int")), lambda i: F.concat(F.lit("c"), ((s + i) % 5).cast("string"), F.lit("-"), s.cast("string")))
+    stored = report(spark, sf_dir).select("report_id", cites.alias("citations"), F.array(*[passage(n) for n in range(3)]).alias("retrieved"))
+    return reports.cited_passages(stored)
+
+
 QUERIES = {
+    "project_creation": Query(
+        q_project_creation,
+        with_views("""r AS (SELECT *, CASE WHEN repository_id % 2 = 1 THEN project_id END AS p FROM repository),
+o AS (
+  SELECT a.repository_id AS k, a.full_name, CASE WHEN a.repository_id % 19 = 0 THEN '' WHEN a.repository_id % 17 = 0 THEN repeat('n', 81) ELSE 'My ' || a.repository_id END AS name, a.p, b.repository_id AS other, b.p AS other_p, b.full_name AS other_name
+  FROM r a LEFT JOIN r b ON b.repository_id = a.repository_id + 1 AND b.user_id = a.user_id),
+w AS (SELECT *, CASE WHEN k % 19 = 0 THEN 'name_required' WHEN k % 17 = 0 THEN 'name_too_long' WHEN k % 13 = 0 THEN 'too_small' WHEN k % 11 = 0 THEN 'unknown_repository' WHEN k % 7 = 0 THEN 'too_small' WHEN k % 5 = 0 AND other IS NULL THEN 'unknown_repository'
+  WHEN p IS NOT NULL OR k % 5 = 0 AND other_p IS NOT NULL THEN 'already_grouped' ELSE 'created' END AS outcome FROM o)
+SELECT k AS request_id, outcome, name, CASE WHEN outcome = 'already_grouped' THEN CASE WHEN k % 5 = 0 AND p IS NOT NULL AND other_p IS NOT NULL THEN least(full_name, other_name) || ',' || greatest(full_name, other_name) WHEN p IS NOT NULL THEN full_name ELSE other_name END END AS grouped FROM w""", "repository"),
+        "Q06",
+    ),
+    "registrations": Query(
+        q_registrations,
+        with_views("""o AS (SELECT repository_id, CASE WHEN repository_id % 11 = 0 THEN 'repo_inaccessible' WHEN repository_id % 17 = 0 THEN 'duplicate' ELSE 'created' END AS outcome FROM repository)
+SELECT repository_id, outcome, CASE WHEN outcome = 'created' THEN CASE WHEN repository_id % 3 = 0 THEN 'not_started' ELSE 'queued' END END AS scan FROM o""", "repository"),
+        "X22",
+    ),
+    "request_addresses": Query(
+        q_addresses,
+        with_views("""SELECT repository_id, 'https://api.github.com/repos/' || url_encode(owner) || '/' || url_encode(name) || '/git/trees/' || url_encode('feature/é ~*+' || repository_id) AS tree,
+'https://api.github.com/repos/' || url_encode(owner) || '/' || url_encode(full_name) || '/git/blobs/' || sha1(name) AS blob FROM repository""", "repository"),
+        "X19",
+    ),
+    "signals_of_any_rows": Query(
+        q_signal_read,
+        with_views(rolled_sql("'v2'", "SELECT 1 AS scan_id, 1 AS used_version") + """,
+sums AS (SELECT scan_id, count(*) AS n, sum(10000 - penalty)::BIGINT AS score_cents FROM scored GROUP BY scan_id)
+SELECT side, scan_id, n, score_cents FROM sums, (VALUES ('live'), ('history')) AS v(side)""", "occurrence"),
+        "X18",
+    ),
+    "advisory_targets": Query(
+        q_advisory_targets,
+        with_views(f"""rows AS (SELECT *, length(package_name) AS size, CASE WHEN line_no <> 2 THEN resolved_version END AS v FROM occurrence)
+SELECT {KEYS}, coalesce(v, '9.' || size) AS assessed_version FROM rows WHERE NOT is_unassessable AND size % 7 > 0 AND size % 5 > 0 AND size % 6 > 0 AND (v IS NOT NULL OR size % 4 > 0)""", "occurrence"),
+        "P06",
+    ),
+    "cited_passages": Query(
+        q_cited_passages,
+        with_views("""c AS (SELECT report_id, scan_id, unnest(range(0, scan_id % 4 + 1)) AS i FROM report)
+SELECT report_id, CAST(i + 1 AS INT) AS cited_at, 'c' || ((scan_id + i) % 5) || '-' || scan_id AS chunk_id, ((scan_id + i) % 5) / 4.0::DOUBLE AS similarity FROM c WHERE (scan_id + i) % 5 < 3""", "report"),
+        "J14",
+    ),
     "dependency_page_walk": Query(
         q_page_walk,
         with_views(f"""placed AS (SELECT *, row_number() OVER (ORDER BY is_unassessable, manifest_path, package_name, scan_id, part_id, supp_id, line_no) AS n, count(*) OVER () AS total FROM occurrence)

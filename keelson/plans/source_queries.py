@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import Query
 from ..session import shared_path
-from ..sources import advisory_batches, checkout
+from ..sources import adapters, advisory_batches, checkout, registry
+from ..sources import answers as told_by
 from .fixtures import KEY, occurrence, table, with_views
 from .scoring_queries import KEYS
 
@@ -85,7 +86,91 @@ def q_answers(spark, sf_dir):
     return found.select(*KEY, "osv_id", F.get_json_object("document", "$.id").alias("document_id"))
 
 
+#: One statement for manifests and lockfiles of every kind.
+IN_SQL = """
+WITH declared AS (
+  SELECT f.key, f.place, regexp_replace(f.place, '/?[^/]*$', '') AS folder, m.kind, m.dependency_group, m.specifier, m.error,
+         CASE WHEN m.kind = 'package_json' OR m.specifier IS NOT NULL THEN m.entry ELSE lower(regexp_replace(regexp_extract(m.entry, '^[A-Za-z0-9][A-Za-z0-9._-]*', 0), '[-_.]+', '-')) END AS name
+  FROM {files} f, LATERAL manifest_entries(f.place, f.text) m),
+locked AS (
+  SELECT f.key, regexp_replace(f.place, '/?[^/]*$', '') AS folder, lower(regexp_replace(v.name, '[-_.]+', '-')) AS name, v.version
+  FROM {files} f, LATERAL locked_versions(f.place, f.text) v WHERE v.error IS NULL)
+SELECT d.key, d.place, d.kind, d.name, nullif(d.dependency_group, '') AS dependency_group, d.specifier, l.version, d.error
+FROM declared d LEFT JOIN locked l ON d.key = l.key AND d.folder = l.folder AND d.name = l.name"""
+
+
+def q_adapters(spark, sf_dir):
+    """Every file of every repository, parsed by table functions in one SQL text."""
+    adapters.register(spark)
+    return spark.sql(IN_SQL, files=_repositories(spark, sf_dir))
+
+
+def q_registry(spark, sf_dir):
+    """What the registries answered for every part in both ecosystems, with small caps, and the facts of what was found."""
+    p = F.col("p_partkey")
+    statuses = F.element_at(F.array(*map(F.lit, ("ok", "ok", "ok", "not_found", "rate_limited", "too_large", "ok"))), (p % 7 + 1).cast("int"))
+    pad = F.concat(F.lit(', "pad": "'), F.repeat(F.lit("x"), (p % 13 * 40).cast("int")), F.lit('"}'))
+    tags = F.when(p % 2 == 0, F.concat(F.lit('"dist-tags": {"latest": "1.0.'), p % 10, F.lit('"}, '))).otherwise("")
+    versions = F.concat(F.lit('"versions": {"1.0.0": {}, "2.'), p % 9, F.lit('.0": {}, "3.0.0-rc.1": {}}'))
+    full = F.concat(F.lit("{"), tags, versions, F.lit(', "time": {"1.0.0": "2020-01-02T00:00:00Z", "x": "?"}, "repository": " r "'), pad)
+    reduced = F.when(p % 3 > 0, F.concat(F.lit("{"), tags, versions, F.when(p % 5 == 0, F.repeat(F.lit(" "), 900)).otherwise(""), F.lit("}"))).otherwise("[]")
+    info = F.concat(F.lit('{"info": {"version": "'), F.when(p % 4 > 0, F.concat(F.lit("1."), p % 4)).otherwise(""), F.lit('", "project_urls": {"Home": "h"}}, "releases": {"1.'), p % 4, F.lit('": [{"yanked": true, "upload_time": "2021-05-06T00:00:00"}], "0.9": []}'), pad)
+    row = lambda ecosystem, name, form, status, body: F.struct(F.lit(ecosystem).alias("ecosystem"), name.alias("name"), F.lit(form).alias("form"), status.alias("status"), F.when(status == "ok", body).alias("body"))
+    npm_name, pypi_name = F.concat(F.lit("Part."), p.cast("string")), F.concat(F.lit("Part_"), p.cast("string"))
+    asked = F.array(row("npm", npm_name, "full", statuses, full), row("npm", npm_name, "reduced", F.lit("ok"), reduced), row("pypi", pypi_name, "full", statuses, info))
+    answers = table(spark, sf_dir, "part").select(F.explode(asked).alias("a")).select("a.*")
+    found = registry.facts(registry.documents(answers, 450, 600, 450))
+    return found.select("ecosystem", "name", "outcome", "form", "latest_version", F.size("released").alias("n_released"), F.size(F.map_keys("times")).alias("n_times"), "repository", F.col("deprecation.is_deprecated").alias("is_deprecated"))
+
+
+REGISTRY_SQL = """
+WITH p AS (SELECT p_partkey AS k, ['ok', 'ok', 'ok', 'not_found', 'rate_limited', 'too_large', 'ok'][1 + p_partkey % 7] AS st, CASE WHEN p_partkey % 2 = 0 THEN length('"dist-tags": {"latest": "1.0.0"}, ') ELSE 0 END AS tags, 40 * (p_partkey % 13) AS pad FROM part),
+n AS (SELECT *, 1 + tags + length('"versions": {"1.0.0": {}, "2.0.0": {}, "3.0.0-rc.1": {}}') AS head FROM p),
+j AS (SELECT *, head + length(', "time": {"1.0.0": "2020-01-02T00:00:00Z", "x": "?"}, "repository": " r "') + length(', "pad": ""}') + pad AS full_size, CASE WHEN k % 3 > 0 THEN head + 1 + CASE WHEN k % 5 = 0 THEN 900 ELSE 0 END ELSE 2 END AS reduced_size FROM n),
+w AS (SELECT *, st = 'too_large' OR st = 'ok' AND full_size > 450 AS large FROM j),
+o AS (SELECT *, CASE WHEN large THEN CASE WHEN reduced_size <= 600 AND k % 3 > 0 THEN 'ok' ELSE 'unavailable' END WHEN st = 'not_found' THEN 'not_found' WHEN st = 'ok' THEN 'ok' ELSE 'unavailable' END AS outcome FROM w),
+y AS (SELECT *, length('{"info": {"version": "') + CASE WHEN k % 4 > 0 THEN 3 ELSE 0 END + length('", "project_urls": {"Home": "h"}}, "releases": {"1.0": [{"yanked": true, "upload_time": "2021-05-06T00:00:00"}], "0.9": []}') + length(', "pad": ""}') + pad AS size FROM p),
+z AS (SELECT *, CASE WHEN st = 'not_found' THEN 'not_found' WHEN st = 'ok' AND size <= 450 THEN 'ok' ELSE 'unavailable' END AS outcome FROM y)
+SELECT 'npm' AS ecosystem, 'Part.' || k AS name, outcome, CASE WHEN outcome = 'ok' THEN CASE WHEN large THEN 'reduced' ELSE 'full' END END AS form, CASE WHEN outcome = 'ok' THEN CASE WHEN k % 2 = 0 THEN '1.0.' || (k % 10) ELSE CASE WHEN k % 9 >= 0 THEN '2.' || (k % 9) || '.0' END END END AS latest_version,
+  CASE WHEN outcome = 'ok' THEN 3 ELSE 0 END AS n_released, CASE WHEN outcome = 'ok' AND NOT large THEN 1 END AS n_times, CASE WHEN outcome = 'ok' AND NOT large THEN 'r' END AS repository, NULL::BOOLEAN AS is_deprecated FROM o
+UNION ALL SELECT 'pypi', 'part-' || k, outcome, CASE WHEN outcome = 'ok' THEN 'full' END, CASE WHEN outcome = 'ok' THEN '1.' || (k % 4) END, CASE WHEN outcome = 'ok' THEN 2 ELSE 0 END, CASE WHEN outcome = 'ok' THEN 1 END, CASE WHEN outcome = 'ok' THEN 'h' END, CASE WHEN outcome = 'ok' THEN true END FROM z"""
+
+
+def q_answers_status(spark, sf_dir):
+    """The word for every answer, and how long it says to wait: statuses, headers and sizes by the events' ids."""
+    e = F.col("event_id")
+    code = F.element_at(F.array(*[F.lit(c) for c in (200, 201, 302, 401, 403, 404, 409, 418, 429, 500, 503)]), (e % 11 + 1).cast("int"))
+    given = F.when(e % 13 > 0, code)
+    wait = F.element_at(F.array(*map(F.lit, ("7", "-3", "soon"))), (e % 3 + 1).cast("int"))
+    headers = F.map_concat(
+        F.when(e % 4 == 0, F.create_map(F.lit("X-RateLimit-Remaining"), F.when(e % 8 == 0, " 0 ").otherwise("12"))).otherwise(F.create_map().cast("map<string,string>")),
+        F.when(e % 5 == 0, F.create_map(F.lit("Retry-After"), wait)).otherwise(F.create_map().cast("map<string,string>")),
+        F.when(e % 6 == 0, F.create_map(F.lit("content-length"), (e % 3000).cast("string"))).otherwise(F.create_map().cast("map<string,string>")),
+    )
+    rows = table(spark, sf_dir, "events").select("event_id", given.alias("code"), headers.alias("h"), F.when(e % 7 > 0, (e % 1500).cast("long")).alias("size"))
+    return rows.select("event_id", told_by.status_word(F.col("code"), F.col("h"), F.col("size"), 1000).alias("word"), told_by.retry_after(F.col("h")).alias("wait"))
+
+
 QUERIES = {
+    "answer_status": Query(
+        q_answers_status,
+        """WITH a AS (SELECT event_id, CASE WHEN event_id % 13 > 0 THEN [200, 201, 302, 401, 403, 404, 409, 418, 429, 500, 503][1 + event_id % 11] END AS code, event_id % 8 = 0 AS spent, event_id % 5 = 0 AS told,
+  greatest(CASE WHEN event_id % 6 = 0 THEN event_id % 3000 ELSE 0 END, CASE WHEN event_id % 7 > 0 THEN event_id % 1500 ELSE 0 END) > 1000 AS large FROM events)
+SELECT event_id, CASE WHEN code IS NULL THEN 'unavailable' WHEN code = 429 OR code = 403 AND (spent OR told) THEN 'rate_limited' WHEN code >= 500 THEN 'unavailable' WHEN code = 401 THEN 'unauthorized' WHEN code = 404 THEN 'not_found' WHEN code = 409 THEN 'conflict'
+  WHEN code = 403 THEN 'forbidden' WHEN code = 418 THEN 'client_error' WHEN code = 302 THEN 'unavailable' WHEN large THEN 'too_large' ELSE 'ok' END AS word, CASE WHEN told THEN [7.0::DOUBLE, 0.0::DOUBLE, NULL][1 + event_id % 3] END AS wait FROM a""",
+        "SRC12",
+    ),
+    "registry_documents": Query(q_registry, REGISTRY_SQL, "SRC03 SRC04 FN08 FN24 FN25 FN27 X17"),
+    "manifests_in_sql": Query(
+        q_adapters,
+        """SELECT s_suppkey AS key, p.place, kind, replace(name, '{s}', s_suppkey::VARCHAR) AS name, grp AS dependency_group, spec AS specifier,
+CASE name WHEN 'root-dep' THEN '1.9.' || (s_suppkey % 7) WHEN 'dep-{s}' THEN '3.' || (s_suppkey % 5) END AS version, CASE WHEN name IS NULL THEN 'JSONDecodeError' END AS error
+FROM supplier, (VALUES ('package.json', 'package_json', 'root-dep', 'runtime', '^1'), ('packages/a/package.json', 'package_json', 'left', 'runtime', '^1.0.0'), ('packages/a/package.json', 'package_json', 'p{s}', 'runtime', '2.0.0'),
+  ('other/package.json', 'package_json', 'left', 'runtime', '^1'), ('svc/pyproject.toml', 'pyproject', 'dep-{s}', 'runtime', NULL), ('svc/pyproject.toml', 'pyproject', 'free', 'runtime', NULL), ('svc/requirements-dev.txt', 'requirements', 'pkg-{s}', NULL, NULL),
+  ('bad/package.json', 'package_json', 'z', 'runtime', '1.0.0'), ('bad/package.json', 'package_json', NULL, NULL, NULL)) AS p(place, kind, name, grp, spec)
+WHERE p.place <> 'bad/package.json' OR (name IS NULL) = (s_suppkey % 4 = 0)""",
+        "TVF01 TVF02 TVF14 TVF16 TVF17 TVF19 X13 X14",
+    ),
     "repository_files": Query(q_checkouts, CHECKOUTS_SQL, "SRC01 SRC02 TVF03 TVF05 TVF18 J15 J16"),
     "advisory_answers": Query(
         q_answers,

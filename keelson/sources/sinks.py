@@ -38,6 +38,35 @@ def report_json(reports: DataFrame, *fields: str) -> DataFrame:
     return reports.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("document"))
 
 
+# Fields of a report's document in their order, and of a cited passage in it.
+DOCUMENT_FIELDS = ("schema", "report_type", "repository", "scan_id", "scoring_formula_version", "generated_at", "model", "dependency", "grounding_confidence", "citations", "project_context", "note", "summary_md", "fixes")
+PASSAGE_FIELDS = ("chunk_id", "source_path", "source_sha", "heading", "similarity", "text")
+DEPENDENCY_FIELDS = ("package", "ecosystem", "manifest_path", "resolved_version", "declared_specifier")
+DOCUMENT_SCHEMA = "keelson/report@1"
+
+
+def report_documents(reports: DataFrame, passages: DataFrame, note: str) -> DataFrame:
+    """report_id and the report as one JSON document: what it is about, what grounded it, the passages it cites, and the payload.
+
+    ``reports``: report_id, the document's fields but for schema, citations and note, and those of the
+    dependency (all null in a report on a whole scan); ``fixes`` and ``project_context`` are any columns.
+    ``passages``: report_id, cited_at (place of the citation, from 1) and the fields of a passage.
+    """
+    passage = F.struct(*PASSAGE_FIELDS)
+    cited = passages.where("cited_at IS NOT NULL").groupBy("report_id").agg(F.sort_array(F.collect_list(F.struct("cited_at", passage.alias("p")))).alias("c"))
+    dependency = F.when(F.col("package").isNotNull(), F.struct(*DEPENDENCY_FIELDS))
+    listed = F.transform("c", lambda x: x["p"])
+    given = {
+        "schema": F.lit(DOCUMENT_SCHEMA),
+        "scan_id": F.col("scan_id").cast("string"),
+        "dependency": dependency,
+        "citations": F.coalesce(listed, F.array()),
+        "note": F.lit(note),
+    }
+    document = F.struct(*[given.get(c, F.col(c)).alias(c) for c in DOCUMENT_FIELDS])
+    return reports.join(cited, "report_id", "left").select("report_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
+
+
 def report_markdown(reports: DataFrame) -> DataFrame:
     """title, summary, fixes table and note as one document."""
     return reports.select("report_id", F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), "summary_md", "markdown", F.concat(F.lit("> "), "note")).alias("document"))

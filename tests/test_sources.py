@@ -88,3 +88,60 @@ def test_a_document_is_read_once(spark):
     wanted = answers.where("osv_id IS NOT NULL").select("osv_id").distinct()
     documents = wanted.select("osv_id", F.when(F.col("osv_id") == "SHARED", "{}").alias("document")).mapInPandas(fetch, "osv_id string, document string")
     assert advisory_batches.advisories(rows, answers, documents, "k").count() == 20 and seen.value == 2
+
+
+def test_adapters_as_table_functions(spark):
+    from keelson.sources import adapters
+
+    adapters.register(spark)
+    files = [
+        ("package.json", '{"devDependencies": {"a": "2"}, "dependencies": {"a": "1", "Bad Name": "1", "n": 5}}'), ("x/requirements-dev.txt", "A==1 \\\n # no\n-r b.txt\n-e git+https://h/p#egg=E\nb>=2 --hash=sha256:ab"), ("Pipfile", '[packages]\nq = "==1"'),
+        ("setup.py", 'from setuptools import setup\nsetup(install_requires=["c"])'), ("pyproject.toml", "= ="), ("vendor/package.json", "{}"), ("Requirements/base.TXT", "z"), ("notes.txt", "z"), (None, "z"), ("deep/package.json", None), ("list/package.json", "[]"),
+    ]
+    frame = spark.createDataFrame(files, "path string, text string")
+    got = {(r.path, r.entry): (r.kind, r.specifier, r.dependency_group, r.error) for r in spark.sql("SELECT f.path, m.* FROM {f} f, LATERAL manifest_entries(f.path, f.text) m", f=frame).collect()}
+    assert got == {
+        ("package.json", "a"): ("package_json", "1", "runtime", None), ("package.json", "n"): ("package_json", "", "runtime", None), ("x/requirements-dev.txt", "A==1"): ("requirements", None, "", None), ("x/requirements-dev.txt", "-e git+https://h/p#egg=E"): ("requirements", None, "", None),
+        ("x/requirements-dev.txt", "b>=2"): ("requirements", None, "", None), ("Pipfile", "q"): ("pipfile", "==1", "runtime", None), ("setup.py", "c"): ("setup_py", None, "runtime", None), ("pyproject.toml", None): ("pyproject", None, None, "TOMLDecodeError"), ("Requirements/base.TXT", "z"): ("requirements", None, "", None),
+        ("deep/package.json", None): ("package_json", None, None, "TypeError"), ("list/package.json", None): ("package_json", None, None, "ValueError"),
+    }
+    lock = '{"packages": {"": {}, "node_modules/a": {"version": "1.0"}, "node_modules/b/node_modules/a": {"version": "0.1"}, "node_modules/c": {"link": true, "version": "9"}, "node_modules/q/node_modules/d": {"version": "2"}, "node_modules/r/node_modules/d": {"version": "10"}}}'
+    rows = spark.sql("SELECT * FROM locked_versions('w/package-lock.json', '" + lock + "')").collect()
+    assert {(r.name, r.version) for r in rows} == {("a", "1.0"), ("d", "10")}
+    for text, told in (("SELECT * FROM manifest_entries('README.md', 'x')", "no adapter reads"), ("SELECT * FROM locked_versions('yarn.lock', 'x')", "no adapter reads"), ("SELECT * FROM manifest_entries(1, 'x')", "both strings")):
+        with pytest.raises(Exception, match=told):
+            spark.sql(text).collect()
+
+
+def test_registry_outcomes(spark):
+    from keelson.sources import registry
+
+    doc = '{"dist-tags": {"latest": "1.0.0"}, "versions": {"1.0.0": {}}}'
+    big = '{"x": "' + "y" * registry.MOST_FULL + '"}'
+    rows = [
+        ("npm", "small", "full", "ok", doc), ("npm", "small", "reduced", "ok", "{}"), ("npm", "big", "full", "ok", big), ("npm", "big", "reduced", "ok", doc), ("npm", "told", "full", "too_large", None), ("npm", "told", "reduced", "not_found", None), ("npm", "both", "full", "too_large", None), ("npm", "both", "reduced", "too_large", None),
+        ("npm", "gone", "full", "not_found", None), ("npm", "down", "full", "timeout", None), ("npm", "down", "reduced", "ok", doc), ("npm", "list", "full", "ok", "[]"), ("npm", "alone", "reduced", "ok", doc), ("npm", "Case", "full", "ok", doc), ("npm", "case", "full", "not_found", None),
+        ("pypi", "A_b", "full", "ok", '{"info": {}, "releases": {"1.0": [], "2.0rc1": []}}'), ("pypi", "a.B", "full", "ok", '{"info": {}, "releases": {"1.0": [], "2.0rc1": []}}'), ("pypi", "big", "full", "ok", big), ("pypi", "big", "reduced", "ok", doc), ("pypi", "gone", "full", "not_found", None),
+    ]
+    found = registry.documents(spark.createDataFrame(rows, "ecosystem string, name string, form string, status string, body string"))
+    got = {(r.ecosystem, r.name): (r.outcome, r.form) for r in found.collect()}
+    ok, gone, down = ("ok", "full"), ("not_found", None), ("unavailable", None)
+    assert got == {
+        ("npm", "small"): ok, ("npm", "big"): ("ok", "reduced"), ("npm", "told"): gone, ("npm", "both"): down, ("npm", "gone"): gone, ("npm", "down"): down, ("npm", "list"): down, ("npm", "alone"): down, ("npm", "Case"): ok, ("npm", "case"): gone,
+        ("pypi", "a-b"): ok, ("pypi", "big"): down, ("pypi", "gone"): gone,
+    }
+    facts = {(r.ecosystem, r.name): r for r in registry.facts(found).collect()}
+    assert facts["pypi", "a-b"].latest_version == "1.0" and sorted(facts["pypi", "a-b"].released) == ["1.0", "2.0rc1"] and facts["npm", "big"].latest_version == "1.0.0" and facts["npm", "gone"].latest_version is None
+
+
+def test_what_an_answer_means(spark):
+    from keelson.sources import answers
+
+    cases = [
+        (200, {}, 5, "ok"), (200, {}, 11, "too_large"), (200, {"Content-Length": "11"}, None, "too_large"), (200, {"Content-Length": "many"}, 3, "ok"), (None, {}, None, "unavailable"), (302, {}, None, "unavailable"), (401, {}, None, "unauthorized"), (404, {}, 99, "not_found"),
+        (409, {}, None, "conflict"), (403, {}, None, "forbidden"), (403, {"X-RateLimit-Remaining": " 0"}, None, "rate_limited"), (403, {"x-ratelimit-remaining": "5"}, None, "forbidden"), (403, {"RETRY-AFTER": "soon"}, None, "rate_limited"), (429, None, None, "rate_limited"),
+        (418, {}, None, "client_error"), (502, {"retry-after": "9"}, None, "unavailable"),
+    ]
+    frame = spark.createDataFrame([(n, *c[:3]) for n, c in enumerate(cases)], "n int, code int, h map<string, string>, size long").orderBy("n")
+    got = frame.select(answers.status_word(F.col("code"), F.col("h"), F.col("size"), 10).alias("w"), answers.retry_after(F.col("h")).alias("s")).collect()
+    assert [r.w for r in got] == [c[3] for c in cases] and {c[3] for c in cases} == set(answers.WORDS) and got[15].s == 9 and got[12].s is None
