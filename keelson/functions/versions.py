@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .advisories import instant
 
@@ -123,17 +124,27 @@ def behind(own: DataFrame, releases: DataFrame, *package: str, version: str = "v
     releases only, each ecosystem by its own grammar. Where nothing is known or parsed they are 0.
 
     ``package`` names the columns, the ecosystem among them or not, that ``own`` and ``releases`` (a row
-    per release) share. Only distinct pairs of package and resolved version meet the releases, parsed
-    before; the counts go back to the rows.
+    per release) share. Versions never meet releases one by one: the distinct numbers of both stand in one
+    order for each package, and the published ones before a number are counted there. A package's
+    distinct versions are one task's.
     """
     on = list(dict.fromkeys((*package, ecosystem)))
-    asked = with_release(own.select(*on, resolved).distinct(), resolved, ecosystem).withColumnRenamed("release", "__o").drop("stable")
-    stable = with_release(releases.select(*on, version).distinct(), version, ecosystem).where("stable").select(*on, F.col("release").alias("__v")).distinct()
-    major, minor, patch = (F.col(f"__v.{x}") for x in ("major", "minor", "patch"))
-    same_major = major == F.col("__o.major")
-    same_minor = same_major & (minor == F.col("__o.minor"))
-    above = lambda name, part, within: F.count_distinct(F.when(within & (part > F.col(f"__o.{name}")), part)).alias(f"behind_{name}")
-    met = asked.where("__o IS NOT NULL").join(stable, on)
-    found = met.groupBy(*on, resolved).agg(above("major", major, F.lit(True)), above("minor", minor, same_major), above("patch", patch, same_minor))
+    levels = ["__major", "__minor", "__patch"]
+    flat = [F.col(f"release.{c[2:]}").alias(c) for c in levels]
+    asked = with_release(own.select(*on, resolved).distinct(), resolved, ecosystem).where("release IS NOT NULL").select(*on, resolved, *flat)
+    stable = with_release(releases.select(*on, version).distinct(), version, ecosystem).where("stable").select(*on, *flat)
+    points = stable.withColumn("__is_out", F.lit(1)).unionByName(asked.select(*on, *levels, F.lit(0).alias("__is_out")))
+    counted = points.repartition(*on).groupBy(*on, *levels).agg(F.max("__is_out").alias("__is_out"))
+    for depth, level in reversed(list(enumerate(levels))):
+        group, deeper = [*on, *levels[:depth]], levels[depth + 1 :]
+        same = Window.partitionBy(*group, level)
+        # Of the rows with one number, one stands for it; peers of the order are counted too, so the number itself is taken off.
+        first = F.row_number().over(same.orderBy(*deeper)) == 1 if deeper else F.lit(True)
+        is_out = F.max("__is_out").over(same)
+        marked = counted.withColumns({"__out": is_out, "__mark": F.when(first, is_out).otherwise(0)})
+        up_to = F.sum("__mark").over(Window.partitionBy(*group).orderBy(F.desc(level)))
+        counted = marked.withColumn(f"behind_{level[2:]}", up_to - F.col("__out")).drop("__out", "__mark")
+    counts = [f"behind_{c[2:]}" for c in levels]
+    found = asked.join(counted, [*on, *levels]).select(*on, resolved, *counts)
     joined = own.join(found, [*on, resolved], "left")
-    return joined.select(*own.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("behind_major", "behind_minor", "behind_patch")])
+    return joined.select(*own.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])

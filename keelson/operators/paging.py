@@ -42,22 +42,19 @@ class Listing:
         return rows.orderBy(*self.order).limit(size)
 
     def walk(self, spark: SparkSession, size: int = PER_PAGE, most: int = MOST_PAGES) -> tuple[DataFrame, int, bool]:
-        """(rows with their page, how many rows there are, whether the walk left some out). One key a page comes to the driver."""
-        total = self.read(spark).count()
-        pages, after, seen = [], None, 0
-        while len(pages) < most and seen < total:
-            page = self.page(spark, after, size)
-            last = page.select(*self.order).orderBy(*[F.desc(c) for c in self.order]).first()
-            if last is None:
+        """(rows with their page, how many rows there are, whether the walk left some out).
+
+        The rows of the walk, ``size`` times ``most`` at most, pass through the driver: a page begins where the last one ended.
+        """
+        total, shape = self.read(spark).count(), self.read(spark).schema
+        rows, after = [], None
+        for number in range(1, most + 1):
+            page = self.page(spark, after, size).collect()
+            rows += [(*row, number) for row in page]
+            if len(page) < size or len(rows) >= total:
                 break
-            pages.append(page.withColumn("page", F.lit(len(pages) + 1)))
-            after, seen = tuple(last), seen + size
-        if not pages:
-            return self.read(spark).where("false").withColumn("page", F.lit(0)), total, False
-        rows = pages[0]
-        for page in pages[1:]:
-            rows = rows.unionByName(page)
-        return rows, total, seen < total
+            after = tuple(page[-1][c] for c in self.order)
+        return spark.createDataFrame(rows, T.StructType([*shape.fields, T.StructField("page", T.IntegerType())])), total, len(rows) < total
 
 
 def past(key: Sequence[tuple[str, T.DataType, object]]) -> Column:

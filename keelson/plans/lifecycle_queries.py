@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import Query
 from ..operators import analytics as a
 from ..operators import enrich, lifecycle, quality, reports, retrieval
-from ..operators.weights import usable_version
+from ..operators.weights import TRIAL, usable_version
 from .analytics_queries import CLOCKED, NOW, clocked
 from .fixtures import KEY, advisory, chunk, occurrence, report, repository, scan_run, table, with_views
 from .scoring_queries import KEYS
@@ -213,8 +213,10 @@ def q_citations(spark, sf_dir):
 
 
 def q_weights_fallback(spark, sf_dir):
-    tag = F.when(F.col("scan_id") % 4 == 0, "v9").otherwise(F.col("formula_version"))
-    return scan_run(spark, sf_dir).select("scan_id", usable_version(tag).alias("version"))
+    """Versions without a file, with one that is no YAML, and with one that breaks a rule fall back, each for itself."""
+    tags = F.element_at(F.array(*map(F.lit, ("v9", "v3_epss", "v4_unsound", "v5_broken", "v2"))), (F.col("scan_id") % 5 + 1).cast("int"))
+    shipped = usable_version(F.when(F.col("scan_id") % 4 == 0, "v9").otherwise(F.col("formula_version")))
+    return scan_run(spark, sf_dir).select("scan_id", shipped.alias("version"), usable_version(tags, TRIAL).alias("trial_version"))
 
 
 def q_failure_message(spark, sf_dir):
@@ -380,7 +382,7 @@ FROM supplier, (VALUES (1), (2)) AS v(p) WHERE s_suppkey % 8 <> 0""",
     ),
     "payload_rejects": Query(q_payload_rejects, "SELECT s_suppkey AS report_id, 'ghost' AS unknown_packages FROM supplier WHERE s_suppkey % 8 <> 0", "J12 X05"),
     "citation_resolution": Query(q_citations, "SELECT s_suppkey AS report_id, 1 AS position, 'a3f9c21b4e77' AS chunk_id FROM supplier WHERE s_suppkey % 8 <> 0", "J13 J14"),
-    "weights_fallback": Query(q_weights_fallback, with_views("SELECT scan_id, CASE WHEN scan_id % 4 = 0 THEN 'v2' ELSE formula_version END AS version FROM scan_run", "scan_run"), "SC16"),
+    "weights_fallback": Query(q_weights_fallback, with_views("SELECT scan_id, CASE WHEN scan_id % 4 = 0 THEN 'v2' ELSE formula_version END AS version, CASE WHEN scan_id % 5 = 1 THEN 'v3_epss' ELSE 'v2' END AS trial_version FROM scan_run", "scan_run"), "SC16 SC17 SRC10"),
     "failure_messages": Query(
         q_failure_message,
         "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'The service is busy; try again later.' WHEN 1 THEN 'Sign in again.' ELSE 'Something went wrong.' END AS message FROM events",
