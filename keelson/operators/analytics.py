@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import shared_path
+
 
 def scan_counts(occurrences: DataFrame) -> DataFrame:
     """Manifests, and occurrences as unassessable, flagged and clean; the last three add up."""
@@ -55,6 +57,25 @@ def latest_completed(scans: DataFrame) -> DataFrame:
     return scans.where("status = 'completed'").groupBy("repository_id").agg(F.max_by("scan_id", F.struct("created_on", "scan_id")).alias("scan_id"))
 
 
+def placed(rows: DataFrame, group: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """Adds ``position``, the place of a row in its group from 1. ``order`` leaves no ties; null is a group too.
+
+    Rows are written range-partitioned by group and order; a place is that within the range, plus what
+    the group has in the ranges before it. So a large group is many tasks' work.
+    """
+    path = shared_path(rows.sparkSession, "placed")
+    rows.repartitionByRange(*group, *order).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    kept = rows.sparkSession.read.parquet(path)
+    sums = kept.groupBy(*group, "__range").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select(*[F.col(c).alias(f"__a_{c}") for c in (*group, "__range")], F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__ahead"))
+    inside = kept.withColumn("__place", F.row_number().over(Window.partitionBy("__range", *group).orderBy(*order)))
+    same = F.col("__range") == F.col("__a___range")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"__a_{c}"))
+    return inside.join(ahead, same).select(*rows.columns, (F.col("__ahead") + F.col("__place")).cast("int").alias("position"))
+
+
 ACTIVE_STATUS = ("queued", "running")
 
 

@@ -146,12 +146,9 @@ def q_dashboard_totals(spark, sf_dir):
 
 
 def q_projects_grouping(spark, sf_dir):
-    """Members of projects with their place; independent repositories are in no group and have none."""
+    """Members of projects with their place; the independent repositories of an owner are one group more."""
     repos = repository(spark, sf_dir).select("user_id", "project_id", "repository_id", "name")
-    place = F.row_number().over(Window.partitionBy("user_id", "project_id").orderBy("name", "repository_id"))
-    grouped = repos.where("project_id IS NOT NULL").withColumn("position", place)
-    alone = repos.where("project_id IS NULL").withColumn("position", F.lit(None).cast("int"))
-    return grouped.unionByName(alone).drop("name")
+    return a.placed(repos, ("user_id", "project_id"), ("name", "repository_id")).drop("name")
 
 
 def _siblings(spark, sf_dir):
@@ -325,7 +322,7 @@ SELECT user_id, count(*) AS repositories, count(DISTINCT owner) AS owners, coale
     ),
     "projects_grouping": Query(
         q_projects_grouping,
-        with_views("SELECT user_id, project_id, repository_id, CASE WHEN project_id IS NOT NULL THEN row_number() OVER (PARTITION BY user_id, project_id ORDER BY name, repository_id)::INT END AS position FROM repository", "repository"),
+        with_views("SELECT user_id, project_id, repository_id, row_number() OVER (PARTITION BY user_id, project_id ORDER BY name, repository_id)::INT AS position FROM repository", "repository"),
         "A12 J02",
     ),
     "sibling_context": Query(

@@ -266,3 +266,20 @@ def test_minutes(spark):
     now = F.lit("2026-01-01 00:15:00").cast("timestamp")
     got = values(spark, lifecycle.expired(F.col("s"), F.col("t").cast("timestamp"), now, lifecycle.SCAN_MINUTES), [("running", "2026-01-01 00:00:00"), ("queued", "2025-12-31 23:59:59"), ("completed", "2020-01-01 00:00:00")], "s string, t string")
     assert got == ["running", "failed", "completed"]
+
+
+def test_places_in_large_groups(spark):
+    from keelson.operators import analytics
+
+    rows = spark.range(2000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 3 > 0, F.lit(1)).alias("h"), F.lpad((F.col("id") * 7919 % 2000).cast("string"), 4, "0").alias("name"), "id").repartition(7)
+    got = analytics.placed(rows, ("g", "h"), ("name", "id")).collect()
+    assert len(got) == 2000
+    for group in {(r.g, r.h) for r in got}:
+        members = sorted((r for r in got if (r.g, r.h) == group), key=lambda r: (r["name"], r.id))
+        assert [r.position for r in members] == list(range(1, len(members) + 1))
+
+
+def test_independent_repositories_have_places(spark):
+    from keelson.catalog import QUERIES
+
+    assert QUERIES["projects_grouping"].run(spark, "/root/testdata/sf0.001").where("position IS NULL").count() == 0
