@@ -36,6 +36,23 @@ def earliest_matches(rows: DataFrame, ident: str, *keys: tuple[str, ...]) -> Dat
     return found.withColumn("earliest", earliest).where(F.col("earliest") < F.col(ident)).select(*rows.columns, "earliest")
 
 
+def matching_pairs(rows: DataFrame, ident: str, *keys: tuple[str, ...]) -> DataFrame:
+    """Every pair of rows, the smaller ``ident`` first and the other as ``o_`` and its name, that agree in all columns of one of the ``keys``.
+
+    A union of equi-joins. A pair comes from the first key in which it agrees, so pairs need no exchange
+    to be distinct. Null agrees with nothing.
+    """
+    other = rows.select(*[F.col(c).alias(f"o_{c}") for c in rows.columns])
+    found, before = None, F.lit(False)
+    for key in keys:
+        same = F.lit(True)
+        for c in key:
+            same = same & (F.col(c) == F.col(f"o_{c}"))
+        pairs = rows.join(other, same & (F.col(ident) < F.col(f"o_{ident}")) & ~before).select(ident, f"o_{ident}")
+        found, before = pairs if found is None else found.unionByName(pairs), before | F.coalesce(same, F.lit(False))
+    return found
+
+
 def first_failure(ladder: list[tuple[str, Column]], otherwise: str) -> Column:
     """The first rule of a ladder that holds decides."""
     chain = None

@@ -101,9 +101,9 @@ def q_project_rules(spark, sf_dir):
 
 
 def q_duplicate_registration(spark, sf_dir):
-    """Registrations that repeat an earlier one, by remote id or by owner and name, each with the earliest."""
+    """Pairs of registrations that agree in remote id, or in owner and name; the earlier one stands first."""
     rows = repository(spark, sf_dir).select("repository_id", "owner", (F.col("repository_id") % 499).alias("remote_id"), (F.col("repository_id") % 211).alias("name_class"))
-    return quality.earliest_matches(rows, "repository_id", ("remote_id",), ("owner", "name_class")).select("repository_id", F.col("earliest").alias("o_repository_id"))
+    return quality.matching_pairs(rows, "repository_id", ("remote_id",), ("owner", "name_class"))
 
 
 def q_all_unavailable(spark, sf_dir):
@@ -322,8 +322,8 @@ SELECT user_id, project_id, CASE WHEN project_id % 9 = 0 THEN 'name_invalid' WHE
     ),
     "duplicate_registrations": Query(
         q_duplicate_registration,
-        with_views("""SELECT b.repository_id, min(a.repository_id) AS o_repository_id FROM repository a JOIN repository b ON a.repository_id < b.repository_id
-AND (a.repository_id % 499 = b.repository_id % 499 OR a.owner = b.owner AND a.repository_id % 211 = b.repository_id % 211) GROUP BY b.repository_id""", "repository"),
+        with_views("""SELECT a.repository_id, b.repository_id AS o_repository_id FROM repository a JOIN repository b ON a.repository_id < b.repository_id
+AND (a.repository_id % 499 = b.repository_id % 499 OR a.owner = b.owner AND a.repository_id % 211 = b.repository_id % 211)""", "repository"),
         "J19",
     ),
     "all_unavailable": Query(q_all_unavailable, "SELECT 'pypi' AS ecosystem", "A09"),

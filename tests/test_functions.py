@@ -283,3 +283,14 @@ def test_independent_repositories_have_places(spark):
     from keelson.catalog import QUERIES
 
     assert QUERIES["projects_grouping"].run(spark, "/root/testdata/sf0.001").where("position IS NULL").count() == 0
+
+
+def test_all_pairs_of_registrations(spark):
+    from keelson.catalog import QUERIES
+    from keelson.operators import quality
+
+    rows = spark.createDataFrame([(1, 5, "x"), (2, 5, "x"), (3, 5, None), (4, None, "x"), (5, None, None), (6, 7, "x")], "i int, a int, b string")
+    pairs = [tuple(r) for r in quality.matching_pairs(rows, "i", ("a",), ("b",)).collect()]
+    assert sorted(pairs) == [(1, 2), (1, 3), (1, 4), (1, 6), (2, 3), (2, 4), (2, 6), (4, 6)]
+    found = QUERIES["duplicate_registrations"].run(spark, "/root/testdata/sf0.01")
+    assert found.groupBy("o_repository_id").count().where("count > 1").count() > 0
