@@ -103,19 +103,31 @@ def latest_release_time(times: Column, latest_version: Column, published: Column
     return F.coalesce(named, F.array_max(others))
 
 
+def falling(number: Column) -> Column:
+    """Text of a whole number, not negative, that sorts the greater number first: length and digits, nine for zero and so on. A number beyond 38 digits (null) is last."""
+    digits = number.cast("string")
+    return F.coalesce(F.translate(F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), digits), "0123456789", "9876543210"), F.lit(":"))
+
+
 def with_release(rows: DataFrame, raw: str, ecosystem: str) -> DataFrame:
-    """Adds ``release`` (struct<major, minor, patch>; null if it is no version of its ecosystem) and ``stable``.
+    """Adds ``release`` (struct<major, minor, patch>; null if it is no version of its ecosystem), ``falling``
+    (the same numbers as text that sorts the greater first) and ``stable``.
 
     Parts that a PyPI release lacks are zero. Each distinct spelling is parsed once: packages share most of theirs.
     """
     npm, pypi = F.col(ecosystem) == "npm", F.col(ecosystem) == "pypi"
-    parsed = rows.select(ecosystem, raw).where(F.col(raw).isNotNull()).distinct().withColumns({"__npm": F.when(npm, semver(F.col(raw))), "__pypi": F.when(pypi, pep440(F.col(raw)))})
+    # What is parsed depends on the count, so that no filter on it moves below the grouping and parses every row.
+    spellings = rows.where(F.col(raw).isNotNull()).groupBy(ecosystem, raw).agg(F.count("*").alias("__n"))
+    once = F.when(F.col("__n") > 0, F.col(raw))
+    parsed = spellings.withColumns({"__npm": F.when(npm, semver(once)), "__pypi": F.when(pypi, pep440(once))})
     nothing = F.lit(0).cast("decimal(38,0)")
     part = lambda n, name: F.when(npm, F.col(f"__npm.{name}")).otherwise(F.coalesce(F.get("__pypi.release", F.lit(n)), nothing)).alias(name)
     triple = F.when(F.col("__npm").isNotNull() | F.col("__pypi").isNotNull(), F.struct(part(0, "major"), part(1, "minor"), part(2, "patch")))
     stable = F.when(npm, F.col("__npm.release") == 1).otherwise((F.col("__pypi.pre.order") == 1) & (F.col("__pypi.dev.order") == 1))
     spelled = parsed.select(ecosystem, raw, triple.alias("release"), F.coalesce(stable, F.lit(False)).alias("stable"))
-    return rows.join(spelled, [ecosystem, raw], "left").select(*rows.columns, "release", F.coalesce("stable", F.lit(False)).alias("stable"))
+    texts = F.when(F.col("release").isNotNull(), F.struct(*[falling(F.col(f"release.{c}")).alias(c) for c in ("major", "minor", "patch")]))
+    spelled = spelled.withColumn("falling", texts)
+    return rows.join(spelled, [ecosystem, raw], "left").select(*rows.columns, "release", "falling", F.coalesce("stable", F.lit(False)).alias("stable"))
 
 
 def behind(own: DataFrame, releases: DataFrame, *package: str, version: str = "version", resolved: str = "resolved", ecosystem: str = "ecosystem") -> DataFrame:
@@ -124,27 +136,28 @@ def behind(own: DataFrame, releases: DataFrame, *package: str, version: str = "v
     releases only, each ecosystem by its own grammar. Where nothing is known or parsed they are 0.
 
     ``package`` names the columns, the ecosystem among them or not, that ``own`` and ``releases`` (a row
-    per release) share. Versions never meet releases one by one: the distinct numbers of both stand in one
-    order for each package, and the published ones before a number are counted there. A package's
-    distinct versions are one task's.
+    per release, repeated or not, parsed by ``with_release`` already or not) share. Versions never meet
+    releases one by one: the distinct numbers of both stand in one falling order for each package, and the
+    published ones ahead of a number are counted there, all three counts in one sort. A package's distinct
+    versions are one task's.
     """
     on = list(dict.fromkeys((*package, ecosystem)))
     levels = ["__major", "__minor", "__patch"]
-    flat = [F.col(f"release.{c[2:]}").alias(c) for c in levels]
-    asked = with_release(own.select(*on, resolved).distinct(), resolved, ecosystem).where("release IS NOT NULL").select(*on, resolved, *flat)
-    stable = with_release(releases.select(*on, version).distinct(), version, ecosystem).where("stable").select(*on, *flat)
-    points = stable.withColumn("__is_out", F.lit(1)).unionByName(asked.select(*on, *levels, F.lit(0).alias("__is_out")))
-    counted = points.repartition(*on).groupBy(*on, *levels).agg(F.max("__is_out").alias("__is_out"))
-    for depth, level in reversed(list(enumerate(levels))):
-        group, deeper = [*on, *levels[:depth]], levels[depth + 1 :]
-        same = Window.partitionBy(*group, level)
-        # Of the rows with one number, one stands for it; peers of the order are counted too, so the number itself is taken off.
-        first = F.row_number().over(same.orderBy(*deeper)) == 1 if deeper else F.lit(True)
-        is_out = F.max("__is_out").over(same)
-        marked = counted.withColumns({"__out": is_out, "__mark": F.when(first, is_out).otherwise(0)})
-        up_to = F.sum("__mark").over(Window.partitionBy(*group).orderBy(F.desc(level)))
-        counted = marked.withColumn(f"behind_{level[2:]}", up_to - F.col("__out")).drop("__out", "__mark")
+    flat = [F.col(f"falling.{c[2:]}").alias(c) for c in levels]
+    asked = with_release(own.select(*on, resolved).distinct(), resolved, ecosystem).where("release.major IS NOT NULL AND release.minor IS NOT NULL AND release.patch IS NOT NULL").select(*on, resolved, *flat)
+    parsed = releases if "falling" in releases.columns else with_release(releases.select(*on, version).distinct(), version, ecosystem)
+    stable = parsed.where("stable").select(*on, *flat)
+    points = stable.withColumns({"__is_out": F.lit(1), "__asked": F.lit(0)}).unionByName(asked.select(*on, *levels, F.lit(0).alias("__is_out"), F.lit(1).alias("__asked")))
+    counted = points.repartition(*on).groupBy(*on, *levels).agg(F.max("__is_out").alias("__is_out"), F.max("__asked").alias("__asked"))
+    # At each level the first published row of a number stands for it; the count so far leaves out the row's own number.
+    mark = F.col("__is_out")
+    for depth in (2, 1, 0):
+        so_far = F.sum("__mark").over(Window.partitionBy(*on, *levels[:depth]).orderBy(*levels[depth:]).rowsBetween(Window.unboundedPreceding, 0))
+        counted = counted.withColumn("__mark", mark).withColumn("__so_far", so_far)
+        own_number = F.col("__is_out") if depth == 2 else F.when(F.col("__below") > 0, 1).otherwise(0)
+        counted = counted.withColumn(f"behind_{levels[depth][2:]}", F.col("__so_far") - own_number).withColumn("__below", F.col("__so_far"))
+        mark = F.when((F.col("__mark") == 1) & (F.col("__so_far") == 1), 1).otherwise(0)
     counts = [f"behind_{c[2:]}" for c in levels]
-    found = asked.join(counted, [*on, *levels]).select(*on, resolved, *counts)
+    found = asked.join(counted.where("__asked = 1").select(*on, *levels, *counts), [*on, *levels]).select(*on, resolved, *counts)
     joined = own.join(found, [*on, resolved], "left")
     return joined.select(*own.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])

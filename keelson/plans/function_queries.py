@@ -8,6 +8,7 @@ from ..catalog import Query
 from ..functions import advisories as adv
 from ..functions import text as tx
 from ..functions import versions as ver
+from ..session import shared_path
 from ..sources import npm, paths, pypi
 from .fixtures import KEY, occurrence, table, with_views
 from .scoring_queries import KEYS
@@ -44,11 +45,13 @@ def q_behind(spark, sf_dir):
     v, kind = F.col("resolved_version"), F.col("line_no") % 4
     spelled = F.when(kind == 0, F.substring_index(v, ".", 2)).when(kind == 1, F.concat(v, F.lit(".post1"))).when(kind == 2, F.concat(v, F.lit("rc1"))).otherwise(v)
     version = F.when(F.col("line_no") == 7, "unknown").when(F.col("ecosystem") == "npm", v).otherwise(spelled)
-    rows = occurrence(spark, sf_dir, named=False).withColumn("version", version)
-    releases = rows.select("ecosystem", "part_id", "version").distinct()
-    own = rows.select("scan_id", "ecosystem", "part_id", "line_no", F.col("version").alias("resolved")).distinct()
+    rows = occurrence(spark, sf_dir, named=False).select("scan_id", "ecosystem", "part_id", "line_no", version.alias("resolved")).distinct()
+    path = shared_path(spark, "resolved")
+    rows.write.parquet(path)
+    own = spark.read.parquet(path)
+    releases = ver.with_release(own.select("ecosystem", "part_id", F.col("resolved").alias("version")).distinct(), "version", "ecosystem").where("stable")
     # Versions of the neighbouring parts of a package are its published releases here.
-    near = releases.select("ecosystem", F.explode(F.sequence(F.col("part_id") - 2, F.col("part_id") + 2)).alias("part_id"), "version").distinct()
+    near = releases.select("ecosystem", F.explode(F.sequence(F.col("part_id") - 2, F.col("part_id") + 2)).alias("part_id"), "falling", "stable")
     return ver.behind(own, near, "ecosystem", "part_id")
 
 

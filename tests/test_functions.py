@@ -294,3 +294,24 @@ def test_all_pairs_of_registrations(spark):
     assert sorted(pairs) == [(1, 2), (1, 3), (1, 4), (1, 6), (2, 3), (2, 4), (2, 6), (4, 6)]
     found = QUERIES["duplicate_registrations"].run(spark, "/root/testdata/sf0.01")
     assert found.groupBy("o_repository_id").count().where("count > 1").count() > 0
+
+
+def test_behind_counts_in_one_sort(spark):
+    import random
+
+    drawn = random.Random(5)
+    number = lambda: drawn.choice((0, 1, 2, 9, 10, 11, 99, 100, 12345678901234567890))
+    published = [(drawn.choice("kl"), f"{number()}.{number()}.{number()}") for _ in range(400)]
+    own = sorted({(drawn.choice("klm"), f"{number()}.{number()}.{number()}") for _ in range(300)})
+    frame = lambda rows, name: spark.createDataFrame(rows, f"k string, {name} string").withColumn("ecosystem", F.lit("npm"))
+    found = ver.behind(frame(own, "resolved"), frame(published, "version"), "k")
+    plan = found._jdf.queryExecution().optimizedPlan()
+    want = {}
+    for k, v in own:
+        a, b, c = map(int, v.split("."))
+        out = [tuple(map(int, p.split("."))) for key, p in published if key == k]
+        want[k, v] = (len({x for x, _, _ in out if x > a}), len({y for x, y, _ in out if x == a and y > b}), len({z for x, y, z in out if (x, y) == (a, b) and z > c}))
+    assert {(r.k, r.resolved): (r.behind_major, r.behind_minor, r.behind_patch) for r in found.collect()} == want
+    # All three counts come from one order.
+    windows = [line for line in plan.toString().splitlines() if " Window [" in line or "+- Window [" in line]
+    assert len(windows) == 3
