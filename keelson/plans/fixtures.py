@@ -45,13 +45,19 @@ def scan_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def occurrence(spark: SparkSession, sf_dir: str, named: bool = True) -> DataFrame:
-    """One row per line item. Without ``named`` there are no names and reasons, and parts are not joined: each line has one."""
+def occurrence(spark: SparkSession, sf_dir: str, named: bool = True, scans: DataFrame | None = None, how: str = "left_semi") -> DataFrame:
+    """One row per line item. Without ``named`` there are no names and reasons, and parts are not joined: each line has one.
+
+    ``scans`` (scan_id and further columns) are joined to the bare lines, which are narrow, before names are.
+    """
     npm = F.col("l_suppkey") % 2 == 0
     vulnerable = F.col("l_quantity") <= 14
     deprecated = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_linenumber") <= 3)
     groups = F.array(*[F.lit(g) for g in ("runtime", "development", "optional", "peer", "build")])
-    lines, names = table(spark, sf_dir, "lineitem"), []
+    lines, names, more = table(spark, sf_dir, "lineitem"), [], []
+    if scans is not None:
+        lines = lines.join(scans.withColumnRenamed("scan_id", "l_orderkey"), "l_orderkey", how)
+        more = [] if how == "left_semi" else [c for c in scans.columns if c != "scan_id"]
     if named:
         lines = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
         names = [
@@ -61,6 +67,7 @@ def occurrence(spark: SparkSession, sf_dir: str, named: bool = True) -> DataFram
     return (
         lines.select(
             *names,
+            *more,
             F.col("l_orderkey").alias("scan_id"),
             F.col("l_partkey").alias("part_id"),
             F.col("l_suppkey").alias("supp_id"),

@@ -89,9 +89,9 @@ def q_deletion(spark, sf_dir):
     return found.select("repository_id", "outcome", "deleted", "member_count", "other_count", F.element_at("names", 1).alias("first_name"), F.element_at("names", -1).alias("last_name"))
 
 
-def _full_rows(spark, sf_dir):
-    """Occurrences with every column that is served; what the tables lack is derived from their keys."""
-    part, line, rows = F.col("part_id"), F.col("line_no"), occurrence(spark, sf_dir)
+def _full_rows(spark, sf_dir, scans=None, how="left_semi"):
+    """Occurrences with every column that is served; what the tables lack is derived from their keys, ``scans`` are joined before that."""
+    part, line, rows = F.col("part_id"), F.col("line_no"), occurrence(spark, sf_dir, scans=scans, how=how)
     scored = scoring.score_occurrences(rows).select(*rows.columns, F.col("score").alias("risk_component_score"), "cvss_reduced_confidence", scoring.is_flagged().alias("is_flagged"))
     bare = {"risk_component_score": F.lit(None).cast("decimal(5,2)"), "cvss_reduced_confidence": F.lit(None).cast("boolean"), "is_flagged": F.lit(False)}
     joined = scored.unionByName(rows.where("is_unassessable").withColumns(bare))
@@ -108,7 +108,7 @@ def _full_rows(spark, sf_dir):
 
 def q_occurrence_rows(spark, sf_dir):
     state = report(spark, sf_dir).select("scan_id", F.struct("report_id", "status").alias("report"))
-    rows = _full_rows(spark, sf_dir).join(state, "scan_id", "left")
+    rows = _full_rows(spark, sf_dir, state, "left")
     served = serving.occurrence_rows(rows)
     return served.withColumns({"versionsBehind": F.to_json("versionsBehind"), "report": F.to_json("report"), "riskComponentScore": (F.col("riskComponentScore") * 100).cast("long"), "cvssMax": (F.col("cvssMax") * 10).cast("long")})
 

@@ -116,3 +116,12 @@ def test_panel_accounts_for_every_occurrence(spark):
     assert panel.oldest(scans, None, 2).count() == 2 and {r.scan_id for r in panel.oldest(scans, None, 2).collect()} == {1, 3}
     with pytest.raises(weights.WeightsError, match="v9"):
         panel.build(scans, rows, ("v9",), *key)
+
+
+def test_scans_meet_lines_before_names_do(spark):
+    from keelson.catalog import QUERIES
+
+    for name, kind in (("occurrence_rows", "LeftOuter"),):
+        plan = QUERIES[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        joins = [line for line in plan if f"Join {kind}, (" in line and "w_" not in line]
+        assert joins and all("l_orderkey" in line for line in joins)
