@@ -116,7 +116,7 @@ def q_occurrence_rows(spark, sf_dir):
 def q_snapshot(spark, sf_dir):
     """Twenty columns of each occurrence of completed scans that are live."""
     done = scan_run(spark, sf_dir).where("status = 'completed' AND data_source = 'live_scan'").select("scan_id")
-    found = serving.snapshot(_full_rows(spark, sf_dir).join(done, "scan_id", "left_semi"), "scan_id")
+    found = serving.snapshot(_full_rows(spark, sf_dir, done), "scan_id")
     return found.withColumns({"risk_component_score": (F.col("risk_component_score") * 100).cast("long"), "cvss_max": (F.col("cvss_max") * 10).cast("long")})
 
 

@@ -121,7 +121,7 @@ def test_panel_accounts_for_every_occurrence(spark):
 def test_scans_meet_lines_before_names_do(spark):
     from keelson.catalog import QUERIES
 
-    for name, kind in (("occurrence_rows", "LeftOuter"),):
+    for name, kind in (("occurrence_rows", "LeftOuter"), ("history_snapshot", "LeftSemi")):
         plan = QUERIES[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
         joins = [line for line in plan if f"Join {kind}, (" in line and "w_" not in line]
         assert joins and all("l_orderkey" in line for line in joins)
