@@ -86,9 +86,9 @@ def occurrence(spark: SparkSession, sf_dir: str, named: bool = True, scans: Data
     )
 
 
-def advisory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per advisory of a line; names are not needed, so parts are not joined."""
-    rows = occurrence(spark, sf_dir, named=False).where("vulnerability_count > 0").select(*KEY, "cvss_tenths", F.explode(F.sequence(F.lit(1), "vulnerability_count")).alias("i"))
+def advisory(spark: SparkSession, sf_dir: str, scans: DataFrame | None = None) -> DataFrame:
+    """One row per advisory of a line, of the given scans or of all; names are not needed, so parts are not joined."""
+    rows = occurrence(spark, sf_dir, named=False, scans=scans).where("vulnerability_count > 0").select(*KEY, "cvss_tenths", F.explode(F.sequence(F.lit(1), "vulnerability_count")).alias("i"))
     return rows.select(
         *KEY,
         "i",

@@ -125,3 +125,16 @@ def test_scans_meet_lines_before_names_do(spark):
         plan = QUERIES[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
         joins = [line for line in plan if f"Join {kind}, (" in line and "w_" not in line]
         assert joins and all("l_orderkey" in line for line in joins)
+
+
+def test_advisories_are_made_for_the_scans_asked_for(spark):
+    from keelson.plans import fixtures
+
+    sf = "/root/testdata/sf0.001"
+    done = spark.createDataFrame([(1,), (2,), (3,)], "scan_id long")
+    found = fixtures.advisory(spark, sf, scans=done)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    place = lambda text: next(n for n, line in enumerate(plan) if text in line)
+    assert place("Generate explode") < place("Join LeftSemi")
+    want = fixtures.advisory(spark, sf).join(done, "scan_id", "left_semi")
+    assert sorted(found.collect(), key=str) == sorted(want.collect(), key=str)
