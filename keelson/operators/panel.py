@@ -1,21 +1,21 @@
 """The research panel: the whole history scored again under any set of weight versions, at both grains.
 
-Occurrences are scored once for all versions and written; the repository grain is rolled up from
-what was written. Unassessable occurrences are in the panel, without a score. Nothing stored is changed.
+Occurrences are scored for all versions in one pass; the repository grain is rolled up from their signals
+alone, which are narrow, so names and paths are never dealt by scan. Unassessable occurrences are in the panel, without a score. Nothing stored is changed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_path
+from ..session import kept
 from ..sources import sinks
-from .rollup import classify, ranked_points
+from .rollup import roll_up
 from .scoring import is_flagged, score_occurrences
-from .weights import WeightsError, threshold_table, versions
+from .weights import WeightsError, versions
 
 OCCURRENCE_COLUMNS = (
     "scan_id", "data_source", "created_on", "ecosystem", "manifest_path", "package_name", "dependency_group", "resolved_version", "resolution", "is_unassessable",
@@ -33,6 +33,16 @@ def oldest(scans: DataFrame, source: str | None = None, limit: int | None = None
     return chosen if limit is None else chosen.orderBy("created_on", "scan_id").limit(limit)
 
 
+def known(wanted: Sequence[str]) -> list[str]:
+    if unknown := sorted(set(wanted) - set(versions())):
+        raise WeightsError(f"no such versions: {', '.join(unknown)}; there are {', '.join(versions())}")
+    return list(dict.fromkeys(wanted))
+
+
+def each(wanted: Sequence[str]) -> Column:
+    return F.explode(F.array(*map(F.lit, wanted)))
+
+
 def build(scans: DataFrame, occurrences: DataFrame, wanted: Sequence[str], *key: str, source: str | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(occurrence panel, repository panel), both for every wanted version.
 
@@ -40,32 +50,33 @@ def build(scans: DataFrame, occurrences: DataFrame, wanted: Sequence[str], *key:
     formula_version. ``key`` names an occurrence within its scan and breaks ties of rank. A version
     that cannot be loaded is an error: a panel under other weights than asked for would mislead.
     """
-    if unknown := sorted(set(wanted) - set(versions())):
-        raise WeightsError(f"no such versions: {', '.join(unknown)}; there are {', '.join(versions())}")
-    chosen = oldest(scans, source, limit).withColumnRenamed("formula_version", "stored_formula_version")
-    held = occurrences.join(chosen.select("scan_id", "data_source", "created_on"), "scan_id")
-    each = held.withColumn("own_version", F.explode(F.array(*map(F.lit, dict.fromkeys(wanted)))))
-    scored = score_occurrences(each, F.col("own_version")).withColumn("recomputed_flagged", is_flagged())
-    left_out = each.where("is_unassessable").withColumns(
-        {"used_version": F.col("own_version"), "penalty": F.lit(None).cast("decimal(5,2)"), "score": F.lit(None).cast("decimal(5,2)"), "recomputed_flagged": F.lit(False), "cvss_reduced_confidence": F.lit(False)}
-    )
-    columns = list(dict.fromkeys((*OCCURRENCE_COLUMNS, *key)))
-    path = shared_path(scans.sparkSession, "panel")
-    whole = scored.select(*columns).unionByName(left_out.select(*columns))
-    whole.write.parquet(path)
-    rows = scans.sparkSession.read.schema(whole.schema).parquet(path)
-
-    both = ["scan_id", "used_version"]
-    lost = ranked_points(rows.where("NOT is_unassessable").select(*both, "penalty", *[c for c in key if c not in both]), *[c for c in key if c != "scan_id"]).groupBy(*both).agg(F.sum("points").alias("deduction"))
+    chosen = oldest(scans, source, limit)
+    rows = kept(occurrence_panel(occurrences.join(chosen.select("scan_id", "data_source", "created_on"), "scan_id"), wanted, *key), "panel")
+    return rows, repository_panel(chosen, rolled(chosen, occurrences, wanted, *key))
+
+
+def occurrence_panel(held: DataFrame, wanted: Sequence[str], *key: str) -> DataFrame:
+    """Every row for every version, in one pass without a shuffle. ``held``: occurrences with data_source and created_on of their scans."""
+    scored = score_occurrences(held.withColumn("own_version", each(known(wanted))), F.col("own_version"), keep=True)
     able = ~F.col("is_unassessable")
-    counted = rows.groupBy(*both).agg(F.count("*").alias("dependency_count"), F.count_if(able).alias("assessed_count"), F.count_if("recomputed_flagged").alias("recomputed_flagged_count"))
-    limits = F.broadcast(threshold_table(scans.sparkSession).withColumnRenamed("version", "used_version"))
-    every = chosen.withColumn("used_version", F.explode(F.array(*map(F.lit, dict.fromkeys(wanted)))))
-    joined = every.join(counted, both, "left").join(lost, both, "left").join(limits, "used_version")
-    score = F.least(F.greatest(F.lit(100) - F.coalesce("deduction", F.lit(0)), F.lit(0)), F.lit(100)).cast("decimal(5,2)")
-    filled = joined.withColumn("recomputed_score", score).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("dependency_count", "assessed_count", "recomputed_flagged_count")})
-    cards = filled.withColumn("recomputed_classification", classify(F.col("recomputed_score"), F.col("safe_min"), F.col("medium_min")))
-    return rows, cards.select(*REPOSITORY_COLUMNS)
+    flags = {"recomputed_flagged": able & is_flagged(), "cvss_reduced_confidence": F.coalesce("cvss_reduced_confidence", F.lit(False))}
+    return scored.withColumns(flags).select(*dict.fromkeys((*OCCURRENCE_COLUMNS, *key)))
+
+
+def rolled(scans: DataFrame, occurrences: DataFrame, wanted: Sequence[str], *key: str) -> DataFrame:
+    """The roll-up of every scan under every version. Occurrences are dealt by scan once, before versions multiply them."""
+    version = each(known(wanted))
+    signals = occurrences.select("scan_id", *[c for c in key if c != "scan_id"], "ecosystem", "is_unassessable", "is_deprecated", "cvss_tenths", "vulnerability_count", "staleness_days")
+    return roll_up(scans.select("scan_id", version.alias("used_version")), signals.repartition("scan_id").withColumn("own_version", version), F.col("own_version"), tuple(c for c in key if c != "scan_id"))
+
+
+def repository_panel(chosen: DataFrame, cards: DataFrame) -> DataFrame:
+    """Chosen scans, with their stored score, beside each of their cards as ``rolled`` gives them."""
+    found = cards.select(
+        "scan_id", "used_version", (F.col("assessed_count") + F.col("unassessable_count")).alias("dependency_count"), "assessed_count", F.col("flagged_count").alias("recomputed_flagged_count"),
+        F.col("score").alias("recomputed_score"), F.col("classification").alias("recomputed_classification"),
+    )
+    return chosen.withColumnRenamed("formula_version", "stored_formula_version").join(found, "scan_id").select(*REPOSITORY_COLUMNS)
 
 
 def write(occurrences: DataFrame, repositories: DataFrame, prefix: str) -> None:

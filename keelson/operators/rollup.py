@@ -30,11 +30,11 @@ def ranked_points(scored: DataFrame, *tie_break: str) -> DataFrame:
     return kept.withColumn("points", F.round(F.col("penalty") * F.col("factor"), 2).cast("decimal(7,2)")).drop("f_version", "f_rank", "factor")
 
 
-def roll_up(scans: DataFrame, occurrences: DataFrame, version: Column | str = ACTIVE) -> DataFrame:
+def roll_up(scans: DataFrame, occurrences: DataFrame, version: Column | str = ACTIVE, tie_break: tuple[str, ...] = ("part_id", "supp_id", "line_no")) -> DataFrame:
     """Every scan and version (scan_id, used_version): deduction, score, class and counts, empty scans included."""
     each = ["scan_id", "used_version"]
     scored = score_occurrences(occurrences, version)
-    deductions = ranked_points(scored, "part_id", "supp_id", "line_no").groupBy(*each).agg(F.sum("points").cast("decimal(9,2)").alias("deduction"))
+    deductions = ranked_points(scored, *tie_break).groupBy(*each).agg(F.sum("points").cast("decimal(9,2)").alias("deduction"))
     able = ~F.col("is_unassessable")
     counted = with_weights(occurrences, version).groupBy(*each).agg(F.count_if(able).alias("assessed_count"), F.count_if(able & is_flagged()).alias("flagged_count"), F.count_if(~able).alias("unassessable_count"))
     limits = F.broadcast(threshold_table(scans.sparkSession).withColumnRenamed("version", "used_version"))

@@ -25,14 +25,15 @@ def clamp(x: Column, low, high) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-def with_weights(rows: DataFrame, version: Column | str = ACTIVE, folder: Path = FOLDER, active: str = ACTIVE) -> DataFrame:
-    """Joins each row's weight vector. A row whose ecosystem has none fails the job, as it must not score."""
+def with_weights(rows: DataFrame, version: Column | str = ACTIVE, folder: Path = FOLDER, active: str = ACTIVE, needed: Column | None = None) -> DataFrame:
+    """Joins each row's weight vector. A row (of those where they are ``needed``) whose ecosystem has none fails the job, as it must not score."""
     table = weight_table(rows.sparkSession, folder).withColumnRenamed("ecosystem", "w_ecosystem").withColumnRenamed("version", "w_version")
     wanted = usable_version(F.lit(version) if isinstance(version, str) else version, folder, active)
     held = rows.withColumn("used_version", wanted)
     # The weights are one row per version and ecosystem, whatever the data.
     joined = held.join(F.broadcast(table), (F.col("used_version") == F.col("w_version")) & (F.col("ecosystem") == F.col("w_ecosystem")), "left")
-    weight = F.when(F.col("w_version").isNull(), F.raise_error(F.concat(F.lit("no weights for ecosystem "), F.coalesce("ecosystem", F.lit("null"))))).otherwise(F.col("w_deprecation"))
+    lost = F.col("w_version").isNull() if needed is None else F.col("w_version").isNull() & needed
+    weight = F.when(lost, F.raise_error(F.concat(F.lit("no weights for ecosystem "), F.coalesce("ecosystem", F.lit("null"))))).otherwise(F.col("w_deprecation"))
     return joined.withColumn("w_deprecation", weight.cast("long")).drop("w_version", "w_ecosystem")
 
 
@@ -74,13 +75,15 @@ def amount(cents: Column, kind: str) -> Column:
     return (cents.cast("decimal(12,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(kind)
 
 
-def score_occurrences(rows: DataFrame, version: Column | str = ACTIVE, folder: Path = FOLDER, active: str = ACTIVE) -> DataFrame:
+def score_occurrences(rows: DataFrame, version: Column | str = ACTIVE, folder: Path = FOLDER, active: str = ACTIVE, keep: bool = False) -> DataFrame:
     """Adds points per term, penalty, score, redistributed and cvss_reduced_confidence to assessable rows.
 
-    Unassessable rows are left out; join them back where they must appear. Rows with a column ``epss`` get
+    Unassessable rows are left out or, with ``keep``, stay in the same pass with null for all of these. Rows with a column ``epss`` get
     the term of the exploit probability under weights that enable it; where it is unknown, its weight goes to the rest.
     """
-    held = with_weights(rows.where("NOT is_unassessable"), version, folder, active)
+    able = ~F.col("is_unassessable")
+    held = with_weights(rows.where("is_unassessable IS NOT NULL"), version, folder, active, able) if keep else with_weights(rows.where(able), version, folder, active)
+    own = (lambda c: F.when(able, c)) if keep else (lambda c: c)
     has_epss = "epss" in rows.columns
     parts = signals(has_epss)
     total = F.lit(0).cast("long")
@@ -95,11 +98,11 @@ def score_occurrences(rows: DataFrame, version: Column | str = ACTIVE, folder: P
     held = held.withColumn("penalty_cents", F.least(F.greatest(added, F.lit(0)), F.lit(10_000)))
     return held.withColumns(
         {
-            **{f"points_{s}": amount(F.col(f"cents_{s}"), "decimal(7,2)") for s in parts},
-            "penalty": amount(F.col("penalty_cents"), "decimal(5,2)"),
-            "score": amount(F.lit(10_000) - F.col("penalty_cents"), "decimal(5,2)"),
-            "redistributed": F.col("staleness_days").isNull() | (F.col("epss_enabled") & (F.col("epss").isNull() if has_epss else F.lit(True))),
-            "cvss_reduced_confidence": reduced_confidence(),
+            **{f"points_{s}": own(amount(F.col(f"cents_{s}"), "decimal(7,2)")) for s in parts},
+            "penalty": own(amount(F.col("penalty_cents"), "decimal(5,2)")),
+            "score": own(amount(F.lit(10_000) - F.col("penalty_cents"), "decimal(5,2)")),
+            "redistributed": own(F.col("staleness_days").isNull() | (F.col("epss_enabled") & (F.col("epss").isNull() if has_epss else F.lit(True)))),
+            "cvss_reduced_confidence": own(reduced_confidence()),
         }
     )
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..catalog import Query
 from ..functions import text as tx
-from ..operators import analytics, constraints, enrich, paging, panel, reports, rollup, scoring, serving
+from ..operators import analytics, constraints, enrich, paging, panel, reports, scoring, serving
 from ..operators.weights import TRIAL, load
-from ..session import shared_path
+from ..session import kept, shared_path
 from ..sources import sinks
 from .analytics_queries import FLAGGED, NOW, flagged
 from .fixtures import KEY, occurrence, report, repository, scan_run, table, with_views
@@ -92,9 +92,8 @@ def q_deletion(spark, sf_dir):
 def _full_rows(spark, sf_dir, scans=None, how="left_semi"):
     """Occurrences with every column that is served; what the tables lack is derived from their keys, ``scans`` are joined before that."""
     part, line, rows = F.col("part_id"), F.col("line_no"), occurrence(spark, sf_dir, scans=scans, how=how)
-    scored = scoring.score_occurrences(rows).select(*rows.columns, F.col("score").alias("risk_component_score"), "cvss_reduced_confidence", scoring.is_flagged().alias("is_flagged"))
-    bare = {"risk_component_score": F.lit(None).cast("decimal(5,2)"), "cvss_reduced_confidence": F.lit(None).cast("boolean"), "is_flagged": F.lit(False)}
-    joined = scored.unionByName(rows.where("is_unassessable").withColumns(bare))
+    flag = ~F.col("is_unassessable") & scoring.is_flagged()
+    joined = scoring.score_occurrences(rows, keep=True).select(*rows.columns, F.col("score").alias("risk_component_score"), "cvss_reduced_confidence", flag.alias("is_flagged"))
     latest = F.when(part % 4 != 0, F.concat((part % 5 + 1).cast("string"), F.lit(".0.0")))
     behind = {"behind_major": part % 3, "behind_minor": line % 4, "behind_patch": F.lit(0)}
     return joined.withColumns(
@@ -149,9 +148,12 @@ def q_constraints(spark, sf_dir):
 
 def q_panels(spark, sf_dir):
     """The history under two versions, both panels written as CSV and read back."""
-    scans = scan_run(spark, sf_dir)
-    stored = rollup.rescore(scans, occurrence(spark, sf_dir, named=False), "v0_equal").select("scan_id", F.col("score").alias("stored_score"), F.col("classification").alias("stored_classification"))
-    rows, cards = panel.build(scans.join(stored, "scan_id"), occurrence(spark, sf_dir), ("v1", "v2"), *KEY, source="live_scan")
+    scans = panel.oldest(scan_run(spark, sf_dir), "live_scan")
+    every = kept(panel.rolled(scans, occurrence(spark, sf_dir, named=False), ("v0_equal", "v1", "v2"), *KEY), "cards")
+    stored = every.where("used_version = 'v0_equal'").select("scan_id", F.col("score").alias("stored_score"), F.col("classification").alias("stored_classification"))
+    cards = kept(panel.repository_panel(scans.join(stored, "scan_id"), every.where("used_version <> 'v0_equal'")), "cards")
+    # Scans meet the bare lines, and names come last: the wide rows are written where they are made.
+    rows = panel.occurrence_panel(occurrence(spark, sf_dir, scans=scans.select("scan_id", "data_source", "created_on"), how="inner"), ("v1", "v2"), *KEY)
     prefix = shared_path(spark, "history-panel")
     panel.write(rows, cards, prefix)
     first = sinks.read_panel(spark, f"{prefix}_occurrences", *panel.OCCURRENCE_COLUMNS)

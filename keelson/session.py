@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -28,3 +28,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "/tmp/checkpoints/keelson"
     return f"{folder.rstrip('/')}/keelson-{label}-{uuid.uuid4().hex[:12]}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """The rows as written to the shared folder and read back: what several steps use is computed once."""
+    path = shared_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
