@@ -25,9 +25,15 @@ def scan_counts(occurrences: DataFrame) -> DataFrame:
 
 
 def manifest_counts(manifests: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Occurrences per manifest, 0 for an empty one."""
-    counted = occurrences.groupBy("scan_id", "manifest_path").agg(F.count("*").alias("n"))
-    return manifests.join(counted, ["scan_id", "manifest_path"], "left").select("scan_id", "manifest_path", F.coalesce("n", F.lit(0)).alias("dependency_count"))
+    """Occurrences per manifest, 0 for an empty one. Rows of ``manifests`` that name one manifest are one; null meets nothing.
+
+    One aggregate of both tables, so a task holds one table of groups and sorts nothing.
+    """
+    key = ["scan_id", "manifest_path"]
+    both = manifests.select(*key, F.lit(True).alias("listed")).unionByName(occurrences.select(*key, F.lit(False).alias("listed")))
+    able = ~F.col("listed") & F.col("scan_id").isNotNull() & F.col("manifest_path").isNotNull()
+    counted = both.groupBy(*key).agg(F.count_if(able).alias("dependency_count"), F.bool_or("listed").alias("listed"))
+    return counted.where("listed").drop("listed")
 
 
 SEVERITY_RANK = {"unknown": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}

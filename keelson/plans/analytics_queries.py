@@ -46,8 +46,7 @@ def q_count_totals(spark, sf_dir):
 
 def q_manifest_counts(spark, sf_dir):
     rows = occurrence(spark, sf_dir, named=False)
-    manifests = rows.select("scan_id", "manifest_path").distinct()
-    return a.manifest_counts(manifests, rows.where("line_no <= 3"))
+    return a.manifest_counts(rows.select("scan_id", "manifest_path"), rows.where("line_no <= 3"))
 
 
 def q_advisory_roll_up(spark, sf_dir):
