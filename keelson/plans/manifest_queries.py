@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import Query
 from ..functions import versions as ver
 from ..operators import analytics, enrich, lifecycle
-from ..session import shared_path
+from ..session import kept, shared_path
 from ..sources import pypi, sinks
 from .analytics_queries import FLAGGED, flagged
 from .fixtures import KEY, advisory, occurrence, scan_run, table, with_views
@@ -134,7 +134,8 @@ def q_updated(spark, sf_dir):
     """Counts of completed scans written over the stored ones, twice; a count of none is written as null."""
     stored = scan_run(spark, sf_dir).select("scan_id", F.lit(-1).cast("long").alias("flagged_count"), F.col("status").alias("counted"))
     done = scan_run(spark, sf_dir).where("status = 'completed'").select("scan_id")
-    counts = analytics.scan_counts(flagged(spark, sf_dir, named=False).join(done, "scan_id", "left_semi"))
+    # Counted before they meet their scans: a row a scan is joined, not its lines, and once for both updates.
+    counts = kept(analytics.scan_counts(flagged(spark, sf_dir, named=False)).select("scan_id", "flagged_count").join(done, "scan_id", "left_semi"), "counts")
     fresh = counts.select("scan_id", F.nullif("flagged_count", F.lit(0)).alias("flagged_count"), F.lit("yes").alias("counted"))
     return lifecycle.updated(lifecycle.updated(stored, fresh, "scan_id"), fresh, "scan_id")
 
