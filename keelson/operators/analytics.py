@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import shared_path
+from ..session import kept, shared_path
 
 
 def scan_counts(occurrences: DataFrame) -> DataFrame:
@@ -178,7 +178,9 @@ def sibling_lines(members: DataFrame, latest: DataFrame, occurrences: DataFrame,
     package's lines less the subject's own.
     """
     group = ["project_id", "user_id", "ecosystem", "package_name"]
-    lines = occurrences.join(members.join(latest.select("repository_id", "scan_id"), "repository_id"), "scan_id")
+    at = members.join(latest.select("repository_id", "scan_id"), "repository_id")
+    # Five steps use these lines, so they are made once; a step then holds its own sort and no more.
+    lines = kept(occurrences.join(at, "scan_id"), "sibling-lines")
     chosen = lines if subject is None else lines.where(subject)
     wanted = chosen.where("is_flagged AND NOT is_unassessable").select(F.col("repository_id").alias("subject_id"), *group).distinct()
 
@@ -195,8 +197,8 @@ def sibling_lines(members: DataFrame, latest: DataFrame, occurrences: DataFrame,
     counted = wanted.join(total, group).join(mine, [*group, "subject_id"], "left").groupBy("subject_id").agg(F.sum(F.col("n_all") - F.coalesce("n_own", F.lit(0))).alias("total"))
     met = heads.join(wanted, group).where("repository_id <> subject_id")
     order = Window.partitionBy("subject_id").orderBy("package_name", "full_name", *place)
-    kept = met.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
-    return kept.join(counted, "subject_id").withColumn("omitted", F.greatest(F.col("total") - most, F.lit(0))).drop("total")
+    best = met.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
+    return best.join(counted, "subject_id").withColumn("omitted", F.greatest(F.col("total") - most, F.lit(0))).drop("total")
 
 
 MOST_PROMPT_ROWS = 30

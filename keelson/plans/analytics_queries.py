@@ -10,6 +10,7 @@ from ..catalog import Query
 from ..operators import analytics as a
 from ..operators import rollup, scoring
 from ..operators.weights import threshold_table
+from ..session import kept
 from .fixtures import KEY, TODAY, advisory, occurrence, repository, scan_run, table, with_views
 from .scoring_queries import CLASS_SQL, KEYS, cents, rolled_sql
 
@@ -25,9 +26,9 @@ def clocked(scans: DataFrame) -> DataFrame:
 CLOCKED = f"clocked AS (SELECT *, TIMESTAMP '{NOW}' - to_minutes((scan_id * 7 % 30)::INT) AS created_at FROM scan_run)"
 
 
-def flagged(spark: SparkSession, sf_dir: str, named: bool = True) -> DataFrame:
-    """Occurrences with their flag; an unassessable one is never flagged."""
-    rows = occurrence(spark, sf_dir, named).withColumn("stale_flag_days", F.lit(730))
+def flagged(spark: SparkSession, sf_dir: str, named: bool = True, scans: DataFrame | None = None) -> DataFrame:
+    """Occurrences, of the given scans or of all, with their flag; an unassessable one is never flagged."""
+    rows = occurrence(spark, sf_dir, named, scans).withColumn("stale_flag_days", F.lit(730))
     return rows.withColumn("is_flagged", ~F.col("is_unassessable") & scoring.is_flagged())
 
 
@@ -151,8 +152,11 @@ def q_projects_grouping(spark, sf_dir):
 
 
 def _siblings(spark, sf_dir):
-    scans = scan_run(spark, sf_dir)
-    return a.sibling_lines(repository(spark, sf_dir).where("project_id IS NOT NULL"), a.latest_completed(scans), flagged(spark, sf_dir).withColumn("status", a.status_label()))
+    members = repository(spark, sf_dir).where("project_id IS NOT NULL")
+    latest = kept(a.latest_completed(scan_run(spark, sf_dir)).join(members.select("repository_id"), "repository_id", "left_semi"), "latest")
+    # One scan a repository: the others' lines are left before names are given.
+    rows = flagged(spark, sf_dir, scans=latest.select("scan_id")).withColumn("status", a.status_label())
+    return a.sibling_lines(members, latest, rows.select("scan_id", "part_id", "line_no", "ecosystem", "package_name", "manifest_path", "status", "is_flagged", "is_unassessable"))
 
 
 def q_sibling_context(spark, sf_dir):

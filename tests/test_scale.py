@@ -4,7 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from keelson.operators import panel, scoring
+from keelson.operators import analytics, panel, retrieval, scoring
 
 LINE = "scan_id int, part_id int, supp_id int, line_no int, ecosystem string, manifest_path string, package_name string, dependency_group string, resolved_version string, resolution string, is_unassessable boolean, is_deprecated boolean, vulnerability_count int, cvss_tenths int, staleness_days int"
 KEY = ("scan_id", "part_id", "supp_id", "line_no")
@@ -31,4 +31,41 @@ def test_wide_rows_of_the_panel_are_not_shuffled(spark):
     wide = panel.occurrence_panel(rows.withColumns({"data_source": F.lit("live_scan"), "created_on": F.lit("2026-01-01")}), ("v1", "v2"), *KEY)
     assert "hashpartitioning" not in plan(wide) and wide.count() == 6
     cards = panel.rolled(scans, rows, ("v1", "v2"), *KEY)
-    assert "package_name" not in plan(cards) and {r.used_version: r.score for r in cards.collect()}["v2"] == Decimal("72.80")
+    assert {r.used_version: r.score for r in cards.collect()}["v2"] == Decimal("72.80")
+
+
+def test_siblings_lines_are_made_once(spark):
+    members = spark.createDataFrame([(1, 1, 10, "o/a"), (2, 1, 10, "o/b")], "repository_id int, user_id int, project_id int, full_name string")
+    rows = spark.createDataFrame([(n, "npm", "p", "m", 1, 1, True, False, "flagged") for n in (1, 2)], "scan_id int, ecosystem string, package_name string, manifest_path string, part_id int, line_no int, is_flagged boolean, is_unassessable boolean, status string")
+    found = analytics.sibling_lines(members, members.selectExpr("repository_id", "repository_id AS scan_id"), rows)
+    assert "ExistingRDD" not in plan(found) and sorted(r.subject_id for r in found.collect()) == [1, 2]
+
+
+def test_manifests_are_counted_in_one_aggregate(spark):
+    manifests = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, None)], "scan_id int, manifest_path string")
+    lines = spark.createDataFrame([(1, "a"), (1, "a"), (1, "c"), (2, None)], "scan_id int, manifest_path string")
+    found = analytics.manifest_counts(manifests, lines)
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, "a", 2), (1, "b", 0), (2, None, 0)] and "Join" not in plan(found)
+
+
+def test_counts_meet_their_scans_as_one_row_each(spark):
+    from keelson.catalog import QUERIES
+
+    found = plan(QUERIES["counts_updated"].run(spark, "/root/testdata/sf0.001"))
+    assert "lineitem" not in found and "Aggregate" not in found
+
+
+def test_few_texts_are_python_objects_at_once(spark):
+    texts = spark.range(0, 200, 1, 1).select(F.struct("id").alias("id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("# h\n"), F.repeat(F.lit("word "), 300))).alias("text"))
+    found = retrieval.chunk_documents(texts, "id")
+    assert "MapInArrow" in plan(found) and retrieval.TEXTS_AT_ONCE < 100
+    assert sorted((r.id.id, r.chunk_index) for r in found.collect()) == [(n, i) for n in range(200) if n % 3 for i in (0, 1)]
+
+
+def test_lengths_are_taken_once_a_vector(spark):
+    queries = spark.createDataFrame([("k", "q", [1.0, 0.0])], "key string, query_id string, query_vector array<float>")
+    chunks = spark.createDataFrame([("k", "a", [2.0, 0.0]), ("k", "b", [0.0, 3.0]), ("k", "z", [0.0, 0.0])], "key string, chunk_id string, vector array<float>")
+    found = retrieval.nearest_chunks(queries, chunks, "key")
+    assert {r.chunk_id: r.similarity for r in found.collect()}["a"] == 1.0
+    joined = next(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "zip_with" in x.lower())
+    assert joined.lower().count("zip_with") == 1
