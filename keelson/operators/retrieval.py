@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from itertools import accumulate, pairwise
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +24,7 @@ LEAST_SIMILARITY = 0.30
 LEAST_TEXT = 400
 NEAREST = 5
 QUERY_LENGTH = 600
+TEXTS_AT_ONCE = 64
 
 # What a heading and a code fence look like.
 _HEADING = re.compile(r"(#{1,6})\s+(.*\S)\s*$")
@@ -72,27 +73,42 @@ def chunks_of(text: str, sha: str, path: str) -> list[tuple[str, str, str]]:
 
 
 def chunk_documents(documents: DataFrame, key: str, text: str = "text", sha: Column | None = None, path: Column | None = None) -> DataFrame:
-    """key, chunk_index, chunk_id, heading, text of every chunk."""
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(k, n, *c) for k, t, s, p in zip(frame["k"], frame["t"], frame["s"], frame["p"]) for n, c in enumerate(chunks_of(t or "", s, p))]
-            yield pd.DataFrame(rows, columns=["k", "chunk_index", "chunk_id", "heading", "text"])
+    """key, chunk_index, chunk_id, heading, text of every chunk. So many texts at once, of however many Arrow sends, are Python objects."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                some = batch.slice(at, TEXTS_AT_ONCE)
+                texts = zip(*(some.column(n).to_pylist() for n in (1, 2, 3)))
+                rows = [(i, n, *c) for i, (t, s, p) in enumerate(texts) for n, c in enumerate(chunks_of(t or "", s, p))]
+                places, numbers, ids, headings, pieces = zip(*rows) if rows else [()] * 5
+                words = [pa.array(c, pa.string()) for c in (ids, headings, pieces)]
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(places, pa.int64())), pa.array(numbers, pa.int32()), *words], ["k", "chunk_index", "chunk_id", "heading", "text"])
 
     source = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), (sha if sha is not None else F.sha1(F.coalesce(text, F.lit("")))).alias("s"), (path if path is not None else F.lit("README.md")).alias("p"))
     kind = dict(source.dtypes)["k"]
-    return source.mapInPandas(cut, f"k {kind}, chunk_index int, chunk_id string, heading string, text string").withColumnRenamed("k", key)
+    return source.mapInArrow(cut, f"k {kind}, chunk_index int, chunk_id string, heading string, text string").withColumnRenamed("k", key)
+
+
+def dot(left: Column, right: Column) -> Column:
+    return F.aggregate(F.zip_with(left, right, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def length(vector: Column) -> Column:
+    return F.sqrt(dot(vector, vector))
 
 
 def cosine(left: Column, right: Column) -> Column:
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    length = F.sqrt(dot(left, left)) * F.sqrt(dot(right, right))
-    return F.try_divide(dot(left, right), length)
+    return F.try_divide(dot(left, right), length(left) * length(right))
+
+
+def clamped(nearness: Column) -> Column:
+    """In [0, 1] and rounded to four places before anything looks at it."""
+    return F.round(F.least(F.greatest(nearness, F.lit(0.0)), F.lit(1.0)), 4)
 
 
 def similarity(left: Column, right: Column) -> Column:
-    """Clamped to [0, 1] and rounded to four places before anything looks at it."""
-    return F.round(F.least(F.greatest(cosine(left, right), F.lit(0.0)), F.lit(1.0)), 4)
+    return clamped(cosine(left, right))
 
 
 def nearest_chunks(queries: DataFrame, chunks: DataFrame, *keys: str, k: int = NEAREST) -> DataFrame:
@@ -100,8 +116,12 @@ def nearest_chunks(queries: DataFrame, chunks: DataFrame, *keys: str, k: int = N
 
     Only ids and similarities are ranked; texts join the few that are kept. A chunk id occurs once for equal keys.
     """
-    held = chunks.select(*keys, "chunk_id", "vector")
-    scored = queries.select(*keys, "query_id", "query_vector").join(held, [*keys]).select(*keys, "query_id", "chunk_id", similarity(F.col("query_vector"), F.col("vector")).alias("similarity"))
+    # Vectors become doubles and their lengths are taken once a row; a pair costs one product.
+    as_doubles = lambda c: F.col(c).cast("array<double>").alias(c)
+    held = chunks.select(*keys, "chunk_id", as_doubles("vector"), length(F.col("vector")).alias("__l"))
+    asked = queries.select(*keys, "query_id", as_doubles("query_vector"), length(F.col("query_vector")).alias("__q"))
+    nearness = F.try_divide(dot(F.col("query_vector"), F.col("vector")), F.col("__q") * F.col("__l"))
+    scored = asked.join(held, [*keys]).select(*keys, "query_id", "chunk_id", clamped(nearness).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
     best = scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
     rest = queries.drop("query_vector")
