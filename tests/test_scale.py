@@ -4,7 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from keelson.operators import analytics, panel, retrieval, scoring
+from keelson.operators import analytics, paging, panel, retrieval, scoring
 
 LINE = "scan_id int, part_id int, supp_id int, line_no int, ecosystem string, manifest_path string, package_name string, dependency_group string, resolved_version string, resolution string, is_unassessable boolean, is_deprecated boolean, vulnerability_count int, cvss_tenths int, staleness_days int"
 KEY = ("scan_id", "part_id", "supp_id", "line_no")
@@ -69,3 +69,17 @@ def test_lengths_are_taken_once_a_vector(spark):
     assert {r.chunk_id: r.similarity for r in found.collect()}["a"] == 1.0
     joined = next(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "zip_with" in x.lower())
     assert joined.lower().count("zip_with") == 1
+
+
+def test_a_walk_reads_the_ranges_of_its_pages(spark, tmp_path, monkeypatch):
+    rows = spark.range(0, 5000, 1, 4).select((F.col("id") * 7 % 5000).alias("k"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        listing = paging.Listing(f"{tmp_path}/l", ("k",)).write(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    seen, plain = [], paging.Listing._after
+    monkeypatch.setattr(paging.Listing, "_after", lambda self, near, after: seen.append(near.count()) or plain(self, near, after))
+    walked, total, cut = listing.walk(spark, size=100, most=30)
+    assert sorted((r.k, r.page) for r in walked.collect()) == [(k, k // 100 + 1) for k in range(3000)] and (total, cut) == (5000, True)
+    assert len(seen) == 30 and max(seen) < 4000
