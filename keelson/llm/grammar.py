@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,7 +41,8 @@ SHARD_TOKENS = 1 << 20
 #: A pair gets a rule from this many occurrences in a shard.
 LEAST_PAIRS = 2
 PAIRS_A_ROUND = 1 << 14
-TEXTS_AT_ONCE = 256
+#: Bytes of text that are encoded together; a longer text is encoded alone.
+BYTES_AT_ONCE = 8 << 20
 
 SHARD = "part long, shard long, start_in_part long, n_tokens long, n_docs long, doc_ids binary, id_nulls binary, doc_tokens binary, cuts binary, rules binary, spans binary, symbols binary"
 
@@ -144,8 +146,13 @@ def compress(ids: np.ndarray, last: np.ndarray, first: int = FIRST_NONTERMINAL,
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int = FIRST_NONTERMINAL, spans: np.ndarray | None = None) -> np.ndarray:
-    """The ids of the symbols; each nonterminal writes to where the spans before it end."""
+    """The ids of the symbols; each nonterminal writes to where the spans before it end.
+
+    Of more symbols than there are rules, each distinct one is expanded once and copied to its places.
+    """
     spans = spans_of(rules, first) if spans is None else spans
+    if len(symbols) > len(rules) > 0:
+        return _expand_many(symbols, rules, first, spans)
     rules = rules.astype(np.int64)
     length = lambda s: np.where(s < first, 1, spans[np.maximum(s - first, 0)]) if len(spans) else np.ones(len(s), np.int64)
     symbols = symbols.astype(np.int64)
@@ -161,6 +168,25 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first: int = FIRST_NONTERMINA
     return out
 
 
+def _expand_many(symbols: np.ndarray, rules: np.ndarray, first: int, spans: np.ndarray) -> np.ndarray:
+    nested = np.flatnonzero(symbols >= first)
+    rule = symbols[nested].astype(np.int64) - first
+    used = np.zeros(len(rules), bool)
+    used[rule] = True
+    once = np.flatnonzero(used)
+    ends = np.cumsum(spans[once])
+    # Plain symbols are kept behind the expansions, where each is its own.
+    held = np.concatenate([expand(once + first, rules, first, spans), symbols.astype(np.uint32)])
+    starts = np.zeros(len(rules), np.int64)
+    starts[once] = ends - spans[once]
+    begin, lengths = np.arange(len(held) - len(symbols), len(held)), np.ones(len(symbols), np.int64)
+    begin[nested], lengths[nested] = starts[rule], spans[rule]
+    at = np.cumsum(lengths)
+    places = np.repeat(begin - at + lengths, lengths)
+    places += np.arange(len(places))
+    return held[places]
+
+
 def spans_of(rules: np.ndarray, first: int = FIRST_NONTERMINAL) -> np.ndarray:
     """Expansion lengths; a rule names earlier rules only, so one pass per nesting level is enough."""
     spans = np.zeros(len(rules), np.int64)
@@ -219,6 +245,15 @@ def _arrow_schema() -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (f.split() for f in SHARD.split(", "))])
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``BYTES_AT_ONCE`` of text, or of one text."""
+    ends, lo = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BYTES_AT_ONCE, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _write_shards(path: str, end_id: int, shard_tokens: int):
     def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -232,9 +267,8 @@ def _write_shards(path: str, end_id: int, shard_tokens: int):
             return pa.RecordBatch.from_pylist([row], _arrow_schema())
 
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                some = batch.slice(at, TEXTS_AT_ONCE)
-                ids, lengths = encoder.encode(some.column(1).to_pylist())
+            for some in _slices(batch):
+                ids, lengths = encoder.encode(some.column(1))
                 ends = np.cumsum(lengths)
                 for doc_id, lo, hi in zip(some.column(0).to_pylist(), ends - lengths, ends):
                     doc_ids.append(doc_id)

@@ -3,7 +3,8 @@
 A long corpus repeats its words, so a text is cut where its pre-tokenizer is known to cut
 (single blanks and line ends), each distinct piece is encoded once per worker, and ids are
 gathered by index. Texts with any other white space, or that could hold a special token,
-are encoded whole; both ways give the ids of ``Tokenizer.encode(text)``.
+are encoded whole; both ways give the ids of ``Tokenizer.encode(text)``. A column of texts is cut
+by Arrow, and only its distinct words become Python objects.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ from __future__ import annotations
 import gc
 import os
 import re
-from collections.abc import Iterable, Sequence
-from itertools import chain
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import batched, chain, compress
 from unicodedata import is_normalized, normalize
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces a worker holds before it starts afresh; this bounds its memory, not the result.
 MOST_PIECES = 1_200_000
@@ -47,9 +50,20 @@ def spelled(pieces: Sequence[str]) -> list[str]:
 #: White space other than blanks and line ends (a fixed value of Unicode).
 _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _UNEVEN = ("  ", "\n\n", " \n", "\n ", "<|")
+#: The same as one expression of RE2, for columns: texts in which it is found are not cut.
+_UNCUT = r"\A[ \n]|[ \n]\z|[ \n]{2}|<\||[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ANY_SPACE = re.compile(r"[\x1c-\x1f]|<\|")
 
 
+def distinct_words(words: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The distinct words of a column in which none holds a blank, and the place among them of each word."""
+    if not len(words):
+        return [], np.empty(0, np.int32)
+    coded = words.dictionary_encode()
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), " ")
+    return joined[0].as_py().split(" "), coded.indices.to_numpy()
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -121,9 +135,9 @@ class PieceCodec:
         grown = self.count - len(self.starts)
         self.starts, self.lengths = np.concatenate([self.starts, np.zeros(grown, np.int64)]), np.concatenate([self.lengths, np.zeros(grown, np.int64)])
         # A run of letters is one word of the model, its bytes spelled as the vocabulary has them.
-        tokenize, encode = self.model.tokenize, self.tokenizer.encode
+        tokenize = self.model.tokenize
         found = [[t.id for t in tokenize(word)] for word in spelled([p for _, p in self.runs])]
-        found += [encode(p, add_special_tokens=False).ids for _, p in self.others]
+        found += self._whole([p for _, p in self.others])
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         new = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
         self._hold([n for n, _ in self.runs] + [n for n, _ in self.others], lengths, new)
@@ -131,6 +145,14 @@ class PieceCodec:
         self._hold([n for n, _ in self.marked], self.lengths[parts].sum(1), self._gather(parts.reshape(-1)))
         self.runs, self.marked, self.others = [], [], []
 
+    def _whole(self, pieces: list[str]) -> Iterator[list[int]]:
+        """The ids of each; short ones are encoded together, as what the tokenizer says of them is held at once."""
+        for some in batched(pieces, 64):
+            if sum(map(len, some)) < 1 << 16:
+                yield from (e.ids for e in self.tokenizer.encode_batch_fast(list(some), add_special_tokens=False))
+            else:
+                yield from (self.tokenizer.encode(p, add_special_tokens=False).ids for p in some)
+
     def _hold(self, numbers: list[int], lengths: np.ndarray, ids: np.ndarray) -> None:
         self.starts[numbers] = len(self.ids) + np.cumsum(lengths) - lengths
         self.lengths[numbers] = lengths
@@ -164,7 +186,35 @@ class PieceCodec:
             numbers += map(self.after.__getitem__, tail)
         return numbers
 
-    def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces_of_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the pieces of all texts, and how many each text has."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.or_(pc.equal(pc.binary_length(texts), 0), pc.match_substring_regex(texts, _UNCUT))
+        # No blank is beside another or a line end, so each line end becomes a word of its own.
+        lines = pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(whole)), "\n", " \n "), " ")
+        whole, counts = whole.to_numpy(zero_copy_only=False), np.ones(len(texts), np.int64)
+        counts[~whole] = pc.list_value_length(lines).to_numpy()
+        words, places = distinct_words(lines.flatten())
+        line_end = places == (words.index("\n") if "\n" in words else -1)
+        leads = line_end.copy()
+        leads[1:] |= line_end[:-1]
+        cut = counts[~whole]
+        leads[np.cumsum(cut) - cut] = True
+        numbers = np.empty(len(places), np.int32)
+        for index, chosen in ((self.first, leads), (self.after, ~leads)):
+            used = np.zeros(len(words), bool)
+            used[places[chosen]] = True
+            number = np.zeros(len(words), np.int32)
+            number[used] = np.fromiter(map(index.__getitem__, compress(words, used.tolist())), np.int32, int(used.sum()))
+            numbers[chosen] = number[places[chosen]]
+        found, single = np.empty(int(counts.sum()), np.int32), (np.cumsum(counts) - counts)[whole]
+        rest = np.ones(len(found), bool)
+        rest[single] = False
+        found[rest] = numbers
+        found[single] = [self.add(self.others, text) for text in texts.filter(pa.array(whole)).to_pylist()]
+        return found, counts
+
+    def encode(self, texts: Sequence[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other (a null is an empty text), and how many each has."""
         # Many short-lived lists and no cycles: the collector would only walk the held pieces.
         collecting = gc.isenabled()
@@ -175,17 +225,21 @@ class PieceCodec:
             if collecting:
                 gc.enable()
 
-    def _encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, texts: Sequence[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.count > MOST_PIECES or len(self.ids) > MOST_HELD_IDS:
             self.clear()
-        numbers: list[int] = []
         ends = np.empty(len(texts) + 1, np.int64)
         ends[0] = 0
-        for n, text in enumerate(texts):
-            numbers += self._pieces(text or "")
-            ends[n + 1] = len(numbers)
+        if isinstance(texts, pa.Array) and self.kind == "blank":
+            index, counts = self._pieces_of_column(texts)
+            ends[1:] = np.cumsum(counts)
+        else:
+            numbers: list[int] = []
+            for n, text in enumerate(texts.to_pylist() if isinstance(texts, pa.Array) else texts):
+                numbers += self._pieces(text or "")
+                ends[n + 1] = len(numbers)
+            index = np.fromiter(numbers, np.int32, len(numbers))
         self._encode_waiting()
-        index = np.fromiter(numbers, np.int32, len(numbers))
         total = np.concatenate([[0], np.cumsum(self.lengths[index])])
         return self._gather(index), np.diff(total[ends])
 

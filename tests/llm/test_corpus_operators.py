@@ -34,6 +34,35 @@ def test_pieces_give_the_tokenizer_s_ids(name, kind):
     assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for row in want for i in row]
 
 
+@pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "blank"), ("word_bpe_49k.json", "word")])
+def test_a_column_gives_the_ids_of_its_texts(name, kind):
+    import pyarrow as pa
+
+    path = tokenizer_path(name)
+    cut = ["a b\nc d", "b\nb", " led", "ended\n", "two  blanks", "a\n\nb", "<|endoftext|> x", "x\u3000y", "Word, word. don't", "", None, "\u00e9t\u00e9 \u0130x"]
+    texts = [*TEXTS, *ODD, *cut, *["long " * 20_000 + " "], *TEXTS[:3]]
+    ids, counts = codec(path, kind).encode(pa.array(["before", *texts], pa.string()).slice(1))
+    want, sizes = codec(path, kind).encode(texts)
+    assert counts.tolist() == sizes.tolist() and ids.tolist() == want.tolist()
+
+
+def test_slices_hold_few_bytes_or_one_text(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(grammar, "BYTES_AT_ONCE", 10)
+    texts = ["12345", None, "1234", "12", "x" * 40, "", "1"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "text": texts})
+    assert [s.column(1).to_pylist() for s in grammar._slices(batch)] == [["12345", None, "1234"], ["12"], ["x" * 40], ["", "1"]]
+
+
+def test_many_symbols_expand_as_single_ones():
+    ids = np.tile(np.array([5, 6, 7, 9], np.uint32), 300)
+    ids[::13] = 3
+    symbols, _, rules = grammar.compress(ids, np.arange(len(ids)) == len(ids) - 1)
+    many = np.concatenate([symbols] * (len(rules) // len(symbols) + 2))
+    assert len(many) > len(rules) and grammar.expand(many, rules).tolist() == [i for s in many for i in grammar.expand(np.array([s]), rules)]
+
+
 def test_grammar_round_trip():
     for seed in range(20):
         rng = np.random.default_rng(seed)
