@@ -73,6 +73,20 @@ def advisory_lists(advisories: DataFrame, *key: str) -> DataFrame:
     return listed.select(*key, shown.alias("advisories"), F.array_distinct(F.transform("all", lambda a: F.coalesce(a["cve_id"], a["osv_id"]))).alias("cves"))
 
 
+def with_lists(rows: DataFrame, lists: DataFrame, *key: str) -> DataFrame:
+    """The rows, each with the ``advisories`` and ``cves`` of its occurrence (see ``advisory_lists``), empty where there are none; a null key has none.
+
+    One aggregate of both tables: where both lie partitioned by some column of the key nothing moves, as it would for a join.
+    """
+    rest, names = [c for c in rows.columns if c not in key], ("advisories", "cves")
+    row = F.struct(*rest).alias("__row")
+    bare = rows.select(*key, row, *[F.lit(None).cast(lists.schema[c].dataType).alias(c) for c in names])
+    able = lists.dropna(subset=list(key))
+    listed = able.select(*key, F.lit(None).cast(bare.schema["__row"].dataType).alias("__row"), *names)
+    both = bare.unionByName(listed).groupBy(*key).agg(F.collect_list("__row").alias("__rows"), *[F.first(c, ignorenulls=True).alias(c) for c in names])
+    return both.select(*key, F.explode("__rows").alias("__row"), *[F.coalesce(c, F.array()).alias(c) for c in names]).select(*key, "__row.*", *names)
+
+
 #: Fields of a row in the combined prompt and the columns they come from.
 ROW_FIELDS = {
     "package": "package_name", "ecosystem": "ecosystem", "manifest_path": "manifest_path", "group": "dependency_group", "declared_specifier": "declared_specifier", "current_version": "resolved_version", "version_source": "resolution",

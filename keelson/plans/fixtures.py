@@ -45,25 +45,30 @@ def scan_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def occurrence(spark: SparkSession, sf_dir: str, named: bool = True, scans: DataFrame | None = None, how: str = "left_semi") -> DataFrame:
+def occurrence(spark: SparkSession, sf_dir: str, named: bool = True, scans: DataFrame | None = None, how: str = "left_semi", together: bool = False) -> DataFrame:
     """One row per line item. Without ``named`` there are no names and reasons, and parts are not joined: each line has one.
 
     ``scans`` (scan_id and further columns) are joined to the bare lines, which are narrow, before names are.
+    ``together``: the rows of a scan lie in one partition. Bare lines and names move there; what is derived from them comes after.
     """
     npm = F.col("l_suppkey") % 2 == 0
     vulnerable = F.col("l_quantity") <= 14
     deprecated = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_linenumber") <= 3)
     groups = F.array(*[F.lit(g) for g in ("runtime", "development", "optional", "peer", "build")])
     lines, names, more = table(spark, sf_dir, "lineitem"), [], []
+    met = lambda rows: rows if scans is None else rows.join(scans.withColumnRenamed("scan_id", "l_orderkey"), "l_orderkey", how)
     if scans is not None:
-        lines = lines.join(scans.withColumnRenamed("scan_id", "l_orderkey"), "l_orderkey", how)
         more = [] if how == "left_semi" else [c for c in scans.columns if c != "scan_id"]
+    if not together:
+        lines = met(lines)
     if named:
         lines = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
         names = [
             F.concat(F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-")), F.lit("."), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("package_name"),
             F.when(deprecated, F.when(F.col("l_linenumber") == 1, "").otherwise(F.concat(F.lit("use "), "p_name", F.lit(" instead")))).alias("deprecation_reason"),
         ]
+    if together:
+        lines = met(lines.repartition("l_orderkey"))
     return (
         lines.select(
             *names,
@@ -86,9 +91,9 @@ def occurrence(spark: SparkSession, sf_dir: str, named: bool = True, scans: Data
     )
 
 
-def advisory(spark: SparkSession, sf_dir: str, scans: DataFrame | None = None) -> DataFrame:
+def advisory(spark: SparkSession, sf_dir: str, scans: DataFrame | None = None, together: bool = False) -> DataFrame:
     """One row per advisory of a line, of the given scans or of all; names are not needed, so parts are not joined."""
-    rows = occurrence(spark, sf_dir, named=False, scans=scans).where("vulnerability_count > 0").select(*KEY, "cvss_tenths", F.explode(F.sequence(F.lit(1), "vulnerability_count")).alias("i"))
+    rows = occurrence(spark, sf_dir, named=False, scans=scans, together=together).where("vulnerability_count > 0").select(*KEY, "cvss_tenths", F.explode(F.sequence(F.lit(1), "vulnerability_count")).alias("i"))
     return rows.select(
         *KEY,
         "i",

@@ -25,11 +25,11 @@ def q_combined(spark, sf_dir):
     about = scans.join(repository(spark, sf_dir).select("repository_id", F.col("full_name").alias("repository")), "repository_id").join(cards, "scan_id").join(counts, "scan_id")
     summary = about.withColumn("scoring_formula_version", F.lit("v2"))
     tenths = (F.col("cvss_tenths") / 10).cast("double")
-    found = advisory(spark, sf_dir).select(*KEY, "osv_id", "cve_id", a.severity(F.col("cvss_tenths")).alias("severity"), tenths.alias("cvss"), F.when(F.col("i") % 2 == 0, F.concat(F.col("i").cast("string"), F.lit(".0"))).alias("fixed_version"))
-    lists = prompts.advisory_lists(found, *KEY)
-    reasons = scoring.with_weights(_full_rows(spark, sf_dir).where("is_flagged")).withColumn("flag_reasons", scoring.flag_reasons())
-    rows = reasons.withColumn("score", F.col("risk_component_score")).join(lists, list(KEY), "left")
-    filled = rows.withColumns({"advisories": F.coalesce("advisories", F.array()), "cves": F.coalesce("cves", F.array())})
+    done = scans.select("scan_id")
+    found = advisory(spark, sf_dir, done, together=True).select(*KEY, "osv_id", "cve_id", a.severity(F.col("cvss_tenths")).alias("severity"), tenths.alias("cvss"), F.when(F.col("i") % 2 == 0, F.concat(F.col("i").cast("string"), F.lit(".0"))).alias("fixed_version"))
+    reasons = scoring.with_weights(_full_rows(spark, sf_dir, done, together=True).where("is_flagged")).withColumn("flag_reasons", scoring.flag_reasons())
+    rows = reasons.select(*KEY, F.col("risk_component_score").alias("score"), *[c for c in prompts.ROW_FIELDS.values() if c not in ("score", "advisories", "cves")])
+    filled = prompts.with_lists(rows, prompts.advisory_lists(found, *KEY), *KEY)
     return prompts.combined_prompts(summary, filled, "manifest_path", "package_name", "part_id", "supp_id", "line_no")
 
 

@@ -89,9 +89,9 @@ def q_deletion(spark, sf_dir):
     return found.select("repository_id", "outcome", "deleted", "member_count", "other_count", F.element_at("names", 1).alias("first_name"), F.element_at("names", -1).alias("last_name"))
 
 
-def _full_rows(spark, sf_dir, scans=None, how="left_semi"):
+def _full_rows(spark, sf_dir, scans=None, how="left_semi", together=False):
     """Occurrences with every column that is served; what the tables lack is derived from their keys, ``scans`` are joined before that."""
-    part, line, rows = F.col("part_id"), F.col("line_no"), occurrence(spark, sf_dir, scans=scans, how=how)
+    part, line, rows = F.col("part_id"), F.col("line_no"), occurrence(spark, sf_dir, scans=scans, how=how, together=together)
     flag = ~F.col("is_unassessable") & scoring.is_flagged()
     joined = scoring.score_occurrences(rows, keep=True).select(*rows.columns, F.col("score").alias("risk_component_score"), "cvss_reduced_confidence", flag.alias("is_flagged"))
     latest = F.when(part % 4 != 0, F.concat((part % 5 + 1).cast("string"), F.lit(".0.0")))

@@ -32,6 +32,24 @@ def test_advisories_of_a_prompt(spark):
     assert [a.osv_id for a in row.advisories] == ["A", "B", "D4", "D3", "D2"] and row.cves == ["CVE-1", "D4", "D3", "D2", "D1", "D0", "C"]
 
 
+def test_rows_meet_their_lists_where_they_lie(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (1, 2, "c"), (2, 1, None), (None, 1, "n")], "scan_id int, line_no int, x string")
+    found = spark.createDataFrame([(1, 1, "B", "CVE-1", "high", 7.0, None), (1, 1, "A", None, "low", 1.0, None), (9, 1, "Z", None, None, None, None), (None, 1, "N", None, None, None, None)], "scan_id int, line_no int, osv_id string, cve_id string, severity string, cvss double, fixed_version string")
+    key = ("scan_id", "line_no")
+    made = prompts.with_lists(rows.repartition("scan_id"), prompts.advisory_lists(found.repartition("scan_id"), *key), *key)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    got = {(r.scan_id, r.line_no, r.x): ([a.osv_id for a in r.advisories], r.cves) for r in made.collect()}
+    both = (["B", "A"], ["CVE-1", "A"])
+    assert got == {(1, 1, "a"): both, (1, 1, "b"): both, (1, 2, "c"): ([], []), (2, 1, None): ([], []), (None, 1, "n"): ([], [])}
+
+
+def test_rows_of_a_scan_are_ranked_where_they_lie(spark):
+    from keelson.catalog import QUERIES
+
+    found = QUERIES["combined_prompts"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_orderkey" in found
+
+
 def test_payload_shapes(spark):
     good = {"package": " p ", "manifest_path": "m", "ecosystem": "npm", "fix_type": "upgrade", "priority": 1, "extra": 1}
     cases = [
