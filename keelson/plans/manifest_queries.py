@@ -145,9 +145,10 @@ def q_history_appended(spark, sf_dir):
     path, rows = shared_path(spark, "history"), occurrence(spark, sf_dir, named=False).select(*KEY)
     lifecycle.append_history(q_history_rows(spark, sf_dir), f"{path}/scans")
     scans = spark.read.parquet(f"{path}/scans")
+    # All lines meet their scans once, whatever the number of appends.
+    met = kept(rows.join(scans.select("scan_id", "data_source"), "scan_id"), "lines")
     for source in ("live_scan", "corpus_scan"):
-        part = scans.where(F.col("data_source") == source).select("scan_id", "data_source")
-        lifecycle.append_history(rows.join(part, "scan_id"), f"{path}/occurrences")
+        lifecycle.append_history(met.where(F.col("data_source") == source), f"{path}/occurrences")
     counts = spark.read.parquet(f"{path}/occurrences").groupBy("scan_id").agg(F.count("*").alias("dependency_count"))
     return scans.join(counts, "scan_id", "left").select("scan_id", "full_name", "data_source", "score_cents", F.coalesce("dependency_count", F.lit(0)).alias("dependency_count"))
 

@@ -58,7 +58,8 @@ def q_trace(spark, sf_dir):
 def q_history_rows(spark, sf_dir):
     """What is appended to the permanent history for completed scans."""
     scans = scan_run(spark, sf_dir).where("status = 'completed'")
-    rows = occurrence(spark, sf_dir, named=False).join(scans.select("scan_id"), "scan_id", "left_semi")
+    # Lines of other scans fall out when the roll-up meets its scans: ranked and counted they are fewer to move than to meet the scans first.
+    rows = occurrence(spark, sf_dir, named=False)
     cards = rollup.rescore(scans, rows, "v2").select("scan_id", "score", "classification", "flagged_count")
     done = scans.join(repository(spark, sf_dir).select("repository_id", "full_name"), "repository_id")
     return lifecycle.history_rows(done, cards).select("scan_id", "full_name", "data_source", cents("score"), "flagged_count")

@@ -83,3 +83,14 @@ def test_a_walk_reads_the_ranges_of_its_pages(spark, tmp_path, monkeypatch):
     walked, total, cut = listing.walk(spark, size=100, most=30)
     assert sorted((r.k, r.page) for r in walked.collect()) == [(k, k // 100 + 1) for k in range(3000)] and (total, cut) == (5000, True)
     assert len(seen) == 30 and max(seen) < 4000
+
+
+def test_lines_meet_their_scans_once_for_all_appends(spark, monkeypatch):
+    from keelson.catalog import QUERIES
+    from keelson.operators import lifecycle
+
+    seen, plain = [], lifecycle.append_history
+    monkeypatch.setattr(lifecycle, "append_history", lambda rows, path: seen.append((path, plan(rows))) or plain(rows, path))
+    QUERIES["history_appended"].run(spark, "/root/testdata/sf0.001")
+    appended = [p for path, p in seen if path.endswith("/occurrences")]
+    assert len(appended) == 2 and not any("Join" in p or "lineitem" in p for p in appended)
