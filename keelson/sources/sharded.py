@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from ..session import shared_path
 
 SHARD, BLANK = "__shard", "__blank"
+#: Rows to delete by are sent to every task up to this number; more meet the table in a shuffle.
+MOST_SENT = 20_000
 
 
 @dataclass(frozen=True)
@@ -71,25 +73,58 @@ class ShardedTable:
         changes.write.parquet(path)
         return changes.sparkSession.read.schema(changes.schema).parquet(path)
 
-    def _put(self, rows: DataFrame, touched: list[int]) -> None:
+    def _put(self, rows: DataFrame, touched: list[int], dealt: bool = False) -> None:
+        """Writes the shards over. Unless rows are ``dealt``, so that a task holds few shards, they are moved for that."""
         whole = rows.select(*self.schema.names, F.lit(False).alias(BLANK), self.shard().alias(SHARD)).unionByName(self._blanks(rows.sparkSession, touched))
         # Tasks of even size, each with few shards: a large shard is split over several.
-        dealt = whole.hint("rebalance", SHARD)
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SHARD).parquet(self.path)
+        whole = whole if dealt else whole.hint("rebalance", SHARD)
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SHARD).parquet(self.path)
+
+    def _digests(self, rows: DataFrame) -> DataFrame:
+        """Keys of the rows and a digest of all else: what differs is found without moving the rows."""
+        rest = [c for c in self.schema.names if c not in self.keys]
+        told = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}) if rest else F.lit("")
+        return rows.select(*self.keys, F.sha2(told, 256).alias("__digest"))
+
+    def _differing(self, changes: DataFrame) -> list[int]:
+        """Shards in which the smallest row of some key is not the stored one."""
+        spark = changes.sparkSession
+        held = self._digests(self.read(spark, changes)).withColumnRenamed("__digest", "__held").alias("old")
+        first, last = F.min("__digest").alias("__first"), F.max("__digest").alias("__last")
+        each = self._digests(changes).groupBy(*self.keys).agg(first, last)
+        met = each.alias("new").join(held, self._same("old", "new", self.keys), "left")
+        same, several = F.col("__first").eqNullSafe(F.col("__held")), F.col("__first") != F.col("__last")
+        marked = self._staged(met.where(~same | several).select(*[F.col(f"new.{k}").alias(k) for k in self.keys], several.alias("__several")))
+        touched = set(self._touched(marked.where("NOT __several")))
+        # Only where a key has unlike rows does it need the rows to tell which is the smallest.
+        unlike = marked.where("__several")
+        if not unlike.isEmpty():
+            mine = changes.alias("all").join(unlike.alias("unlike"), self._same("all", "unlike", self.keys), "left_semi")
+            smallest = self._digests(self._smallest(mine, *self.keys)).alias("new").join(held, self._same("old", "new", self.keys), "left")
+            touched |= set(self._touched(smallest.where(~F.col("__digest").eqNullSafe(F.col("__held"))).select(*[F.col(f"new.{k}").alias(k) for k in self.keys])))
+        return sorted(touched)
+
+    def _smallest(self, rows: DataFrame, *group: str, first: tuple[str, ...] = ()) -> DataFrame:
+        """One row of each group: the smallest by the columns ``first`` and then by all that are no keys."""
+        rest = [c for c in self.schema.names if c not in self.keys]
+        kept = rows.groupBy(*group).agg(F.min(F.struct(*first, *rest, F.lit(0).alias("__none"))).alias("__row"))
+        return kept.select(*self.keys, *[F.col("__row")[c].alias(c) for c in rest]).select(*self.schema.names)
 
     def upsert(self, found: DataFrame) -> list[int]:
         """Rows of new keys are added, rows of known keys replace theirs. Of several rows of one key in ``found``
-        the smallest counts. Shards in which nothing differs are left alone. Returns the rewritten shards."""
+        the smallest counts. Shards in which nothing differs are left alone. Returns the rewritten shards.
+
+        Whole rows move once: stored and found ones of the touched shards meet where they are written."""
         spark = found.sparkSession
-        rest = [c for c in self.schema.names if c not in self.keys]
-        shaped = found.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema.fields])
-        once = shaped.groupBy(*self.keys).agg(F.min(F.struct(*rest)).alias("__rest")).select(*self.keys, "__rest.*")
-        changes = self._staged(once.select(*self.schema.names))
-        fresh = self._staged(changes.subtract(self.read(spark, changes)))
-        touched = self._touched(fresh)
+        changes = self._staged(found.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema.fields]))
+        touched = self._differing(changes)
         if touched:
-            kept = self._stored(spark).where(F.col(SHARD).isin(touched)).drop(SHARD).alias("old").join(fresh.alias("new"), self._same("old", "new", self.keys), "left_anti")
-            self._put(kept.unionByName(fresh), touched)
+            old = self._stored(spark).where(F.col(SHARD).isin(touched)).withColumn("__old", F.lit(1))
+            new = changes.withColumns({SHARD: self.shard(), "__old": F.lit(0)}).where(F.col(SHARD).isin(touched))
+            # A shard is some tasks' work, as many as there are partitions for each.
+            pieces = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // len(touched))
+            dealt = old.unionByName(new).withColumn("__piece", F.pmod(F.xxhash64(*self.keys), F.lit(pieces))).repartition(SHARD, "__piece")
+            self._put(self._smallest(dealt, SHARD, "__piece", *self.keys, first=("__old",)), touched, dealt=True)
         return touched
 
     def update(self, changes: DataFrame) -> list[int]:
@@ -118,11 +153,14 @@ class ShardedTable:
             raise ValueError("rows to delete are named by columns of the table, those of the shard among them")
         staged = self._staged(gone.select(*[F.col(c).cast(self.schema[c].dataType).alias(c) for c in gone.columns]).distinct())
         same = self._same("old", "gone", tuple(gone.columns))
+        # Few rows go to where the table lies, whose files stay in their shards.
+        few = staged.limit(MOST_SENT + 1).count() <= MOST_SENT
+        sent = F.broadcast(staged.alias("gone")) if few else staged.alias("gone")
         candidates = self._stored(spark).where(F.col(SHARD).isin(self._touched(staged))).alias("old")
-        touched = [r[0] for r in candidates.join(staged.alias("gone"), same, "left_semi").select(SHARD).distinct().collect()]
+        touched = [r[0] for r in candidates.join(sent, same, "left_semi").select(SHARD).distinct().collect()]
         if touched:
             rows = self._stored(spark).where(F.col(SHARD).isin(touched)).drop(SHARD).alias("old")
-            self._put(rows.join(staged.alias("gone"), same, "left_anti"), touched)
+            self._put(rows.join(sent, same, "left_anti"), touched, dealt=few)
         return touched
 
     @staticmethod

@@ -68,6 +68,22 @@ def test_delete_to_the_last_row(spark, stored):
     assert [r[:3] for r in rows(stored, spark)] == [("c", 1, "back")]
 
 
+def test_whole_rows_move_once(spark, stored, monkeypatch):
+    from keelson.sources import sharded
+
+    seen, plain = [], ShardedTable._put
+    monkeypatch.setattr(ShardedTable, "_put", lambda self, rows, *a, **k: seen.append(rows._jdf.queryExecution().optimizedPlan().toString()) or plain(self, rows, *a, **k))
+    stored.upsert(spark.createDataFrame([("a", 1, "x", None), ("a", 1, "w", [2]), ("q", None, None, None)], SHAPE))
+    assert "Join" not in seen[0] and seen[0].count("RepartitionByExpression") == 1
+    held = rows(stored, spark)
+    assert ("a", 1, "w", [2]) in held and ("q", None, None, None) in held and len(held) == 26
+    gone = spark.createDataFrame([("a", 1), ("b", 2), (None, 1)], "g string, k int")
+    stored.delete(gone.limit(2))
+    assert len(seen) == 2 and len(rows(stored, spark)) == 24
+    monkeypatch.setattr(sharded, "MOST_SENT", 0)
+    assert stored.delete(gone) and len(rows(stored, spark)) == 23 and stored.delete(gone) == []
+
+
 def test_reads_prune_to_the_shards_asked_for(spark, stored):
     plan = stored.read(spark, spark.createDataFrame([("a",)], "g string"))._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and "__shard" in plan.split("PartitionFilters")[1][:120]
