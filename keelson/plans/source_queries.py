@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import Query
-from ..session import shared_path
+from ..session import kept, shared_path
 from ..sources import adapters, advisory_batches, checkout, registry
 from ..sources import answers as told_by
 from .fixtures import KEY, occurrence, table, with_views
@@ -73,11 +73,12 @@ def q_answers(spark, sf_dir):
     many = lambda q: F.length(q["package"]["name"]) % 3
     ids = lambda q: F.transform(F.sequence(F.lit(1), many(q)), lambda i: F.struct(F.concat_ws("-", F.lit("OSV"), q["package"]["name"], q["version"], i).alias("id")))
     told = F.transform(F.from_json("document", shape)["queries"], lambda q: F.struct(F.when(many(q) > 0, ids(q)).alias("vulns")))
-    kept = spark.read.option("wholetext", "true").text(f"{root}/questions").select("batch", F.col("value").alias("document"))
-    advisory_batches.stage(kept.select("batch", F.to_json(F.struct(told.alias("results"))).alias("document")), root, "answers")
+    staged = spark.read.option("wholetext", "true").text(f"{root}/questions").select("batch", F.col("value").alias("document"))
+    advisory_batches.stage(staged.select("batch", F.to_json(F.struct(told.alias("results"))).alias("document")), root, "answers")
 
     spark.dataSource.register(advisory_batches.AdvisoryBatches)
-    answers = spark.read.format("advisory_batches").load(root)
+    # Three steps use the answers; the files are read and parsed once.
+    answers = kept(spark.read.format("advisory_batches").load(root), "advisory-answers")
     # The second advisory of a package with an even name has no document.
     number = F.substring_index("osv_id", "-", -1)
     document = F.when((number == "1") | (F.length("name") % 2 == 1), F.to_json(F.struct(F.col("osv_id").alias("id"))))

@@ -94,3 +94,10 @@ def test_lines_meet_their_scans_once_for_all_appends(spark, monkeypatch):
     QUERIES["history_appended"].run(spark, "/root/testdata/sf0.001")
     appended = [p for path, p in seen if path.endswith("/occurrences")]
     assert len(appended) == 2 and not any("Join" in p or "lineitem" in p for p in appended)
+
+
+def test_answers_are_read_once(spark):
+    from keelson.catalog import QUERIES
+
+    found = plan(QUERIES["advisory_answers"].run(spark, "/root/testdata/sf0.001"))
+    assert "advisory_batches" not in found and "BatchScan" not in found
