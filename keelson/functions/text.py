@@ -108,8 +108,8 @@ def access_level(owner: Column, user: Column, admin: Column, push: Column) -> Co
     return F.when((owner != "") & (F.lower(owner) == F.lower(user)), "owner").when(admin, "collaborator").when(push, "write")
 
 
-def repository_of(raw: Column) -> Column:
-    """struct<owner, name> of a pasted link (browser, ssh, .git, deep or bare form); null for anything else."""
+def repository_path(raw: Column) -> Column:
+    """Parts of the path of a pasted link (browser, ssh, .git, deep or bare form); null for another host."""
     text = F.trim(raw)
     bare = F.regexp_replace(text, r"^/+", "")
     path = (
@@ -118,12 +118,21 @@ def repository_of(raw: Column) -> Column:
         .when(bare.rlike(r"(?i)^(?:www\.)?github\.com/"), F.regexp_replace(bare, r"(?i)^(?:www\.)?github\.com", ""))
         .when(~text.contains("://"), bare)
     )
-    parts = F.filter(F.split(F.regexp_replace(path, r"[?#].*$", ""), "/"), lambda x: x != "")
+    return F.filter(F.split(F.regexp_replace(path, r"[?#].*$", ""), "/"), lambda x: x != "")
+
+
+def repository_at(parts: Column) -> Column:
+    """struct<owner, name> of the parts of a link's path; null for anything else. It uses them many times, so rows should hold them as a column."""
     owner, name = F.get(parts, F.lit(0)), F.regexp_replace(F.get(parts, F.lit(1)), r"\.git$", "")
     good = owner.rlike(f"^{OWNER}$") & name.rlike(f"^{NAME}$") & ~name.isin(".", "..")
     return F.when(good, F.struct(owner.alias("owner"), name.alias("name")))
 
 
+def repository_of(raw: Column) -> Column:
+    """struct<owner, name> of a pasted link; null for anything else."""
+    return repository_at(repository_path(raw))
+
+
 def fix_sentence(kind: Column, package: Column, target: Column, replacement: Column) -> Column:
     return (
         F.when((kind == "upgrade") & target.isNotNull(), F.concat(F.lit("Upgrade "), package, F.lit(" to "), target))

@@ -14,9 +14,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import repository_of
+from ..functions.text import repository_at, repository_path
 from ..session import shared_path
 from ..sources.chunk_store import DEPENDENCY, ChunkStore
+from ..sources.sharded import MOST_SENT
 from .retrieval import chunk_documents
 
 # Names of a changelog in the order in which they are tried, the most bytes of a document, and the
@@ -25,6 +26,11 @@ CHANGELOGS = ("CHANGELOG.md", "CHANGELOG", "CHANGES.md", "HISTORY.md")
 MOST_BYTES = 500 * 1024
 REASONS = ("store_unavailable", "no_repository_url", "not_github", "repository_unreachable", "documents_too_large", "no_documents", "embedding_unavailable")
 
+#: White space around a document, which is no part of it.
+SPACE = " \t\n\x0b\f\r"
+#: Bits that mark which keys are asked for, of whatever number: at most 262,144 words are sent to every task.
+MARKS = 1 << 24
+
 #: Adds a column ``vector`` to distinct rows of chunk_id and text; null where no vector can be had.
 Embed = Callable[[DataFrame], DataFrame]
 
@@ -36,17 +42,19 @@ def decoded(answers: DataFrame) -> DataFrame:
     other word for a failure), size, encoding, content, path, sha. What is not base64 was too large
     to be sent; undecodable or empty text is as good as missing.
     """
-    bytes_ = F.try_to_binary(F.regexp_replace("content", r"\s", ""), F.lit("base64"))
-    large = (F.col("status") == "too_large") | (F.coalesce("size", F.lit(0)) > MOST_BYTES) | ~F.coalesce(F.col("encoding") == "base64", F.lit(False)) | (F.octet_length(bytes_) > MOST_BYTES)
-    text = F.regexp_replace(F.make_valid_utf8(bytes_.cast("string")), r"^\s+|\s+$", "")
+    # Each step is a column of its own before its users: inlined, a document would be decoded for every use.
+    read = answers.withColumn("__bytes", F.try_to_binary(F.regexp_replace("content", r"\s", ""), F.lit("base64")))
+    read = read.withColumn("__text", F.trim(F.make_valid_utf8(F.col("__bytes").cast("string")), F.lit(SPACE)))
+    large = (F.col("status") == "too_large") | (F.coalesce("size", F.lit(0)) > MOST_BYTES) | ~F.coalesce(F.col("encoding") == "base64", F.lit(False)) | (F.octet_length("__bytes") > MOST_BYTES)
     outcome = (
         F.when(F.col("status") == "not_found", "missing")
         .when(~F.col("status").isin("ok", "too_large"), "unreachable")
         .when(F.coalesce(large, F.lit(False)), "too_large")
-        .when(F.coalesce(text, F.lit("")) == "", "missing")
+        .when(F.coalesce("__text", F.lit("")) == "", "missing")
         .otherwise("found")
     )
-    return answers.select("owner", "name", "asked", outcome.alias("outcome"), F.when(outcome == "found", text).alias("text"), F.coalesce("path", "asked").alias("path"), F.coalesce("sha", F.lit("")).alias("sha"))
+    told = read.withColumn("outcome", outcome)
+    return told.select("owner", "name", "asked", "outcome", F.when(F.col("outcome") == "found", F.col("__text")).alias("text"), F.coalesce("path", "asked").alias("path"), F.coalesce("sha", F.lit("")).alias("sha"))
 
 
 def best_documents(answers: DataFrame) -> DataFrame:
@@ -70,17 +78,21 @@ def ensure(requests: DataFrame, packages: DataFrame, answers: DataFrame, store:
     """
     spark = requests.sparkSession
     keep = lambda df, label: _kept(df, shared_path(spark, label))
+    wanted = keep(store.named(requests), "wanted")
     try:
-        asked = keep(store.count_for(requests), "asked")
+        asked = keep(store.count_named(wanted), "asked")
     except AnalysisException:  # the store's folder is not there
-        return store.named(requests).select(*DEPENDENCY, F.lit(0).cast("long").alias("chunks"), F.lit(REASONS[0]).alias("reason"), F.lit(False).alias("reused"))
+        return wanted.select(*DEPENDENCY, F.lit(0).cast("long").alias("chunks"), F.lit(REASONS[0]).alias("reason"), F.lit(False).alias("reused"))
     stored = asked.where("n > 0").select(*DEPENDENCY, F.col("n").alias("chunks"), F.lit(None).cast("string").alias("reason"), F.lit(True).alias("reused"))
 
-    links = packages.groupBy("ecosystem", "package_name").agg(F.min(F.when(F.trim("link") != "", F.trim("link"))).alias("link"))
-    linked = asked.where("n = 0").drop("n").join(links, ["ecosystem", "package_name"], "left").withColumn("r", repository_of(F.col("link")))
-    placed = keep(linked.select(*DEPENDENCY, "link", "r.owner", "r.name"), "placed")
-    repositories = placed.where("owner IS NOT NULL").select("owner", "name").distinct()
-    documents = keep(best_documents(answers.join(repositories, ["owner", "name"], "left_semi")), "documents")
+    missing = asked.where("n = 0").drop("n")
+    # Links are read once a package, and of those alone that are asked for.
+    package = ["ecosystem", "package_name"]
+    links = _wanted(packages, missing.select(*package), *package).groupBy(*package).agg(F.min(F.when(F.trim("link") != "", F.trim("link"))).alias("link"))
+    places = links.withColumn("p", repository_path(F.col("link"))).withColumn("r", repository_at(F.col("p"))).select(*package, "link", "r.owner", "r.name")
+    placed = keep(missing.join(places, package, "left").select(*DEPENDENCY, "link", "owner", "name"), "placed")
+    repositories = keep(placed.where("owner IS NOT NULL").select("owner", "name").distinct(), "repositories")
+    documents = keep(best_documents(_wanted(answers, repositories, "owner", "name")), "documents")
 
     cut = documents.where("reason IS NULL").withColumn("k", F.struct("owner", "name", "path", "sha", F.when(F.col("asked").isin(*CHANGELOGS), "changelog").otherwise("readme").alias("kind")))
     chunks = keep(chunk_documents(cut.select("k", "text", "sha", "path"), "k", sha=F.col("sha"), path=F.col("path")), "chunks")
@@ -103,6 +115,19 @@ def ensure(requests: DataFrame, packages: DataFrame, answers: DataFrame, store:
     return stored.unionByName(new)
 
 
+def _wanted(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose ``keys`` are among ``wanted``. Few of these go to where the rows lie; many meet them in a shuffle that sorts
+    nothing, and which only rows enter whose keys have a mark among ``MARKS`` bits."""
+    if wanted.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        return rows.join(F.broadcast(wanted), [*keys], "left_semi")
+    slot = F.pmod(F.xxhash64(*keys), F.lit(MARKS))
+    word, bit = F.floor(slot / 64), (slot % 64).cast("int")
+    one = F.lit(1).cast("long")
+    marks = wanted.select(word.alias("__word"), F.call_function("shiftleft", one, bit).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = (F.col("__word") == word) & (F.call_function("shiftrightunsigned", F.col("__bits"), bit).bitwiseAND(one) == 1)
+    return rows.join(F.broadcast(marks), marked, "left_semi").join(wanted.hint("shuffle_hash"), [*keys], "left_semi")
+
+
 def _kept(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from ..catalog import Query
 from ..operators import analytics, corpus, scan_set
 from ..operators.retrieval import chunk_documents
-from ..session import shared_path
+from ..session import kept, shared_path
 from ..sources import published
 from ..sources.chunk_store import DEPENDENCY, ChunkStore
 from ..sources.sharded import ShardedTable
@@ -113,6 +113,7 @@ def _embed(chunks):
 def q_corpus(spark, sf_dir):
     """The corpus built for half of the dependencies and then for all: what each run says of every dependency."""
     requests, packages, answers = _corpus_inputs(spark, sf_dir)
+    requests = kept(requests, "requests")
     store = ChunkStore(shared_path(spark, "corpus"), SHARDS).create(spark)
     corpus.ensure(requests.where("scan_id % 8 = 0"), packages, answers, store, _embed)
     found = corpus.ensure(requests, packages, answers, store, _embed)

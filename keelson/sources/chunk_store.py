@@ -47,13 +47,18 @@ class ChunkStore:
 
     def chunks_of(self, dependencies: DataFrame) -> DataFrame:
         """The stored chunks of the dependencies."""
-        wanted = self.named(dependencies)
-        return self.table.read(dependencies.sparkSession, wanted).join(wanted, list(DEPENDENCY), "left_semi")
+        return self._held(self.named(dependencies))
+
+    def _held(self, wanted: DataFrame) -> DataFrame:
+        return self.table.read(wanted.sparkSession, wanted).join(wanted, list(DEPENDENCY), "left_semi")
 
     def count_for(self, dependencies: DataFrame) -> DataFrame:
         """Every dependency asked for and its number of chunks, 0 included."""
-        wanted = self.named(dependencies)
-        held = self.chunks_of(dependencies).groupBy(*DEPENDENCY).agg(F.count("*").alias("n"))
+        return self.count_named(self.named(dependencies))
+
+    def count_named(self, wanted: DataFrame) -> DataFrame:
+        """The same for dependencies as ``named`` gives them, which are used several times."""
+        held = self._held(wanted).groupBy(*DEPENDENCY).agg(F.count("*").alias("n"))
         return wanted.join(held, list(DEPENDENCY), "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
     def delete_for(self, dependencies: DataFrame) -> list[int]:

@@ -50,7 +50,7 @@ class ShardedTable:
 
     def _blanks(self, spark: SparkSession, shards) -> DataFrame:
         nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
-        return spark.createDataFrame([(n,) for n in shards], f"{SHARD} int").select(*nothing, F.lit(True).alias(BLANK), SHARD)
+        return spark.range(self.shards).where(F.col("id").isin(list(shards))).select(*nothing, F.lit(True).alias(BLANK), F.col("id").cast("int").alias(SHARD))
 
     def _stored(self, spark: SparkSession) -> DataFrame:
         fields = [T.StructField(f.name, f.dataType) for f in self.schema.fields]

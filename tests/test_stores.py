@@ -204,3 +204,49 @@ def test_corpus_reasons_and_reuse(spark, tmp_path, monkeypatch):
     assert all(second[k] == (first[k][0], None, True) for k in again) and ("s1", "npm", "later") in again and seen[1] <= 3
     good = asked.where("package_name IN ('later', 'saved')")
     assert {(r.chunks, r.reused) for r in corpus.ensure(good, linked, frame, store, embed).collect()} == {(1, True)} and seen[2] == 0
+
+
+ANSWER = "owner string, name string, asked string, status string, size long, encoding string, content string, path string, sha string"
+
+
+def test_a_document_is_decoded_once(spark):
+    lines = base64.encodebytes(b"\x0b\n " + b"word " * 40 + b"\r\n\t").decode()
+    asked = [("r", "ok", lines), ("n", None, base64.b64encode(b"kept").decode()), ("w", "ok", base64.b64encode(b" \f\n").decode()), ("x", "ok", "!!"), ("e", "ok", None)]
+    frame = spark.createDataFrame([("o", n, "README", s, 9, "base64", c, None, None) for n, s, c in asked], ANSWER)
+    told = corpus.decoded(frame)
+    assert {r.name: (r.outcome, r.text) for r in told.collect()} == {"r": ("found", ("word " * 40).strip()), "n": ("found", "kept"), "w": ("missing", None), "x": ("missing", None), "e": ("missing", None)}
+    for found in (told, corpus.best_documents(frame)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("unbase64") == 1
+
+
+def test_requests_are_computed_once_and_many_keys_meet_rows_by_marks(spark, tmp_path, monkeypatch):
+    names = [f"p{n}" for n in range(40)]
+    text = lambda n: base64.b64encode(f"A readme of {n} that is long enough to be kept as a chunk.".encode()).decode()
+    answers = spark.createDataFrame([("o", n, "README", "ok", 9, "base64", text(n), "README", "sha") for n in [*names, *(f"q{i}" for i in range(400))]], ANSWER)
+    packages = spark.createDataFrame([("npm", n, f"https://github.com/o/{n}") for n in [*names, "other"]] + [("npm", None, "o/p1"), ("npm", "p1", None)], "ecosystem string, package_name string, link string")
+    asked = spark.createDataFrame([("s", "npm", n, "1") for n in [*names, "p1", "unknown", None]], "scan_id string, ecosystem string, package_name string, resolved_version string")
+    evaluated, decoded = spark.sparkContext.accumulator(0), []
+
+    def told(version):
+        evaluated.add(1)
+        return version
+
+    counted = asked.withColumn("resolved_version", F.udf(told, "string")("resolved_version"))
+    plain = corpus.decoded
+    monkeypatch.setattr(corpus, "decoded", lambda rows: decoded.append((rows.count(), rows._jdf.queryExecution().optimizedPlan().toString())) or plain(rows))
+    embed = lambda c: c.withColumn("vector", F.array(F.lit(1.0).cast("float")))
+    run = lambda rows, label: sorted(map(tuple, corpus.ensure(rows, packages, answers, ChunkStore(f"{tmp_path}/{label}", 4).create(spark), embed).collect()), key=str)
+    few = run(counted, "few")
+    assert evaluated.value == 43 and len(few) == 42 and sum(r[4] for r in few) == 40
+    assert sorted(str(r[2]) for r in few if r[5] == "no_repository_url") == ["None", "unknown"]
+    monkeypatch.setattr(corpus, "MOST_SENT", 0)
+    for marks in (1 << 24, 128):  # with few marks most keys share one, and no row is lost or added by that
+        monkeypatch.setattr(corpus, "MARKS", marks)
+        assert run(asked, f"many{marks}") == few
+    assert [n for n, _ in decoded] == [40] * 3 and "bit_or" not in decoded[0][1] and "bit_or" in decoded[1][1]
+
+
+def test_blank_rows_need_no_python_rows(spark, stored):
+    assert "ExistingRDD" not in stored._blanks(spark, [1, 5])._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["__shard"] for r in stored._blanks(spark, [1, 5]).collect()) == [1, 5]
