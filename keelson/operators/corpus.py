@@ -100,7 +100,9 @@ def ensure(requests: DataFrame, packages: DataFrame, answers: DataFrame, store:
     ready = chunks.join(vectors, "chunk_id", "left").select("k.owner", "k.name", F.col("k.path").alias("source_path"), F.col("k.sha").alias("source_sha"), F.col("k.kind").alias("source_kind"), "chunk_id", "heading", "chunk_index", "text", "vector")
     made = ready.groupBy("owner", "name").agg(F.count("*").alias("made"), F.bool_or(F.col("vector").isNull()).alias("bare"))
 
-    joined = placed.join(documents.select("owner", "name", "reason"), ["owner", "name"], "left").join(made, ["owner", "name"], "left")
+    # Those without a repository meet nothing; as null keys they would all be one task's.
+    met = placed.where("owner IS NOT NULL").join(documents.select("owner", "name", "reason"), ["owner", "name"], "left").join(made, ["owner", "name"], "left")
+    joined = met.unionByName(placed.where("owner IS NULL"), allowMissingColumns=True)
     reason = (
         F.when(F.col("link").isNull(), "no_repository_url")
         .when(F.col("owner").isNull(), "not_github")
