@@ -250,3 +250,13 @@ def test_requests_are_computed_once_and_many_keys_meet_rows_by_marks(spark, tmp_
 def test_blank_rows_need_no_python_rows(spark, stored):
     assert "ExistingRDD" not in stored._blanks(spark, [1, 5])._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["__shard"] for r in stored._blanks(spark, [1, 5]).collect()) == [1, 5]
+
+
+def test_dependencies_without_a_repository_meet_no_documents(spark, tmp_path, monkeypatch):
+    seen, plain = {}, corpus._kept
+    monkeypatch.setattr(corpus, "_kept", lambda df, path: seen.update({path.split("keelson-")[-1].split("-")[0]: df._jdf.queryExecution().optimizedPlan().toString()}) or plain(df, path))
+    packages = spark.createDataFrame([("npm", "a", " "), ("npm", "b", "https://example.org/o/r")], "ecosystem string, package_name string, link string")
+    asked = spark.createDataFrame([("s", "npm", n, None) for n in "abc"], "scan_id string, ecosystem string, package_name string, resolved_version string")
+    found = corpus.ensure(asked, packages, spark.createDataFrame([], ANSWER), ChunkStore(f"{tmp_path}/c", 4).create(spark), lambda c: c.withColumn("vector", F.array(F.lit(1.0).cast("float"))))
+    assert {r.package_name: r.reason for r in found.collect()} == {"a": "no_repository_url", "b": "not_github", "c": "no_repository_url"}
+    assert "Union" in seen["built"] and "isnull(owner" in seen["built"]
