@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import accumulate, pairwise
+from itertools import accumulate, islice, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,6 +25,7 @@ LEAST_TEXT = 400
 NEAREST = 5
 QUERY_LENGTH = 600
 TEXTS_AT_ONCE = 64
+CHUNKS_AT_ONCE = 8192
 
 # What a heading and a code fence look like.
 _HEADING = re.compile(r"(#{1,6})\s+(.*\S)\s*$")
@@ -59,31 +60,38 @@ def windows(body: str, size: int = CHUNK, overlap: int = OVERLAP) -> Iterator[st
         start = max(start + 1, end - overlap)
 
 
-def chunks_of(text: str, sha: str, path: str) -> list[tuple[str, str, str]]:
-    """(chunk id, heading, text) of a document: short ones dropped, repeats dropped, so many at most."""
+def each_chunk(text: str, sha: str, path: str, most: int | None = None) -> Iterator[tuple[str, str, str]]:
+    """(chunk id, heading, text) of a document, to its end or to the first ``most``: short ones dropped, repeats dropped."""
     wholes = (((f"{heading}\n{piece}" if heading else piece).strip(), heading) for heading, body in sections(text) for piece in windows(body))
-    found: dict[str, tuple[str, str, str]] = {}
+    seen: set[str] = set()
     for whole, heading in wholes:
+        if len(seen) == most:
+            return
         if len(whole) >= LEAST_CHUNK:
             key = hashlib.sha256("\0".join((sha, path, whole)).encode()).hexdigest()[:12]
-            found.setdefault(key, (key, heading, whole))
-        if len(found) == MOST_CHUNKS:
-            break
-    return list(found.values())
+            if key not in seen:
+                seen.add(key)
+                yield key, heading, whole
 
 
-def chunk_documents(documents: DataFrame, key: str, text: str = "text", sha: Column | None = None, path: Column | None = None) -> DataFrame:
-    """key, chunk_index, chunk_id, heading, text of every chunk. So many texts at once, of however many Arrow sends, are Python objects."""
+def chunks_of(text: str, sha: str, path: str, most: int | None = None) -> list[tuple[str, str, str]]:
+    return list(each_chunk(text, sha, path, most))
+
+
+def chunk_documents(documents: DataFrame, key: str, text: str = "text", sha: Column | None = None, path: Column | None = None, most: int | None = None) -> DataFrame:
+    """key, chunk_index, chunk_id, heading, text of every chunk, or of the first ``most`` of each document.
+    So many texts at once, of however many Arrow sends, are Python objects, and so many chunks at once, of however long texts, leave."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 some = batch.slice(at, TEXTS_AT_ONCE)
                 texts = zip(*(some.column(n).to_pylist() for n in (1, 2, 3)))
-                rows = [(i, n, *c) for i, (t, s, p) in enumerate(texts) for n, c in enumerate(chunks_of(t or "", s, p))]
-                places, numbers, ids, headings, pieces = zip(*rows) if rows else [()] * 5
-                words = [pa.array(c, pa.string()) for c in (ids, headings, pieces)]
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(places, pa.int64())), pa.array(numbers, pa.int32()), *words], ["k", "chunk_index", "chunk_id", "heading", "text"])
+                rows = ((i, n, *c) for i, (t, s, p) in enumerate(texts) for n, c in enumerate(each_chunk(t or "", s, p, most)))
+                while held := list(islice(rows, CHUNKS_AT_ONCE)):
+                    places, numbers, ids, headings, pieces = zip(*held)
+                    words = [pa.array(c, pa.string()) for c in (ids, headings, pieces)]
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(places, pa.int64())), pa.array(numbers, pa.int32()), *words], ["k", "chunk_index", "chunk_id", "heading", "text"])
 
     source = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), (sha if sha is not None else F.sha1(F.coalesce(text, F.lit("")))).alias("s"), (path if path is not None else F.lit("README.md")).alias("p"))
     kind = dict(source.dtypes)["k"]

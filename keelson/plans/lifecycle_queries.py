@@ -235,8 +235,8 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarit
 _ENDS = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 _SPACES = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _stripped = lambda x: f"regexp_replace({x}, '^{_SPACES}+|{_SPACES}+$', '', 'g')"
-#: Expression ``kept``: the chunks of every document, by recursion over each section's windows.
-CHUNKS_SQL = f"""
+#: The chunks of every document, by recursion over each section's windows, and their numbers.
+_FIRSTS_SQL = f"""
 WITH RECURSIVE lines AS (
   SELECT doc_id, sha1(coalesce(text, '')) AS sha, unnest(string_split(regexp_replace(coalesce(text, ''), '{_ENDS}', chr(10), 'g'), chr(10))) AS line,
          generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '{_ENDS}', chr(10), 'g'), chr(10)), 1) AS n FROM documents),
@@ -260,9 +260,12 @@ wholes AS (
   SELECT doc_id, section, n, heading, CASE WHEN heading = '' THEN piece ELSE heading || chr(10) || piece END AS text, sha FROM pieces WHERE piece <> ''),
 firsts AS (
   SELECT *, sha256(sha || chr(0) || 'README.md' || chr(0) || text)[:12] AS chunk_id FROM wholes WHERE length(text) >= 40
-  QUALIFY row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY section, n) = 1),
+  QUALIFY row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY section, n) = 1)"""
+_NUMBERED_SQL = "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY section, n) - 1)::INT AS chunk_index, chunk_id, heading, text FROM firsts"
+#: Expression ``kept``: the chunks that a store takes of every document.
+CHUNKS_SQL = f"""{_FIRSTS_SQL},
 kept AS (
-  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY section, n) - 1)::INT AS chunk_index, chunk_id, heading, text FROM firsts QUALIFY chunk_index < 120)
+  {_NUMBERED_SQL} QUALIFY chunk_index < 120)
 """
 QUERIES = {
     "expire_stale": Query(
@@ -366,7 +369,7 @@ best AS (SELECT query_id, max(similarity) AS best, sum(length(text)) AS n FROM p
 SELECT query_id, coalesce(n, 0)::BIGINT AS n_chars, CASE WHEN best >= 0.30 AND n >= 400 THEN 'sufficient' ELSE 'low' END AS grounding FROM asked LEFT JOIN best USING (query_id)""", "chunk"),
         "A15 R08",
     ),
-    "chunk_windows": Query(q_chunk_windows, CHUNKS_SQL + "SELECT doc_id, chunk_index, chunk_id, heading, text FROM kept", "R01 R02 R03 W11"),
+    "chunk_windows": Query(q_chunk_windows, f"{_FIRSTS_SQL}\n{_NUMBERED_SQL}", "R01 R02 R03 W11"),
     "retrieval_query_framing": Query(
         q_framing,
         with_views(f"""SELECT {KEYS}, CASE WHEN trim(coalesce(deprecation_reason, '')) <> '' THEN 'reason_available' ELSE 'no_reason' END AS branch,
