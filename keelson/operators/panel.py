@@ -10,10 +10,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import kept
 from ..sources import sinks
-from .rollup import roll_up
+from .rollup import COUNTS, carded, with_points
 from .scoring import is_flagged, score_occurrences
 from .weights import WeightsError, versions
 
@@ -52,7 +53,7 @@ def build(scans: DataFrame, occurrences: DataFrame, wanted: Sequence[str], *key:
     """
     chosen = oldest(scans, source, limit)
     rows = kept(occurrence_panel(occurrences.join(chosen.select("scan_id", "data_source", "created_on"), "scan_id"), wanted, *key), "panel")
-    return rows, repository_panel(chosen, rolled(chosen, occurrences, wanted, *key))
+    return rows, repository_panel(rolled(chosen, occurrences, wanted, *key))
 
 
 def occurrence_panel(held: DataFrame, wanted: Sequence[str], *key: str) -> DataFrame:
@@ -63,20 +64,44 @@ def occurrence_panel(held: DataFrame, wanted: Sequence[str], *key: str) -> DataF
     return scored.withColumns(flags).select(*dict.fromkeys((*OCCURRENCE_COLUMNS, *key)))
 
 
+def by_version(scans: DataFrame, occurrences: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """Scans with all their columns and, in a map, the deduction and the counts of each wanted version.
+
+    Occurrences are dealt by scan once, as what a score needs and no more, before versions multiply them; they are ranked and
+    counted in one pass, so nothing is dealt twice. Versions are folded where they lie, so scans meet them by scan_id alone.
+    Equal penalties cost the same in any order: a sum needs no ties broken.
+    """
+    signals = occurrences.select("scan_id", "ecosystem", "is_unassessable", "is_deprecated", "cvss_tenths", "vulnerability_count", "staleness_days")
+    rows = signals.repartition("scan_id").withColumn("own_version", each(known(wanted)))
+    able, one = ~F.col("is_unassessable"), ["scan_id", "used_version"]
+    scored = score_occurrences(rows, F.col("own_version"), keep=True).select(*one, "penalty", able.alias("able"), (able & is_flagged()).alias("flagged"))
+    worst = Window.partitionBy(*one).orderBy(F.desc_nulls_last("penalty"))
+    ranked = with_points(scored.withColumn("rank", F.row_number().over(worst) - 1), "left")
+    sums = F.sum("points").cast("decimal(9,2)").alias("deduction"), F.count_if("able"), F.count_if("flagged"), F.count_if(~F.col("able"))
+    cards = ranked.groupBy(*one).agg(sums[0], *[x.alias(c) for x, c in zip(sums[1:], COUNTS)])
+    folded = cards.groupBy("scan_id").agg(F.map_from_entries(F.collect_list(F.struct("used_version", F.struct("deduction", *COUNTS)))).alias("cards"))
+    return scans.join(folded, "scan_id", "left")
+
+
+def of_version(held: DataFrame, version: Column) -> DataFrame:
+    """The card of each row of ``by_version`` under one version or, where ``version`` is ``each``, under several; all columns stay."""
+    one = held.withColumn("used_version", version)
+    card = F.try_element_at("cards", F.col("used_version"))
+    return carded(one.withColumns({c: card[c] for c in ("deduction", *COUNTS)}), *one.columns)
+
+
 def rolled(scans: DataFrame, occurrences: DataFrame, wanted: Sequence[str], *key: str) -> DataFrame:
-    """The roll-up of every scan under every version. Occurrences are dealt by scan once, before versions multiply them."""
-    version = each(known(wanted))
-    signals = occurrences.select("scan_id", *[c for c in key if c != "scan_id"], "ecosystem", "is_unassessable", "is_deprecated", "cvss_tenths", "vulnerability_count", "staleness_days")
-    return roll_up(scans.select("scan_id", version.alias("used_version")), signals.repartition("scan_id").withColumn("own_version", version), F.col("own_version"), tuple(c for c in key if c != "scan_id"))
-
-
-def repository_panel(chosen: DataFrame, cards: DataFrame) -> DataFrame:
-    """Chosen scans, with their stored score, beside each of their cards as ``rolled`` gives them."""
-    found = cards.select(
-        "scan_id", "used_version", (F.col("assessed_count") + F.col("unassessable_count")).alias("dependency_count"), "assessed_count", F.col("flagged_count").alias("recomputed_flagged_count"),
-        F.col("score").alias("recomputed_score"), F.col("classification").alias("recomputed_classification"),
-    )
-    return chosen.withColumnRenamed("formula_version", "stored_formula_version").join(found, "scan_id").select(*REPOSITORY_COLUMNS)
+    """The roll-up of every scan under every version, beside the columns of the scan. ``key`` is not needed in a sum."""
+    return of_version(by_version(scans, occurrences, wanted), each(known(wanted))).drop("cards")
+
+
+def repository_panel(cards: DataFrame) -> DataFrame:
+    """Scans, with their stored score, beside each of their cards as ``rolled`` gives them."""
+    found = {
+        "dependency_count": F.col("assessed_count") + F.col("unassessable_count"), "recomputed_flagged_count": F.col("flagged_count"), "recomputed_score": F.col("score"),
+        "recomputed_classification": F.col("classification"), "stored_formula_version": F.col("formula_version"),
+    }
+    return cards.withColumns(found).select(*REPOSITORY_COLUMNS)
 
 
 def write(occurrences: DataFrame, repositories: DataFrame, prefix: str) -> None:

@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 from .scoring import is_flagged, score_occurrences, with_weights
 from .weights import ACTIVE, factor_table, load, threshold_table, usable_version, versions
 
+COUNTS = ("assessed_count", "flagged_count", "unassessable_count")
+
 
 def classify(score: Column, safe_min: Column, medium_min: Column) -> Column:
     return F.when(score >= safe_min, "safe").when(score >= medium_min, "medium").otherwise("high_alert")
@@ -23,10 +25,14 @@ def ranked_points(scored: DataFrame, *tie_break: str) -> DataFrame:
     """The penalties that count, worst first, each with rank and decayed points."""
     worst = Window.partitionBy("scan_id", "used_version").orderBy(F.desc("penalty"), *tie_break)
     most = max(load(v).max_terms for v in versions())
-    ranked = scored.withColumn("rank", F.row_number().over(worst) - 1).where(F.col("rank") < most)
-    factors = factor_table(scored.sparkSession).withColumnRenamed("version", "f_version").withColumnRenamed("rank", "f_rank")
+    return with_points(scored.withColumn("rank", F.row_number().over(worst) - 1).where(F.col("rank") < most))
+
+
+def with_points(ranked: DataFrame, how: str = "inner") -> DataFrame:
+    """Decayed points of ranked penalties; those beyond a version's limit fall out or, with ``how`` left, have none."""
+    factors = factor_table(ranked.sparkSession).withColumnRenamed("version", "f_version").withColumnRenamed("rank", "f_rank")
     # A few rows per weight version; ranks beyond a version's limit find no factor and fall out.
-    kept = ranked.join(F.broadcast(factors), (F.col("used_version") == F.col("f_version")) & (F.col("rank") == F.col("f_rank")))
+    kept = ranked.join(F.broadcast(factors), (F.col("used_version") == F.col("f_version")) & (F.col("rank") == F.col("f_rank")), how)
     return kept.withColumn("points", F.round(F.col("penalty") * F.col("factor"), 2).cast("decimal(7,2)")).drop("f_version", "f_rank", "factor")
 
 
@@ -37,13 +43,17 @@ def roll_up(scans: DataFrame, occurrences: DataFrame, version: Column | str = AC
     deductions = ranked_points(scored, *tie_break).groupBy(*each).agg(F.sum("points").cast("decimal(9,2)").alias("deduction"))
     able = ~F.col("is_unassessable")
     counted = with_weights(occurrences, version).groupBy(*each).agg(F.count_if(able).alias("assessed_count"), F.count_if(able & is_flagged()).alias("flagged_count"), F.count_if(~able).alias("unassessable_count"))
-    limits = F.broadcast(threshold_table(scans.sparkSession).withColumnRenamed("version", "used_version"))
+    return carded(scans.join(deductions, each, "left").join(counted, each, "left"), *each)
+
+
+def carded(joined: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and the card of rows with a used_version, its deduction and its counts, which are null where a scan has no lines."""
+    limits = F.broadcast(threshold_table(joined.sparkSession).withColumnRenamed("version", "used_version"))
     zero = F.lit(0).cast("decimal(9,2)")
     score = F.least(F.greatest(F.lit(100) - F.col("deduction"), F.lit(0)), F.lit(100)).cast("decimal(5,2)")
-    joined = scans.join(deductions, each, "left").join(counted, each, "left").join(limits, "used_version")
-    filled = joined.withColumn("deduction", F.coalesce("deduction", zero)).withColumn("score", score)
-    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("assessed_count", "flagged_count", "unassessable_count")]
-    return filled.select("scan_id", "used_version", "deduction", "score", classify(F.col("score"), F.col("safe_min"), F.col("medium_min")).alias("classification"), *counts)
+    filled = joined.join(limits, "used_version").withColumn("deduction", F.coalesce("deduction", zero)).withColumn("score", score)
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTS]
+    return filled.select(*columns, "deduction", "score", classify(F.col("score"), F.col("safe_min"), F.col("medium_min")).alias("classification"), *counts)
 
 
 def scorecard(scans: DataFrame, occurrences: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from ..catalog import Query
 from ..functions import text as tx
 from ..operators import analytics, constraints, enrich, paging, panel, reports, scoring, serving
 from ..operators.weights import TRIAL, load
-from ..session import kept, shared_path
+from ..session import kept, released, shared_path
 from ..sources import sinks
 from .analytics_queries import FLAGGED, NOW, flagged
 from .fixtures import KEY, occurrence, report, repository, scan_run, table, with_views
@@ -149,27 +149,32 @@ def q_constraints(spark, sf_dir):
 def q_panels(spark, sf_dir):
     """The history under two versions, both panels written as CSV and read back."""
     scans = panel.oldest(scan_run(spark, sf_dir), "live_scan")
-    every = kept(panel.rolled(scans, occurrence(spark, sf_dir, named=False), ("v0_equal", "v1", "v2"), *KEY), "cards")
-    stored = every.where("used_version = 'v0_equal'").select("scan_id", F.col("score").alias("stored_score"), F.col("classification").alias("stored_classification"))
-    cards = kept(panel.repository_panel(scans.join(stored, "scan_id"), every.where("used_version <> 'v0_equal'")), "cards")
+    held = panel.by_version(scans, occurrence(spark, sf_dir, named=False), ("v0_equal", "v1", "v2"))
+    stored = panel.of_version(held, F.lit("v0_equal")).select(*held.columns, F.col("score").alias("stored_score"), F.col("classification").alias("stored_classification"))
+    with released(spark):
+        cards = kept(panel.repository_panel(panel.of_version(stored, panel.each(("v1", "v2")))), "cards")
     # Scans meet the bare lines, and names come last: the wide rows are written where they are made.
     rows = panel.occurrence_panel(occurrence(spark, sf_dir, scans=scans.select("scan_id", "data_source", "created_on"), how="inner"), ("v1", "v2"), *KEY)
     prefix = shared_path(spark, "history-panel")
-    panel.write(rows, cards, prefix)
+    with released(spark):
+        panel.write(rows, cards, prefix)
     first = sinks.read_panel(spark, f"{prefix}_occurrences", *panel.OCCURRENCE_COLUMNS)
-    counted = first.groupBy("scan_id", "used_version").agg(
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    cents = lambda c, name: F.round(F.col(c).cast("decimal(9,2)") * 100).cast("long").alias(name)
+    # Cells become numbers before they are dealt, which are a third of their text.
+    counted = first.groupBy(whole("scan_id"), "used_version").agg(
         F.count("*").alias("rows"), F.count_if(F.col("is_unassessable") == "True").alias("unassessable"), F.count_if((F.col("is_unassessable") == "True") & (F.col("score") == "")).alias("unscored"),
         F.coalesce(F.sum(F.round(F.expr("try_cast(penalty AS decimal(9,2))") * 100).cast("long")), F.lit(0)).alias("penalty_cents"),
     )
-    second = sinks.read_panel(spark, f"{prefix}_repositories", *panel.REPOSITORY_COLUMNS)
+    cells = sinks.read_panel(spark, f"{prefix}_repositories", *panel.REPOSITORY_COLUMNS)
+    second = cells.select(
+        whole("scan_id"), "used_version", whole("dependency_count"), whole("assessed_count"), whole("recomputed_flagged_count"), cents("recomputed_score", "score_cents"), "recomputed_classification",
+        cents("stored_score", "stored_cents"), "stored_formula_version",
+    )
     manifest = spark.read.json(f"{prefix}_manifest").select("used_version", "scan_rows", "scores_differing_from_stored")
     joined = second.join(counted, ["scan_id", "used_version"], "left").join(manifest, "used_version")
-    whole = lambda c: F.col(c).cast("long").alias(c)
-    return joined.select(
-        whole("scan_id"), "used_version", whole("dependency_count"), whole("assessed_count"), whole("recomputed_flagged_count"), F.round(F.col("recomputed_score").cast("decimal(9,2)") * 100).cast("long").alias("score_cents"), "recomputed_classification",
-        F.round(F.col("stored_score").cast("decimal(9,2)") * 100).cast("long").alias("stored_cents"), "stored_formula_version", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("unassessable", F.lit(0)).alias("unassessable"), F.coalesce("unscored", F.lit(0)).alias("unscored"),
-        F.coalesce("penalty_cents", F.lit(0)).alias("penalty_cents"), "scan_rows", "scores_differing_from_stored",
-    )
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("rows", "unassessable", "unscored", "penalty_cents")]
+    return joined.select(*second.columns, *counts, "scan_rows", "scores_differing_from_stored")
 
 
 def _panel_sql() -> str:

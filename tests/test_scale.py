@@ -101,3 +101,56 @@ def test_answers_are_read_once(spark):
 
     found = plan(QUERIES["advisory_answers"].run(spark, "/root/testdata/sf0.001"))
     assert "advisory_batches" not in found and "BatchScan" not in found
+
+
+def test_the_panel_deals_lines_and_scans_once(spark):
+    rows = spark.createDataFrame([line(1, 1), line(1, 2, True), line(2, 1)], LINE)
+    scans = spark.createDataFrame([(n, 7, "live_scan", "2026-01-01", None, None, "v1") for n in (1, 2, 3)], "scan_id int, repository_id int, data_source string, created_on string, stored_score decimal(5,2), stored_classification string, formula_version string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = plan(panel.repository_panel(panel.rolled(scans, rows, ("v1", "v2"), *KEY)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found.count("Exchange hashpartitioning(scan_id") == found.count("Exchange hashpartitioning") == 2
+
+
+def test_cards_of_the_panel_are_those_of_the_roll_up(spark):
+    from keelson.operators import rollup
+
+    wide = lambda scan, n: (*line(scan, n, n % 7 == 0, "npm" if n % 2 else "pypi")[:11], n % 3 == 0, n % 5, n * 7 % 100 if n % 4 else None, n * 40 if n % 6 else None)
+    rows = spark.createDataFrame([*(wide(1, n) for n in range(1, 90)), *(wide(2, n) for n in range(1, 4)), wide(3, 7), line(4, 1, None), line(None, 1)], LINE)
+    scans = spark.createDataFrame([(n, 7) for n in (1, 1, 2, 3, 4, 5)], "scan_id int, repository_id int")
+    got = panel.rolled(scans, rows, ("v0_equal", "v1", "v2"), *KEY).drop("repository_id")
+    for v in ("v0_equal", "v1", "v2"):
+        want = rollup.roll_up(scans.select("scan_id", F.lit(v).alias("used_version")), rows, v)
+        assert sorted(map(tuple, got.where(F.col("used_version") == v).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_panels_are_written_small(spark, tmp_path):
+    from keelson.sources import sinks
+
+    rows = spark.range(0, 20_000, 1, 2).select("id", F.lit('a "quoted", cell\nof two lines').alias("cell"), (F.col("id") % 2 == 0).alias("even"), F.when(F.col("id") % 3 == 0, "x").alias("some"))
+    sinks.write_panel(rows, f"{tmp_path}/p")
+    files = [f for f in (tmp_path / "p").iterdir() if f.name.startswith("part-")]
+    assert len(files) == 2 and sum(f.stat().st_size for f in files) < 20_000 * 10
+    read = sinks.read_panel(spark, f"{tmp_path}/p", *rows.columns)
+    assert sorted(map(tuple, read.collect())) == sorted((str(n), 'a "quoted", cell\nof two lines', str(n % 2 == 0), "" if n % 3 else "x") for n in range(20_000))
+
+
+def test_shuffled_files_are_released(spark, tmp_path):
+    import time
+
+    from keelson.session import released
+
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f for f in held if "shuffle_" in f}
+
+    name, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    was = spark.conf.get(name, None)
+    with released(spark):
+        spark.range(1000).groupBy(F.col("id") % 10).count().write.parquet(f"{tmp_path}/a")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(name, None) == was
