@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import kept
+from ..session import kept, released
 from ..sources import sinks
 from .rollup import COUNTS, carded, with_points
 from .scoring import is_flagged, score_occurrences
@@ -27,6 +27,8 @@ REPOSITORY_COLUMNS = (
     "recomputed_classification", "stored_score", "stored_classification", "stored_formula_version",
 )
 
+PARTS = 2
+
 
 def oldest(scans: DataFrame, source: str | None = None, limit: int | None = None) -> DataFrame:
     """The scans of a data source, oldest first up to a limit where one is given."""
@@ -105,9 +107,15 @@ def repository_panel(cards: DataFrame) -> DataFrame:
 
 
 def write(occurrences: DataFrame, repositories: DataFrame, prefix: str) -> None:
-    """Both panels as CSV folders and a JSON manifest with a row for each version."""
-    sinks.write_panel(occurrences.select(*OCCURRENCE_COLUMNS), f"{prefix}_occurrences")
-    sinks.write_panel(repositories, f"{prefix}_repositories")
+    """Both panels as CSV folders and a JSON manifest with a row for each version.
+
+    Occurrences are written in parts by scan, and what a part has shuffled is removed before the next: it is more than the panel itself.
+    """
+    part = F.pmod(F.xxhash64("scan_id"), F.lit(PARTS))
+    with released(occurrences.sparkSession):
+        for n in range(PARTS):
+            sinks.write_panel(occurrences.where(part == n).select(*OCCURRENCE_COLUMNS), f"{prefix}_occurrences", "append" if n else "overwrite")
+        sinks.write_panel(repositories, f"{prefix}_repositories")
     changed = F.count_if(~F.col("recomputed_score").eqNullSafe(F.col("stored_score")))
     totals = repositories.groupBy("used_version").agg(F.count("*").alias("scan_rows"), F.sum("dependency_count").alias("occurrence_rows"), changed.alias("scores_differing_from_stored"))
     totals.coalesce(1).write.mode("overwrite").json(f"{prefix}_manifest")

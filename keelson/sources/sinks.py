@@ -17,9 +17,9 @@ def csv_text(column: str, kind: str) -> Column:
 CSV = {"header": "true", "escape": '"', "emptyValue": ""}
 
 
-def write_panel(rows: DataFrame, path: str) -> None:
+def write_panel(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV files with a header in a folder, a file a task; gzip, as cells repeat and a file with line ends in cells is read whole anyway."""
-    rows.select(*[csv_text(c, kind) for c, kind in rows.dtypes]).write.mode("overwrite").options(**CSV, compression="gzip").csv(path)
+    rows.select(*[csv_text(c, kind) for c, kind in rows.dtypes]).write.mode(mode).options(**CSV, compression="gzip").csv(path)
 
 
 def read_panel(spark: SparkSession, path: str, *columns: str) -> DataFrame:

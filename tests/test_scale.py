@@ -154,3 +154,19 @@ def test_shuffled_files_are_released(spark, tmp_path):
     while files() - before and time.time() < end:
         time.sleep(0.2)
     assert not files() - before and spark.conf.get(name, None) == was
+
+
+def test_a_panel_written_in_parts_is_whole(spark, tmp_path, monkeypatch):
+    from keelson.sources import sinks
+
+    seen, plain = [], sinks.write_panel
+    monkeypatch.setattr(sinks, "write_panel", lambda rows, path, *mode: seen.append((path, rows.count())) or plain(rows, path, *mode))
+    lines = [*(line(n % 30, n, n % 9 == 0) for n in range(1, 200)), line(None, 200)]
+    rows = panel.occurrence_panel(spark.createDataFrame(lines, LINE).withColumns({"data_source": F.lit("live_scan"), "created_on": F.lit("2026-01-01")}), ("v1", "v2"), *KEY)
+    cards = spark.createDataFrame([(1, "v1", 2, None, None)], "scan_id int, used_version string, dependency_count long, recomputed_score decimal(5,2), stored_score decimal(5,2)")
+    panel.write(rows, cards, f"{tmp_path}/h")
+    parts = [n for path, n in seen if path.endswith("_occurrences")]
+    assert len(parts) == panel.PARTS > 1 and 0 < max(parts) < sum(parts) == 400
+    read = sinks.read_panel(spark, f"{tmp_path}/h_occurrences", *panel.OCCURRENCE_COLUMNS)
+    told = sorted(("" if scan is None else str(scan), v) for scan, *_ in lines for v in ("v1", "v2"))
+    assert sorted((r.scan_id, r.used_version) for r in read.collect()) == told
